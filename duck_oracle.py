@@ -296,3 +296,175 @@ SELECT repo_id,
   coalesce(array_to_string(list_sort(list(DISTINCT name) FILTER (WHERE name IN {_in(K.JAVA_ROOT_FILES + K.GO_ROOT_FILES + K.RUBY_ROOT_FILES)})), '|'), '') AS other_root_files
 FROM classified WHERE depth = 1 GROUP BY repo_id""")
 _o("J1_in_package", ["classified"], "SELECT repo_id, relative_path, in_package FROM classified")
+
+
+# ---------------------------------------------------------------- proposals
+def _first_match(expr_pairs, default="NULL") -> str:
+    return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in expr_pairs) + f" ELSE {default} END"
+
+
+_loc = "CASE WHEN parent = '.' THEN 'repository root' ELSE parent END"
+_tfw = f"list_filter(imports, lambda i: i IN {_in(K.TEST_IMPORTS)})"
+_cfg_kind = _first_match([(f"contains(name, {_q(p)})", _q(k)) for p, k in K.CONFIG_KINDS])
+_data_kind = _first_match([(f"extension = {_q(e)}", _q(k)) for e, k in K.DATA_KINDS])
+_reason = f"""CASE category
+  WHEN 'tests' THEN concat_ws('. ',
+     CASE WHEN has_tests THEN 'Contains test functions or test classes (pytest/unittest pattern detected)' END,
+     CASE WHEN len({_tfw}) > 0 THEN 'Imports testing frameworks: ' || array_to_string({_tfw}[1:2], ', ') END,
+     CASE WHEN starts_with(name, 'test_') OR ends_with(name, '_test.py') THEN 'Follows test file naming convention' END,
+     CASE WHEN {_loc} NOT IN ('tests', 'test') THEN 'Currently located in ' || {_loc} || ', should be in tests/ directory' END)
+  WHEN 'src' THEN concat_ws('. ',
+     CASE WHEN len(imports) > 0 THEN 'Contains ' || CAST(len(imports) AS VARCHAR) || ' imports, indicating application logic' END,
+     CASE WHEN len(imports) > 5 THEN 'Multiple dependencies suggest core application module' END,
+     CASE WHEN NOT has_tests AND NOT is_executable THEN 'Non-executable library code (not a script)' END,
+     CASE WHEN parent = '.' THEN 'Python modules should be organized under src/ or package directory' END)
+  WHEN 'scripts' THEN concat_ws('. ',
+     CASE WHEN is_executable THEN 'Contains __main__ block, indicating executable entry point' END,
+     CASE WHEN name IN {_in(K.COMMON_SCRIPT_NAMES)} THEN 'Common script name pattern detected' END,
+     CASE WHEN parent = '.' THEN 'Executable scripts should be organized in scripts/ directory' END)
+  WHEN 'configs' THEN concat_ws('. ',
+     coalesce('Configuration file: ' || {_cfg_kind}, 'Configuration file detected by naming pattern'),
+     CASE WHEN name IN {_in(K.STANDARD_ROOT_CONFIGS)} THEN 'Standard root-level configuration file'
+          WHEN {_loc} NOT IN ('configs', 'config') THEN 'Should be organized in configs/ directory' END)
+  WHEN 'experiments' THEN concat_ws('. ',
+     CASE WHEN contains(lower(name), 'test') OR contains(lower(name), 'temp') THEN 'Temporary or experimental file naming pattern' END,
+     CASE WHEN contains(lower(relative_path), 'playground') THEN 'Located in experimental/playground area' END,
+     'Consider moving to experiments/ or removing if obsolete')
+  WHEN 'markdown' THEN CASE WHEN upper(name) = 'README.MD' THEN 'Primary project README - should remain at repository root'
+     ELSE concat_ws('. ', 'Markdown documentation file',
+                    CASE WHEN parent = '.' THEN 'Documentation files should be organized in docs/ directory' END) END
+  WHEN 'data' THEN concat_ws('. ', coalesce('Data file: ' || {_data_kind}, 'Data file detected'),
+     CASE WHEN parent = '.' THEN 'Data files should be organized in data/ directory' END)
+  ELSE '' END"""
+
+L["typed"] = (["classified", "repo_types"], """
+SELECT c.*, t.repo_type FROM classified c JOIN repo_types t USING (repo_id)""")
+
+L["cand"] = (["typed"], """
+SELECT *, CASE WHEN depth > 1 THEN parts[1] END AS first_dir FROM typed
+WHERE repo_type = 'python_dominant' OR (repo_type = 'mixed' AND extension = '.py')""")
+
+L["cand_placed"] = (["cand"], """
+SELECT *, coalesce(CASE category
+    WHEN 'src' THEN first_dir = 'src' WHEN 'tests' THEN first_dir IN ('tests', 'test')
+    WHEN 'configs' THEN first_dir IN ('configs', 'config') WHEN 'scripts' THEN first_dir = 'scripts'
+    WHEN 'docs' THEN first_dir = 'docs' WHEN 'markdown' THEN first_dir IN ('docs', 'markdown')
+    WHEN 'data' THEN first_dir = 'data' WHEN 'experiments' THEN first_dir IN ('experiments', 'playground')
+    ELSE false END, false) AS correctly_placed
+FROM cand""")
+
+L["cand_target"] = (["cand_placed"], f"""
+SELECT *, CASE category
+    WHEN 'src' THEN 'src/' || relative_path
+    WHEN 'tests' THEN 'tests/' || CASE WHEN depth > 1 THEN parent || '/' ELSE '' END
+        || CASE WHEN starts_with(name, 'test_') OR ends_with(name, '_test.py') THEN name ELSE 'test_' || name END
+    WHEN 'configs' THEN CASE WHEN name IN {_in(K.ROOT_CONFIG_TARGETS)} THEN name ELSE 'configs/' || name END
+    WHEN 'scripts' THEN 'scripts/' || name
+    WHEN 'docs' THEN 'docs/' || name
+    WHEN 'markdown' THEN CASE WHEN upper(name) = 'README.MD' THEN 'README.md' ELSE 'docs/' || name END
+    WHEN 'data' THEN 'data/' || name
+    WHEN 'experiments' THEN 'experiments/' || name
+    END AS target
+FROM cand_placed WHERE NOT correctly_placed""")
+
+L["phase1"] = (["cand_target"], f"""
+SELECT repo_id, 1 AS phase, file_seq AS ord, 'move' AS action, relative_path AS source, target,
+       CASE WHEN {_reason} = '' THEN 'Classified as ' || category || ' based on file analysis' ELSE {_reason} END || '.' AS reason,
+       CASE WHEN len(imports) > 10 THEN 'high' WHEN is_executable THEN 'medium'
+            WHEN category = 'configs' THEN 'medium' ELSE 'low' END AS risk,
+       category, CASE WHEN parent = '.' THEN 'root' ELSE parent END AS current_location,
+       NULL::VARCHAR AS suggestion, NULL::BIGINT AS total_count, NULL::VARCHAR AS examples, NULL::VARCHAR AS remaining,
+       repo_type
+FROM cand_target WHERE target IS NOT NULL AND target <> relative_path
+UNION ALL
+SELECT repo_id, 1, file_seq, 'flag', relative_path, NULL, {_q(K.TRASH_REASON)}, 'low', 'trash', NULL, NULL, NULL, NULL, NULL,
+       repo_type
+FROM cand_target WHERE category = 'trash'""")
+
+L["dup_members"] = (["classified"], f"""
+SELECT repo_id, lower(name) AS group_name, file_seq, relative_path, name FROM classified
+WHERE name NOT IN {_in(K.DUPLICATE_EXEMPT)}""")
+
+L["dup_all"] = (["dup_members", "repo_types"], f"""
+SELECT g.*, t.repo_type, CASE WHEN t.repo_type = 'python_dominant' THEN 'python' ELSE 'nextjs' END AS profile
+FROM (SELECT repo_id, group_name, count(*) AS total_count, arg_min(name, file_seq) AS first_name,
+             arg_min(relative_path, file_seq) AS first_path, min(file_seq) AS first_seq,
+             array_to_string(list(relative_path ORDER BY file_seq)[1:3], '|') AS examples
+      FROM dup_members GROUP BY repo_id, group_name HAVING count(*) > 1) g
+JOIN repo_types t USING (repo_id)""")
+
+_nextjs = [p for n, p in K.PROFILES if n == "nextjs"][0]
+L["dup_kept"] = (["dup_all"], f"""
+SELECT *, profile = 'nextjs' AND ({' OR '.join(f"contains(lower(first_name), {_q(p)})" for p in _nextjs)}) AS suppressed
+FROM dup_all""")
+
+L["phase2"] = (["dup_kept"], f"""
+SELECT repo_id, 2 AS phase, first_seq AS ord, 'flag' AS action, first_path AS source, NULL::VARCHAR AS target,
+       'Duplicate filename: ' || CAST(total_count AS VARCHAR) || ' files named ''' || first_name || '''' AS reason,
+       CASE WHEN lower(first_name) IN {_in(K.DUPLICATE_HIGH_RISK)} THEN 'high'
+            WHEN lower(first_name) IN {_in(K.DUPLICATE_LOW_RISK)} THEN 'low'
+            WHEN ends_with(lower(first_name), '.log') OR ends_with(lower(first_name), '.tmp') THEN 'low'
+            ELSE 'medium' END AS risk,
+       NULL::VARCHAR AS category, NULL::VARCHAR AS current_location, NULL::VARCHAR AS suggestion,
+       CAST(total_count AS BIGINT) AS total_count, examples,
+       CASE WHEN total_count > 3 THEN '+' || CAST(total_count - 3 AS VARCHAR) || ' more' END AS remaining
+FROM dup_kept WHERE NOT suppressed""")
+
+L["phase3"] = (["typed"], f"""
+SELECT repo_id, 3 AS phase, file_seq AS ord, 'flag' AS action, relative_path AS source, NULL::VARCHAR AS target,
+       {_q(K.ROOT_FLAG_REASON)} AS reason, 'low' AS risk, NULL::VARCHAR AS category, NULL::VARCHAR AS current_location,
+       {_q(K.ROOT_FLAG_SUGGESTION)} AS suggestion, NULL::BIGINT AS total_count, NULL::VARCHAR AS examples,
+       NULL::VARCHAR AS remaining
+FROM typed WHERE repo_type = 'python_dominant' AND depth = 1 AND extension = '.py'
+  AND name NOT IN {_in(K.ROOT_FLAG_EXEMPT)}""")
+
+_PCOLS = ("repo_id, CAST(phase AS BIGINT) AS phase, CAST(ord AS BIGINT) AS ord, action, source, target, reason, "
+          "risk, category, current_location, suggestion, total_count, examples, remaining")
+_PCOLS_PLAIN = ("repo_id, phase, ord, action, source, target, reason, risk, category, current_location, "
+                "suggestion, total_count, examples, remaining")
+
+L["gated1"] = (["phase1"], f"SELECT {_PCOLS_PLAIN} FROM phase1 WHERE action <> 'move' OR repo_type = 'python_dominant'")
+
+L["props"] = (["gated1", "phase2", "phase3"], f"""
+SELECT {_PCOLS_PLAIN} FROM gated1
+UNION ALL SELECT {_PCOLS_PLAIN} FROM phase2
+UNION ALL SELECT {_PCOLS_PLAIN} FROM phase3 p
+  WHERE NOT EXISTS (SELECT 1 FROM gated1 m WHERE m.action = 'move' AND m.repo_id = p.repo_id AND m.source = p.source)""")
+
+_o("J2_with_repo_type", ["typed"], "SELECT repo_id, relative_path, repo_type FROM typed")
+_o("F6_candidates_by_repo_type", ["cand"], "SELECT repo_id, relative_path, category FROM cand")
+_o("P11_correctly_placed", ["cand_placed"],
+   "SELECT repo_id, relative_path, category, correctly_placed FROM cand_placed")
+_o("P12_target_path", ["cand_target"], "SELECT repo_id, relative_path, category, target FROM cand_target")
+_o("F3_drop_noop_moves", ["cand_target"],
+   "SELECT repo_id, relative_path, category FROM cand_target WHERE target = relative_path")
+_o("P13_move_risk", ["phase1"], "SELECT repo_id, source, risk FROM phase1 WHERE action = 'move'")
+_o("P14_move_reason", ["phase1"], "SELECT repo_id, source, reason FROM phase1 WHERE action = 'move'")
+_o("F8_unclassified_flags", ["phase1"], f"SELECT {_PCOLS} FROM phase1 WHERE action = 'flag'")
+_o("F7_gate_moves", ["gated1"], f"SELECT {_PCOLS} FROM gated1")
+_o("A8_duplicate_groups", ["phase2"], f"SELECT {_PCOLS} FROM phase2")
+_o("A8_duplicate_members", ["dup_all", "dup_members"], """
+SELECT m.repo_id, m.group_name, m.file_seq, m.relative_path FROM dup_members m
+WHERE EXISTS (SELECT 1 FROM dup_all g WHERE g.repo_id = m.repo_id AND g.group_name = m.group_name)""")
+_o("P15_duplicate_risk", ["dup_all"], f"""
+SELECT repo_id, group_name, first_name,
+       CASE WHEN lower(first_name) IN {_in(K.DUPLICATE_HIGH_RISK)} THEN 'high'
+            WHEN lower(first_name) IN {_in(K.DUPLICATE_LOW_RISK)} THEN 'low'
+            WHEN ends_with(lower(first_name), '.log') OR ends_with(lower(first_name), '.tmp') THEN 'low'
+            ELSE 'medium' END AS risk FROM dup_all""")
+_o("F10_duplicate_exempt", ["classified"],
+   f"SELECT repo_id, relative_path, name FROM classified WHERE name IN {_in(K.DUPLICATE_EXEMPT)}")
+_o("F11_suppress_expected_duplicates", ["dup_kept"],
+   "SELECT repo_id, group_name, first_name, profile FROM dup_kept WHERE suppressed")
+_o("J3_with_profile", ["repo_types"], f"""
+SELECT repo_id, repo_type, CASE WHEN repo_type = 'python_dominant' THEN 'python' ELSE 'nextjs' END AS profile,
+       CASE WHEN repo_type = 'python_dominant' THEN '' ELSE {_q('|'.join(_nextjs))} END AS ignored_duplicate_patterns
+FROM repo_types""")
+_o("F9_root_python_flags", ["phase3"], f"SELECT {_PCOLS} FROM phase3")
+_o("J4_suppress_redundant_flags", ["gated1", "phase3"], f"""
+SELECT {_PCOLS} FROM (SELECT {_PCOLS_PLAIN} FROM gated1 UNION ALL SELECT {_PCOLS_PLAIN} FROM phase3) p
+WHERE NOT (action = 'flag' AND contains(reason, {_q(K.ROOT_FLAG_REASON)})
+           AND EXISTS (SELECT 1 FROM gated1 m WHERE m.action = 'move' AND m.repo_id = p.repo_id AND m.source = p.source))""")
+_o("U1_all_proposals", ["props"], f"SELECT {_PCOLS} FROM props")
+_o("F4_by_action", ["props"], f"SELECT {_PCOLS} FROM props WHERE action = 'flag'")
+_o("F5_by_risk", ["props"], f"SELECT {_PCOLS} FROM props WHERE risk = 'high'")

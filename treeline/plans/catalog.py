@@ -192,3 +192,140 @@ def u3(t: Tables) -> DataFrame:
 @query("J1_in_package")
 def j1(t: Tables) -> DataFrame:
     return t.files.select("repo_id", "relative_path", "in_package")
+
+
+# ------------------------------------------------------------------ proposals
+def _typed(t: Tables) -> DataFrame:
+    return PR.with_repo_type(t.files, t.types)
+
+
+def _unplaced(t: Tables) -> DataFrame:
+    c = PR.candidates(_typed(t)).filter(~R.correctly_placed())
+    return c.withColumn("target", R.target_path())
+
+
+@query("J2_with_repo_type")
+def j2(t: Tables) -> DataFrame:
+    return _typed(t).select("repo_id", "relative_path", "repo_type")
+
+
+@query("F6_candidates_by_repo_type")
+def f6(t: Tables) -> DataFrame:
+    return PR.candidates(_typed(t)).select("repo_id", "relative_path", "category")
+
+
+@query("P11_correctly_placed")
+def p11(t: Tables) -> DataFrame:
+    return PR.candidates(_typed(t)).select("repo_id", "relative_path", "category",
+                                           R.correctly_placed().alias("correctly_placed"))
+
+
+@query("P12_target_path")
+def p12(t: Tables) -> DataFrame:
+    return _unplaced(t).select("repo_id", "relative_path", "category", "target")
+
+
+@query("F3_drop_noop_moves")
+def f3(t: Tables) -> DataFrame:
+    u = _unplaced(t)
+    return u.filter(F.col("target") == F.col("relative_path")).select(
+        "repo_id", "relative_path", "category")
+
+
+def _phase1(t: Tables) -> DataFrame:
+    return PR.per_file_proposals(_typed(t)).drop("_keep_move")
+
+
+@query("P13_move_risk")
+def p13(t: Tables) -> DataFrame:
+    return _phase1(t).filter(F.col("action") == "move").select("repo_id", "source", "risk")
+
+
+@query("P14_move_reason")
+def p14(t: Tables) -> DataFrame:
+    return _phase1(t).filter(F.col("action") == "move").select("repo_id", "source", "reason")
+
+
+@query("F8_unclassified_flags")
+def f8(t: Tables) -> DataFrame:
+    return PR.flat(_phase1(t).filter(F.col("action") == "flag"))
+
+
+@query("F7_gate_moves")
+def f7(t: Tables) -> DataFrame:
+    return PR.flat(PR.gate_moves(_phase1(t), t.types))
+
+
+@query("A8_duplicate_groups")
+def a8(t: Tables) -> DataFrame:
+    return PR.flat(PR.duplicate_groups(t.files, t.types))
+
+
+@query("A8_duplicate_members")
+def a8m(t: Tables) -> DataFrame:
+    m = PR.duplicate_members(t.files)
+    sizes = m.groupBy("repo_id", "group_name").agg(F.count(F.lit(1)).alias("total_count")) \
+             .filter(F.col("total_count") > 1)
+    return m.join(sizes, ["repo_id", "group_name"], "left_semi").select(
+        "repo_id", "group_name", "file_seq", "relative_path")
+
+
+@query("P15_duplicate_risk")
+def p15(t: Tables) -> DataFrame:
+    first = PR.duplicate_members(t.files).groupBy("repo_id", "group_name").agg(
+        F.min_by("name", "file_seq").alias("first_name"), F.count(F.lit(1)).alias("n")) \
+        .filter(F.col("n") > 1)
+    return first.select("repo_id", "group_name", "first_name",
+                        R.duplicate_risk(F.col("first_name")).alias("risk"))
+
+
+@query("F10_duplicate_exempt")
+def f10(t: Tables) -> DataFrame:
+    return t.files.filter(F.col("name").isin(*K.DUPLICATE_EXEMPT)).select(
+        "repo_id", "relative_path", "name")
+
+
+@query("F11_suppress_expected_duplicates")
+def f11(t: Tables) -> DataFrame:
+    first = PR.duplicate_members(t.files).groupBy("repo_id", "group_name").agg(
+        F.min_by("name", "file_seq").alias("first_name"), F.count(F.lit(1)).alias("n")) \
+        .filter(F.col("n") > 1)
+    g = first.join(t.types.select("repo_id", "repo_type"), "repo_id")
+    g = g.withColumn("profile", PR.profile_name(F.col("repo_type")))
+    low = F.lower(F.col("first_name"))
+    return g.filter(F.exists(PR.profile_patterns(F.col("profile")), lambda p: low.contains(p))) \
+            .select("repo_id", "group_name", "first_name", "profile")
+
+
+@query("J3_with_profile")
+def j3(t: Tables) -> DataFrame:
+    prof = PR.profile_name(F.col("repo_type"))
+    return t.types.select("repo_id", "repo_type", prof.alias("profile"),
+                          _bar(PR.profile_patterns(prof)).alias("ignored_duplicate_patterns"))
+
+
+@query("F9_root_python_flags")
+def f9(t: Tables) -> DataFrame:
+    return PR.flat(PR.root_python_flags(_typed(t)))
+
+
+@query("J4_suppress_redundant_flags")
+def j4(t: Tables) -> DataFrame:
+    gated = PR.gate_moves(_phase1(t), t.types)
+    both = gated.unionByName(PR.root_python_flags(_typed(t)))
+    return PR.flat(PR.suppress_redundant_flags(both))
+
+
+@query("U1_all_proposals")
+def u1(t: Tables) -> DataFrame:
+    return PR.flat(t.proposals)
+
+
+@query("F4_by_action")
+def f4(t: Tables) -> DataFrame:
+    return PR.flat(t.proposals.filter(F.col("action") == "flag"))
+
+
+@query("F5_by_risk")
+def f5(t: Tables) -> DataFrame:
+    return PR.flat(t.proposals.filter(F.col("risk") == "high"))
