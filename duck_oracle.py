@@ -468,3 +468,275 @@ WHERE NOT (action = 'flag' AND contains(reason, {_q(K.ROOT_FLAG_REASON)})
 _o("U1_all_proposals", ["props"], f"SELECT {_PCOLS} FROM props")
 _o("F4_by_action", ["props"], f"SELECT {_PCOLS} FROM props WHERE action = 'flag'")
 _o("F5_by_risk", ["props"], f"SELECT {_PCOLS} FROM props WHERE risk = 'high'")
+
+
+# ---------------------------------------------------------------- reports
+def _group_sql(source: str) -> str:
+    src = f"lower({source})"
+    fname = f"lower(string_split({source}, '/')[-1])"
+    cfg = sorted({n.lower() for n in K.GROUP_CONFIG_NAMES})
+    dep = sorted({n.lower() for n in K.GROUP_DEPENDENCY_NAMES})
+
+    def ends(xs):
+        return "(" + " OR ".join(f"ends_with({src}, {_q(x)})" for x in xs) + ")"
+    return f"""CASE
+  WHEN {fname} IN {_in(cfg)} THEN 'Configuration'
+  WHEN {ends(K.GROUP_CONFIG_EXTENSIONS)} AND (contains({fname}, 'config') OR contains({fname}, 'settings')) THEN 'Configuration'
+  WHEN {fname} IN {_in(dep)} THEN 'Dependencies'
+  WHEN {ends(K.GROUP_LOG_SUFFIXES)} THEN 'Logs & Artifacts'
+  WHEN {ends(K.GROUP_DOC_SUFFIXES)} THEN 'Documentation'
+  WHEN contains({fname}, 'readme') OR contains({fname}, 'license') OR contains({fname}, 'changelog') THEN 'Documentation'
+  WHEN contains({src}, 'script') THEN 'Scripts'
+  WHEN contains({src}, 'test') THEN 'Tests'
+  WHEN {ends(K.GROUP_CODE_SUFFIXES)} AND contains({src}, '/src/') THEN 'Source Code'
+  ELSE 'Other' END"""
+
+
+_rank = "CASE display_group " + " ".join(
+    f"WHEN {_q(g)} THEN {i + 1}" for i, g in enumerate(K.GROUP_ORDER)) + " END"
+
+L["props_grouped"] = (["props"], f"""
+SELECT *, {_group_sql('source')} AS display_group FROM props""")
+
+_o("P16_display_group", ["props_grouped"], f"""
+SELECT repo_id, phase, CAST(ord AS BIGINT) AS ord, source, display_group, CAST({_rank} AS BIGINT) AS group_rank
+FROM props_grouped""")
+_o("W1_proposal_numbers", ["props_grouped"], f"""
+SELECT repo_id, phase, CAST(ord AS BIGINT) AS ord, display_group,
+       CAST(row_number() OVER (PARTITION BY repo_id ORDER BY {_rank}, phase, ord) AS BIGINT) AS number
+FROM props_grouped""")
+_o("A9_proposal_rollup", ["props_grouped"], """
+SELECT repo_id, 'total' AS dimension, NULL::VARCHAR AS value, count(*) AS n FROM props_grouped GROUP BY repo_id
+UNION ALL SELECT repo_id, 'action', action, count(*) FROM props_grouped GROUP BY ALL
+UNION ALL SELECT repo_id, 'risk', risk, count(*) FROM props_grouped GROUP BY ALL
+UNION ALL SELECT repo_id, 'display_group', display_group, count(*) FROM props_grouped GROUP BY ALL""")
+_o("A10_proposals_document", ["props"], """
+SELECT t.repo_id, t.total_proposals,
+       to_json({'total_proposals': t.total_proposals, 'summary': {'by_action': a.m, 'by_risk': r.m}}) AS document
+FROM (SELECT repo_id, count(*) AS total_proposals FROM props GROUP BY repo_id) t
+JOIN (SELECT repo_id, map_from_entries(list({'k': action, 'v': n} ORDER BY action)) AS m
+      FROM (SELECT repo_id, action, count(*) AS n FROM props GROUP BY ALL) GROUP BY repo_id) a USING (repo_id)
+JOIN (SELECT repo_id, map_from_entries(list({'k': risk, 'v': n} ORDER BY risk)) AS m
+      FROM (SELECT repo_id, risk, count(*) AS n FROM props GROUP BY ALL) GROUP BY repo_id) r USING (repo_id)""")
+_o("S3_write_proposals", ["props"], """
+SELECT repo_id, phase, CAST(ord AS BIGINT) AS ord,
+  to_json({'action': action, 'source': source, 'target': target, 'reason': reason, 'risk': risk,
+           'details': {'category': category, 'current_location': current_location, 'suggestion': suggestion,
+                       'total_count': total_count,
+                       'examples': CASE WHEN examples IS NULL THEN NULL::VARCHAR[] ELSE string_split(examples, '|') END,
+                       'remaining': remaining}}) AS record
+FROM props""")
+_o("P19_proposal_text", ["props"], """
+SELECT repo_id, phase, CAST(ord AS BIGINT) AS ord,
+  concat_ws(chr(10), upper(action) || ': ' || source,
+            CASE WHEN target IS NOT NULL THEN '    -> ' || target END,
+            'REASON: ' || reason, 'RISK: ' || upper(risk),
+            CASE WHEN examples IS NOT NULL THEN concat_ws(chr(10), '  Examples:',
+                   array_to_string(list_transform(string_split(examples, '|'), lambda e: '    - ' || e), chr(10)),
+                   CASE WHEN remaining IS NOT NULL THEN '    (' || remaining || ')' END)
+                 ELSE nullif(concat_ws(chr(10),
+                   CASE WHEN category IS NOT NULL THEN '  category: ' || category END,
+                   CASE WHEN current_location IS NOT NULL THEN '  current_location: ' || current_location END,
+                   CASE WHEN suggestion IS NOT NULL THEN '  suggestion: ' || suggestion END), '') END) AS text
+FROM props""")
+
+
+# ---------------------------------------------------------------- imports
+def _parent_sql(p: str) -> str:
+    return f"CASE WHEN contains({p}, '/') THEN regexp_extract({p}, '^(.*)/[^/]*$', 1) ELSE '.' END"
+
+
+_itext = """CASE WHEN is_relative AND module <> '' THEN 'from ' || repeat('.', level) || module || ' import ' || array_to_string(names, ', ')
+  WHEN is_relative THEN 'from ' || repeat('.', level) || ' import ' || array_to_string(names, ', ')
+  WHEN len(names) > 0 THEN 'from ' || module || ' import ' || array_to_string(names, ', ')
+  ELSE 'import ' || module END"""
+
+L["ostmts"] = (["stmt_rows"], """
+SELECT *, row_number() OVER (PARTITION BY repo_id, relative_path ORDER BY line_no, part_no) - 1 AS stmt_no
+FROM stmt_rows""")
+L["moves"] = (["props"], "SELECT * FROM props WHERE action = 'move'")
+L["mst"] = (["moves", "ostmts"], f"""
+SELECT m.repo_id, m.ord AS move_ord, m.source, m.target, s.stmt_no, s.module, s.is_relative, s.level,
+       s.line_no AS line_number, s.names, {_parent_sql('m.source')} AS src_dir, {_parent_sql('m.target')} AS tgt_dir
+FROM moves m JOIN ostmts s ON s.repo_id = m.repo_id AND s.relative_path = m.source""")
+L["w_rel"] = (["mst", "inv", "moves"], """
+SELECT x.*, 'relative' AS kind,
+  'Relative import will break when moving from ' || src_dir || '/ to ' || tgt_dir || '/' AS reason,
+  CASE WHEN module <> '' AND (EXISTS (SELECT 1 FROM inv r WHERE r.repo_id = x.repo_id AND r.relative_path = x.cand)
+                              OR EXISTS (SELECT 1 FROM moves o WHERE o.repo_id = x.repo_id AND o.source = x.cand))
+       THEN split_part(module, '.', 1) || '.py' ELSE '' END AS affected
+FROM (SELECT *, CASE WHEN src_dir = '.' THEN '' ELSE src_dir || '/' END || split_part(module, '.', 1) || '.py' AS cand
+      FROM mst WHERE is_relative AND src_dir <> tgt_dir) x""")
+L["w_sib"] = (["mst", "inv", "moves"], f"""
+SELECT y.*, 'sibling' AS kind,
+  CASE WHEN o_target IS NULL THEN 'Importing ''' || modname || ''' from current directory, but moving away from ' || src_dir || '/'
+       ELSE 'Importing ''' || modname || ''' from same directory, but ' || modname || '.py is moving to ' || {_parent_sql('o_target')} || '/' END AS reason,
+  cand AS affected
+FROM (SELECT x.*, o.target AS o_target
+      FROM (SELECT *, split_part(module, '.', 1) AS modname,
+                   CASE WHEN src_dir = '.' THEN '' ELSE src_dir || '/' END || split_part(module, '.', 1) || '.py' AS cand
+            FROM mst WHERE NOT is_relative AND src_dir <> tgt_dir) x
+      LEFT JOIN moves o ON o.repo_id = x.repo_id AND o.source = x.cand
+      WHERE EXISTS (SELECT 1 FROM inv r WHERE r.repo_id = x.repo_id AND r.relative_path = x.cand)) y
+WHERE o_target IS NULL OR {_parent_sql('o_target')} <> tgt_dir""")
+_WCOLS = f"""repo_id, CAST(move_ord AS BIGINT) AS move_ord, source, CAST(stmt_no AS BIGINT) AS stmt_no, kind,
+  CAST(line_number AS BIGINT) AS line_number, {_itext} AS import_text, reason, affected"""
+L["warnings"] = (["w_rel", "w_sib"], f"""
+SELECT {_WCOLS} FROM w_rel UNION ALL SELECT {_WCOLS} FROM w_sib""")
+
+_o("J5_relative_import_risk", ["w_rel"], f"SELECT {_WCOLS} FROM w_rel")
+_o("J6_sibling_import_risk", ["w_sib"], f"SELECT {_WCOLS} FROM w_sib")
+_o("J7_import_warnings", ["warnings"], "SELECT * FROM warnings")
+_o("J12_affected_existing", ["mst", "inv", "moves"], """
+SELECT repo_id, CAST(move_ord AS BIGINT) AS move_ord, CAST(stmt_no AS BIGINT) AS stmt_no, cand AS candidate,
+  EXISTS (SELECT 1 FROM inv r WHERE r.repo_id = x.repo_id AND r.relative_path = x.cand) AS on_disk,
+  EXISTS (SELECT 1 FROM moves o WHERE o.repo_id = x.repo_id AND o.source = x.cand) AS is_moving
+FROM (SELECT *, CASE WHEN src_dir = '.' THEN '' ELSE src_dir || '/' END || split_part(module, '.', 1) || '.py' AS cand
+      FROM mst WHERE is_relative AND src_dir <> tgt_dir AND module <> '') x""")
+_o("P17_import_text", ["ostmts"], f"""
+SELECT repo_id, relative_path, CAST(stmt_no AS BIGINT) AS stmt_no, {_itext} AS import_text FROM ostmts""")
+_o("P18_import_warning_text", ["warnings"], """
+SELECT repo_id, move_ord, stmt_no, source,
+  concat_ws(chr(10), '[!] Import Risk in ' || source || ':', '    Line ' || CAST(line_number AS VARCHAR) || ': ' || import_text,
+            '    Risk: ' || reason, CASE WHEN affected <> '' THEN '    Affected: ' || affected END) AS text
+FROM warnings""")
+_o("A18_warning_counts", ["repo_list", "warnings"], """
+SELECT r.repo_id, CAST(coalesce(w.n, 0) AS BIGINT) AS import_warnings_count
+FROM repo_list r LEFT JOIN (SELECT repo_id, count(*) AS n FROM warnings GROUP BY repo_id) w USING (repo_id)""")
+
+
+# ---------------------------------------------------------------- git
+L["unc"] = (["git_status", "repos"], """
+SELECT s.repo_id, s.line_no, substring(s.line, 1, 2) AS status, trim(substring(s.line, 4)) AS path
+FROM git_status s JOIN repos r ON r.repo_id = s.repo_id AND r.is_git
+WHERE length(s.line) >= 4 AND trim(substring(s.line, 1, 2)) <> ''""")
+L["tmoves"] = (["moves", "repos", "git_tracked"], """
+SELECT m.* FROM moves m
+WHERE EXISTS (SELECT 1 FROM repos r WHERE r.repo_id = m.repo_id AND r.is_git)
+  AND EXISTS (SELECT 1 FROM git_tracked g WHERE g.repo_id = m.repo_id AND g.relative_path = m.source)""")
+_o("P20_parse_git_status", ["unc"], "SELECT repo_id, line_no, status, path FROM unc")
+_o("J8_tracked_moves", ["tmoves"], "SELECT repo_id, CAST(ord AS BIGINT) AS ord, source, target FROM tmoves")
+_o("A15_git_warnings", ["unc", "tmoves"], """
+SELECT repo_id, 'uncommitted' AS warning_type, 'Uncommitted changes detected' AS message,
+       array_to_string(list(path ORDER BY line_no)[1:5], '|') AS details, count(*) AS total
+FROM unc GROUP BY repo_id
+UNION ALL
+SELECT repo_id, 'tracked_files', CAST(count(*) AS VARCHAR) || ' files to move are Git-tracked',
+       array_to_string(list(source ORDER BY phase, ord)[1:5], '|'), count(*)
+FROM tmoves GROUP BY repo_id""")
+
+# ---------------------------------------------------------------- confidence
+L["conf_in"] = (["repo_types", "classified", "moves", "warnings"], """
+SELECT t.repo_id, t.repo_type,
+  coalesce((SELECT count(*) FILTER (WHERE has_tests) FROM classified c WHERE c.repo_id = t.repo_id), 0) > 0 AS has_tests,
+  (SELECT count(*) FROM moves m WHERE m.repo_id = t.repo_id) AS mv,
+  (SELECT count(*) FROM moves m WHERE m.repo_id = t.repo_id AND m.risk = 'high') AS hi,
+  (SELECT count(*) FROM moves m WHERE m.repo_id = t.repo_id AND m.risk = 'medium') AS me,
+  (SELECT count(*) FROM moves m WHERE m.repo_id = t.repo_id AND m.risk = 'low') AS lo,
+  (SELECT count(*) FROM warnings w WHERE w.repo_id = t.repo_id) AS w,
+  true AS is_dry_run
+FROM repo_types t""")
+L["conf"] = (["conf_in"], """
+SELECT *,
+  100 - (CASE WHEN repo_type = 'non_python' THEN 30 ELSE 0 END) - 20 * least(hi, 3)
+      - (CASE WHEN me > 5 THEN 15 ELSE 0 END) - 10 * least(w, 3)
+      - (CASE WHEN NOT has_tests AND mv > 0 THEN 10 ELSE 0 END) + (CASE WHEN is_dry_run THEN 5 ELSE 0 END)
+      - (CASE WHEN mv > 20 THEN 15 ELSE 0 END) AS score
+FROM conf_in""")
+L["conf2"] = (["conf"], f"""
+SELECT *, CASE WHEN score >= 70 THEN 'HIGH' WHEN score >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_level,
+  concat_ws('|',
+    CASE WHEN repo_type = 'python_dominant' THEN 'Python-dominant repository'
+         WHEN repo_type <> 'non_python' THEN repo_type || ' repository' END,
+    CASE WHEN has_tests THEN 'Tests detected (easier to validate changes)' END,
+    CASE WHEN mv = 0 THEN 'No structural changes proposed'
+         WHEN mv <= 5 THEN 'Small number of changes (' || CAST(mv AS VARCHAR) || ' moves)' END,
+    CASE WHEN lo > 0 AND hi = 0 AND me = 0 THEN 'All moves are low-risk (' || CAST(lo AS VARCHAR) || ' moves)' END,
+    CASE WHEN w = 0 AND mv > 0 THEN 'No import breakage warnings' END,
+    CASE WHEN is_dry_run THEN 'Dry-run mode (simulation only)' END) AS positive_factors,
+  concat_ws('|',
+    CASE WHEN repo_type = 'non_python' THEN 'Non-Python repository (higher risk)' END,
+    CASE WHEN NOT has_tests AND mv > 0 THEN 'No tests detected (harder to validate)' END,
+    CASE WHEN mv > 15 THEN 'Large number of changes (' || CAST(mv AS VARCHAR) || ' moves)'
+         WHEN mv > 5 THEN 'Moderate number of changes (' || CAST(mv AS VARCHAR) || ' moves)' END,
+    CASE WHEN hi > 0 THEN CAST(hi AS VARCHAR) || ' high-risk moves' END,
+    CASE WHEN me > 0 THEN CAST(me AS VARCHAR) || ' medium-risk moves' END,
+    CASE WHEN w > 0 THEN CAST(w AS VARCHAR) || ' potential import breakage(s)' END) AS risk_factors
+FROM conf""")
+_interp = "CASE confidence_level " + " ".join(f"WHEN {_q(l)} THEN {_q(x)}" for l, x in K.INTERPRETATIONS) + " END"
+_o("A13_confidence", ["conf2"], """
+SELECT repo_id, confidence_level, CAST(score AS BIGINT) AS score, CAST(mv AS BIGINT) AS move_count,
+  CAST(hi AS BIGINT) AS high_risk_count, CAST(me AS BIGINT) AS medium_risk_count, CAST(lo AS BIGINT) AS low_risk_count,
+  CAST(w AS BIGINT) AS import_warnings_count, has_tests, is_dry_run FROM conf2""")
+_o("A14_confidence_factors", ["conf2"], "SELECT repo_id, positive_factors, risk_factors FROM conf2")
+_o("P21_interpretation", ["conf2"], f"SELECT repo_id, confidence_level, {_interp} AS interpretation FROM conf2")
+
+
+# ---------------------------------------------------------------- preview
+L["affected"] = (["props"], "SELECT DISTINCT repo_id, source AS path FROM props WHERE action IN ('move', 'flag')")
+L["after"] = (["affected", "moves"], """
+SELECT a.repo_id, a.path AS source, coalesce(m.target, a.path) AS path
+FROM affected a LEFT JOIN moves m ON m.repo_id = a.repo_id AND m.source = a.path""")
+L["cut"] = (["affected", "after"], """
+SELECT repo_id, side, CAST(pos AS BIGINT) AS pos, path, affected_total FROM (
+  SELECT repo_id, side, path, row_number() OVER (PARTITION BY repo_id, side ORDER BY string_split(path, '/'), tie) AS pos,
+         count(*) OVER (PARTITION BY repo_id, side) AS n
+  FROM (SELECT repo_id, 'before' AS side, path, path AS tie FROM affected
+        UNION ALL SELECT repo_id, 'after', path, source FROM after)) x
+JOIN (SELECT repo_id, count(*) AS affected_total FROM affected GROUP BY repo_id) t USING (repo_id)
+WHERE pos <= 50""")
+# tree nodes: prefixes of the cut paths; a node is a file iff it is one of the paths
+L["tnodes0"] = (["cut"], """
+SELECT DISTINCT repo_id, side, array_to_string(string_split(path, '/')[1:k], '/') AS node, k AS depth,
+       string_split(path, '/')[k] AS name,
+       array_to_string(string_split(path, '/')[1:k - 1], '/') AS parent
+FROM (SELECT *, unnest(range(1, len(string_split(path, '/')) + 1)) AS k FROM cut)""")
+L["tnodes"] = (["tnodes0", "cut"], """
+SELECT n.*, EXISTS (SELECT 1 FROM cut c WHERE c.repo_id = n.repo_id AND c.side = n.side AND c.path = n.node) AS is_file
+FROM tnodes0 n
+WHERE NOT EXISTS (SELECT 1 FROM cut c WHERE c.repo_id = n.repo_id AND c.side = n.side
+                  AND starts_with(n.node, c.path || '/'))""")
+L["tlines0"] = (["tnodes"], """
+SELECT *, row_number() OVER (PARTITION BY repo_id, side, parent ORDER BY is_file DESC, name DESC) = 1 AS is_last
+FROM tnodes""")
+L["tlines"] = (["tlines0"], """
+SELECT t.*,
+  coalesce((SELECT string_agg(CASE WHEN a.is_last THEN '    ' ELSE '│   ' END, '' ORDER BY a.depth)
+            FROM tlines0 a WHERE a.repo_id = t.repo_id AND a.side = t.side AND a.depth < t.depth
+              AND starts_with(t.node, a.node || '/')), '')
+  || CASE WHEN is_last THEN '└── ' ELSE '├── ' END || name || CASE WHEN is_file THEN '' ELSE '/' END AS text,
+  row_number() OVER (PARTITION BY repo_id, side ORDER BY
+     list_transform(string_split(node, '/'), lambda x, i: {'f': i = depth AND is_file, 'n': x})) AS line_no
+FROM tlines0 t""")
+
+_o("U2_affected_files", ["affected"], "SELECT repo_id, path FROM affected")
+_o("J9_after_state", ["after"], "SELECT repo_id, source, path FROM after")
+_o("L2_limit_affected", ["cut"], "SELECT * FROM cut")
+_o("T1_tree_nodes", ["tnodes"], "SELECT repo_id, side, node, parent, CAST(depth AS BIGINT) AS depth, is_file FROM tnodes")
+_o("T2_tree_lines", ["tlines"], "SELECT repo_id, side, CAST(line_no AS BIGINT) AS line_no, node, is_last, text FROM tlines")
+_o("W4_last_sibling", ["tlines0"], "SELECT repo_id, side, node, is_last FROM tlines0")
+ORACLE["T3_tree_diff"] = layers("tlines", "moves") + """
+, heads AS (SELECT DISTINCT repo_id, side, affected_total FROM cut WHERE repo_id IN (SELECT repo_id FROM moves))
+SELECT repo_id, side, CAST(0 AS BIGINT) AS line_no, '.' AS text FROM heads
+UNION ALL SELECT repo_id, side, CAST(line_no AS BIGINT), text FROM tlines WHERE repo_id IN (SELECT repo_id FROM moves)
+UNION ALL SELECT repo_id, side, CAST(1000000000 AS BIGINT), '... showing 50 of ' || CAST(affected_total AS VARCHAR) || ' affected files'
+FROM heads WHERE affected_total > 50"""
+L["newdirs"] = (["moves"], """
+SELECT DISTINCT repo_id, array_to_string(string_split(target, '/')[1:k], '/') AS directory
+FROM (SELECT repo_id, target, unnest(range(1, len(string_split(target, '/')))) AS k FROM moves)""")
+_o("A12_new_directories", ["newdirs"], "SELECT * FROM newdirs")
+_o("A11_impact_summary", ["repo_list", "props", "newdirs"], """
+SELECT r.repo_id,
+  CAST((SELECT count(*) FROM props p WHERE p.repo_id = r.repo_id AND action = 'move') AS BIGINT) AS total_moves,
+  CAST((SELECT count(*) FROM props p WHERE p.repo_id = r.repo_id AND action = 'flag') AS BIGINT) AS total_flags,
+  CAST((SELECT count(*) FROM props p WHERE p.repo_id = r.repo_id AND action = 'move' AND risk = 'high') AS BIGINT) AS high,
+  CAST((SELECT count(*) FROM props p WHERE p.repo_id = r.repo_id AND action = 'move' AND risk = 'medium') AS BIGINT) AS medium,
+  CAST((SELECT count(*) FROM props p WHERE p.repo_id = r.repo_id AND action = 'move' AND risk = 'low') AS BIGINT) AS low,
+  CAST((SELECT count(*) FROM props p WHERE p.repo_id = r.repo_id AND action = 'flag' AND contains(reason, 'Duplicate filename:')) AS BIGINT) AS duplicate_groups,
+  CAST((SELECT count(*) FROM newdirs d WHERE d.repo_id = r.repo_id) AS BIGINT) AS new_directories
+FROM repo_list r""")
+_o("L3_first_k_lists", ["newdirs"], """
+SELECT repo_id, CAST(count(*) AS BIGINT) AS new_directories,
+  array_to_string(list(directory ORDER BY directory)[1:5], ', ')
+  || CASE WHEN count(*) > 5 THEN ' (+' || CAST(count(*) - 5 AS VARCHAR) || ' more)' ELSE '' END AS preview
+FROM newdirs GROUP BY repo_id""")

@@ -5,7 +5,8 @@ A repository can hold a third of all rows, so a plain
 third in one task. ``number_within`` numbers rows by range-partitioning on the
 full sort key (which splits a hot repository across many tasks), numbering
 inside each range slice, and adding the count of the repository's rows in all
-earlier slices (a table with one row per slice and repository).
+earlier slices (a table with one row per slice and repository). The sliced
+rows are checkpointed once so that numbering and counting see the same cut.
 
 ``first_k`` keeps the first ``k`` rows per group with ``row_number <= k``:
 Spark plans a partial ``WindowGroupLimit`` before the shuffle, so each map task
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeline.session import checkpoint_dir
+
 
 def number_within(df: DataFrame, keys: list[str], order: list[Column | str],
                   name: str = "n", slices: int | None = None) -> DataFrame:
@@ -24,8 +27,13 @@ def number_within(df: DataFrame, keys: list[str], order: list[Column | str],
     spark = df.sparkSession
     slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    # The range bounds come from a sample, so a recomputation may cut the
+    # slices differently; a reliable checkpoint (shared folder named by
+    # spark.checkpoint.dir) fixes one cut for both branches below.
+    checkpoint_dir(spark)
     ranged = (df.repartitionByRange(slices, *[F.col(k) for k in keys], *order_cols)
-              .withColumn("_slice", F.spark_partition_id()))
+              .withColumn("_slice", F.spark_partition_id())
+              .checkpoint(eager=True))
     w_local = Window.partitionBy("_slice", *keys).orderBy(*order_cols)
     local = ranged.withColumn("_local", F.row_number().over(w_local))
     per_slice = ranged.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_cnt"))

@@ -329,3 +329,218 @@ def f4(t: Tables) -> DataFrame:
 @query("F5_by_risk")
 def f5(t: Tables) -> DataFrame:
     return PR.flat(t.proposals.filter(F.col("risk") == "high"))
+
+
+# -------------------------------------------------------------------- reports
+from treeline.operators import reports as RE  # noqa: E402
+
+
+@query("P16_display_group")
+def p16(t: Tables) -> DataFrame:
+    p = RE.with_display_group(t.proposals)
+    return p.select("repo_id", "phase", F.col("ord").cast("bigint").alias("ord"), "source",
+                    "display_group", F.col("group_rank").cast("bigint").alias("group_rank"))
+
+
+@query("W1_proposal_numbers")
+def w1(t: Tables) -> DataFrame:
+    n = RE.proposal_numbers(t.proposals)
+    return n.select("repo_id", "phase", F.col("ord").cast("bigint").alias("ord"), "display_group",
+                    "number")
+
+
+@query("A9_proposal_rollup")
+def a9(t: Tables) -> DataFrame:
+    return RE.proposal_rollup(t.proposals)
+
+
+@query("A10_proposals_document")
+def a10(t: Tables) -> DataFrame:
+    return RE.proposals_document(t.proposals)
+
+
+@query("S3_write_proposals")
+def s3(t: Tables) -> DataFrame:
+    return RE.proposal_records(t.proposals).withColumn("ord", F.col("ord").cast("bigint"))
+
+
+@query("P19_proposal_text")
+def p19(t: Tables) -> DataFrame:
+    return RE.proposal_text(t.proposals).withColumn("ord", F.col("ord").cast("bigint"))
+
+
+# -------------------------------------------------------------------- imports
+from treeline.operators import imports as IM  # noqa: E402
+
+
+def _warn_cols(w: DataFrame) -> DataFrame:
+    return w.select("repo_id", F.col("move_ord").cast("bigint").alias("move_ord"), "source",
+                    F.col("stmt_no").cast("bigint").alias("stmt_no"), "kind",
+                    F.col("line_number").cast("bigint").alias("line_number"),
+                    R.import_text(F.col("module"), F.col("is_relative"), F.col("level"),
+                                  F.col("names")).alias("import_text"),
+                    "reason", _bar("affected").alias("affected"))
+
+
+def _moved_st(t: Tables) -> DataFrame:
+    return IM.moved_statements(t.moves, t.files)
+
+
+@query("J5_relative_import_risk")
+def j5(t: Tables) -> DataFrame:
+    return _warn_cols(IM.relative_import_risk(_moved_st(t), t.moves, t.raw))
+
+
+@query("J6_sibling_import_risk")
+def j6(t: Tables) -> DataFrame:
+    return _warn_cols(IM.sibling_import_risk(_moved_st(t), t.moves, t.raw))
+
+
+@query("J7_import_warnings")
+def j7(t: Tables) -> DataFrame:
+    return _warn_cols(IM.import_warnings(t.moves, t.files, t.raw))
+
+
+@query("J12_affected_existing")
+def j12(t: Tables) -> DataFrame:
+    """Lookup behind J5: candidate file exists on disk or is a move source."""
+    st = _moved_st(t).filter(F.col("is_relative") & (F.col("source_dir") != F.col("target_dir"))
+                             & (F.col("module") != ""))
+    cand = IM._join_dir(F.col("source_dir"),
+                        F.concat(F.split(F.col("module"), r"\.")[0], F.lit(".py")))
+    st = st.withColumn("candidate", cand)
+    disk = t.raw.select("repo_id", F.col("relative_path").alias("candidate"),
+                        F.lit(True).alias("on_disk"))
+    mv = t.moves.select("repo_id", F.col("source").alias("candidate"), F.lit(True).alias("is_moving"))
+    j = st.join(disk, ["repo_id", "candidate"], "left").join(mv, ["repo_id", "candidate"], "left")
+    return j.select("repo_id", F.col("move_ord").cast("bigint").alias("move_ord"),
+                    F.col("stmt_no").cast("bigint").alias("stmt_no"), "candidate",
+                    F.coalesce("on_disk", F.lit(False)).alias("on_disk"),
+                    F.coalesce("is_moving", F.lit(False)).alias("is_moving"))
+
+
+@query("P17_import_text")
+def p17(t: Tables) -> DataFrame:
+    s = FA.statements(t.files)
+    return s.select("repo_id", "relative_path", F.col("stmt_no").cast("bigint").alias("stmt_no"),
+                    R.import_text(F.col("module"), F.col("is_relative"), F.col("level"),
+                                  F.col("names")).alias("import_text"))
+
+
+@query("P18_import_warning_text")
+def p18(t: Tables) -> DataFrame:
+    w = IM.warning_text(IM.import_warnings(t.moves, t.files, t.raw))
+    return w.select("repo_id", F.col("move_ord").cast("bigint").alias("move_ord"),
+                    F.col("stmt_no").cast("bigint").alias("stmt_no"), "source", "text")
+
+
+@query("A18_warning_counts")
+def a18(t: Tables) -> DataFrame:
+    return IM.warning_counts(IM.import_warnings(t.moves, t.files, t.raw), RP.repo_ids(t.raw))
+
+
+# ------------------------------------------------------------ git, confidence
+from treeline.operators import confidence as CF  # noqa: E402
+from treeline.operators import gitinfo as GI  # noqa: E402
+
+
+@query("P20_parse_git_status")
+def p20(t: Tables) -> DataFrame:
+    return GI.parse_git_status(t.git_status, t.repos)
+
+
+@query("J8_tracked_moves")
+def j8(t: Tables) -> DataFrame:
+    m = GI.tracked_moves(t.moves, t.git_tracked, t.repos)
+    return m.select("repo_id", F.col("ord").cast("bigint").alias("ord"), "source", "target")
+
+
+@query("A15_git_warnings")
+def a15(t: Tables) -> DataFrame:
+    g = GI.git_warnings(t.moves, t.git_status, t.git_tracked, t.repos)
+    return g.withColumn("details", _bar("details"))
+
+
+def _confidence(t: Tables) -> DataFrame:
+    warn = IM.warning_counts(IM.import_warnings(t.moves, t.files, t.raw), RP.repo_ids(t.raw))
+    return CF.confidence(t.types, RP.repo_summary(t.files), t.proposals, warn, is_dry_run=True)
+
+
+@query("A13_confidence")
+def a13(t: Tables) -> DataFrame:
+    return _confidence(t).drop("positive_factors", "risk_factors", "interpretation")
+
+
+@query("A14_confidence_factors")
+def a14(t: Tables) -> DataFrame:
+    c = _confidence(t)
+    return c.select("repo_id", _bar("positive_factors").alias("positive_factors"),
+                    _bar("risk_factors").alias("risk_factors"))
+
+
+@query("P21_interpretation")
+def p21(t: Tables) -> DataFrame:
+    return _confidence(t).select("repo_id", "confidence_level", "interpretation")
+
+
+# -------------------------------------------------------------------- preview
+from treeline.operators import preview as PV  # noqa: E402
+
+
+@query("U2_affected_files")
+def u2(t: Tables) -> DataFrame:
+    return PV.affected_files(t.proposals)
+
+
+@query("J9_after_state")
+def j9(t: Tables) -> DataFrame:
+    return PV.after_state(t.proposals)
+
+
+@query("L2_limit_affected")
+def l2(t: Tables) -> DataFrame:
+    return PV.limit_affected(t.proposals)
+
+
+@query("T1_tree_nodes")
+def t1(t: Tables) -> DataFrame:
+    cut = PV.limit_affected(t.proposals)
+    n = PV.tree_nodes(cut.select("repo_id", "side", "path"), ["repo_id", "side"])
+    return n.select("repo_id", "side", "node", "parent", F.col("depth").cast("bigint").alias("depth"),
+                    "is_file")
+
+
+@query("T2_tree_lines")
+def t2(t: Tables) -> DataFrame:
+    cut = PV.limit_affected(t.proposals)
+    keys = ["repo_id", "side"]
+    return PV.tree_lines(PV.tree_nodes(cut.select(*keys, "path"), keys), keys).select(
+        "repo_id", "side", "line_no", "node", "is_last", "text")
+
+
+@query("W4_last_sibling")
+def w4(t: Tables) -> DataFrame:
+    cut = PV.limit_affected(t.proposals)
+    keys = ["repo_id", "side"]
+    return PV.tree_lines(PV.tree_nodes(cut.select(*keys, "path"), keys), keys).select(
+        "repo_id", "side", "node", "is_last")
+
+
+@query("T3_tree_diff")
+def t3(t: Tables) -> DataFrame:
+    return PV.tree_diff(t.proposals)
+
+
+@query("A11_impact_summary")
+def a11(t: Tables) -> DataFrame:
+    return PV.impact_summary(t.proposals, RP.repo_ids(t.raw))
+
+
+@query("A12_new_directories")
+def a12(t: Tables) -> DataFrame:
+    return PV.new_directories(t.proposals)
+
+
+@query("L3_first_k_lists")
+def l3(t: Tables) -> DataFrame:
+    return PV.new_directories_preview(t.proposals)
