@@ -1,36 +1,41 @@
 """Inputs of the entry points, built once per run from a table folder.
 
-``Tables`` derives the inventory fixtures from the driver's tables and caches
-the shared intermediate tables (``files`` is read by six or more branches, so
-it is persisted; persistence keeps lineage, so a lost executor recomputes its
-partitions).
+``Tables`` derives the inventory fixtures from the driver's tables and cuts
+lineage at the shared intermediate tables: ``files`` (read by six or more
+branches, and the only table behind a Python job), ``types`` and
+``proposals`` are written once with a reliable ``checkpoint()`` into the shared
+folder named by ``spark.checkpoint.dir``. Downstream plans then start from
+those files, stay small, and a lost executor re-reads instead of re-parsing.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from treeline.operators import files as FL
 from treeline.operators import proposals as PR
 from treeline.operators import repo as RP
+from treeline.session import checkpoint_dir
 from treeline.sources import fixtures as fx
 
 
 class Tables:
-    def __init__(self, spark: SparkSession, sf_dir: str, persist: bool = True):
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
-        self._persist = persist
+        self._materialize = materialize
 
     def _keep(self, df: DataFrame) -> DataFrame:
-        return df.persist(StorageLevel.MEMORY_AND_DISK) if self._persist else df
+        if not self._materialize:
+            return df
+        checkpoint_dir(self.spark)
+        return df.checkpoint(eager=True)
 
     @cached_property
     def raw(self) -> DataFrame:
-        return self._keep(fx.raw_files(self.spark, self.sf_dir))
+        return fx.raw_files(self.spark, self.sf_dir)
 
     @cached_property
     def files(self) -> DataFrame:
