@@ -740,3 +740,96 @@ SELECT repo_id, CAST(count(*) AS BIGINT) AS new_directories,
   array_to_string(list(directory ORDER BY directory)[1:5], ', ')
   || CASE WHEN count(*) > 5 THEN ' (+' || CAST(count(*) - 5 AS VARCHAR) || ' more)' ELSE '' END AS preview
 FROM newdirs GROUP BY repo_id""")
+
+
+# ---------------------------------------------------------------- apply
+L["approved"] = (["moves", "decisions"], """
+SELECT m.*, coalesce(lower(trim(d.decision)), 'n') AS decision,
+       coalesce(lower(trim(d.decision)), 'n') IN ('y', 'yes') AS approved
+FROM moves m LEFT JOIN decisions d ON d.repo_id = m.repo_id AND d.source = m.source""")
+L["inv_dirs"] = (["inv"], """
+SELECT DISTINCT repo_id, array_to_string(string_split(relative_path, '/')[1:k], '/') AS path
+FROM (SELECT repo_id, relative_path, unnest(range(1, len(string_split(relative_path, '/')))) AS k FROM inv)""")
+L["dry"] = (["approved", "inv", "inv_dirs"], f"""
+SELECT repo_id, ord, action, source, target, err IS NULL AS success, false AS skipped,
+  CASE WHEN err IS NULL THEN '[DRY-RUN] Would move ' || source || ' -> ' || target ELSE 'Validation failed: ' || err END AS message
+FROM (
+ SELECT a.*, CASE
+   WHEN source IS NULL THEN 'Source path is None'
+   WHEN target IS NULL THEN 'Target path is None'
+   WHEN NOT EXISTS (SELECT 1 FROM inv i WHERE i.repo_id = a.repo_id AND i.relative_path = a.source)
+    AND NOT EXISTS (SELECT 1 FROM inv_dirs d WHERE d.repo_id = a.repo_id AND d.path = a.source)
+     THEN 'Source file does not exist: ' || repo_id || '/' || source
+   WHEN NOT EXISTS (SELECT 1 FROM inv i WHERE i.repo_id = a.repo_id AND i.relative_path = a.source)
+     THEN 'Source is not a file: ' || repo_id || '/' || source
+   WHEN EXISTS (SELECT 1 FROM inv i WHERE i.repo_id = a.repo_id AND i.relative_path = a.target)
+     OR EXISTS (SELECT 1 FROM inv_dirs d WHERE d.repo_id = a.repo_id AND d.path = a.target)
+     THEN 'Target already exists (conflict): ' || repo_id || '/' || target
+   WHEN contains(target, '/')
+     AND EXISTS (SELECT 1 FROM inv i WHERE i.repo_id = a.repo_id AND i.relative_path = {_parent_sql('a.target')})
+     AND NOT EXISTS (SELECT 1 FROM inv_dirs d WHERE d.repo_id = a.repo_id AND d.path = {_parent_sql('a.target')})
+     THEN 'Target parent exists but is not a directory: ' || repo_id || '/' || {_parent_sql('a.target')}
+   END AS err
+ FROM approved a WHERE approved) x""")
+_RCOLS = "repo_id, CAST(ord AS BIGINT) AS ord, action, source, target, success, skipped, message"
+_o("J11_with_decisions", ["approved"],
+   "SELECT repo_id, CAST(ord AS BIGINT) AS ord, source, decision, approved FROM approved")
+_o("J10_validate_moves", ["dry"], f"SELECT {_RCOLS} FROM dry")
+_o("P22_result_message", ["dry", "props"], f"""
+SELECT {_RCOLS} FROM dry
+UNION ALL SELECT repo_id, CAST(ord AS BIGINT), action, source, target, false, true,
+  'Unsupported action: ' || action || ' (only MOVE supported in V2.1)' FROM props WHERE action <> 'move'""")
+_o("A16_execution_summary", ["dry"], """
+SELECT repo_id, count(*) AS total, count(*) FILTER (WHERE success) AS successful,
+       count(*) FILTER (WHERE NOT success AND NOT skipped) AS failed, count(*) FILTER (WHERE skipped) AS skipped
+FROM dry GROUP BY repo_id""")
+
+# ---------------------------------------------------------------- history
+L["undo"] = (["history"], """
+SELECT * FROM history WHERE upper(action) = 'MOVE' AND success IS TRUE AND skipped IS NOT TRUE""")
+L["undo_n"] = (["undo"], """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY seq DESC) AS undo_rank FROM undo)
+WHERE undo_rank <= 10""")
+L["hf_dirs"] = (["history_files"], """
+SELECT DISTINCT repo_id, array_to_string(string_split(relative_path, '/')[1:k], '/') AS path
+FROM (SELECT repo_id, relative_path, unnest(range(1, len(string_split(relative_path, '/')))) AS k FROM history_files)""")
+
+
+def _rb_dry(src: str) -> str:
+    return f"""
+SELECT * EXCLUDE (success), ok_t AND ok_s AS success,
+  CASE WHEN NOT ok_t THEN 'Rollback validation failed: Target file does not exist: ' || repo_id || '/' || target
+       WHEN NOT ok_s THEN 'Rollback validation failed: Source location already exists (conflict): ' || repo_id || '/' || source
+       ELSE '[DRY-RUN] Would rollback ' || target || ' -> ' || source END AS message
+FROM (SELECT u.*,
+  EXISTS (SELECT 1 FROM history_files f WHERE f.repo_id = u.repo_id AND f.relative_path = u.target)
+   OR EXISTS (SELECT 1 FROM hf_dirs d WHERE d.repo_id = u.repo_id AND d.path = u.target) AS ok_t,
+  NOT (EXISTS (SELECT 1 FROM history_files f WHERE f.repo_id = u.repo_id AND f.relative_path = u.source)
+   OR EXISTS (SELECT 1 FROM hf_dirs d WHERE d.repo_id = u.repo_id AND d.path = u.source)) AS ok_s
+ FROM {src} u)"""
+
+
+L["rb_all"] = (["undo", "history_files", "hf_dirs"], _rb_dry("undo"))
+L["rb_n"] = (["undo_n", "history_files", "hf_dirs"], _rb_dry("undo_n"))
+
+
+def _cut(src: str) -> str:
+    return f"""
+SELECT repo_id, CAST(seq AS BIGINT) AS undone_seq, target AS source, source AS target, success, message, 'high' AS risk
+FROM {src} r WHERE seq >= coalesce((SELECT max(seq) FROM {src} x WHERE x.repo_id = r.repo_id AND NOT x.success), -1)"""
+
+
+_o("S4_append_history", ["history"], """
+SELECT * FROM history UNION ALL SELECT * FROM history WHERE action = 'ROLLBACK'""")
+_o("S5_read_history", ["history"], "SELECT * FROM history")
+_o("F12_undoable", ["undo"], "SELECT repo_id, seq, action, source, target FROM undo")
+_o("W2_last_moves", ["undo_n"], "SELECT repo_id, seq, CAST(undo_rank AS BIGINT) AS undo_rank, source, target FROM undo_n")
+_o("W3_fail_fast", ["rb_all"], _cut("rb_all"))
+_o("G2_rollback_dry_run", ["rb_n"], _cut("rb_n"))
+_o("W5_recent_history", ["history"], """
+SELECT repo_id, seq, CAST(position AS BIGINT) AS position, action, source, total_entries FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY seq DESC) AS position,
+         count(*) OVER (PARTITION BY repo_id) AS total_entries FROM history) WHERE position <= 20""")
+ORACLE["A17_rollback_summary"] = layers("rb_n") + f"""
+SELECT repo_id, count(*) AS total, count(*) FILTER (WHERE success) AS successful,
+       count(*) FILTER (WHERE NOT success) AS failed FROM ({_cut('rb_n')}) GROUP BY repo_id"""

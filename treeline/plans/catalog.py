@@ -544,3 +544,120 @@ def a12(t: Tables) -> DataFrame:
 @query("L3_first_k_lists")
 def l3(t: Tables) -> DataFrame:
     return PV.new_directories_preview(t.proposals)
+
+
+# ---------------------------------------------------------- apply / rollback
+import uuid  # noqa: E402
+
+from treeline.operators import history as HI  # noqa: E402
+from treeline.operators import moves as MV  # noqa: E402
+from treeline.session import checkpoint_dir  # noqa: E402
+
+ROLLBACK_N = 10
+
+
+def _approved(t: Tables) -> DataFrame:
+    return MV.with_decisions(t.moves, t.decisions)
+
+
+def _result_cols(r: DataFrame) -> DataFrame:
+    return r.select("repo_id", F.col("ord").cast("bigint").alias("ord"), "action", "source", "target",
+                    "success", "skipped", "message")
+
+
+@query("J11_with_decisions")
+def j11(t: Tables) -> DataFrame:
+    return _approved(t).select("repo_id", F.col("ord").cast("bigint").alias("ord"), "source",
+                               "decision", "approved")
+
+
+@query("J10_validate_moves")
+def j10(t: Tables) -> DataFrame:
+    return _result_cols(MV.validate_moves(_approved(t), t.raw))
+
+
+@query("P22_result_message")
+def p22(t: Tables) -> DataFrame:
+    dry = MV.validate_moves(_approved(t), t.raw)
+    return _result_cols(dry.unionByName(MV.unsupported_results(t.proposals)))
+
+
+@query("A16_execution_summary")
+def a16(t: Tables) -> DataFrame:
+    return MV.execution_summary(MV.validate_moves(_approved(t), t.raw))
+
+
+@query("G1_apply_moves")
+def g1(t: Tables) -> DataFrame:
+    """Sequential real run (rows-only check; brute-force test in tests/)."""
+    return _result_cols(MV.apply_moves(_approved(t), t.raw))
+
+
+@query("G1_new_inventory")
+def g1n(t: Tables) -> DataFrame:
+    res = MV.apply_moves(_approved(t), t.raw)
+    return MV.new_inventory(t.raw, res).select("repo_id", "file_seq", "relative_path")
+
+
+def _scratch(t: Tables, name: str) -> str:
+    return f"{checkpoint_dir(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("S4_append_history")
+def s4(t: Tables) -> DataFrame:
+    """Append the history, then append the rollback entries again; both stay."""
+    path = _scratch(t, "history")
+    h = t.history.withColumn("message", F.lit(None).cast("string"))
+    INV.append_history(h, path)
+    INV.append_history(h.filter(F.col("action") == "ROLLBACK"), path)
+    return INV.read_history(t.spark, path).drop("message")
+
+
+@query("S5_read_history")
+def s5(t: Tables) -> DataFrame:
+    path = _scratch(t, "history")
+    INV.append_history(t.history.withColumn("message", F.lit(None).cast("string")), path)
+    return INV.read_history(t.spark, path).drop("message")
+
+
+@query("F12_undoable")
+def f12(t: Tables) -> DataFrame:
+    return HI.undoable(t.history).select("repo_id", "seq", "action", "source", "target")
+
+
+@query("W2_last_moves")
+def w2(t: Tables) -> DataFrame:
+    return HI.last_moves(t.history, ROLLBACK_N).select("repo_id", "seq", "undo_rank", "source",
+                                                        "target")
+
+
+def _rb_cols(r: DataFrame) -> DataFrame:
+    return r.select("repo_id", F.col("undone_seq").cast("bigint").alias("undone_seq"), "source",
+                    "target", "success", "message", "risk")
+
+
+@query("W3_fail_fast")
+def w3(t: Tables) -> DataFrame:
+    return _rb_cols(HI.rollback_dry_run(t.history, t.history_files, None))
+
+
+@query("G2_rollback_dry_run")
+def g2d(t: Tables) -> DataFrame:
+    return _rb_cols(HI.rollback_dry_run(t.history, t.history_files, ROLLBACK_N))
+
+
+@query("G2_rollback")
+def g2(t: Tables) -> DataFrame:
+    """Sequential real rollback (rows-only check; brute-force test in tests/)."""
+    return _rb_cols(HI.rollback(t.history, t.history_files, ROLLBACK_N))
+
+
+@query("W5_recent_history")
+def w5(t: Tables) -> DataFrame:
+    return HI.recent_history(t.history).select("repo_id", "seq", "position", "action", "source",
+                                               "total_entries")
+
+
+@query("A17_rollback_summary")
+def a17(t: Tables) -> DataFrame:
+    return HI.rollback_summary(HI.rollback_dry_run(t.history, t.history_files, ROLLBACK_N))
