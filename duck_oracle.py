@@ -833,3 +833,7 @@ SELECT repo_id, seq, CAST(position AS BIGINT) AS position, action, source, total
 ORACLE["A17_rollback_summary"] = layers("rb_n") + f"""
 SELECT repo_id, count(*) AS total, count(*) FILTER (WHERE success) AS successful,
        count(*) FILTER (WHERE NOT success) AS failed FROM ({_cut('rb_n')}) GROUP BY repo_id"""
+
+_o("S1_scan_trees", ["kept"], """
+SELECT repo_id, relative_path, CAST(strlen(content) AS BIGINT) AS size,
+       CASE WHEN ends_with(relative_path, '.py') THEN content END AS content FROM kept""")

@@ -661,3 +661,17 @@ def w5(t: Tables) -> DataFrame:
 @query("A17_rollback_summary")
 def a17(t: Tables) -> DataFrame:
     return HI.rollback_summary(HI.rollback_dry_run(t.history, t.history_files, ROLLBACK_N))
+
+
+# --------------------------------------------------------------- tree source
+from treeline.sources import fixtures as FX  # noqa: E402
+from treeline.sources import trees as TR  # noqa: E402
+
+
+@query("S1_scan_trees")
+def s1(t: Tables) -> DataFrame:
+    """List real folders written from the fixture inventory (ignored paths pruned)."""
+    folder = _scratch(t, "trees")
+    FX.materialize_trees(t.raw, folder)
+    s = TR.scan_trees(t.spark, folder)
+    return s.select("repo_id", "relative_path", "size", "content")

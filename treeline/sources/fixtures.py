@@ -130,3 +130,21 @@ def repos(spark: SparkSession, inv: DataFrame) -> DataFrame:
 
 def decisions(spark: SparkSession, inv: DataFrame) -> DataFrame:
     return _from_inv(spark, DECISIONS_SQL, inv)
+
+
+def materialize_trees(raw: DataFrame, folder: str) -> None:
+    """Write an inventory out as real folders (one per repo_id) for the tree source.
+
+    A Spark job: every task writes its own rows; ``folder`` must be a shared
+    POSIX mount on a cluster, as the tree source reads with the file system.
+    """
+    import os
+
+    def write(rows):
+        for r in rows:
+            full = os.path.join(folder, r["repo_id"], *r["relative_path"].split("/"))
+            os.makedirs(os.path.dirname(full), exist_ok=True)
+            with open(full, "w", encoding="utf-8") as fh:
+                fh.write(r["content"] or "")
+
+    raw.select("repo_id", "relative_path", "content").foreachPartition(write)
