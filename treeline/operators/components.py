@@ -51,11 +51,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:  # labels only decrease, so this ends after at most diameter rounds
         key_label = edges.join(labels, ["repo_id", "node"]).groupBy("repo_id", "key") \
                          .agg(F.min("label").alias("label"))
-        new = edges.join(key_label, ["repo_id", "key"]).groupBy("repo_id", "node") \
-                   .agg(F.min("label").alias("label")).checkpoint(eager=True)
-        changed = new.join(labels.withColumnRenamed("label", "old"), ["repo_id", "node"]) \
-                     .filter(F.col("label") != F.col("old")).limit(1).count()
-        labels = new
-        if changed == 0:
+        new = (edges.join(key_label, ["repo_id", "key"]).groupBy("repo_id", "node")
+               .agg(F.min("label").alias("label"))
+               .join(labels.withColumnRenamed("label", "old"), ["repo_id", "node"])
+               .withColumn("changed", F.col("label") != F.col("old")).drop("old")
+               .checkpoint(eager=True))
+        labels = new.drop("changed")
+        if new.filter("changed").limit(1).count() == 0:
             break
     return labels.withColumnRenamed("label", "component")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treeline.operators.components import components, move_edges
-from treeline.operators.moves import _ancestors_of, path_state
+from treeline.operators.moves import _ancestors_of, path_state, replay_buckets
 from treeline.operators.ordering import first_k
 
 
@@ -96,15 +96,23 @@ ROLLBACK_SCHEMA = T.StructType([
 
 
 def replay_rollback(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Undo one component's entries newest first, each on the tree left so far."""
-    pdf = pdf.sort_values("seq", ascending=False)
+    """Undo each component's entries newest first, each on the tree left so far."""
+    out = []
+    pdf = pdf.sort_values(["repo_id", "component", "seq"], ascending=[True, True, False])
+    for _, comp in pdf.groupby(["repo_id", "component"], sort=False):
+        out.extend(_undo_component(comp))
+    return pd.DataFrame(out, columns=["repo_id", "node", "success", "message"])
+
+
+def _undo_component(pdf: pd.DataFrame) -> list[tuple]:
     state: dict[str, str | None] = {}
-    for r in pdf.itertuples(index=False):
+    rows = list(pdf.itertuples(index=False))
+    for r in rows:
         for p, f, d in ((r.target, r.tgt_file, r.tgt_dir), (r.source, r.src_file, r.src_dir)):
             if p not in state:
                 state[p] = "file" if f else ("dir" if d else None)
     out = []
-    for r in pdf.itertuples(index=False):
+    for r in rows:
         back_from, back_to = r.target, r.source
         if state.get(back_from) is None:
             out.append((r.repo_id, r.seq, False,
@@ -124,7 +132,7 @@ def replay_rollback(pdf: pd.DataFrame) -> pd.DataFrame:
         state[back_from] = None
         state[back_to] = "file"
         out.append((r.repo_id, r.seq, True, f"Rolled back {back_from} -> {back_to}"))
-    return pd.DataFrame(out, columns=["repo_id", "node", "success", "message"])
+    return out
 
 
 def rollback(history: DataFrame, disk: DataFrame, n: int | None) -> DataFrame:
@@ -141,11 +149,10 @@ def rollback(history: DataFrame, disk: DataFrame, n: int | None) -> DataFrame:
     # the undo moves target -> source: mkdir happens below ``source``
     comp = components(move_edges(sel, a="target", b="source"))
     sel = _rollback_states(sel, disk).join(comp, ["repo_id", "node"], "left") \
-        .withColumn("component", F.coalesce("component", F.col("node")))
+        .withColumn("component", F.coalesce("component", F.col("node"))).checkpoint(eager=True)
     cols = ["repo_id", "component", "seq", "source", "target", "tgt_file", "tgt_dir",
             "src_file", "src_dir"]
-    res = sel.select(*cols).groupBy("repo_id", "component").applyInPandas(
-        lambda pdf: replay_rollback(pdf), schema=ROLLBACK_SCHEMA)
+    res = replay_buckets(sel.select(*cols), replay_rollback, ROLLBACK_SCHEMA)
     res = res.withColumnRenamed("node", "seq")
     joined = sel.drop("success").join(res, ["repo_id", "seq"])
     return _rollback_record(fail_fast(joined))

@@ -14,8 +14,6 @@ initial state shipped to the Python step.
 
 from __future__ import annotations
 
-from typing import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,8 +66,10 @@ def path_state(paths: DataFrame, disk: DataFrame) -> DataFrame:
     are asked about are kept (semi join before the distinct).
     """
     asked = paths.select("repo_id", "path").filter(F.col("path").isNotNull()).distinct()
-    files = disk.select("repo_id", F.col("relative_path").alias("path")).distinct() \
-                .withColumn("is_file", F.lit(True))
+    # (repo_id, relative_path) is unique in an inventory: a semi join, no distinct
+    files = (disk.select("repo_id", F.col("relative_path").alias("path"))
+             .join(asked, ["repo_id", "path"], "left_semi")
+             .withColumn("is_file", F.lit(True)))
     parts = F.split(F.col("relative_path"), "/")
     dirs = (disk.select("repo_id", parts.alias("p"))
             .filter(F.size("p") > 1)
@@ -162,16 +162,28 @@ def _ancestors_of(path: str) -> list[str]:
 
 
 def replay_moves(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Apply one component's moves in order against the tree they leave."""
-    pdf = pdf.sort_values("node")
+    """Apply the moves of each component in order against the tree they leave.
+
+    ``pdf`` may hold many components (a hash bucket); each starts from the
+    initial state of its own paths.
+    """
+    out = []
+    pdf = pdf.sort_values(["repo_id", "component", "node"])
+    for _, comp in pdf.groupby(["repo_id", "component"], sort=False):
+        out.extend(_replay_component(comp))
+    return pd.DataFrame(out, columns=["repo_id", "node", "success", "message"])
+
+
+def _replay_component(pdf: pd.DataFrame) -> list[tuple]:
     state: dict[str, str | None] = {}
-    for r in pdf.itertuples(index=False):
+    rows = list(pdf.itertuples(index=False))
+    for r in rows:
         for p, f, d in ((r.source, r.src_file, r.src_dir), (r.target, r.tgt_file, r.tgt_dir),
                         (r.tparent, r.par_file, r.par_dir)):
             if p is not None and p not in state:
                 state[p] = "file" if f else ("dir" if d else None)
     out = []
-    for r in pdf.itertuples(index=False):
+    for r in rows:
         repo, s, t = r.repo_id, r.source, r.target
 
         def full(p):
@@ -204,19 +216,32 @@ def replay_moves(pdf: pd.DataFrame) -> pd.DataFrame:
         state[s] = None
         state[t] = "file"
         out.append((repo, r.node, True, f"Moved {s} -> {t}"))
-    return pd.DataFrame(out, columns=["repo_id", "node", "success", "message"])
+    return out
+
+
+def replay_buckets(df: DataFrame, fn, schema, buckets: int | None = None) -> DataFrame:
+    """Run ``fn`` over hash buckets of components (bounded group count).
+
+    Components are independent, so a bucket replays each of its components
+    from its own initial state; a large repository spreads over the buckets.
+    """
+    spark = df.sparkSession
+    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    b = F.pmod(F.xxhash64("repo_id", "component"), F.lit(buckets))
+    return df.withColumn("_bucket", b).groupBy("_bucket").applyInPandas(
+        lambda pdf: fn(pdf.drop(columns=["_bucket"])), schema=schema)
 
 
 def apply_moves(approved: DataFrame, disk: DataFrame) -> DataFrame:
     """G1: execute approved MOVEs for real, each seeing the tree left by earlier ones."""
     mv = approved.filter(F.col("approved")).withColumn("node", F.col("ord").cast("bigint"))
     comp = components(move_edges(mv))
+    # read twice below (replay input and result join): write it once
     mv = _with_states(mv, disk).join(comp, ["repo_id", "node"], "left") \
-        .withColumn("component", F.coalesce("component", F.col("node")))
+        .withColumn("component", F.coalesce("component", F.col("node"))).checkpoint(eager=True)
     cols = ["repo_id", "component", "node", "source", "target", "tparent",
             "src_file", "src_dir", "tgt_file", "tgt_dir", "par_file", "par_dir"]
-    res = mv.select(*cols).groupBy("repo_id", "component").applyInPandas(
-        lambda pdf: replay_moves(pdf), schema=RESULT_SCHEMA)
+    res = replay_buckets(mv.select(*cols), replay_moves, RESULT_SCHEMA)
     return (mv.select("repo_id", "node", "phase", "ord", "action", "source", "target", "risk")
             .join(res, ["repo_id", "node"]).drop("node")
             .withColumn("skipped", F.lit(False)))

@@ -35,7 +35,8 @@ class Tables:
 
     @cached_property
     def raw(self) -> DataFrame:
-        return fx.raw_files(self.spark, self.sf_dir)
+        # derived from orders by a grouped query: written once, read by many
+        return self._keep(fx.raw_files(self.spark, self.sf_dir))
 
     @cached_property
     def files(self) -> DataFrame:
