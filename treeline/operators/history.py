@@ -129,8 +129,9 @@ def _undo_component(pdf: pd.DataFrame) -> list[tuple]:
             continue
         for a in _ancestors_of(back_to):
             state[a] = "dir"
+        # the moved path keeps its kind; a directory's untracked contents are not followed
+        state[back_to] = state[back_from]
         state[back_from] = None
-        state[back_to] = "file"
         out.append((r.repo_id, r.seq, True, f"Rolled back {back_from} -> {back_to}"))
     return out
 
