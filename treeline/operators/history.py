@@ -155,7 +155,7 @@ def rollback(history: DataFrame, disk: DataFrame, n: int | None) -> DataFrame:
             "src_file", "src_dir"]
     res = replay_buckets(sel.select(*cols), replay_rollback, ROLLBACK_SCHEMA)
     res = res.withColumnRenamed("node", "seq")
-    joined = sel.drop("success").join(res, ["repo_id", "seq"])
+    joined = sel.drop("success", "message").join(res, ["repo_id", "seq"])
     return _rollback_record(fail_fast(joined))
 
 
