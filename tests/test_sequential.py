@@ -70,8 +70,8 @@ def brute_rollback(disk, entries, n):
 NAMES = ["a", "b", "c.py", "d.py", "src", "tests"]
 
 
-def _path(rng):
-    return "/".join(rng.choice(NAMES) for _ in range(rng.randint(1, 3)))
+def _path(rng, depth=3):
+    return "/".join(rng.choice(NAMES) for _ in range(rng.randint(1, depth)))
 
 
 def _disk(spark, disk):
@@ -80,12 +80,14 @@ def _disk(spark, disk):
 
 def test_apply_moves_matches_sequential_replay(spark):
     rng = random.Random(11)
-    for _ in range(3):
-        disk = {_path(rng) for _ in range(30)}
+    for round_no in range(4):
+        disk = {_path(rng, 3 + round_no % 2) for _ in range(30)}
         # keep the disk a valid tree: no path is both a file and a directory
         disk = {p for p in disk if not any(q.startswith(p + "/") for q in disk)}
         sources = rng.sample(sorted(disk), min(12, len(disk)))
-        moves = [(i, s, rng.choice([_path(rng), rng.choice(sources)])) for i, s in enumerate(sources)]
+        fan = _path(rng)        # a shared target, so simple same-target groups occur too
+        moves = [(i, s, rng.choice([_path(rng, 4), rng.choice(sources), fan, fan]))
+                 for i, s in enumerate(sources)]
         moves = [m for m in moves if m[1] != m[2]]
         df = spark.createDataFrame(
             [("r", 1, i, "move", s, t, "low", True) for i, s, t in moves],

@@ -49,17 +49,21 @@ def describe(raw: DataFrame) -> DataFrame:
             .drop("ast_main", "ast_tests"))
 
 
-def package_dirs(raw: DataFrame) -> DataFrame:
-    """Directories that hold an ``__init__.py`` on disk (raw tree)."""
+def package_dirs(tree: DataFrame) -> DataFrame:
+    """Directories that hold an ``__init__.py`` in ``tree`` (repo_id, relative_path)."""
     p = R.path_columns(F.col("relative_path"))
-    return (raw.filter(p["name"] == "__init__.py")
+    return (tree.filter(p["name"] == "__init__.py")
             .select("repo_id", p["parent"].alias("parent"))
             .distinct())
 
 
-def with_in_package(files: DataFrame, raw: DataFrame) -> DataFrame:
-    """The file's directory (depth > 1) holds ``__init__.py``."""
-    pk = package_dirs(raw).withColumn("pkg", F.lit(True))
+def with_in_package(files: DataFrame, tree: DataFrame) -> DataFrame:
+    """The file's directory (depth > 1) holds ``__init__.py`` on disk.
+
+    ``tree`` is the inventory (Parquet-backed; only ``relative_path`` is read),
+    not the parsed files: reading the parse output twice would run it twice.
+    """
+    pk = package_dirs(tree).withColumn("pkg", F.lit(True))
     joined = files.join(pk, ["repo_id", "parent"], "left")
     return joined.withColumn(
         "in_package", (F.col("depth") > 1) & F.coalesce(F.col("pkg"), F.lit(False))).drop("pkg")
@@ -71,7 +75,11 @@ def classify(files: DataFrame) -> DataFrame:
 
 
 def build_files(raw: DataFrame) -> DataFrame:
-    """The analysed, classified inventory (E1 stages scan + describe + classify)."""
+    """The analysed, classified inventory (E1 stages scan + describe + classify).
+
+    ``raw`` should be file-backed: it is read twice (the parse, and the paths
+    alone for the package directories).
+    """
     return classify(with_in_package(describe(raw), raw))
 
 

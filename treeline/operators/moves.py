@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeline.operators.components import components, move_edges
+from treeline.operators.components import ancestors, components, move_edges
 
 
 def _parent(path: F.Column) -> F.Column:
@@ -179,7 +179,7 @@ def _replay_component(pdf: pd.DataFrame) -> list[tuple]:
     rows = list(pdf.itertuples(index=False))
     for r in rows:
         for p, f, d in ((r.source, r.src_file, r.src_dir), (r.target, r.tgt_file, r.tgt_dir),
-                        (r.tparent, r.par_file, r.par_dir)):
+                        (r.tparent, r.par_file, r.par_dir), (r.tanc_file, True, False)):
             if p is not None and p not in state:
                 state[p] = "file" if f else ("dir" if d else None)
     out = []
@@ -232,16 +232,84 @@ def replay_buckets(df: DataFrame, fn, schema, buckets: int | None = None) -> Dat
         lambda pdf: fn(pdf.drop(columns=["_bucket"])), schema=schema)
 
 
+def _file_ancestor(mv: DataFrame, disk: DataFrame) -> DataFrame:
+    """The proper ancestor of each target that is a file on disk (at most one: a
+    file has nothing below it), as ``tanc_file``; null when there is none."""
+    anc = mv.select("repo_id", "node", F.explode(ancestors(F.col("target"))).alias("path"))
+    files = disk.select("repo_id", F.col("relative_path").alias("path"))
+    hit = anc.join(files, ["repo_id", "path"], "left_semi").groupBy("repo_id", "node") \
+             .agg(F.min("path").alias("tanc_file"))
+    return mv.join(hit, ["repo_id", "node"], "left")
+
+
+def simple_groups(mv: DataFrame) -> DataFrame:
+    """(repo_id, target) groups whose moves interact only through that target.
+
+    A move is simple when no other move writes what it reads and it writes
+    nothing another move reads: its source is no move's target and no
+    target's ancestor; its target is no move's source and no target's
+    ancestor; no ancestor of its target is any move's source or target. A
+    group is simple when all of its moves are.
+    """
+    srcs = mv.select("repo_id", F.col("source").alias("path"))
+    tgts = mv.select("repo_id", F.col("target").alias("path"))
+    ancs = mv.select("repo_id", F.explode(ancestors(F.col("target"))).alias("path"))
+    ends = srcs.unionByName(tgts)
+    m = mv.select("repo_id", "node", "source", "target")
+    bad_src = m.join(tgts.unionByName(ancs).withColumnRenamed("path", "source"),
+                     ["repo_id", "source"], "left_semi").select("repo_id", "node")
+    bad_tgt = m.join(srcs.unionByName(ancs).withColumnRenamed("path", "target"),
+                     ["repo_id", "target"], "left_semi").select("repo_id", "node")
+    bad_anc = (m.select("repo_id", "node", F.explode(ancestors(F.col("target"))).alias("path"))
+               .join(ends, ["repo_id", "path"], "left_semi").select("repo_id", "node"))
+    bad = bad_src.unionByName(bad_tgt).unionByName(bad_anc).distinct().withColumn("bad", F.lit(True))
+    flagged = m.join(bad, ["repo_id", "node"], "left")
+    return (flagged.groupBy("repo_id", "target")
+            .agg(F.bool_and(F.col("bad").isNull()).alias("simple"))
+            .filter("simple").drop("simple"))
+
+
+def _resolve_simple(mv: DataFrame) -> DataFrame:
+    """Set-based outcome of simple groups: the first move that passes the checks
+    on the initial tree takes the target; every later valid one finds it taken."""
+    err = validation_error(mv)
+    blocked = F.concat(F.lit("Failed to execute: Not a directory: "), _full(F.col("tanc_file")))
+    m = mv.withColumn("_err", F.when(err.isNotNull(), F.concat(F.lit("Validation failed: "), err))
+                               .when(F.col("tanc_file").isNotNull(), blocked))
+    winner = m.filter(F.col("_err").isNull()).groupBy("repo_id", "target") \
+              .agg(F.min("node").alias("_win"))
+    m = m.join(winner, ["repo_id", "target"], "left")
+    taken = F.concat(F.lit("Validation failed: Target already exists (conflict): "), _full(F.col("target")))
+    return m.select(
+        "repo_id", "node",
+        (F.col("_err").isNull() & (F.col("node") == F.col("_win"))).alias("success"),
+        F.when(F.col("_err").isNotNull(), F.col("_err"))
+         .when(F.col("node") == F.col("_win"),
+               F.concat(F.lit("Moved "), F.col("source"), F.lit(" -> "), F.col("target")))
+         .otherwise(taken).alias("message"))
+
+
 def apply_moves(approved: DataFrame, disk: DataFrame) -> DataFrame:
-    """G1: execute approved MOVEs for real, each seeing the tree left by earlier ones."""
+    """G1: execute approved MOVEs for real, each seeing the tree left by earlier ones.
+
+    Groups of moves that only share a target are resolved set-based; the rest
+    (chains through sources, parents, created directories) are split into
+    connected components and replayed in hash buckets.
+    """
     mv = approved.filter(F.col("approved")).withColumn("node", F.col("ord").cast("bigint"))
-    comp = components(move_edges(mv))
-    # read twice below (replay input and result join): write it once
-    mv = _with_states(mv, disk).join(comp, ["repo_id", "node"], "left") \
-        .withColumn("component", F.coalesce("component", F.col("node"))).checkpoint(eager=True)
-    cols = ["repo_id", "component", "node", "source", "target", "tparent",
+    # states and simple flags are read by both branches below: write them once
+    mv = _file_ancestor(_with_states(mv, disk), disk)
+    simple = simple_groups(mv).withColumn("_simple", F.lit(True))
+    mv = mv.join(simple, ["repo_id", "target"], "left") \
+           .withColumn("_simple", F.coalesce("_simple", F.lit(False))).checkpoint(eager=True)
+    easy = _resolve_simple(mv.filter("_simple"))
+    hard = mv.filter(~F.col("_simple"))
+    comp = components(move_edges(hard))
+    hard = hard.join(comp, ["repo_id", "node"], "left") \
+               .withColumn("component", F.coalesce("component", F.col("node")))
+    cols = ["repo_id", "component", "node", "source", "target", "tparent", "tanc_file",
             "src_file", "src_dir", "tgt_file", "tgt_dir", "par_file", "par_dir"]
-    res = replay_buckets(mv.select(*cols), replay_moves, RESULT_SCHEMA)
+    res = replay_buckets(hard.select(*cols), replay_moves, RESULT_SCHEMA).unionByName(easy)
     return (mv.select("repo_id", "node", "phase", "ord", "action", "source", "target", "risk")
             .join(res, ["repo_id", "node"]).drop("node")
             .withColumn("skipped", F.lit(False)))

@@ -3,9 +3,10 @@
 ``Tables`` derives the inventory fixtures from the driver's tables and cuts
 lineage at the shared intermediate tables: ``files`` (read by six or more
 branches, and the only table behind a Python job), ``types`` and
-``proposals`` are written once with a reliable ``checkpoint()`` into the shared
-folder named by ``spark.checkpoint.dir``. Downstream plans then start from
-those files, stay small, and a lost executor re-reads instead of re-parsing.
+``proposals`` are written once as Parquet into the shared folder named by
+``spark.checkpoint.dir``. Downstream plans then start from those files (with
+column pruning and filter pushdown), stay small, and a lost executor re-reads
+instead of re-parsing.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from treeline.operators import files as FL
 from treeline.operators import proposals as PR
 from treeline.operators import repo as RP
-from treeline.session import checkpoint_dir
+from treeline.session import write_table
 from treeline.sources import fixtures as fx
 
 
@@ -27,28 +28,27 @@ class Tables:
         self.sf_dir = sf_dir
         self._materialize = materialize
 
-    def _keep(self, df: DataFrame) -> DataFrame:
+    def _keep(self, df: DataFrame, name: str = "table") -> DataFrame:
         if not self._materialize:
             return df
-        checkpoint_dir(self.spark)
-        return df.checkpoint(eager=True)
+        return write_table(df, name)
 
     @cached_property
     def raw(self) -> DataFrame:
         # derived from orders by a grouped query: written once, read by many
-        return self._keep(fx.raw_files(self.spark, self.sf_dir))
+        return self._keep(fx.raw_files(self.spark, self.sf_dir), "raw_files")
 
     @cached_property
     def files(self) -> DataFrame:
-        return self._keep(FL.build_files(self.raw))
+        return self._keep(FL.build_files(self.raw), "files")
 
     @cached_property
     def types(self) -> DataFrame:
-        return self._keep(RP.repo_types(self.files, self.raw))
+        return self._keep(RP.repo_types(self.files, self.raw), "repo_types")
 
     @cached_property
     def proposals(self) -> DataFrame:
-        return self._keep(PR.all_proposals(self.files, self.types))
+        return self._keep(PR.all_proposals(self.files, self.types), "proposals")
 
     @cached_property
     def moves(self) -> DataFrame:

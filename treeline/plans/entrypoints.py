@@ -2,8 +2,8 @@
 
 ``analyze`` / ``propose`` / ``preview`` / ``apply`` / ``rollback`` take tables
 (not a folder on one machine) and return DataFrames. Shared tables are
-written once with a reliable checkpoint (``spark.checkpoint.dir``) so that
-every report starts from them.
+written once as Parquet into the shared folder named by
+``spark.checkpoint.dir`` so that every report starts from them.
 
 Typical use::
 
@@ -32,13 +32,12 @@ from treeline.operators import preview as PV
 from treeline.operators import proposals as PR
 from treeline.operators import reports as RE
 from treeline.operators import repo as RP
-from treeline.session import checkpoint_dir
+from treeline.session import write_table
 from treeline.sources import inventory as INV
 
 
 def _keep(df: DataFrame) -> DataFrame:
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return write_table(df, "run")
 
 
 @dataclass
@@ -75,8 +74,15 @@ class Proposals(Analysis):
 
 
 def analyze(raw: DataFrame) -> Analysis:
-    """``analyze``: scan filter, file facts, per-repository summary and extensions."""
+    """``analyze``: scan filter, file facts, per-repository summary and extensions.
+
+    An inventory that is not backed by files (the tree listing) is written to
+    Parquet once, so that the parse, the existence checks and the reports do
+    not list the trees again.
+    """
     raw = INV.validate_inventory(raw)
+    if not raw.inputFiles():
+        raw = _keep(raw)
     files = _keep(FL.build_files(raw))
     return Analysis(raw, files, RP.repo_summary(files), RP.top_extensions(files))
 

@@ -54,3 +54,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local_dir)
     sc.setCheckpointDir(local_dir)
     return sc.getCheckpointDir() or local_dir
+
+
+def write_table(df, name: str = "table"):
+    """Materialise ``df`` as Parquet in the shared checkpoint folder and read it back.
+
+    This cuts lineage like ``checkpoint()``, but the read-back is a Parquet scan:
+    later plans get column pruning and filter pushdown, and a lost executor
+    re-reads the files instead of recomputing upstream work.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
