@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treeline.operators.components import components, move_edges
-from treeline.operators.moves import _ancestors_of, path_state, replay_buckets
+from treeline.operators.moves import _ancestors_of, attach_states, replay_buckets
 from treeline.operators.ordering import first_k
 
 
@@ -40,14 +40,7 @@ def last_moves(history: DataFrame, n: int | None) -> DataFrame:
 
 
 def _rollback_states(sel: DataFrame, disk: DataFrame) -> DataFrame:
-    asked = (sel.select("repo_id", F.col("target").alias("path"))
-             .unionByName(sel.select("repo_id", F.col("source").alias("path"))))
-    st = path_state(asked, disk)
-    for role, col in (("tgt", "target"), ("src", "source")):
-        s = st.select("repo_id", F.col("path").alias(col), F.col("is_file").alias(f"{role}_file"),
-                      F.col("is_dir").alias(f"{role}_dir"))
-        sel = sel.join(s, ["repo_id", col], "left")
-    return sel.na.fill(False, ["tgt_file", "tgt_dir", "src_file", "src_dir"])
+    return attach_states(sel, {"tgt": "target", "src": "source"}, disk, key="seq")
 
 
 def _rollback_record(df: DataFrame) -> DataFrame:

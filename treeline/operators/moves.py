@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treeline.operators.components import ancestors, components, move_edges
+from treeline.session import checkpoint_dir
 
 
 def _parent(path: F.Column) -> F.Column:
@@ -82,17 +83,27 @@ def path_state(paths: DataFrame, disk: DataFrame) -> DataFrame:
                     F.coalesce("is_dir", F.lit(False)).alias("is_dir")))
 
 
+def attach_states(df: DataFrame, roles: dict[str, str], disk: DataFrame,
+                  key: str = "node") -> DataFrame:
+    """Add ``<prefix>_file`` / ``<prefix>_dir`` for each role column, with one
+    lookup: roles are exploded into rows, joined once, folded back per row."""
+    names = list(roles)
+    exploded = df.select("repo_id", key, F.posexplode(F.array(*[F.col(roles[n]) for n in names]))
+                         .alias("_role", "path"))
+    st = path_state(exploded.select("repo_id", "path"), disk)
+    j = exploded.join(st, ["repo_id", "path"], "left")
+    aggs = []
+    for i, n in enumerate(names):
+        aggs.append(F.max(F.when(F.col("_role") == i, F.col("is_file"))).alias(f"{n}_file"))
+        aggs.append(F.max(F.when(F.col("_role") == i, F.col("is_dir"))).alias(f"{n}_dir"))
+    per_row = j.groupBy("repo_id", key).agg(*aggs)
+    cols = [f"{n}_{k}" for n in names for k in ("file", "dir")]
+    return df.join(per_row, ["repo_id", key], "left").na.fill(False, cols)
+
+
 def _with_states(mv: DataFrame, disk: DataFrame) -> DataFrame:
     mv = mv.withColumn("tparent", _parent(F.col("target")))
-    asked = (mv.select("repo_id", F.col("source").alias("path"))
-             .unionByName(mv.select("repo_id", F.col("target").alias("path")))
-             .unionByName(mv.select("repo_id", F.col("tparent").alias("path"))))
-    st = path_state(asked, disk)
-    for role, col in (("src", "source"), ("tgt", "target"), ("par", "tparent")):
-        s = st.select("repo_id", F.col("path").alias(col), F.col("is_file").alias(f"{role}_file"),
-                      F.col("is_dir").alias(f"{role}_dir"))
-        mv = mv.join(s, ["repo_id", col], "left")
-    return mv.na.fill(False, [f"{r}_{k}" for r in ("src", "tgt", "par") for k in ("file", "dir")])
+    return attach_states(mv, {"src": "source", "tgt": "target", "par": "tparent"}, disk)
 
 
 # --------------------------------------------------------------------------
@@ -116,7 +127,8 @@ def validation_error(with_states: DataFrame) -> F.Column:
 
 def validate_moves(approved: DataFrame, disk: DataFrame) -> DataFrame:
     """J10 + P22 (dry run): one result per approved MOVE, nothing moves."""
-    mv = _with_states(approved.filter(F.col("approved")), disk)
+    mv = _with_states(approved.filter(F.col("approved"))
+                      .withColumn("node", F.col("ord").cast("bigint")), disk)
     err = validation_error(mv)
     return mv.select(
         "repo_id", "phase", "ord", "action", "source", "target", "risk",
@@ -297,8 +309,9 @@ def apply_moves(approved: DataFrame, disk: DataFrame) -> DataFrame:
     connected components and replayed in hash buckets.
     """
     mv = approved.filter(F.col("approved")).withColumn("node", F.col("ord").cast("bigint"))
-    # states and simple flags are read by both branches below: write them once
-    mv = _file_ancestor(_with_states(mv, disk), disk)
+    # the moves with their initial states feed several branches: write them once
+    checkpoint_dir(mv.sparkSession)
+    mv = _file_ancestor(_with_states(mv, disk), disk).checkpoint(eager=True)
     simple = simple_groups(mv).withColumn("_simple", F.lit(True))
     mv = mv.join(simple, ["repo_id", "target"], "left") \
            .withColumn("_simple", F.coalesce("_simple", F.lit(False))).checkpoint(eager=True)
