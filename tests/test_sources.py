@@ -50,3 +50,28 @@ def test_inventory_schema_and_history_round_trip(spark, tmp_path):
     INV.append_history(h, path)
     INV.append_history(h.withColumn("seq", F.lit(2).cast("bigint")), path)
     assert sorted(r["seq"] for r in INV.read_history(spark, path).collect()) == [1, 2]
+
+
+def test_write_proposals_formats(spark, tmp_path):
+    import json
+
+    from conftest import SF_SMALL
+    from treeline.plans import entrypoints as EP
+    from treeline.sources import fixtures as fx
+    p = EP.propose(fx.raw_files(spark, SF_SMALL))
+    n = p.proposals.count()
+    INV.write_proposals(p.proposals, str(tmp_path / "j"), "json")
+    lines = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "j")).collect()]
+    assert len(lines) == n
+    assert all(set(x["proposal"]) == {"action", "source", "target", "reason", "risk", "details"} for x in lines)
+    assert any(x["proposal"]["target"] is None for x in lines)       # nulls are written
+    INV.write_proposals(p.proposals, str(tmp_path / "t"), "text")
+    texts = [r["value"] for r in spark.read.text(str(tmp_path / "t")).collect()]
+    assert len(texts) == n
+    import re
+    numbers = {}
+    for t in texts:
+        repo, rest = t.split("\t", 1)
+        numbers.setdefault(repo, []).append(int(re.match(r"\[(\d+)\] ", rest).group(1)))
+    for repo, ns in numbers.items():        # 1..k per repository, each once
+        assert sorted(ns) == list(range(1, len(ns) + 1)), repo

@@ -57,10 +57,12 @@ def read_inventory(spark: SparkSession, path: str) -> DataFrame:
 
 def write_proposals(proposals: DataFrame, path: str, fmt: str = "json",
                     mode: str = "overwrite") -> None:
-    """S3: one record per proposal; ``json`` keeps null fields like the reference.
+    """S3: one record per proposal.
 
-    Written partitioned by nothing and ordered within each file by
-    (repo_id, phase, ord); the reader groups by repo_id.
+    ``json``: one JSON line per proposal (null fields kept, like the
+    reference); ``text``: ``repo_id<TAB>[n] ...`` per proposal in display
+    order, newlines escaped; ``parquet``: the table itself. Rows are ordered
+    by repository and proposal order within each file.
     """
     record = F.struct(
         F.col("action"), F.col("source"), F.col("target"), F.col("reason"),
@@ -72,6 +74,17 @@ def write_proposals(proposals: DataFrame, path: str, fmt: str = "json",
          .write.mode(mode).text(path))
     elif fmt == "parquet":
         ordered.write.mode(mode).parquet(path)
+    elif fmt == "text":
+        # numbered in display order, one block per proposal (P19 text, W1 number)
+        from treeline.operators.reports import proposal_numbers, proposal_text
+        num = proposal_numbers(proposals).select("repo_id", "phase", "ord", "number")
+        txt = proposal_text(proposals)
+        block = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), F.col("text"))
+        (txt.join(num, ["repo_id", "phase", "ord"])
+         .repartition("repo_id").sortWithinPartitions("repo_id", "number")
+         .select(F.concat(F.col("repo_id"), F.lit("\t"), F.regexp_replace(block, "\n", "\\\\n"))
+                 .alias("value"))
+         .write.mode(mode).text(path))
     else:
         raise ValueError(f"unknown format {fmt!r}")
 
