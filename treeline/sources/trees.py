@@ -2,9 +2,10 @@
 
 A Python Data Source (``spark.read.format("trees")``). The folder given to
 ``load`` holds one tree per sub-folder; the tree's folder name is its
-``repo_id``. Each input partition is one top-level entry of one tree (the
-tree's root files form their own partition), so a large monorepo is read by
-many tasks. Ignored directories are pruned while walking (the listing never
+``repo_id``. The unit of work is one top-level entry of one tree (the tree's
+root files form their own unit), so a large monorepo is read by many tasks;
+units are dealt into a bounded number of input partitions so small trees
+share tasks. Ignored directories are pruned while walking (the listing never
 descends into ``node_modules`` and the like), and only ``.py`` text is read,
 as the parse is the only consumer of content.
 
@@ -57,32 +58,42 @@ def ignored(rel_parts: list[str]) -> bool:
 
 
 @dataclass
-class TreePart(InputPartition):
+class TreeUnit:
     repo_id: str
     tree_root: str
     entry: str | None   # None: the files at the tree's root
     position: int
 
 
+@dataclass
+class TreePart(InputPartition):
+    units: list          # TreeUnit, each walked on its own, in order
+
+
 class TreeReader(DataSourceReader):
-    def __init__(self, root: str, read_content: str):
+    def __init__(self, root: str, read_content: str, num_partitions: int):
         self.root = root
         self.read_content = read_content
+        self.num_partitions = max(1, num_partitions)
 
     def partitions(self):
-        parts = []
+        """Units are (tree, top-level entry); they are dealt round-robin into a
+        bounded number of partitions, so many small trees share a task while a
+        large tree still spreads over its top-level entries."""
+        units = []
         for repo_id in sorted(os.listdir(self.root)):
             tree = os.path.join(self.root, repo_id)
             if not os.path.isdir(tree):
                 continue
             entries = [e for e in os.listdir(tree) if os.path.isdir(os.path.join(tree, e))]
-            parts.append(TreePart(repo_id, tree, None, 0))
+            units.append(TreeUnit(repo_id, tree, None, 0))
             for i, e in enumerate(sorted(entries), start=1):
                 if not ignored([e]):
-                    parts.append(TreePart(repo_id, tree, e, i))
-        return parts
+                    units.append(TreeUnit(repo_id, tree, e, i))
+        n = min(self.num_partitions, max(1, len(units)))
+        return [TreePart(units[k::n]) for k in range(n)]
 
-    def _row(self, p: TreePart, rel: str, full: str, seq: int):
+    def _row(self, p: TreeUnit, rel: str, full: str, seq: int):
         size = os.path.getsize(full) if os.path.exists(full) else 0
         content = None
         if self.read_content == "all" or (self.read_content == "py" and rel.endswith(".py")):
@@ -91,7 +102,10 @@ class TreeReader(DataSourceReader):
         return (p.repo_id, (p.position << _LOCAL_BITS) + seq, rel, size, content)
 
     def read(self, partition: TreePart):
-        p = partition
+        for unit in partition.units:
+            yield from self._walk(unit)
+
+    def _walk(self, p: TreeUnit):
         seq = 0
         if p.entry is None:
             for name in sorted(os.listdir(p.tree_root)):
@@ -125,10 +139,16 @@ class TreeSource(DataSource):
         root = self.options.get("path")
         if not root:
             raise ValueError("trees source needs a folder: load(path)")
-        return TreeReader(root, self.options.get("content", "py"))
+        return TreeReader(root, self.options.get("content", "py"),
+                          int(self.options.get("numPartitions", "64")))
+
 
+def scan_trees(spark, root: str, content: str = "py", num_partitions: int | None = None):
+    """One row per file of every tree under ``root`` (ignored paths pruned).
 
-def scan_trees(spark, root: str, content: str = "py"):
-    """One row per file of every tree under ``root`` (ignored paths pruned)."""
+    ``num_partitions`` defaults to twice the cluster's default parallelism.
+    """
     spark.dataSource.register(TreeSource)
-    return spark.read.format("trees").option("content", content).load(root)
+    n = num_partitions or 2 * spark.sparkContext.defaultParallelism
+    return (spark.read.format("trees").option("content", content)
+            .option("numPartitions", str(n)).load(root))
