@@ -7,6 +7,8 @@ assembles only the CTEs a query needs, in dependency order.
 
 from __future__ import annotations
 
+import re
+
 from treeline.functions import constants as K
 from treeline.sources.fixtures import ORACLE_FIXTURE_CTES
 
@@ -15,6 +17,19 @@ def _q(v: str) -> str:
     return "'" + v.replace("'", "''") + "'"
 
 
+def _t(template: str, **exprs) -> str:
+    """A fixed message template as SQL: quoted literal pieces || (expression)."""
+    out, pos = [], 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        if m.start() > pos:
+            out.append(_q(template[pos:m.start()]))
+        out.append(f"({exprs[m.group(1)]})")
+        pos = m.end()
+    if pos < len(template):
+        out.append(_q(template[pos:]))
+    return " || ".join(out)
+
+
 def _in(values) -> str:
     return "(" + ", ".join(_q(v) for v in values) + ")"
 
@@ -309,32 +324,32 @@ _cfg_kind = _first_match([(f"contains(name, {_q(p)})", _q(k)) for p, k in K.CONF
 _data_kind = _first_match([(f"extension = {_q(e)}", _q(k)) for e, k in K.DATA_KINDS])
 _reason = f"""CASE category
   WHEN 'tests' THEN concat_ws('. ',
-     CASE WHEN has_tests THEN 'Contains test functions or test classes (pytest/unittest pattern detected)' END,
-     CASE WHEN len({_tfw}) > 0 THEN 'Imports testing frameworks: ' || array_to_string({_tfw}[1:2], ', ') END,
-     CASE WHEN starts_with(name, 'test_') OR ends_with(name, '_test.py') THEN 'Follows test file naming convention' END,
-     CASE WHEN {_loc} NOT IN ('tests', 'test') THEN 'Currently located in ' || {_loc} || ', should be in tests/ directory' END)
+     CASE WHEN has_tests THEN {_t(K.REASON_TEST_FUNCTIONS)} END,
+     CASE WHEN len({_tfw}) > 0 THEN {_t(K.REASON_TEST_IMPORTS, frameworks=f"array_to_string({_tfw}[1:2], ', ')")} END,
+     CASE WHEN starts_with(name, 'test_') OR ends_with(name, '_test.py') THEN {_t(K.REASON_TEST_NAMING)} END,
+     CASE WHEN {_loc} NOT IN ('tests', 'test') THEN {_t(K.REASON_TEST_LOCATION, location=_loc)} END)
   WHEN 'src' THEN concat_ws('. ',
-     CASE WHEN len(imports) > 0 THEN 'Contains ' || CAST(len(imports) AS VARCHAR) || ' imports, indicating application logic' END,
-     CASE WHEN len(imports) > 5 THEN 'Multiple dependencies suggest core application module' END,
-     CASE WHEN NOT has_tests AND NOT is_executable THEN 'Non-executable library code (not a script)' END,
-     CASE WHEN parent = '.' THEN 'Python modules should be organized under src/ or package directory' END)
+     CASE WHEN len(imports) > 0 THEN {_t(K.REASON_SRC_IMPORTS, n='CAST(len(imports) AS VARCHAR)')} END,
+     CASE WHEN len(imports) > 5 THEN {_t(K.REASON_SRC_MANY)} END,
+     CASE WHEN NOT has_tests AND NOT is_executable THEN {_t(K.REASON_SRC_LIBRARY)} END,
+     CASE WHEN parent = '.' THEN {_t(K.REASON_SRC_ROOT)} END)
   WHEN 'scripts' THEN concat_ws('. ',
-     CASE WHEN is_executable THEN 'Contains __main__ block, indicating executable entry point' END,
-     CASE WHEN name IN {_in(K.COMMON_SCRIPT_NAMES)} THEN 'Common script name pattern detected' END,
-     CASE WHEN parent = '.' THEN 'Executable scripts should be organized in scripts/ directory' END)
+     CASE WHEN is_executable THEN {_t(K.REASON_SCRIPT_MAIN)} END,
+     CASE WHEN name IN {_in(K.COMMON_SCRIPT_NAMES)} THEN {_t(K.REASON_SCRIPT_NAME)} END,
+     CASE WHEN parent = '.' THEN {_t(K.REASON_SCRIPT_ROOT)} END)
   WHEN 'configs' THEN concat_ws('. ',
-     coalesce('Configuration file: ' || {_cfg_kind}, 'Configuration file detected by naming pattern'),
-     CASE WHEN name IN {_in(K.STANDARD_ROOT_CONFIGS)} THEN 'Standard root-level configuration file'
-          WHEN {_loc} NOT IN ('configs', 'config') THEN 'Should be organized in configs/ directory' END)
+     coalesce({_t(K.REASON_CONFIG_KIND, kind=_cfg_kind)}, {_t(K.REASON_CONFIG_DEFAULT)}),
+     CASE WHEN name IN {_in(K.STANDARD_ROOT_CONFIGS)} THEN {_t(K.REASON_CONFIG_ROOT)}
+          WHEN {_loc} NOT IN ('configs', 'config') THEN {_t(K.REASON_CONFIG_MOVE)} END)
   WHEN 'experiments' THEN concat_ws('. ',
-     CASE WHEN contains(lower(name), 'test') OR contains(lower(name), 'temp') THEN 'Temporary or experimental file naming pattern' END,
-     CASE WHEN contains(lower(relative_path), 'playground') THEN 'Located in experimental/playground area' END,
-     'Consider moving to experiments/ or removing if obsolete')
-  WHEN 'markdown' THEN CASE WHEN upper(name) = 'README.MD' THEN 'Primary project README - should remain at repository root'
-     ELSE concat_ws('. ', 'Markdown documentation file',
-                    CASE WHEN parent = '.' THEN 'Documentation files should be organized in docs/ directory' END) END
-  WHEN 'data' THEN concat_ws('. ', coalesce('Data file: ' || {_data_kind}, 'Data file detected'),
-     CASE WHEN parent = '.' THEN 'Data files should be organized in data/ directory' END)
+     CASE WHEN contains(lower(name), 'test') OR contains(lower(name), 'temp') THEN {_t(K.REASON_EXPERIMENT_NAME)} END,
+     CASE WHEN contains(lower(relative_path), 'playground') THEN {_t(K.REASON_EXPERIMENT_PLAYGROUND)} END,
+     {_t(K.REASON_EXPERIMENT_ADVICE)})
+  WHEN 'markdown' THEN CASE WHEN upper(name) = 'README.MD' THEN {_t(K.REASON_README)}
+     ELSE concat_ws('. ', {_t(K.REASON_MARKDOWN)},
+                    CASE WHEN parent = '.' THEN {_t(K.REASON_MARKDOWN_ROOT)} END) END
+  WHEN 'data' THEN concat_ws('. ', coalesce({_t(K.REASON_DATA_KIND, kind=_data_kind)}, {_t(K.REASON_DATA_DEFAULT)}),
+     CASE WHEN parent = '.' THEN {_t(K.REASON_DATA_ROOT)} END)
   ELSE '' END"""
 
 L["typed"] = (["classified", "repo_types"], """
@@ -369,7 +384,7 @@ FROM cand_placed WHERE NOT correctly_placed""")
 
 L["phase1"] = (["cand_target"], f"""
 SELECT repo_id, 1 AS phase, file_seq AS ord, 'move' AS action, relative_path AS source, target,
-       CASE WHEN {_reason} = '' THEN 'Classified as ' || category || ' based on file analysis' ELSE {_reason} END || '.' AS reason,
+       CASE WHEN {_reason} = '' THEN {_t(K.REASON_FALLBACK, category='category')} ELSE {_reason} END || '.' AS reason,
        CASE WHEN len(imports) > 10 THEN 'high' WHEN is_executable THEN 'medium'
             WHEN category = 'configs' THEN 'medium' ELSE 'low' END AS risk,
        category, CASE WHEN parent = '.' THEN 'root' ELSE parent END AS current_location,
@@ -400,14 +415,14 @@ FROM dup_all""")
 
 L["phase2"] = (["dup_kept"], f"""
 SELECT repo_id, 2 AS phase, first_seq AS ord, 'flag' AS action, first_path AS source, NULL::VARCHAR AS target,
-       'Duplicate filename: ' || CAST(total_count AS VARCHAR) || ' files named ''' || first_name || '''' AS reason,
+       {_t(K.DUPLICATE_REASON, n='CAST(total_count AS VARCHAR)', name='first_name')} AS reason,
        CASE WHEN lower(first_name) IN {_in(K.DUPLICATE_HIGH_RISK)} THEN 'high'
             WHEN lower(first_name) IN {_in(K.DUPLICATE_LOW_RISK)} THEN 'low'
             WHEN ends_with(lower(first_name), '.log') OR ends_with(lower(first_name), '.tmp') THEN 'low'
             ELSE 'medium' END AS risk,
        NULL::VARCHAR AS category, NULL::VARCHAR AS current_location, NULL::VARCHAR AS suggestion,
        CAST(total_count AS BIGINT) AS total_count, examples,
-       CASE WHEN total_count > 3 THEN '+' || CAST(total_count - 3 AS VARCHAR) || ' more' END AS remaining
+       CASE WHEN total_count > 3 THEN {_t(K.DUPLICATE_REMAINING, n='CAST(total_count - 3 AS VARCHAR)')} END AS remaining
 FROM dup_kept WHERE NOT suppressed""")
 
 L["phase3"] = (["typed"], f"""
@@ -526,18 +541,19 @@ SELECT repo_id, phase, CAST(ord AS BIGINT) AS ord,
                        'examples': CASE WHEN examples IS NULL THEN NULL::VARCHAR[] ELSE string_split(examples, '|') END,
                        'remaining': remaining}}) AS record
 FROM props""")
-_o("P19_proposal_text", ["props"], """
+_o("P19_proposal_text", ["props"], f"""
 SELECT repo_id, phase, CAST(ord AS BIGINT) AS ord,
-  concat_ws(chr(10), upper(action) || ': ' || source,
-            CASE WHEN target IS NOT NULL THEN '    -> ' || target END,
-            'REASON: ' || reason, 'RISK: ' || upper(risk),
-            CASE WHEN examples IS NOT NULL THEN concat_ws(chr(10), '  Examples:',
-                   array_to_string(list_transform(string_split(examples, '|'), lambda e: '    - ' || e), chr(10)),
-                   CASE WHEN remaining IS NOT NULL THEN '    (' || remaining || ')' END)
+  concat_ws(chr(10), {_t(K.PROPOSAL_HEAD, ACTION='upper(action)', source='source')},
+            CASE WHEN target IS NOT NULL THEN {_t(K.PROPOSAL_TARGET, target='target')} END,
+            {_t(K.PROPOSAL_REASON, reason='reason')}, {_t(K.PROPOSAL_RISK, RISK='upper(risk)')},
+            CASE WHEN examples IS NOT NULL THEN concat_ws(chr(10), {_t(K.PROPOSAL_EXAMPLES)},
+                   array_to_string(list_transform(string_split(examples, '|'),
+                                                  lambda e: {_t(K.PROPOSAL_EXAMPLE, path='e')}), chr(10)),
+                   CASE WHEN remaining IS NOT NULL THEN {_t(K.PROPOSAL_REMAINING, remaining='remaining')} END)
                  ELSE nullif(concat_ws(chr(10),
-                   CASE WHEN category IS NOT NULL THEN '  category: ' || category END,
-                   CASE WHEN current_location IS NOT NULL THEN '  current_location: ' || current_location END,
-                   CASE WHEN suggestion IS NOT NULL THEN '  suggestion: ' || suggestion END), '') END) AS text
+                   CASE WHEN category IS NOT NULL THEN {_t(K.PROPOSAL_DETAIL, key="'category'", value='category')} END,
+                   CASE WHEN current_location IS NOT NULL THEN {_t(K.PROPOSAL_DETAIL, key="'current_location'", value='current_location')} END,
+                   CASE WHEN suggestion IS NOT NULL THEN {_t(K.PROPOSAL_DETAIL, key="'suggestion'", value='suggestion')} END), '') END) AS text
 FROM props""")
 
 
@@ -559,9 +575,9 @@ L["mst"] = (["moves", "ostmts"], f"""
 SELECT m.repo_id, m.ord AS move_ord, m.source, m.target, s.stmt_no, s.module, s.is_relative, s.level,
        s.line_no AS line_number, s.names, {_parent_sql('m.source')} AS src_dir, {_parent_sql('m.target')} AS tgt_dir
 FROM moves m JOIN ostmts s ON s.repo_id = m.repo_id AND s.relative_path = m.source""")
-L["w_rel"] = (["mst", "inv", "moves"], """
+L["w_rel"] = (["mst", "inv", "moves"], f"""
 SELECT x.*, 'relative' AS kind,
-  'Relative import will break when moving from ' || src_dir || '/ to ' || tgt_dir || '/' AS reason,
+  {_t(K.IMPORT_RELATIVE, source_dir='src_dir', target_dir='tgt_dir')} AS reason,
   CASE WHEN module <> '' AND (EXISTS (SELECT 1 FROM inv r WHERE r.repo_id = x.repo_id AND r.relative_path = x.cand)
                               OR EXISTS (SELECT 1 FROM moves o WHERE o.repo_id = x.repo_id AND o.source = x.cand))
        THEN split_part(module, '.', 1) || '.py' ELSE '' END AS affected
@@ -569,8 +585,8 @@ FROM (SELECT *, CASE WHEN src_dir = '.' THEN '' ELSE src_dir || '/' END || split
       FROM mst WHERE is_relative AND src_dir <> tgt_dir) x""")
 L["w_sib"] = (["mst", "inv", "moves"], f"""
 SELECT y.*, 'sibling' AS kind,
-  CASE WHEN o_target IS NULL THEN 'Importing ''' || modname || ''' from current directory, but moving away from ' || src_dir || '/'
-       ELSE 'Importing ''' || modname || ''' from same directory, but ' || modname || '.py is moving to ' || {_parent_sql('o_target')} || '/' END AS reason,
+  CASE WHEN o_target IS NULL THEN {_t(K.IMPORT_SIBLING_STAYS, module='modname', source_dir='src_dir')}
+       ELSE {_t(K.IMPORT_SIBLING_MOVES, module='modname', file="modname || '.py'", other_dir=_parent_sql('o_target'))} END AS reason,
   cand AS affected
 FROM (SELECT x.*, o.target AS o_target
       FROM (SELECT *, split_part(module, '.', 1) AS modname,
@@ -595,10 +611,12 @@ FROM (SELECT *, CASE WHEN src_dir = '.' THEN '' ELSE src_dir || '/' END || split
       FROM mst WHERE is_relative AND src_dir <> tgt_dir AND module <> '') x""")
 _o("P17_import_text", ["ostmts"], f"""
 SELECT repo_id, relative_path, CAST(stmt_no AS BIGINT) AS stmt_no, {_itext} AS import_text FROM ostmts""")
-_o("P18_import_warning_text", ["warnings"], """
+_o("P18_import_warning_text", ["warnings"], f"""
 SELECT repo_id, move_ord, stmt_no, source,
-  concat_ws(chr(10), '[!] Import Risk in ' || source || ':', '    Line ' || CAST(line_number AS VARCHAR) || ': ' || import_text,
-            '    Risk: ' || reason, CASE WHEN affected <> '' THEN '    Affected: ' || affected END) AS text
+  concat_ws(chr(10), {_t(K.WARNING_HEAD, source='source')},
+            {_t(K.WARNING_LINE, line='CAST(line_number AS VARCHAR)', statement='import_text')},
+            {_t(K.WARNING_RISK, reason='reason')},
+            CASE WHEN affected <> '' THEN {_t(K.WARNING_AFFECTED, files='affected')} END) AS text
 FROM warnings""")
 _o("A18_warning_counts", ["repo_list", "warnings"], """
 SELECT r.repo_id, CAST(coalesce(w.n, 0) AS BIGINT) AS import_warnings_count
@@ -616,12 +634,12 @@ WHERE EXISTS (SELECT 1 FROM repos r WHERE r.repo_id = m.repo_id AND r.is_git)
   AND EXISTS (SELECT 1 FROM git_tracked g WHERE g.repo_id = m.repo_id AND g.relative_path = m.source)""")
 _o("P20_parse_git_status", ["unc"], "SELECT repo_id, line_no, status, path FROM unc")
 _o("J8_tracked_moves", ["tmoves"], "SELECT repo_id, CAST(ord AS BIGINT) AS ord, source, target FROM tmoves")
-_o("A15_git_warnings", ["unc", "tmoves"], """
-SELECT repo_id, 'uncommitted' AS warning_type, 'Uncommitted changes detected' AS message,
+_o("A15_git_warnings", ["unc", "tmoves"], f"""
+SELECT repo_id, 'uncommitted' AS warning_type, {_t(K.GIT_UNCOMMITTED)} AS message,
        array_to_string(list(path ORDER BY line_no)[1:5], '|') AS details, count(*) AS total
 FROM unc GROUP BY repo_id
 UNION ALL
-SELECT repo_id, 'tracked_files', CAST(count(*) AS VARCHAR) || ' files to move are Git-tracked',
+SELECT repo_id, 'tracked_files', {_t(K.GIT_TRACKED, n='CAST(count(*) AS VARCHAR)')},
        array_to_string(list(source ORDER BY phase, ord)[1:5], '|'), count(*)
 FROM tmoves GROUP BY repo_id""")
 
@@ -646,22 +664,22 @@ FROM conf_in""")
 L["conf2"] = (["conf"], f"""
 SELECT *, CASE WHEN score >= 70 THEN 'HIGH' WHEN score >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_level,
   concat_ws('|',
-    CASE WHEN repo_type = 'python_dominant' THEN 'Python-dominant repository'
-         WHEN repo_type <> 'non_python' THEN repo_type || ' repository' END,
-    CASE WHEN has_tests THEN 'Tests detected (easier to validate changes)' END,
-    CASE WHEN mv = 0 THEN 'No structural changes proposed'
-         WHEN mv <= 5 THEN 'Small number of changes (' || CAST(mv AS VARCHAR) || ' moves)' END,
-    CASE WHEN lo > 0 AND hi = 0 AND me = 0 THEN 'All moves are low-risk (' || CAST(lo AS VARCHAR) || ' moves)' END,
-    CASE WHEN w = 0 AND mv > 0 THEN 'No import breakage warnings' END,
-    CASE WHEN is_dry_run THEN 'Dry-run mode (simulation only)' END) AS positive_factors,
+    CASE WHEN repo_type = 'python_dominant' THEN {_t(K.FACTOR_PYTHON)}
+         WHEN repo_type <> 'non_python' THEN {_t(K.FACTOR_OTHER_TYPE, repo_type='repo_type')} END,
+    CASE WHEN has_tests THEN {_t(K.FACTOR_TESTS)} END,
+    CASE WHEN mv = 0 THEN {_t(K.FACTOR_NO_MOVES)}
+         WHEN mv <= 5 THEN {_t(K.FACTOR_FEW_MOVES, n='CAST(mv AS VARCHAR)')} END,
+    CASE WHEN lo > 0 AND hi = 0 AND me = 0 THEN {_t(K.FACTOR_ALL_LOW, n='CAST(lo AS VARCHAR)')} END,
+    CASE WHEN w = 0 AND mv > 0 THEN {_t(K.FACTOR_NO_WARNINGS)} END,
+    CASE WHEN is_dry_run THEN {_t(K.FACTOR_DRY_RUN)} END) AS positive_factors,
   concat_ws('|',
-    CASE WHEN repo_type = 'non_python' THEN 'Non-Python repository (higher risk)' END,
-    CASE WHEN NOT has_tests AND mv > 0 THEN 'No tests detected (harder to validate)' END,
-    CASE WHEN mv > 15 THEN 'Large number of changes (' || CAST(mv AS VARCHAR) || ' moves)'
-         WHEN mv > 5 THEN 'Moderate number of changes (' || CAST(mv AS VARCHAR) || ' moves)' END,
-    CASE WHEN hi > 0 THEN CAST(hi AS VARCHAR) || ' high-risk moves' END,
-    CASE WHEN me > 0 THEN CAST(me AS VARCHAR) || ' medium-risk moves' END,
-    CASE WHEN w > 0 THEN CAST(w AS VARCHAR) || ' potential import breakage(s)' END) AS risk_factors
+    CASE WHEN repo_type = 'non_python' THEN {_t(K.FACTOR_NON_PYTHON)} END,
+    CASE WHEN NOT has_tests AND mv > 0 THEN {_t(K.FACTOR_NO_TESTS)} END,
+    CASE WHEN mv > 15 THEN {_t(K.FACTOR_MANY_MOVES, n='CAST(mv AS VARCHAR)')}
+         WHEN mv > 5 THEN {_t(K.FACTOR_SOME_MOVES, n='CAST(mv AS VARCHAR)')} END,
+    CASE WHEN hi > 0 THEN {_t(K.FACTOR_HIGH, n='CAST(hi AS VARCHAR)')} END,
+    CASE WHEN me > 0 THEN {_t(K.FACTOR_MEDIUM, n='CAST(me AS VARCHAR)')} END,
+    CASE WHEN w > 0 THEN {_t(K.FACTOR_WARNINGS, n='CAST(w AS VARCHAR)')} END) AS risk_factors
 FROM conf""")
 _interp = "CASE confidence_level " + " ".join(f"WHEN {_q(l)} THEN {_q(x)}" for l, x in K.INTERPRETATIONS) + " END"
 _o("A13_confidence", ["conf2"], """
@@ -715,11 +733,11 @@ _o("L2_limit_affected", ["cut"], "SELECT * FROM cut")
 _o("T1_tree_nodes", ["tnodes"], "SELECT repo_id, side, node, parent, CAST(depth AS BIGINT) AS depth, is_file FROM tnodes")
 _o("T2_tree_lines", ["tlines"], "SELECT repo_id, side, CAST(line_no AS BIGINT) AS line_no, node, is_last, text FROM tlines")
 _o("W4_last_sibling", ["tlines0"], "SELECT repo_id, side, node, is_last FROM tlines0")
-ORACLE["T3_tree_diff"] = layers("tlines", "moves") + """
+ORACLE["T3_tree_diff"] = layers("tlines", "moves") + f"""
 , heads AS (SELECT DISTINCT repo_id, side, affected_total FROM cut WHERE repo_id IN (SELECT repo_id FROM moves))
 SELECT repo_id, side, CAST(0 AS BIGINT) AS line_no, '.' AS text FROM heads
 UNION ALL SELECT repo_id, side, CAST(line_no AS BIGINT), text FROM tlines WHERE repo_id IN (SELECT repo_id FROM moves)
-UNION ALL SELECT repo_id, side, CAST(1000000000 AS BIGINT), '... showing 50 of ' || CAST(affected_total AS VARCHAR) || ' affected files'
+UNION ALL SELECT repo_id, side, CAST(1000000000 AS BIGINT), {_t(K.TREE_NOTE, shown="'50'", total='CAST(affected_total AS VARCHAR)')}
 FROM heads WHERE affected_total > 50"""
 L["newdirs"] = (["moves"], """
 SELECT DISTINCT repo_id, array_to_string(string_split(target, '/')[1:k], '/') AS directory
@@ -735,10 +753,10 @@ SELECT r.repo_id,
   CAST((SELECT count(*) FROM props p WHERE p.repo_id = r.repo_id AND action = 'flag' AND contains(reason, 'Duplicate filename:')) AS BIGINT) AS duplicate_groups,
   CAST((SELECT count(*) FROM newdirs d WHERE d.repo_id = r.repo_id) AS BIGINT) AS new_directories
 FROM repo_list r""")
-_o("L3_first_k_lists", ["newdirs"], """
+_o("L3_first_k_lists", ["newdirs"], f"""
 SELECT repo_id, CAST(count(*) AS BIGINT) AS new_directories,
   array_to_string(list(directory ORDER BY directory)[1:5], ', ')
-  || CASE WHEN count(*) > 5 THEN ' (+' || CAST(count(*) - 5 AS VARCHAR) || ' more)' ELSE '' END AS preview
+  || CASE WHEN count(*) > 5 THEN {_t(K.NEW_DIRS_MORE, n='CAST(count(*) - 5 AS VARCHAR)')} ELSE '' END AS preview
 FROM newdirs GROUP BY repo_id""")
 
 
@@ -752,23 +770,23 @@ SELECT DISTINCT repo_id, array_to_string(string_split(relative_path, '/')[1:k],
 FROM (SELECT repo_id, relative_path, unnest(range(1, len(string_split(relative_path, '/')))) AS k FROM inv)""")
 L["dry"] = (["approved", "inv", "inv_dirs"], f"""
 SELECT repo_id, ord, action, source, target, err IS NULL AS success, false AS skipped,
-  CASE WHEN err IS NULL THEN '[DRY-RUN] Would move ' || source || ' -> ' || target ELSE 'Validation failed: ' || err END AS message
+  CASE WHEN err IS NULL THEN {_t(K.MSG_DRY_RUN_MOVE, source='source', target='target')} ELSE {_t(K.MSG_VALIDATION_FAILED, error='err')} END AS message
 FROM (
  SELECT a.*, CASE
-   WHEN source IS NULL THEN 'Source path is None'
-   WHEN target IS NULL THEN 'Target path is None'
+   WHEN source IS NULL THEN {_t(K.MSG_NO_SOURCE)}
+   WHEN target IS NULL THEN {_t(K.MSG_NO_TARGET)}
    WHEN NOT EXISTS (SELECT 1 FROM inv i WHERE i.repo_id = a.repo_id AND i.relative_path = a.source)
     AND NOT EXISTS (SELECT 1 FROM inv_dirs d WHERE d.repo_id = a.repo_id AND d.path = a.source)
-     THEN 'Source file does not exist: ' || repo_id || '/' || source
+     THEN {_t(K.MSG_SOURCE_MISSING, path="repo_id || '/' || source")}
    WHEN NOT EXISTS (SELECT 1 FROM inv i WHERE i.repo_id = a.repo_id AND i.relative_path = a.source)
-     THEN 'Source is not a file: ' || repo_id || '/' || source
+     THEN {_t(K.MSG_SOURCE_NOT_FILE, path="repo_id || '/' || source")}
    WHEN EXISTS (SELECT 1 FROM inv i WHERE i.repo_id = a.repo_id AND i.relative_path = a.target)
      OR EXISTS (SELECT 1 FROM inv_dirs d WHERE d.repo_id = a.repo_id AND d.path = a.target)
-     THEN 'Target already exists (conflict): ' || repo_id || '/' || target
+     THEN {_t(K.MSG_TARGET_EXISTS, path="repo_id || '/' || target")}
    WHEN contains(target, '/')
      AND EXISTS (SELECT 1 FROM inv i WHERE i.repo_id = a.repo_id AND i.relative_path = {_parent_sql('a.target')})
      AND NOT EXISTS (SELECT 1 FROM inv_dirs d WHERE d.repo_id = a.repo_id AND d.path = {_parent_sql('a.target')})
-     THEN 'Target parent exists but is not a directory: ' || repo_id || '/' || {_parent_sql('a.target')}
+     THEN {_t(K.MSG_PARENT_NOT_DIR, path="repo_id || '/' || " + _parent_sql('a.target'))}
    END AS err
  FROM approved a WHERE approved) x""")
 _RCOLS = "repo_id, CAST(ord AS BIGINT) AS ord, action, source, target, success, skipped, message"
@@ -778,7 +796,7 @@ _o("J10_validate_moves", ["dry"], f"SELECT {_RCOLS} FROM dry")
 _o("P22_result_message", ["dry", "props"], f"""
 SELECT {_RCOLS} FROM dry
 UNION ALL SELECT repo_id, CAST(ord AS BIGINT), action, source, target, false, true,
-  'Unsupported action: ' || action || ' (only MOVE supported in V2.1)' FROM props WHERE action <> 'move'""")
+  {_t(K.MSG_UNSUPPORTED, action='action')} FROM props WHERE action <> 'move'""")
 _o("A16_execution_summary", ["dry"], """
 SELECT repo_id, count(*) AS total, count(*) FILTER (WHERE success) AS successful,
        count(*) FILTER (WHERE NOT success AND NOT skipped) AS failed, count(*) FILTER (WHERE skipped) AS skipped
@@ -798,9 +816,9 @@ FROM (SELECT repo_id, relative_path, unnest(range(1, len(string_split(relative_p
 def _rb_dry(src: str) -> str:
     return f"""
 SELECT * EXCLUDE (success), ok_t AND ok_s AS success,
-  CASE WHEN NOT ok_t THEN 'Rollback validation failed: Target file does not exist: ' || repo_id || '/' || target
-       WHEN NOT ok_s THEN 'Rollback validation failed: Source location already exists (conflict): ' || repo_id || '/' || source
-       ELSE '[DRY-RUN] Would rollback ' || target || ' -> ' || source END AS message
+  CASE WHEN NOT ok_t THEN {_t(K.MSG_ROLLBACK_TARGET_MISSING, path="repo_id || '/' || target")}
+       WHEN NOT ok_s THEN {_t(K.MSG_ROLLBACK_SOURCE_EXISTS, path="repo_id || '/' || source")}
+       ELSE {_t(K.MSG_DRY_RUN_ROLLBACK, source='target', target='source')} END AS message
 FROM (SELECT u.*,
   EXISTS (SELECT 1 FROM history_files f WHERE f.repo_id = u.repo_id AND f.relative_path = u.target)
    OR EXISTS (SELECT 1 FROM hf_dirs d WHERE d.repo_id = u.repo_id AND d.path = u.target) AS ok_t,

@@ -1,6 +1,5 @@
 """P3 parse facts and the import-breakage warnings."""
 
-from pyspark.sql import functions as F
 
 from helpers import raw_df
 from treeline.operators import facts as FA

@@ -7,7 +7,6 @@ The same check the driver runs at sf0.01; queries without an oracle
 import os
 import sys
 
-import pytest
 
 from conftest import ROOT, SF_SMALL
 

@@ -2,7 +2,6 @@
 
 import random
 
-from pyspark.sql import functions as F
 
 from treeline.operators import confidence as CF
 from treeline.operators import preview as PV

@@ -6,7 +6,6 @@ repository is replayed in one pass, which is the reference's semantics.
 
 import random
 
-from pyspark.sql import functions as F
 
 from treeline.operators import history as HI
 from treeline.operators import moves as MV

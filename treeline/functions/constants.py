@@ -133,3 +133,97 @@ INTERPRETATIONS = [
     ("MEDIUM", "Interpretation: Review changes carefully before applying."),
     ("LOW", "Interpretation: High risk - consider smaller batches or manual review."),
 ]
+
+# --- fixed values: message templates ({name} marks a value) -----------------
+# move reasons, by category, in the order the sentences are tested
+REASON_TEST_FUNCTIONS = "Contains test functions or test classes (pytest/unittest pattern detected)"
+REASON_TEST_IMPORTS = "Imports testing frameworks: {frameworks}"
+REASON_TEST_NAMING = "Follows test file naming convention"
+REASON_TEST_LOCATION = "Currently located in {location}, should be in tests/ directory"
+REASON_SRC_IMPORTS = "Contains {n} imports, indicating application logic"
+REASON_SRC_MANY = "Multiple dependencies suggest core application module"
+REASON_SRC_LIBRARY = "Non-executable library code (not a script)"
+REASON_SRC_ROOT = "Python modules should be organized under src/ or package directory"
+REASON_SCRIPT_MAIN = "Contains __main__ block, indicating executable entry point"
+REASON_SCRIPT_NAME = "Common script name pattern detected"
+REASON_SCRIPT_ROOT = "Executable scripts should be organized in scripts/ directory"
+REASON_CONFIG_KIND = "Configuration file: {kind}"
+REASON_CONFIG_DEFAULT = "Configuration file detected by naming pattern"
+REASON_CONFIG_ROOT = "Standard root-level configuration file"
+REASON_CONFIG_MOVE = "Should be organized in configs/ directory"
+REASON_EXPERIMENT_NAME = "Temporary or experimental file naming pattern"
+REASON_EXPERIMENT_PLAYGROUND = "Located in experimental/playground area"
+REASON_EXPERIMENT_ADVICE = "Consider moving to experiments/ or removing if obsolete"
+REASON_README = "Primary project README - should remain at repository root"
+REASON_MARKDOWN = "Markdown documentation file"
+REASON_MARKDOWN_ROOT = "Documentation files should be organized in docs/ directory"
+REASON_DATA_KIND = "Data file: {kind}"
+REASON_DATA_DEFAULT = "Data file detected"
+REASON_DATA_ROOT = "Data files should be organized in data/ directory"
+REASON_FALLBACK = "Classified as {category} based on file analysis"
+ROOT_LOCATION = "repository root"
+ROOT_DETAIL_LOCATION = "root"
+# duplicate groups
+DUPLICATE_REASON = "Duplicate filename: {n} files named '{name}'"
+DUPLICATE_REMAINING = "+{n} more"
+# import warnings
+IMPORT_RELATIVE = "Relative import will break when moving from {source_dir}/ to {target_dir}/"
+IMPORT_SIBLING_STAYS = "Importing '{module}' from current directory, but moving away from {source_dir}/"
+IMPORT_SIBLING_MOVES = "Importing '{module}' from same directory, but {file} is moving to {other_dir}/"
+# version control
+GIT_UNCOMMITTED = "Uncommitted changes detected"
+GIT_TRACKED = "{n} files to move are Git-tracked"
+# confidence factors
+FACTOR_PYTHON = "Python-dominant repository"
+FACTOR_OTHER_TYPE = "{repo_type} repository"
+FACTOR_NON_PYTHON = "Non-Python repository (higher risk)"
+FACTOR_TESTS = "Tests detected (easier to validate changes)"
+FACTOR_NO_TESTS = "No tests detected (harder to validate)"
+FACTOR_NO_MOVES = "No structural changes proposed"
+FACTOR_FEW_MOVES = "Small number of changes ({n} moves)"
+FACTOR_SOME_MOVES = "Moderate number of changes ({n} moves)"
+FACTOR_MANY_MOVES = "Large number of changes ({n} moves)"
+FACTOR_HIGH = "{n} high-risk moves"
+FACTOR_MEDIUM = "{n} medium-risk moves"
+FACTOR_ALL_LOW = "All moves are low-risk ({n} moves)"
+FACTOR_WARNINGS = "{n} potential import breakage(s)"
+FACTOR_NO_WARNINGS = "No import breakage warnings"
+FACTOR_DRY_RUN = "Dry-run mode (simulation only)"
+# execution and rollback
+MSG_NO_SOURCE = "Source path is None"
+MSG_NO_TARGET = "Target path is None"
+MSG_SOURCE_MISSING = "Source file does not exist: {path}"
+MSG_SOURCE_NOT_FILE = "Source is not a file: {path}"
+MSG_TARGET_EXISTS = "Target already exists (conflict): {path}"
+MSG_PARENT_NOT_DIR = "Target parent exists but is not a directory: {path}"
+MSG_VALIDATION_FAILED = "Validation failed: {error}"
+MSG_DRY_RUN_MOVE = "[DRY-RUN] Would move {source} -> {target}"
+MSG_MOVED = "Moved {source} -> {target}"
+MSG_UNSUPPORTED = "Unsupported action: {action} (only MOVE supported in V2.1)"
+MSG_ROLLBACK_TARGET_MISSING = "Rollback validation failed: Target file does not exist: {path}"
+MSG_ROLLBACK_SOURCE_EXISTS = "Rollback validation failed: Source location already exists (conflict): {path}"
+MSG_DRY_RUN_ROLLBACK = "[DRY-RUN] Would rollback {source} -> {target}"
+MSG_ROLLED_BACK = "Rolled back {source} -> {target}"
+MSG_EXEC_FAILED = "Failed to execute: {error}"
+MSG_ROLLBACK_FAILED = "Rollback failed: {error}"
+# (the reference puts the operating system's error text in {error}; ours is this fixed text)
+MSG_NOT_A_DIRECTORY = "Not a directory: {path}"
+ROLLBACK_REASON = "Rollback of {source} -> {target}"
+# printed forms
+IMPORT_FROM = "from {dots}{module} import {names}"
+IMPORT_PLAIN = "import {module}"
+WARNING_HEAD = "[!] Import Risk in {source}:"
+WARNING_LINE = "    Line {line}: {statement}"
+WARNING_RISK = "    Risk: {reason}"
+WARNING_AFFECTED = "    Affected: {files}"
+PROPOSAL_HEAD = "{ACTION}: {source}"
+PROPOSAL_TARGET = "    -> {target}"
+PROPOSAL_REASON = "REASON: {reason}"
+PROPOSAL_RISK = "RISK: {RISK}"
+PROPOSAL_EXAMPLES = "  Examples:"
+PROPOSAL_EXAMPLE = "    - {path}"
+PROPOSAL_REMAINING = "    ({remaining})"
+PROPOSAL_DETAIL = "  {key}: {value}"
+TREE_TEE, TREE_ELBOW, TREE_PIPE, TREE_SPACE = "├── ", "└── ", "│   ", "    "
+TREE_NOTE = "... showing {shown} of {total} affected files"
+NEW_DIRS_MORE = " (+{n} more)"

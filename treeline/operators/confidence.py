@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeline.functions import constants as K
 from treeline.functions import rules as R
+from treeline.functions.text import fmt
 
 
 def move_counts(proposals: DataFrame) -> DataFrame:
@@ -48,24 +50,23 @@ def confidence(types: DataFrame, summary: DataFrame, proposals: DataFrame,
     level = F.when(F.col("score") >= 70, "HIGH").when(F.col("score") >= 40, "MEDIUM").otherwise("LOW")
     n = lambda c: c.cast("string")
     positives = F.array_compact(F.array(
-        F.when(rt == "python_dominant", F.lit("Python-dominant repository"))
-         .when(rt != "non_python", F.concat(rt, F.lit(" repository"))),
-        F.when(tests, F.lit("Tests detected (easier to validate changes)")),
-        F.when(mv == 0, F.lit("No structural changes proposed"))
-         .when(mv <= 5, F.concat(F.lit("Small number of changes ("), n(mv), F.lit(" moves)"))),
-        F.when((lo > 0) & (hi == 0) & (me == 0),
-               F.concat(F.lit("All moves are low-risk ("), n(lo), F.lit(" moves)"))),
-        F.when((w == 0) & (mv > 0), F.lit("No import breakage warnings")),
-        F.when(F.col("is_dry_run"), F.lit("Dry-run mode (simulation only)")),
+        F.when(rt == "python_dominant", F.lit(K.FACTOR_PYTHON))
+         .when(rt != "non_python", fmt(K.FACTOR_OTHER_TYPE, repo_type=rt)),
+        F.when(tests, F.lit(K.FACTOR_TESTS)),
+        F.when(mv == 0, F.lit(K.FACTOR_NO_MOVES))
+         .when(mv <= 5, fmt(K.FACTOR_FEW_MOVES, n=n(mv))),
+        F.when((lo > 0) & (hi == 0) & (me == 0), fmt(K.FACTOR_ALL_LOW, n=n(lo))),
+        F.when((w == 0) & (mv > 0), F.lit(K.FACTOR_NO_WARNINGS)),
+        F.when(F.col("is_dry_run"), F.lit(K.FACTOR_DRY_RUN)),
     ))
     risks = F.array_compact(F.array(
-        F.when(rt == "non_python", F.lit("Non-Python repository (higher risk)")),
-        F.when(~tests & (mv > 0), F.lit("No tests detected (harder to validate)")),
-        F.when((mv > 5) & (mv <= 15), F.concat(F.lit("Moderate number of changes ("), n(mv), F.lit(" moves)")))
-         .when(mv > 15, F.concat(F.lit("Large number of changes ("), n(mv), F.lit(" moves)"))),
-        F.when(hi > 0, F.concat(n(hi), F.lit(" high-risk moves"))),
-        F.when(me > 0, F.concat(n(me), F.lit(" medium-risk moves"))),
-        F.when(w > 0, F.concat(n(w), F.lit(" potential import breakage(s)"))),
+        F.when(rt == "non_python", F.lit(K.FACTOR_NON_PYTHON)),
+        F.when(~tests & (mv > 0), F.lit(K.FACTOR_NO_TESTS)),
+        F.when((mv > 5) & (mv <= 15), fmt(K.FACTOR_SOME_MOVES, n=n(mv)))
+         .when(mv > 15, fmt(K.FACTOR_MANY_MOVES, n=n(mv))),
+        F.when(hi > 0, fmt(K.FACTOR_HIGH, n=n(hi))),
+        F.when(me > 0, fmt(K.FACTOR_MEDIUM, n=n(me))),
+        F.when(w > 0, fmt(K.FACTOR_WARNINGS, n=n(w))),
     ))
     return t.select(
         "repo_id", level.alias("confidence_level"), "score",

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeline.functions import constants as K
+from treeline.functions.text import fmt
 from treeline.operators.ordering import first_k
 
 _WS = r"^\s+|\s+$"
@@ -51,7 +53,7 @@ def git_warnings(moves: DataFrame, git_status: DataFrame, git_tracked: DataFrame
         F.array_sort(F.collect_list(F.struct("rn", "path"))).alias("d"))
     uncommitted = unc_total.join(unc_first, "repo_id").select(
         "repo_id", F.lit("uncommitted").alias("warning_type"),
-        F.lit("Uncommitted changes detected").alias("message"),
+        F.lit(K.GIT_UNCOMMITTED).alias("message"),
         F.transform("d", lambda x: x["path"]).alias("details"), "total")
 
     tm = tracked_moves(moves, git_tracked, repos)
@@ -60,6 +62,6 @@ def git_warnings(moves: DataFrame, git_status: DataFrame, git_tracked: DataFrame
         F.array_sort(F.collect_list(F.struct("rn", "source"))).alias("d"))
     tracked = tm_total.join(tm_first, "repo_id").select(
         "repo_id", F.lit("tracked_files").alias("warning_type"),
-        F.concat(F.col("total").cast("string"), F.lit(" files to move are Git-tracked")).alias("message"),
+        fmt(K.GIT_TRACKED, n=F.col("total").cast("string")).alias("message"),
         F.transform("d", lambda x: x["source"]).alias("details"), "total")
     return uncommitted.unionByName(tracked)

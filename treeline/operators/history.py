@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from treeline.functions import constants as K
+from treeline.functions.text import fmt, render
 from treeline.operators.components import components, move_edges
 from treeline.operators.moves import _ancestors_of, attach_states, replay_buckets
 from treeline.operators.ordering import first_k
@@ -49,7 +51,7 @@ def _rollback_record(df: DataFrame) -> DataFrame:
         F.lit("move").alias("action"),
         F.col("target").alias("source"), F.col("source").alias("target"),
         "success", F.lit(False).alias("skipped"), "message", F.lit("high").alias("risk"),
-        F.concat(F.lit("Rollback of "), F.col("source"), F.lit(" -> "), F.col("target")).alias("reason"))
+        fmt(K.ROLLBACK_REASON, source=F.col("source"), target=F.col("target")).alias("reason"))
 
 
 def fail_fast(results: DataFrame) -> DataFrame:
@@ -69,13 +71,10 @@ def rollback_dry_run(history: DataFrame, disk: DataFrame, n: int | None) -> Data
     sel = _rollback_states(last_moves(history, n), disk)
     ok_target = F.col("tgt_file") | F.col("tgt_dir")
     ok_source = ~(F.col("src_file") | F.col("src_dir"))
-    msg = (F.when(~ok_target, F.concat(F.lit("Rollback validation failed: Target file does not exist: "),
-                                       F.col("repo_id"), F.lit("/"), F.col("target")))
-           .when(~ok_source, F.concat(
-               F.lit("Rollback validation failed: Source location already exists (conflict): "),
-               F.col("repo_id"), F.lit("/"), F.col("source")))
-           .otherwise(F.concat(F.lit("[DRY-RUN] Would rollback "), F.col("target"), F.lit(" -> "),
-                               F.col("source"))))
+    full = lambda c: F.concat(F.col("repo_id"), F.lit("/"), F.col(c))
+    msg = (F.when(~ok_target, fmt(K.MSG_ROLLBACK_TARGET_MISSING, path=full("target")))
+           .when(~ok_source, fmt(K.MSG_ROLLBACK_SOURCE_EXISTS, path=full("source")))
+           .otherwise(fmt(K.MSG_DRY_RUN_ROLLBACK, source=F.col("target"), target=F.col("source"))))
     res = sel.withColumn("success", ok_target & ok_source).withColumn("message", msg)
     return _rollback_record(fail_fast(res))
 
@@ -109,23 +108,23 @@ def _undo_component(pdf: pd.DataFrame) -> list[tuple]:
         back_from, back_to = r.target, r.source
         if state.get(back_from) is None:
             out.append((r.repo_id, r.seq, False,
-                        f"Rollback validation failed: Target file does not exist: {r.repo_id}/{back_from}"))
+                        render(K.MSG_ROLLBACK_TARGET_MISSING, path=f"{r.repo_id}/{back_from}")))
             continue
         if state.get(back_to) is not None:
             out.append((r.repo_id, r.seq, False,
-                        "Rollback validation failed: Source location already exists (conflict): "
-                        f"{r.repo_id}/{back_to}"))
+                        render(K.MSG_ROLLBACK_SOURCE_EXISTS, path=f"{r.repo_id}/{back_to}")))
             continue
         blocked = next((a for a in _ancestors_of(back_to) if state.get(a) == "file"), None)
         if blocked is not None:
-            out.append((r.repo_id, r.seq, False, f"Rollback failed: Not a directory: {r.repo_id}/{blocked}"))
+            out.append((r.repo_id, r.seq, False, render(
+                K.MSG_ROLLBACK_FAILED, error=render(K.MSG_NOT_A_DIRECTORY, path=f"{r.repo_id}/{blocked}"))))
             continue
         for a in _ancestors_of(back_to):
             state[a] = "dir"
         # the moved path keeps its kind; a directory's untracked contents are not followed
         state[back_to] = state[back_from]
         state[back_from] = None
-        out.append((r.repo_id, r.seq, True, f"Rolled back {back_from} -> {back_to}"))
+        out.append((r.repo_id, r.seq, True, render(K.MSG_ROLLED_BACK, source=back_from, target=back_to)))
     return out
 
 

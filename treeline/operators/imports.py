@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeline.functions import constants as K
 from treeline.functions import rules as R
+from treeline.functions.text import fmt
 
 
 def _parent(path: F.Column) -> F.Column:
@@ -57,8 +59,7 @@ def relative_import_risk(st: DataFrame, moves: DataFrame, raw: DataFrame) -> Dat
     hit = F.coalesce(F.col("on_disk"), F.lit(False)) | F.coalesce(F.col("is_moving"), F.lit(False))
     affected = F.when(F.col("first_file").isNotNull() & hit, F.array(F.col("first_file"))) \
                 .otherwise(F.array().cast("array<string>"))
-    reason = F.concat(F.lit("Relative import will break when moving from "), F.col("source_dir"),
-                      F.lit("/ to "), F.col("target_dir"), F.lit("/"))
+    reason = fmt(K.IMPORT_RELATIVE, source_dir=F.col("source_dir"), target_dir=F.col("target_dir"))
     return r.select("repo_id", "move_ord", "source", "stmt_no", "module", "is_relative", "level",
                     "line_number", "names", F.lit("relative").alias("kind"),
                     reason.alias("reason"), affected.alias("affected"))
@@ -78,11 +79,10 @@ def sibling_import_risk(st: DataFrame, moves: DataFrame, raw: DataFrame) -> Data
     moving_elsewhere = F.col("other_target").isNotNull() & (F.col("other_dir") != F.col("target_dir"))
     stays = F.col("other_target").isNull()
     a = a.filter(stays | moving_elsewhere)
-    reason = F.when(stays, F.concat(
-        F.lit("Importing '"), F.col("mod"), F.lit("' from current directory, but moving away from "),
-        F.col("source_dir"), F.lit("/"))).otherwise(F.concat(
-        F.lit("Importing '"), F.col("mod"), F.lit("' from same directory, but "),
-        F.col("mod"), F.lit(".py is moving to "), F.col("other_dir"), F.lit("/")))
+    reason = F.when(stays, fmt(K.IMPORT_SIBLING_STAYS, module=F.col("mod"),
+                               source_dir=F.col("source_dir"))) \
+              .otherwise(fmt(K.IMPORT_SIBLING_MOVES, module=F.col("mod"),
+                             file=F.concat(F.col("mod"), F.lit(".py")), other_dir=F.col("other_dir")))
     return a.select("repo_id", "move_ord", "source", "stmt_no", "module", "is_relative", "level",
                     "line_number", "names", F.lit("sibling").alias("kind"), reason.alias("reason"),
                     F.array(F.col("candidate")).alias("affected"))
@@ -100,12 +100,11 @@ def import_warnings(moves: DataFrame, files: DataFrame, raw: DataFrame) -> DataF
 def warning_text(warnings: DataFrame) -> DataFrame:
     """The printed warning (first three affected files)."""
     lines = F.array_compact(F.array(
-        F.concat(F.lit("[!] Import Risk in "), F.col("source"), F.lit(":")),
-        F.concat(F.lit("    Line "), F.col("line_number").cast("string"), F.lit(": "),
-                 F.col("import_text")),
-        F.concat(F.lit("    Risk: "), F.col("reason")),
+        fmt(K.WARNING_HEAD, source=F.col("source")),
+        fmt(K.WARNING_LINE, line=F.col("line_number").cast("string"), statement=F.col("import_text")),
+        fmt(K.WARNING_RISK, reason=F.col("reason")),
         F.when(F.size("affected") > 0,
-               F.concat(F.lit("    Affected: "), F.array_join(F.slice("affected", 1, 3), ", ")))))
+               fmt(K.WARNING_AFFECTED, files=F.array_join(F.slice("affected", 1, 3), ", ")))))
     return warnings.select("repo_id", "move_ord", "stmt_no", "source",
                            F.array_join(lines, "\n").alias("text"))
 

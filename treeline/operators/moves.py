@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from treeline.functions import constants as K
+from treeline.functions.text import fmt, render
 from treeline.operators.components import ancestors, components, move_edges
 from treeline.session import checkpoint_dir
 
@@ -113,16 +115,13 @@ def _with_states(mv: DataFrame, disk: DataFrame) -> DataFrame:
 def validation_error(with_states: DataFrame) -> F.Column:
     """The first failing check, in the reference's order (null when valid)."""
     s, t = F.col("source"), F.col("target")
-    return (F.when(s.isNull(), F.lit("Source path is None"))
-            .when(t.isNull(), F.lit("Target path is None"))
-            .when(~F.col("src_file") & ~F.col("src_dir"),
-                  F.concat(F.lit("Source file does not exist: "), _full(s)))
-            .when(~F.col("src_file"), F.concat(F.lit("Source is not a file: "), _full(s)))
-            .when(F.col("tgt_file") | F.col("tgt_dir"),
-                  F.concat(F.lit("Target already exists (conflict): "), _full(t)))
+    return (F.when(s.isNull(), F.lit(K.MSG_NO_SOURCE))
+            .when(t.isNull(), F.lit(K.MSG_NO_TARGET))
+            .when(~F.col("src_file") & ~F.col("src_dir"), fmt(K.MSG_SOURCE_MISSING, path=_full(s)))
+            .when(~F.col("src_file"), fmt(K.MSG_SOURCE_NOT_FILE, path=_full(s)))
+            .when(F.col("tgt_file") | F.col("tgt_dir"), fmt(K.MSG_TARGET_EXISTS, path=_full(t)))
             .when(F.col("par_file") & ~F.col("par_dir"),
-                  F.concat(F.lit("Target parent exists but is not a directory: "),
-                           _full(F.col("tparent")))))
+                  fmt(K.MSG_PARENT_NOT_DIR, path=_full(F.col("tparent")))))
 
 
 def validate_moves(approved: DataFrame, disk: DataFrame) -> DataFrame:
@@ -133,9 +132,8 @@ def validate_moves(approved: DataFrame, disk: DataFrame) -> DataFrame:
     return mv.select(
         "repo_id", "phase", "ord", "action", "source", "target", "risk",
         err.isNull().alias("success"), F.lit(False).alias("skipped"),
-        F.when(err.isNull(), F.concat(F.lit("[DRY-RUN] Would move "), F.col("source"), F.lit(" -> "),
-                                      F.col("target")))
-         .otherwise(F.concat(F.lit("Validation failed: "), err)).alias("message"))
+        F.when(err.isNull(), fmt(K.MSG_DRY_RUN_MOVE, source=F.col("source"), target=F.col("target")))
+         .otherwise(fmt(K.MSG_VALIDATION_FAILED, error=err)).alias("message"))
 
 
 def unsupported_results(proposals: DataFrame) -> DataFrame:
@@ -143,8 +141,7 @@ def unsupported_results(proposals: DataFrame) -> DataFrame:
     return proposals.filter(F.col("action") != "move").select(
         "repo_id", "phase", "ord", "action", "source", "target", "risk",
         F.lit(False).alias("success"), F.lit(True).alias("skipped"),
-        F.concat(F.lit("Unsupported action: "), F.col("action"),
-                 F.lit(" (only MOVE supported in V2.1)")).alias("message"))
+        fmt(K.MSG_UNSUPPORTED, action=F.col("action")).alias("message"))
 
 
 def execution_summary(results: DataFrame) -> DataFrame:
@@ -198,36 +195,32 @@ def _replay_component(pdf: pd.DataFrame) -> list[tuple]:
     for r in rows:
         repo, s, t = r.repo_id, r.source, r.target
 
-        def full(p):
-            return f"{repo}/{p}"
+        def fail(template, **kw):
+            out.append((repo, r.node, False, render(K.MSG_VALIDATION_FAILED, error=render(template, **kw))))
+
         if s is None:
-            out.append((repo, r.node, False, "Validation failed: Source path is None")); continue
+            fail(K.MSG_NO_SOURCE); continue
         if t is None:
-            out.append((repo, r.node, False, "Validation failed: Target path is None")); continue
+            fail(K.MSG_NO_TARGET); continue
         if state.get(s) is None:
-            out.append((repo, r.node, False, f"Validation failed: Source file does not exist: {full(s)}"))
-            continue
+            fail(K.MSG_SOURCE_MISSING, path=f"{repo}/{s}"); continue
         if state.get(s) != "file":
-            out.append((repo, r.node, False, f"Validation failed: Source is not a file: {full(s)}"))
-            continue
+            fail(K.MSG_SOURCE_NOT_FILE, path=f"{repo}/{s}"); continue
         if state.get(t) is not None:
-            out.append((repo, r.node, False,
-                        f"Validation failed: Target already exists (conflict): {full(t)}"))
-            continue
+            fail(K.MSG_TARGET_EXISTS, path=f"{repo}/{t}"); continue
         parent = r.tparent
         if parent is not None and state.get(parent) == "file":
-            out.append((repo, r.node, False,
-                        f"Validation failed: Target parent exists but is not a directory: {full(parent)}"))
-            continue
+            fail(K.MSG_PARENT_NOT_DIR, path=f"{repo}/{parent}"); continue
         blocked = next((a for a in _ancestors_of(t) if state.get(a) == "file"), None)
         if blocked is not None:
-            out.append((repo, r.node, False, f"Failed to execute: Not a directory: {full(blocked)}"))
+            out.append((repo, r.node, False, render(
+                K.MSG_EXEC_FAILED, error=render(K.MSG_NOT_A_DIRECTORY, path=f"{repo}/{blocked}"))))
             continue
         for a in _ancestors_of(t):
             state[a] = "dir"
         state[s] = None
         state[t] = "file"
-        out.append((repo, r.node, True, f"Moved {s} -> {t}"))
+        out.append((repo, r.node, True, render(K.MSG_MOVED, source=s, target=t)))
     return out
 
 
@@ -285,19 +278,19 @@ def _resolve_simple(mv: DataFrame) -> DataFrame:
     """Set-based outcome of simple groups: the first move that passes the checks
     on the initial tree takes the target; every later valid one finds it taken."""
     err = validation_error(mv)
-    blocked = F.concat(F.lit("Failed to execute: Not a directory: "), _full(F.col("tanc_file")))
-    m = mv.withColumn("_err", F.when(err.isNotNull(), F.concat(F.lit("Validation failed: "), err))
+    blocked = fmt(K.MSG_EXEC_FAILED, error=fmt(K.MSG_NOT_A_DIRECTORY, path=_full(F.col("tanc_file"))))
+    m = mv.withColumn("_err", F.when(err.isNotNull(), fmt(K.MSG_VALIDATION_FAILED, error=err))
                                .when(F.col("tanc_file").isNotNull(), blocked))
     winner = m.filter(F.col("_err").isNull()).groupBy("repo_id", "target") \
               .agg(F.min("node").alias("_win"))
     m = m.join(winner, ["repo_id", "target"], "left")
-    taken = F.concat(F.lit("Validation failed: Target already exists (conflict): "), _full(F.col("target")))
+    taken = fmt(K.MSG_VALIDATION_FAILED, error=fmt(K.MSG_TARGET_EXISTS, path=_full(F.col("target"))))
     return m.select(
         "repo_id", "node",
         (F.col("_err").isNull() & (F.col("node") == F.col("_win"))).alias("success"),
         F.when(F.col("_err").isNotNull(), F.col("_err"))
          .when(F.col("node") == F.col("_win"),
-               F.concat(F.lit("Moved "), F.col("source"), F.lit(" -> "), F.col("target")))
+               fmt(K.MSG_MOVED, source=F.col("source"), target=F.col("target")))
          .otherwise(taken).alias("message"))
 
 

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.functions import constants as K
+from treeline.functions.text import fmt
 from treeline.operators.ordering import first_k
 
 MAX_FILES = 50
-PIPE, SPACE = "│   ", "    "
-TEE, ELBOW = "├── ", "└── "
+PIPE, SPACE, TEE, ELBOW = K.TREE_PIPE, K.TREE_SPACE, K.TREE_TEE, K.TREE_ELBOW
 
 
 def affected_files(proposals: DataFrame) -> DataFrame:
@@ -125,8 +125,7 @@ def tree_diff(proposals: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
     top = heads.select(*keys, F.lit(0).cast("bigint").alias("line_no"), F.lit(".").alias("text"))
     notes = heads.filter(F.col("affected_total") > max_files).select(
         *keys, F.lit(1_000_000_000).cast("bigint").alias("line_no"),
-        F.concat(F.lit(f"... showing {max_files} of "), F.col("affected_total").cast("string"),
-                 F.lit(" affected files")).alias("text"))
+        fmt(K.TREE_NOTE, shown=str(max_files), total=F.col("affected_total").cast("string")).alias("text"))
     return top.unionByName(lines).unionByName(notes)
 
 
@@ -164,7 +163,7 @@ def new_directories_preview(proposals: DataFrame, k: int = 5) -> DataFrame:
     total = nd.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
     first = first_k(nd, ["repo_id"], [F.col("directory")], k).groupBy("repo_id").agg(
         F.array_join(F.array_sort(F.collect_list("directory")), ", ").alias("head"))
-    text = F.concat(F.col("head"), F.when(F.col("n") > k, F.concat(
-        F.lit(" (+"), (F.col("n") - k).cast("string"), F.lit(" more)"))).otherwise(F.lit("")))
+    text = F.concat(F.col("head"), F.when(F.col("n") > k, fmt(K.NEW_DIRS_MORE, n=(F.col("n") - k).cast("string")))
+                    .otherwise(F.lit("")))
     return total.join(first, "repo_id").select(
         "repo_id", F.col("n").cast("bigint").alias("new_directories"), text.alias("preview"))

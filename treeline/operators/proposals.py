@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from treeline.functions import constants as K
 from treeline.functions import rules as R
+from treeline.functions.text import fmt
 from treeline.operators.ordering import first_k
 
 DETAILS_TYPE = T.StructType([
@@ -93,7 +94,7 @@ def per_file_proposals(files_typed: DataFrame) -> DataFrame:
                 F.lit("move").alias("action"), F.col("relative_path").alias("source"),
                 "target", R.move_reason().alias("reason"), R.move_risk().alias("risk"),
                 _details(category=F.col("category"),
-                         current_location=R.current_location("root")).alias("details"),
+                         current_location=R.current_location(K.ROOT_DETAIL_LOCATION)).alias("details"),
                 (F.col("repo_type") == "python_dominant").alias("_keep_move"))
     return moves.unionByName(trash.withColumn("_keep_move", F.lit(True)))
 
@@ -131,13 +132,13 @@ def duplicate_groups(files: DataFrame, types: DataFrame) -> DataFrame:
     low_first = F.lower(F.col("first_name"))
     g = g.filter(~F.exists("patterns", lambda p: low_first.contains(p)))
     remaining = F.when(F.col("total_count") > 3,
-                       F.concat(F.lit("+"), (F.col("total_count") - 3).cast("string"), F.lit(" more")))
+                       fmt(K.DUPLICATE_REMAINING, n=(F.col("total_count") - 3).cast("string")))
     return g.select(
         "repo_id", F.lit(2).alias("phase"), F.col("first_seq").alias("ord"),
         F.lit("flag").alias("action"), F.col("first_path").alias("source"),
         F.lit(None).cast("string").alias("target"),
-        F.concat(F.lit(K.DUPLICATE_PREFIX + " "), F.col("total_count").cast("string"),
-                 F.lit(" files named '"), F.col("first_name"), F.lit("'")).alias("reason"),
+        fmt(K.DUPLICATE_REASON, n=F.col("total_count").cast("string"),
+            name=F.col("first_name")).alias("reason"),
         R.duplicate_risk(F.col("first_name")).alias("risk"),
         _details(total_count=F.col("total_count"),
                  examples=F.transform("ex", lambda e: e["relative_path"]),

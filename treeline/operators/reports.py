@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from treeline.functions import constants as K
 from treeline.functions import rules as R
+from treeline.functions.text import fmt
 from treeline.operators.ordering import number_within
 
 
@@ -80,21 +81,19 @@ def proposal_text(proposals: DataFrame) -> DataFrame:
     """How one proposal prints (duplicate flags list examples + remaining)."""
     d = F.col("details")
     examples = F.concat(
-        F.array(F.lit("  Examples:")),
-        F.transform(d["examples"], lambda e: F.concat(F.lit("    - "), e)),
+        F.array(F.lit(K.PROPOSAL_EXAMPLES)),
+        F.transform(d["examples"], lambda e: fmt(K.PROPOSAL_EXAMPLE, path=e)),
         F.array_compact(F.array(F.when(d["remaining"].isNotNull(),
-                                       F.concat(F.lit("    ("), d["remaining"], F.lit(")"))))))
-    plain = F.array_compact(F.array(
-        F.when(d["category"].isNotNull(), F.concat(F.lit("  category: "), d["category"])),
-        F.when(d["current_location"].isNotNull(),
-               F.concat(F.lit("  current_location: "), d["current_location"])),
-        F.when(d["suggestion"].isNotNull(), F.concat(F.lit("  suggestion: "), d["suggestion"]))))
+                                       fmt(K.PROPOSAL_REMAINING, remaining=d["remaining"])))))
+    plain = F.array_compact(F.array(*[
+        F.when(d[key].isNotNull(), fmt(K.PROPOSAL_DETAIL, key=key, value=d[key]))
+        for key in ("category", "current_location", "suggestion")]))
     detail_lines = F.when(d["examples"].isNotNull(), examples).otherwise(plain)
     head = F.array_compact(F.array(
-        F.concat(F.upper("action"), F.lit(": "), F.col("source")),
-        F.when(F.col("target").isNotNull(), F.concat(F.lit("    -> "), F.col("target"))),
-        F.concat(F.lit("REASON: "), F.col("reason")),
-        F.concat(F.lit("RISK: "), F.upper("risk"))))
+        fmt(K.PROPOSAL_HEAD, ACTION=F.upper("action"), source=F.col("source")),
+        F.when(F.col("target").isNotNull(), fmt(K.PROPOSAL_TARGET, target=F.col("target"))),
+        fmt(K.PROPOSAL_REASON, reason=F.col("reason")),
+        fmt(K.PROPOSAL_RISK, RISK=F.upper("risk"))))
     return proposals.select("repo_id", "phase", "ord",
                             F.array_join(F.concat(head, detail_lines), "\n").alias("text"))
 

@@ -39,7 +39,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
     Read ``spark.checkpoint.dir`` from the session (set by the cluster); only
-    when it is unset (local tests) is a scratch folder chosen here.
+    when it is unset on a ``local[...]`` master (tests) is a scratch folder
+    chosen here. On a cluster an unset folder is an error, never a
+    machine-local path.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -50,6 +52,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return conf_dir
     if current is not None:
         return current
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     local_dir = tempfile.mkdtemp(prefix="treeline-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local_dir)
     sc.setCheckpointDir(local_dir)
