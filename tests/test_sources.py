@@ -75,3 +75,19 @@ def test_write_proposals_formats(spark, tmp_path):
         numbers.setdefault(repo, []).append(int(re.match(r"\[(\d+)\] ", rest).group(1)))
     for repo, ns in numbers.items():        # 1..k per repository, each once
         assert sorted(ns) == list(range(1, len(ns) + 1)), repo
+
+
+def test_read_reference_history(spark, tmp_path):
+    import json
+    entries = [
+        {"timestamp": "2024-05-01T10:00:00.123456", "action": "move", "source": "a.py",
+         "target": "src/a.py", "success": True, "skipped": False, "message": "Moved a.py -> src/a.py",
+         "risk": "low"},
+        {"timestamp": "2024-05-01T10:05:00", "action": "ROLLBACK", "source": "src/a.py",
+         "target": "a.py", "success": True, "skipped": False, "message": "Rolled back", "risk": "high"},
+    ]
+    (tmp_path / "repoX.json").write_text(json.dumps(entries, indent=2))
+    h = INV.read_reference_history(spark, str(tmp_path / "*.json")).orderBy("seq").collect()
+    assert [(r["repo_id"], r["seq"], r["action"], r["target"]) for r in h] == [
+        ("repoX", 1, "move", "src/a.py"), ("repoX", 2, "ROLLBACK", "a.py")]
+    assert h[0]["executed_at"].microsecond == 123456

@@ -103,3 +103,26 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
         if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
             return spark.createDataFrame([], HISTORY_SCHEMA)
         raise
+
+
+REFERENCE_ENTRY = ("array<struct<timestamp:string, action:string, source:string, target:string, "
+                   "success:boolean, skipped:boolean, message:string, risk:string>>")
+
+
+def read_reference_history(spark: SparkSession, path: str) -> DataFrame:
+    """S5 for existing history files of the single-folder tool.
+
+    ``path`` names files (or a glob) holding one JSON array each; the file's
+    base name without ``.json`` becomes ``repo_id`` (e.g. ``repo007.json``).
+    Each file is one tree's history, read whole and parsed with a fixed
+    schema; the array position becomes ``seq``.
+    """
+    whole = spark.read.text(path, wholetext=True)
+    base = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.json)?$", 1)
+    parsed = whole.select(base.alias("repo_id"),
+                          F.posexplode(F.from_json("value", REFERENCE_ENTRY)).alias("pos", "e"))
+    return parsed.select(
+        "repo_id", (F.col("pos") + 1).cast("bigint").alias("seq"),
+        F.to_timestamp_ntz(F.col("e.timestamp")).alias("executed_at"),
+        *[F.col(f"e.{c}").alias(c) for c in ("action", "source", "target", "success", "skipped",
+                                             "message", "risk")])
