@@ -22,11 +22,24 @@ from treeline.plans.context import Tables
 from treeline.sources import inventory as INV
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_RUNS: dict[tuple[str, str], Tables] = {}
+
+
+def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
+    """One set of written tables per Spark application and table folder.
+
+    The shared tables are derived and written once, then read by every query
+    of the same application, as one run of the tool would.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RUNS:
+        _RUNS[key] = Tables(spark, sf_dir)
+    return _RUNS[key]
 
 
 def query(name: str):
     def deco(fn):
-        QUERIES[name] = lambda spark, sf_dir, _fn=fn: _fn(Tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir, _fn=fn: _fn(tables_for(spark, sf_dir))
         QUERIES[name].__doc__ = fn.__doc__
         return fn
     return deco
