@@ -39,7 +39,7 @@ def test_inventory_schema_and_history_round_trip(spark, tmp_path):
                                "repo_id string, file_seq int, relative_path string, size int, content binary")
     v = INV.validate_inventory(df)
     assert dict(v.dtypes) == {"repo_id": "string", "file_seq": "bigint", "relative_path": "string",
-                              "size": "bigint", "content": "string"}
+                              "size": "bigint", "content": "string", "text_ok": "boolean"}
     assert v.collect()[0]["content"] == "x=1"
     path = str(tmp_path / "hist")
     assert INV.read_history(spark, path).count() == 0             # absent -> empty
@@ -91,3 +91,25 @@ def test_read_reference_history(spark, tmp_path):
     assert [(r["repo_id"], r["seq"], r["action"], r["target"]) for r in h] == [
         ("repoX", 1, "move", "src/a.py"), ("repoX", 2, "ROLLBACK", "a.py")]
     assert h[0]["executed_at"].microsecond == 123456
+
+
+def test_bad_utf8_keeps_imports_but_no_statements(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from treeline.operators import files as FL
+    root = tmp_path / "trees" / "r"
+    root.mkdir(parents=True)
+    (root / "good.py").write_bytes(b"import os\n")
+    (root / "bad.py").write_bytes(b"import os\n# caf\xe9\n")
+    raw = TR.scan_trees(spark, str(tmp_path / "trees"))
+    files = {r["relative_path"]: r for r in FL.build_files(raw).collect()}
+    assert files["bad.py"]["imports"] == ["os"] and files["bad.py"]["stmts"] == []
+    assert files["good.py"]["imports"] == ["os"] and len(files["good.py"]["stmts"]) == 1
+    # the same through a binary inventory column
+    df = spark.createDataFrame([("r", 1, "bad.py", 12, b"import os\n# caf\xe9\n")],
+                               "repo_id string, file_seq bigint, relative_path string, size bigint, "
+                               "content binary")
+    v = INV.validate_inventory(df).collect()[0]
+    assert v["text_ok"] is False and v["content"] == "import os\n# caf\n"
+    f = FL.build_files(INV.validate_inventory(df)).collect()[0]
+    assert f["imports"] == ["os"] and f["stmts"] == []

@@ -83,17 +83,19 @@ def _facts_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         parsed = [parse_python(t) if t is not None else ([], False, False, [])
                   for t in pdf["content"]]
-        out = pdf.drop(columns=["content"])
+        ok = pdf["text_ok"] if "text_ok" in pdf.columns else [True] * len(pdf)
+        out = pdf.drop(columns=[c for c in ("content", "text_ok") if c in pdf.columns])
         out["imports"] = [p[0] for p in parsed]
         out["ast_main"] = [p[1] for p in parsed]
         out["ast_tests"] = [p[2] for p in parsed]
-        out["stmts"] = [p[3] for p in parsed]
+        # the statement reader decodes strictly: text with bad bytes gives no statements
+        out["stmts"] = [p[3] if good is not False else [] for p, good in zip(parsed, ok)]
         yield out
 
 
 def python_facts(df: DataFrame) -> DataFrame:
-    """Replace ``content`` by the parsed facts; other columns pass through."""
-    keep = [f for f in df.schema.fields if f.name != "content"]
+    """Replace ``content`` (and ``text_ok``) by the parsed facts; other columns pass through."""
+    keep = [f for f in df.schema.fields if f.name not in ("content", "text_ok")]
     schema = T.StructType(keep + FACT_FIELDS)
     return df.mapInPandas(_facts_batches, schema=schema)
 

@@ -35,10 +35,12 @@ def describe(raw: DataFrame) -> DataFrame:
     """
     kept = not_ignored(raw)
     is_py = R.path_columns(F.col("relative_path"))["extension"] == ".py"
+    text_ok = F.col("text_ok") if "text_ok" in raw.columns else F.lit(None).cast("boolean")
     pre = kept.select(
         "repo_id", "file_seq", "relative_path", "size",
         F.when(is_py, F.substring("content", 1, 500)).otherwise(F.lit("")).alias("content_sample"),
         F.when(is_py, F.col("content")).alias("content"),
+        F.coalesce(text_ok, F.lit(True)).alias("text_ok"),
     )
     facts = python_facts(pre)
     out = with_path_parts(facts)

@@ -46,8 +46,17 @@ def validate_inventory(df: DataFrame) -> DataFrame:
     if "content" not in fields:
         df = df.withColumn("content", F.lit(None).cast("string"))
     elif isinstance(fields["content"], T.BinaryType):
-        df = df.withColumn("content", F.decode(F.col("content"), "UTF-8"))
-    return df.select(*RAW_FILES_COLUMNS, "content")
+        # like reading with errors ignored: invalid sequences are dropped, and
+        # text_ok remembers that the bytes were not valid UTF-8
+        raw_text = F.col("content").cast("string")
+        df = df.withColumns({
+            "text_ok": F.coalesce(F.col("text_ok"), F.is_valid_utf8(raw_text))
+            if "text_ok" in fields else F.is_valid_utf8(raw_text),
+            "content": F.regexp_replace(F.make_valid_utf8(raw_text), "\uFFFD", ""),
+        })
+    if "text_ok" not in df.columns:
+        df = df.withColumn("text_ok", F.lit(None).cast("boolean"))
+    return df.select(*RAW_FILES_COLUMNS, "content", "text_ok")
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:

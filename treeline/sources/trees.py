@@ -27,7 +27,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from treeline.functions import constants as K
 
-SCHEMA = "repo_id string, file_seq bigint, relative_path string, size bigint, content string"
+SCHEMA = ("repo_id string, file_seq bigint, relative_path string, size bigint, content string, "
+          "text_ok boolean")
 _SUFFIX = re.compile(r"^.+\.[^.]+$")
 _LOCAL_BITS = 40
 
@@ -95,11 +96,17 @@ class TreeReader(DataSourceReader):
 
     def _row(self, p: TreeUnit, rel: str, full: str, seq: int):
         size = os.path.getsize(full) if os.path.exists(full) else 0
-        content = None
+        content, text_ok = None, None
         if self.read_content == "all" or (self.read_content == "py" and rel.endswith(".py")):
             with open(full, "rb") as fh:
-                content = fh.read().decode("utf-8", errors="ignore")
-        return (p.repo_id, (p.position << _LOCAL_BITS) + seq, rel, size, content)
+                data = fh.read()
+            content = data.decode("utf-8", errors="ignore")
+            try:
+                data.decode("utf-8")
+                text_ok = True
+            except UnicodeDecodeError:
+                text_ok = False
+        return (p.repo_id, (p.position << _LOCAL_BITS) + seq, rel, size, content, text_ok)
 
     def read(self, partition: TreePart):
         for unit in partition.units:
