@@ -113,3 +113,14 @@ def test_bad_utf8_keeps_imports_but_no_statements(spark, tmp_path):
     assert v["text_ok"] is False and v["content"] == "import os\n# caf\n"
     f = FL.build_files(INV.validate_inventory(df)).collect()[0]
     assert f["imports"] == ["os"] and f["stmts"] == []
+
+
+def test_scan_trees_at_scale_equals_scan_trees(spark, tmp_path):
+    _tree(str(tmp_path / "repoA"), {"README.md": "", "src/app.py": "import os\n", "src/pkg/m.py": "x = 1\n",
+                                    "venv/s.py": "", "docs/a.md": "", "build/x.py": ""})
+    _tree(str(tmp_path / "repoB"), {"main.py": "print(1)", "lib/u.py": "import sys\n"})
+    cols = ["repo_id", "file_seq", "relative_path", "size", "content", "text_ok"]
+    a = sorted(tuple(r) for r in TR.scan_trees(spark, str(tmp_path), listing="driver").select(*cols).collect())
+    b = sorted(tuple(r) for r in TR.scan_trees_at_scale(spark, str(tmp_path), num_partitions=3)
+               .select(*cols).collect())
+    assert a == b and len(a) == 6

@@ -150,12 +150,101 @@ class TreeSource(DataSource):
                           int(self.options.get("numPartitions", "64")))
 
 
-def scan_trees(spark, root: str, content: str = "py", num_partitions: int | None = None):
+def scan_trees(spark, root: str, content: str = "py", num_partitions: int | None = None,
+               listing: str = "tasks"):
     """One row per file of every tree under ``root`` (ignored paths pruned).
 
+    ``listing="tasks"`` (default): trees are listed by tasks and units walked
+    after a hash spread (``scan_trees_at_scale``); ``listing="driver"``: one
+    ``format("trees")`` source whose units are listed on the driver.
     ``num_partitions`` defaults to twice the cluster's default parallelism.
     """
+    if listing == "tasks":
+        return scan_trees_at_scale(spark, root, content, num_partitions)
     spark.dataSource.register(TreeSource)
     n = num_partitions or 2 * spark.sparkContext.defaultParallelism
     return (spark.read.format("trees").option("content", content)
             .option("numPartitions", str(n)).load(root))
+
+
+# ---------------------------------------------------------------------------
+# Listing at scale: the driver lists only the root folder's names.
+# ---------------------------------------------------------------------------
+
+UNIT_SCHEMA = "repo_id string, tree_root string, entry string, position int"
+_CHUNK = 10_000
+
+
+@dataclass
+class NamesPart(InputPartition):
+    names: list
+
+
+class TreeUnitReader(DataSourceReader):
+    def __init__(self, root: str, num_partitions: int):
+        self.root = root
+        self.num_partitions = max(1, num_partitions)
+
+    def partitions(self):
+        names = sorted(os.listdir(self.root))
+        n = min(self.num_partitions, max(1, len(names)))
+        return [NamesPart(names[k::n]) for k in range(n)]
+
+    def read(self, partition: NamesPart):
+        for repo_id in partition.names:
+            tree = os.path.join(self.root, repo_id)
+            if not os.path.isdir(tree):
+                continue
+            yield (repo_id, tree, None, 0)
+            entries = sorted(e for e in os.listdir(tree) if os.path.isdir(os.path.join(tree, e)))
+            for i, e in enumerate(entries, start=1):
+                if not ignored([e]):
+                    yield (repo_id, tree, e, i)
+
+
+class TreeUnitSource(DataSource):
+    """``format("tree_units")``: (tree, top-level entry) units; trees listed in tasks."""
+
+    @classmethod
+    def name(cls):
+        return "tree_units"
+
+    def schema(self):
+        return UNIT_SCHEMA
+
+    def reader(self, schema):
+        return TreeUnitReader(self.options["path"], int(self.options.get("numPartitions", "64")))
+
+
+def _walk_units(read_content: str):
+    import pandas as pd
+
+    cols = ["repo_id", "file_seq", "relative_path", "size", "content", "text_ok"]
+
+    def run(batches):
+        walker = TreeReader("", read_content, 1)
+        for pdf in batches:
+            rows = []
+            for u in pdf.itertuples(index=False):
+                unit = TreeUnit(u.repo_id, u.tree_root, u.entry if isinstance(u.entry, str) else None,
+                                int(u.position))
+                for row in walker._walk(unit):
+                    rows.append(row)
+                    if len(rows) >= _CHUNK:
+                        yield pd.DataFrame(rows, columns=cols)
+                        rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=cols)
+    return run
+
+
+def scan_trees_at_scale(spark, root: str, content: str = "py", num_partitions: int | None = None):
+    """S1 for very many trees: units are listed by tasks, then hash-spread and walked.
+
+    Same rows as ``scan_trees``; the driver touches only the root folder's names.
+    """
+    spark.dataSource.register(TreeUnitSource)
+    n = num_partitions or 2 * spark.sparkContext.defaultParallelism
+    units = spark.read.format("tree_units").option("numPartitions", str(n)).load(root)
+    return (units.repartition(n, "repo_id", "entry")
+            .mapInPandas(_walk_units(content), schema=SCHEMA))
