@@ -527,7 +527,7 @@ UNION ALL SELECT repo_id, 'risk', risk, count(*) FROM props_grouped GROUP BY ALL
 UNION ALL SELECT repo_id, 'display_group', display_group, count(*) FROM props_grouped GROUP BY ALL""")
 _o("A10_proposals_document", ["props"], """
 SELECT t.repo_id, t.total_proposals,
-       to_json({'total_proposals': t.total_proposals, 'summary': {'by_action': a.m, 'by_risk': r.m}}) AS document
+       CAST(to_json({'total_proposals': t.total_proposals, 'summary': {'by_action': a.m, 'by_risk': r.m}}) AS VARCHAR) AS document
 FROM (SELECT repo_id, count(*) AS total_proposals FROM props GROUP BY repo_id) t
 JOIN (SELECT repo_id, map_from_entries(list({'k': action, 'v': n} ORDER BY action)) AS m
       FROM (SELECT repo_id, action, count(*) AS n FROM props GROUP BY ALL) GROUP BY repo_id) a USING (repo_id)
@@ -535,11 +535,11 @@ JOIN (SELECT repo_id, map_from_entries(list({'k': risk, 'v': n} ORDER BY risk))
       FROM (SELECT repo_id, risk, count(*) AS n FROM props GROUP BY ALL) GROUP BY repo_id) r USING (repo_id)""")
 _o("S3_write_proposals", ["props"], """
 SELECT repo_id, phase, CAST(ord AS BIGINT) AS ord,
-  to_json({'action': action, 'source': source, 'target': target, 'reason': reason, 'risk': risk,
+  CAST(to_json({'action': action, 'source': source, 'target': target, 'reason': reason, 'risk': risk,
            'details': {'category': category, 'current_location': current_location, 'suggestion': suggestion,
                        'total_count': total_count,
                        'examples': CASE WHEN examples IS NULL THEN NULL::VARCHAR[] ELSE string_split(examples, '|') END,
-                       'remaining': remaining}}) AS record
+                       'remaining': remaining}}) AS VARCHAR) AS record
 FROM props""")
 _o("P19_proposal_text", ["props"], f"""
 SELECT repo_id, phase, CAST(ord AS BIGINT) AS ord,
