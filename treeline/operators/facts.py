@@ -95,6 +95,8 @@ def _facts_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def python_facts(df: DataFrame) -> DataFrame:
     """Replace ``content`` (and ``text_ok``) by the parsed facts; other columns pass through."""
+    from treeline.session import ship_package
+    ship_package(df.sparkSession)
     keep = [f for f in df.schema.fields if f.name not in ("content", "text_ok")]
     schema = T.StructType(keep + FACT_FIELDS)
     return df.mapInPandas(_facts_batches, schema=schema)

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from treeline.functions import constants as K
 from treeline.functions.text import fmt, render
 from treeline.operators.components import ancestors, components, move_edges
-from treeline.session import checkpoint_dir
+from treeline.session import checkpoint_dir, ship_package
 
 
 def _parent(path: F.Column) -> F.Column:
@@ -231,6 +231,7 @@ def replay_buckets(df: DataFrame, fn, schema, buckets: int | None = None) -> Dat
     from its own initial state; a large repository spreads over the buckets.
     """
     spark = df.sparkSession
+    ship_package(spark)
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     b = F.pmod(F.xxhash64("repo_id", "component"), F.lit(buckets))
     return df.withColumn("_bucket", b).groupBy("_bucket").applyInPandas(

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from treeline.operators import files as FL
 from treeline.operators import proposals as PR
 from treeline.operators import repo as RP
-from treeline.session import write_table
+from treeline.session import ship_package, write_table
 from treeline.sources import fixtures as fx
 
 
@@ -27,6 +27,7 @@ class Tables:
         self.spark = spark
         self.sf_dir = sf_dir
         self._materialize = materialize
+        ship_package(spark)
 
     def _keep(self, df: DataFrame, name: str = "table") -> DataFrame:
         if not self._materialize:

@@ -73,3 +73,31 @@ def write_table(df, name: str = "table"):
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``treeline`` importable in the Python workers (once per application).
+
+    Python stages (the parse, the replays, the tree source) refer to functions
+    of this package, so executors need it: the package is zipped once and
+    handed to ``addPyFile``, which serves it to every executor.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.dirname(pkg)
+    path = os.path.join(tempfile.mkdtemp(prefix="treeline-pkg-"), "treeline.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _, names in os.walk(pkg):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(root, n)
+                    zf.write(full, os.path.relpath(full, base))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)

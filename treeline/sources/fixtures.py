@@ -140,6 +140,9 @@ def materialize_trees(raw: DataFrame, folder: str) -> None:
     """
     import os
 
+    from treeline.session import ship_package
+    ship_package(raw.sparkSession)
+
     def write(rows):
         for r in rows:
             full = os.path.join(folder, r["repo_id"], *r["relative_path"].split("/"))

@@ -161,6 +161,8 @@ def scan_trees(spark, root: str, content: str = "py", num_partitions: int | None
     """
     if listing == "tasks":
         return scan_trees_at_scale(spark, root, content, num_partitions)
+    from treeline.session import ship_package
+    ship_package(spark)
     spark.dataSource.register(TreeSource)
     n = num_partitions or 2 * spark.sparkContext.defaultParallelism
     return (spark.read.format("trees").option("content", content)
@@ -243,6 +245,8 @@ def scan_trees_at_scale(spark, root: str, content: str = "py", num_partitions: i
 
     Same rows as ``scan_trees``; the driver touches only the root folder's names.
     """
+    from treeline.session import ship_package
+    ship_package(spark)
     spark.dataSource.register(TreeUnitSource)
     n = num_partitions or 2 * spark.sparkContext.defaultParallelism
     units = spark.read.format("tree_units").option("numPartitions", str(n)).load(root)
