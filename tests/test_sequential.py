@@ -154,3 +154,29 @@ def test_last_moves_and_undoable(spark):
     last = HI.last_moves(hist, 2).orderBy("undo_rank").collect()
     assert [(r["seq"], r["undo_rank"]) for r in last] == [(6, 1), (2, 2)]
     assert HI.last_moves(hist, 10).count() == 3
+
+
+def test_rollback_isolated_entries_match_sequential_replay(spark):
+    rng = random.Random(23)
+    names = [f"n{i}" for i in range(12)] + ["m.py", "k.py"]
+
+    def path(depth):
+        return "/".join(rng.choice(names) for _ in range(rng.randint(1, depth)))
+    for n in (5, 60):
+        disk = {path(3) for _ in range(40)}
+        disk = {p for p in disk if not any(q.startswith(p + "/") for q in disk)}
+        files = sorted(disk)
+        entries = []
+        for seq in range(1, 60):
+            # mostly: moved files that exist at their target now (undo should work)
+            t = rng.choice(files) if rng.random() < 0.9 else path(3)
+            s = f"u{rng.randint(0, 30)}/" + path(2)      # destinations mostly free
+            if s != t:
+                entries.append((seq, s, t))
+        hist = spark.createDataFrame(
+            [("r", seq, "move", s, t, True, None) for seq, s, t in entries],
+            "repo_id string, seq bigint, action string, source string, target string, success boolean, "
+            "skipped boolean")
+        got = {r["undone_seq"]: (r["success"], r["message"])
+               for r in HI.rollback(hist, _disk(spark, disk), n).collect()}
+        assert got == brute_rollback(disk, entries, n)

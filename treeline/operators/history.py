@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 
 from treeline.functions import constants as K
 from treeline.functions.text import fmt, render
-from treeline.operators.components import components, move_edges
-from treeline.operators.moves import _ancestors_of, attach_states, replay_buckets
+from treeline.operators.components import ancestors, components, move_edges
+from treeline.operators.moves import _ancestors_of, _file_ancestor, attach_states, replay_buckets
+from treeline.session import checkpoint_dir
 from treeline.operators.ordering import first_k
 
 
@@ -100,8 +101,9 @@ def _undo_component(pdf: pd.DataFrame) -> list[tuple]:
     state: dict[str, str | None] = {}
     rows = list(pdf.itertuples(index=False))
     for r in rows:
-        for p, f, d in ((r.target, r.tgt_file, r.tgt_dir), (r.source, r.src_file, r.src_dir)):
-            if p not in state:
+        for p, f, d in ((r.target, r.tgt_file, r.tgt_dir), (r.source, r.src_file, r.src_dir),
+                        (r.tanc_file, True, False)):
+            if p is not None and p not in state:
                 state[p] = "file" if f else ("dir" if d else None)
     out = []
     for r in rows:
@@ -139,18 +141,62 @@ def rollback(history: DataFrame, disk: DataFrame, n: int | None) -> DataFrame:
     sequential pass.
     """
     sel = last_moves(history, n).withColumn("node", F.col("seq").cast("bigint"))
-    # the undo moves target -> source: mkdir happens below ``source``
-    comp = components(move_edges(sel, a="target", b="source"))
-    sel = _rollback_states(sel, disk).join(comp, ["repo_id", "node"], "left") \
-        .withColumn("component", F.coalesce("component", F.col("node"))).checkpoint(eager=True)
-    cols = ["repo_id", "component", "seq", "source", "target", "tgt_file", "tgt_dir",
+    # the undo moves target -> source: directories are made below ``source``
+    checkpoint_dir(sel.sparkSession)
+    sel = _file_ancestor(_rollback_states(sel, disk), disk, col="source").checkpoint(eager=True)
+    iso = isolated_entries(sel).withColumn("_iso", F.lit(True))
+    sel = sel.join(iso, ["repo_id", "node"], "left") \
+             .withColumn("_iso", F.coalesce("_iso", F.lit(False))).checkpoint(eager=True)
+    easy = _undo_static(sel.filter("_iso"))
+    hard = sel.filter(~F.col("_iso"))
+    comp = components(move_edges(hard, a="target", b="source"))
+    hard = hard.join(comp, ["repo_id", "node"], "left") \
+               .withColumn("component", F.coalesce("component", F.col("node")))
+    cols = ["repo_id", "component", "seq", "source", "target", "tanc_file", "tgt_file", "tgt_dir",
             "src_file", "src_dir"]
-    res = replay_buckets(sel.select(*cols), replay_rollback, ROLLBACK_SCHEMA)
+    res = replay_buckets(hard.select(*cols), replay_rollback, ROLLBACK_SCHEMA).unionByName(easy)
     res = res.withColumnRenamed("node", "seq")
     joined = sel.drop("success", "message").join(res, ["repo_id", "seq"])
     return _rollback_record(fail_fast(joined))
 
 
+def isolated_entries(sel: DataFrame) -> DataFrame:
+    """Undo entries that share no path with any other selected entry.
+
+    An undo reads and writes its two paths and makes the directories above
+    its destination; an entry is isolated when neither path is another
+    entry's path, neither is an ancestor of any entry's destination, and no
+    ancestor of its destination is any entry's path. Its outcome is then
+    fixed by the initial tree.
+    """
+    ends = sel.select("repo_id", "node", F.explode(F.array("target", "source")).alias("path"))
+    shared = ends.groupBy("repo_id", "path").agg(F.count_distinct("node").alias("c")) \
+                 .filter(F.col("c") > 1).select("repo_id", "path")
+    ancs = sel.select("repo_id", "node", F.explode(ancestors(F.col("source"))).alias("path"))
+    bad = (ends.join(shared, ["repo_id", "path"], "left_semi").select("repo_id", "node")
+           .unionByName(ends.join(ancs.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
+                        .select("repo_id", "node"))
+           .unionByName(ancs.join(ends.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
+                        .select("repo_id", "node"))
+           .distinct())
+    return sel.select("repo_id", "node").join(bad, ["repo_id", "node"], "left_anti")
+
+
+def _undo_static(sel: DataFrame) -> DataFrame:
+    """Outcome of isolated undo entries, from the initial tree alone."""
+    full = lambda c: F.concat(F.col("repo_id"), F.lit("/"), F.col(c))
+    ok_target = F.col("tgt_file") | F.col("tgt_dir")
+    ok_source = ~(F.col("src_file") | F.col("src_dir"))
+    blocked = F.col("tanc_file").isNotNull()
+    msg = (F.when(~ok_target, fmt(K.MSG_ROLLBACK_TARGET_MISSING, path=full("target")))
+           .when(~ok_source, fmt(K.MSG_ROLLBACK_SOURCE_EXISTS, path=full("source")))
+           .when(blocked, fmt(K.MSG_ROLLBACK_FAILED,
+                              error=fmt(K.MSG_NOT_A_DIRECTORY, path=full("tanc_file"))))
+           .otherwise(fmt(K.MSG_ROLLED_BACK, source=F.col("target"), target=F.col("source"))))
+    return sel.select("repo_id", "node", (ok_target & ok_source & ~blocked).alias("success"),
+                      msg.alias("message"))
+
+
 def rollback_history_records(results: DataFrame, history: DataFrame) -> DataFrame:
     """S4 records of a real rollback: action ROLLBACK, risk high, new seq after the history."""
     base = history.groupBy("repo_id").agg(F.max("seq").alias("_base"))

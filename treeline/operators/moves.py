@@ -238,10 +238,10 @@ def replay_buckets(df: DataFrame, fn, schema, buckets: int | None = None) -> Dat
         lambda pdf: fn(pdf.drop(columns=["_bucket"])), schema=schema)
 
 
-def _file_ancestor(mv: DataFrame, disk: DataFrame) -> DataFrame:
-    """The proper ancestor of each target that is a file on disk (at most one: a
+def _file_ancestor(mv: DataFrame, disk: DataFrame, col: str = "target") -> DataFrame:
+    """The proper ancestor of ``col`` that is a file on disk (at most one: a
     file has nothing below it), as ``tanc_file``; null when there is none."""
-    anc = mv.select("repo_id", "node", F.explode(ancestors(F.col("target"))).alias("path"))
+    anc = mv.select("repo_id", "node", F.explode(ancestors(F.col(col))).alias("path"))
     files = disk.select("repo_id", F.col("relative_path").alias("path"))
     hit = anc.join(files, ["repo_id", "path"], "left_semi").groupBy("repo_id", "node") \
              .agg(F.min("path").alias("tanc_file"))
