@@ -100,3 +100,29 @@ def test_display_group(spark):
     df = spark.createDataFrame([(k,) for k in cases], "s string")
     got = {r["s"]: r["g"] for r in df.select("s", R.display_group(F.col("s")).alias("g")).collect()}
     assert got == cases
+
+
+def test_ignore_rule_three_ways_on_random_paths(spark):
+    """Column rule, DuckDB oracle rule and the tree source's Python rule agree."""
+    import random
+
+    import duckdb
+
+    import duck_oracle as O
+    segs = [".env", "build", "x.pyc", "foo~", "a.egg-info", "ENV", "out", "static", "chunks", ".DS_Store",
+            "Thumbs.db", "src", "environment.py", "my_venv", "lib.so", "app.py", "README", ".github", "Out",
+            "dist2", "node_modules", "_next", "a.b.c", "..x", "foo.", "coverage", "x.swp", "public"]
+    rng = random.Random(3)
+    paths = sorted({"/".join(rng.choice(segs) for _ in range(rng.randint(1, 4))) for _ in range(600)})
+    col = ignored_col(spark, paths)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE inv AS SELECT 'r' AS repo_id, CAST(i AS BIGINT) AS file_seq, p AS relative_path, "
+                "CAST(0 AS BIGINT) AS size, '' AS content FROM (SELECT unnest(?) AS p, "
+                "generate_subscripts(?, 1) AS i)", [paths, paths])
+    kept_sql = O.layers("kept").replace("WITH inv AS (", "WITH inv_unused AS (", 1) + \
+        "SELECT relative_path FROM kept"
+    kept = {r[0] for r in con.execute(kept_sql).fetchall()}
+    assert 50 < len(kept) < len(paths) - 50 and kept <= set(paths)     # both outcomes well covered
+    for p in paths:
+        assert col[p] == ignored_py(p.split("/")), p
+        assert col[p] == (p not in kept), p
