@@ -126,3 +126,40 @@ def test_ignore_rule_three_ways_on_random_paths(spark):
     for p in paths:
         assert col[p] == ignored_py(p.split("/")), p
         assert col[p] == (p not in kept), p
+
+
+def test_classifier_spark_and_oracle_agree_on_random_trees(spark):
+    import random
+
+    import duckdb
+
+    import duck_oracle as O
+    from helpers import RAW_SCHEMA
+    from treeline.operators import files as FL
+    dirs = ["", "src/", "tests/", "lib/", "scripts/", "app/", "temp_x/", "pkg/", "docs/", "a/b/", "build/"]
+    stems = ["app", "utils", "test_core", "core_test", "run_job", "config", "my_settings", "latest",
+             "__init__", "demo_x", "setup", "models", "README", "index", "playground", "conftest"]
+    exts = [".py", ".py", ".py", ".md", ".json", ".yaml", ".csv", ".txt", ".html", ".toml", ""]
+    lines = ["import os", "from .utils import helper_a, helper_b", "import helpers", "import pytest",
+             "from fastapi import FastAPI", "import numpy as np", "import a1, a2, a3",
+             "def test_x():\n    pass", 'if __name__ == "__main__":\n    pass', "import unittest", "x = 1"]
+    rng = random.Random(5)
+    rows, seq = [], 0
+    for repo in ("r1", "r2", "r3"):
+        paths = {rng.choice(dirs) + rng.choice(stems) + rng.choice(exts) for _ in range(60)}
+        for p in sorted(paths):
+            text = "\n".join(rng.sample(lines, rng.randint(0, 4))) + "\n" if p.endswith(".py") else ""
+            rows.append((repo, seq, p, len(text), text))
+            seq += 1
+    raw = spark.createDataFrame(rows, RAW_SCHEMA)
+    got = {(r["repo_id"], r["relative_path"]): r["category"]
+           for r in FL.build_files(raw).select("repo_id", "relative_path", "category").collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE inv (repo_id VARCHAR, file_seq BIGINT, relative_path VARCHAR, size BIGINT, "
+                "content VARCHAR)")
+    con.executemany("INSERT INTO inv VALUES (?, ?, ?, ?, ?)", rows)
+    sql = O.layers("classified").replace("WITH inv AS (", "WITH inv_unused AS (", 1) + \
+        "SELECT repo_id, relative_path, category FROM classified"
+    want = {(r[0], r[1]): r[2] for r in con.execute(sql).fetchall()}
+    assert len(got) > 100 and len(set(got.values())) >= 8
+    assert got == want
