@@ -163,3 +163,50 @@ def test_classifier_spark_and_oracle_agree_on_random_trees(spark):
     want = {(r[0], r[1]): r[2] for r in con.execute(sql).fetchall()}
     assert len(got) > 100 and len(set(got.values())) >= 8
     assert got == want
+
+
+def test_proposals_spark_and_oracle_agree_on_random_trees(spark):
+    import random
+
+    import duckdb
+
+    import duck_oracle as O
+    from helpers import RAW_SCHEMA
+    from treeline.operators import files as FL
+    from treeline.operators import proposals as PR
+    from treeline.operators import repo as RP
+    dirs = ["", "src/", "tests/", "lib/", "scripts/", "app/", "docs/", "a/b/", "data/", "configs/", "x/"]
+    stems = ["app", "utils", "test_core", "core_test", "run_job", "config", "my_settings", "latest",
+             "__init__", "setup", "models", "README", "index", "notes", "requirements", "page"]
+    lines = ["import os", "from .utils import helper_a", "import helpers", "import pytest",
+             "from fastapi import FastAPI", "import a1, a2, a3, a4, a5, a6, a7, a8, a9, a10, a11",
+             "def test_x():\n    pass", 'if __name__ == "__main__":\n    pass']
+    rng = random.Random(9)
+    rows, seq = [], 0
+    for repo, py_share in (("r1", 0.8), ("r2", 0.7), ("r3", 0.4), ("r4", 0.1), ("r5", 0.9)):
+        paths = set()
+        for _ in range(70):
+            ext = ".py" if rng.random() < py_share else rng.choice([".md", ".json", ".ts", ".txt", ".csv",
+                                                                   ".log", ".yaml", ".tsx"])
+            paths.add(rng.choice(dirs) + rng.choice(stems) + ext)
+        if repo in ("r1", "r5"):
+            paths |= {"setup.py", "requirements.txt"}
+        for p in sorted(paths):
+            text = "\n".join(rng.sample(lines, rng.randint(0, 3))) + "\n" if p.endswith(".py") else ""
+            rows.append((repo, seq, p, len(text), text))
+            seq += 1
+    raw = spark.createDataFrame(rows, RAW_SCHEMA)
+    files = FL.build_files(raw)
+    types = RP.repo_types(files, raw)
+    cols = ["repo_id", "phase", "ord", "action", "source", "target", "reason", "risk", "category",
+            "current_location", "suggestion", "total_count", "examples", "remaining"]
+    got = sorted(tuple(r) for r in PR.flat(PR.all_proposals(files, types)).select(*cols).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE inv (repo_id VARCHAR, file_seq BIGINT, relative_path VARCHAR, size BIGINT, "
+                "content VARCHAR)")
+    con.executemany("INSERT INTO inv VALUES (?, ?, ?, ?, ?)", rows)
+    sql = O.ORACLE["U1_all_proposals"].replace("WITH inv AS (", "WITH inv_unused AS (", 1)
+    want = sorted(tuple(r) for r in con.execute(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall())
+    kinds = {(r[3], r[1]) for r in got}
+    assert len(got) > 80 and {("move", 1), ("flag", 1), ("flag", 2), ("flag", 3)} <= kinds
+    assert got == want
