@@ -22,7 +22,7 @@ def _random_repos(seed):
              "from fastapi import FastAPI", "import a1, a2, a3", 'if __name__ == "__main__":\n    pass']
     rng = random.Random(seed)
     rows, seq = [], 0
-    for repo in ("r1", "r2", "r3"):
+    for repo in ("repo001", "repo002", "repo005"):
         paths = {rng.choice(dirs) + rng.choice(stems) + rng.choice([".py", ".py", ".py", ".md", ".csv"])
                  for _ in range(90)} | {"setup.py", "requirements.txt"}
         for p in sorted(paths):
@@ -72,3 +72,31 @@ def test_warnings_and_trees_agree_on_random_repos(spark):
         got = sorted(tuple(r) for r in PV.tree_diff(props).select(*cols).collect())
         assert len(got) > 50
         assert got == want
+
+
+def test_confidence_and_git_agree_on_random_repos(spark):
+    from pyspark.sql import functions as F
+
+    from treeline.operators import confidence as CF
+    from treeline.operators import gitinfo as GI
+    from treeline.sources import fixtures as fx
+    rows = _random_repos(3)
+    raw = spark.createDataFrame(rows, RAW_SCHEMA)
+    files = FL.build_files(raw).checkpoint(eager=True)
+    types = RP.repo_types(files, raw)
+    props = PR.all_proposals(files, types).checkpoint(eager=True)
+    moves = props.filter("action = 'move'")
+    con = _duck(rows)
+
+    warn = IM.warning_counts(IM.import_warnings(moves, files, raw), RP.repo_ids(raw))
+    conf = CF.confidence(types, RP.repo_summary(files), props, warn)
+    cols, want = _oracle(con, "A14_confidence_factors")
+    got = sorted(tuple(r) for r in conf.select(
+        "repo_id", F.array_join("positive_factors", "|").alias("positive_factors"),
+        F.array_join("risk_factors", "|").alias("risk_factors")).select(*cols).collect())
+    assert got == want
+
+    g = GI.git_warnings(moves, fx.git_status(spark, raw), fx.git_tracked(spark, raw), fx.repos(spark, raw))
+    cols, want = _oracle(con, "A15_git_warnings")
+    got = sorted(tuple(r) for r in g.withColumn("details", F.array_join("details", "|")).select(*cols).collect())
+    assert got == want
