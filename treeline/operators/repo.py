@@ -6,7 +6,7 @@ monorepo holding a third of all rows costs one partial row per map task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.functions import constants as K
@@ -38,10 +38,15 @@ def extension_histogram(files: DataFrame) -> DataFrame:
 
 
 def top_extensions(files: DataFrame) -> DataFrame:
-    """L1: extensions by count desc (extension asc breaks ties), ranked per repo."""
+    """L1: extensions by count desc (extension asc breaks ties), ranked per repo.
+
+    Ranked with the distributed numbering: generated files with hash-like
+    suffixes can give one repository a very long histogram.
+    """
+    from treeline.operators.ordering import number_within
     hist = extension_histogram(files)
-    w = Window.partitionBy("repo_id").orderBy(F.col("file_count").desc(), F.col("extension"))
-    return hist.withColumn("rank", F.row_number().over(w).cast("bigint"))
+    return number_within(hist, ["repo_id"], [F.col("file_count").desc(), F.col("extension")],
+                         name="rank")
 
 
 def _root_in(names) -> F.Column:
