@@ -100,3 +100,25 @@ def test_confidence_and_git_agree_on_random_repos(spark):
     cols, want = _oracle(con, "A15_git_warnings")
     got = sorted(tuple(r) for r in g.withColumn("details", F.array_join("details", "|")).select(*cols).collect())
     assert got == want
+
+
+def test_reports_agree_on_random_repos(spark):
+    from pyspark.sql import functions as F
+
+    from treeline.operators import reports as RE
+    rows = _random_repos(4)
+    raw = spark.createDataFrame(rows, RAW_SCHEMA)
+    files = FL.build_files(raw)
+    props = PR.all_proposals(files, RP.repo_types(files, raw)).checkpoint(eager=True)
+    con = _duck(rows)
+    checks = {
+        "A9_proposal_rollup": RE.proposal_rollup(props),
+        "A10_proposals_document": RE.proposals_document(props),
+        "W1_proposal_numbers": RE.proposal_numbers(props).select(
+            "repo_id", "phase", F.col("ord").cast("bigint").alias("ord"), "display_group", "number"),
+        "P19_proposal_text": RE.proposal_text(props).withColumn("ord", F.col("ord").cast("bigint")),
+    }
+    for name, df in checks.items():
+        cols, want = _oracle(con, name)
+        got = sorted(tuple(r) for r in df.select(*cols).collect())
+        assert len(got) >= 3 and got == want, name
