@@ -10,8 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm import decontaminate, jaccard, toxicity
-from treeline.llm.common import table
+from treeline.llm import decontaminate, jaccard, mixing, tokenfile, toxicity
+from treeline.llm.common import scratch, table, tokenizer_json
 from treeline.session import write_table
 
 
@@ -32,10 +32,24 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: documents as often as their source's weight draws them."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: token files in the shared folder; returns what they hold per document."""
+    path = scratch(spark, "corpus-tokens")
+    tokenfile.write(docs, path, tokenizer_json())
+    return tokenfile.digests(spark, path)
+
+
 STAGES = [
     ("toxicity", reject_toxic),
     ("ngram_jaccard", drop_near_copies),
     ("decontaminate", drop_leaks),
+    ("mixing", mix_sources),
+    ("token_files", token_files),
 ]
 
 

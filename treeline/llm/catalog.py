@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm import decontaminate, jaccard, toxicity
-from treeline.llm.common import table
+from treeline.llm import decontaminate, jaccard, mixing, tokenfile, toxicity
+from treeline.llm.common import scratch, table, tokenizer_json
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,14 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  table(spark, sf_dir, "benchmark"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every draw of a document: epoch, block, place of the block, order within it."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.selectExpr("doc_id", "source", "mix_tokens AS n_tokens", "mix_epoch AS epoch",
+                            "mix_block AS block", "mix_block_rank AS block_rank",
+                            "mix_order AS doc_order")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grade, expected severity and toxicity of every document."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -22,6 +30,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("toxic", (scored.p_toxic >= toxicity.REJECT).cast("int"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document written as token ids, read back from the files."""
+    path = scratch(spark, "token-files")
+    tokenfile.write(table(spark, sf_dir, "documents"), path, tokenizer_json())
+    return tokenfile.digests(spark, path)
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of similar documents of every document."""
     return jaccard.join(table(spark, sf_dir, "documents"))
@@ -29,6 +44,8 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op3_mixing": op3_mixing,
     "op6_toxicity": op6_toxicity,
+    "op7_token_files": op7_token_files,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }

@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.session import ship_package
+from treeline.session import checkpoint_dir, ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder of ``spark.checkpoint.dir``."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def tokenizer_json(path: str | None = None) -> str:
+    """A tokenizer's definition, read on the driver and sent to the tasks as text."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
 def text_key(text: Column) -> Column:
     """128-bit key of a whole text (null counts as empty)."""
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))

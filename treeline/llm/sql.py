@@ -1,3 +1,79 @@
 """DuckDB equivalents of the registered queries that SQL can express."""
 
 ORACLE: dict[str, str] = {}
+
+ORACLE["op3_mixing"] = """
+WITH RECURSIVE counted AS (
+  SELECT doc_id, source, coalesce('=' || source, '-') AS src,
+         len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r]+'),
+                         lambda x: x <> ''))::BIGINT AS n_tokens,
+         md5(concat_ws('|', 'mix', coalesce('=' || source, '-'),
+                       coalesce(doc_id::VARCHAR, '-'), md5(coalesce(text, '')))) AS k
+  FROM documents),
+totals AS (SELECT src, sum(n_tokens)::BIGINT AS total FROM counted GROUP BY src HAVING sum(n_tokens) > 0),
+grand AS (SELECT sum(total)::DOUBLE AS t, count(*) AS n FROM totals),
+shares AS (SELECT src, total, total / t AS p, t, n FROM totals, grand),
+natural_entropy AS (SELECT -sum(p * ln(p)) AS h, any_value(ln(n)) AS most FROM shares),
+by_entropy(step, low, high) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT step + 1,
+         CASE WHEN h >= 0.95 * most THEN (low + high) / 2 ELSE low END,
+         CASE WHEN h >= 0.95 * most THEN high ELSE (low + high) / 2 END
+  FROM (SELECT step, low, high, any_value(ln(n)) AS most,
+               ln(sum(pow(p, (low + high) / 2)))
+               - (low + high) / 2 * sum(pow(p, (low + high) / 2) * ln(p))
+                 / sum(pow(p, (low + high) / 2)) AS h
+        FROM by_entropy, shares WHERE step < 40 GROUP BY step, low, high)),
+entropy_exponent AS (
+  SELECT CASE WHEN (SELECT n FROM grand) < 2 OR h >= 0.95 * most THEN 1.0
+              ELSE (SELECT (low + high) / 2 FROM by_entropy WHERE step = 40) END AS a
+  FROM natural_entropy),
+by_repeats(step, low, high) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT step + 1,
+         CASE WHEN r > 4.0 THEN (low + high) / 2 ELSE low END,
+         CASE WHEN r > 4.0 THEN high ELSE (low + high) / 2 END
+  FROM (SELECT step, low, high,
+               max(pow(p, (low + high) / 2) / p) / sum(pow(p, (low + high) / 2)) AS r
+        FROM by_repeats, shares WHERE step < 40 GROUP BY step, low, high)),
+chosen AS (
+  SELECT round(CASE WHEN (SELECT max(pow(p, a) / p) / sum(pow(p, a)) FROM shares) <= 4.0 THEN a
+                    ELSE (SELECT (low + high) / 2 FROM by_repeats WHERE step = 40) END, 6) AS a
+  FROM entropy_exponent),
+weights AS (
+  SELECT src, total, floor(round(pow(p, a) / (SELECT sum(pow(p, a)) FROM shares, chosen) * t, 3))::BIGINT
+         AS allowed, ceil(total / 1000000.0)::BIGINT AS blocks
+  FROM shares, chosen),
+plan AS (SELECT *, allowed // total AS epochs, allowed % total AS rest FROM weights),
+dealt AS (
+  SELECT c.*, ('0x' || substr(k, 1, 15))::BIGINT % blocks AS block, epochs, rest
+  FROM counted c JOIN plan USING (src) WHERE n_tokens > 0),
+blocks AS (
+  SELECT src, block, any_value(epochs) AS epochs, sum(n_tokens)::BIGINT AS tokens
+  FROM dealt GROUP BY src, block),
+placed AS (
+  SELECT src, block, tokens, coalesce(sum(tokens) OVER (
+           PARTITION BY src ORDER BY md5(concat_ws('|', 'mix', src, epochs, block)), block
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM blocks),
+rows_ AS (
+  SELECT d.*, before, tokens, sum(n_tokens) OVER (
+           PARTITION BY d.src, d.block ORDER BY md5(concat_ws('|', 'mix', epochs, k)), doc_id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+  FROM dealt d JOIN placed p ON d.src = p.src AND d.block = p.block),
+drawn AS (
+  SELECT *, unnest(range(epochs + CASE WHEN before + tokens <= rest THEN 1
+                                       WHEN before < rest AND before + run <= rest THEN 1
+                                       ELSE 0 END)) AS epoch
+  FROM rows_),
+ranks AS (
+  SELECT src, block, epoch, row_number() OVER (
+           PARTITION BY src, epoch ORDER BY md5(concat_ws('|', 'mix', src, epoch, block)), block)
+         AS block_rank
+  FROM (SELECT src, block, unnest(range(epochs + 1)) AS epoch FROM blocks))
+SELECT doc_id, source, n_tokens, d.epoch, d.block, block_rank,
+       md5(concat_ws('|', 'mix', d.epoch, k)) AS doc_order
+FROM drawn d JOIN ranks r ON d.src = r.src AND d.block = r.block AND d.epoch = r.epoch
+"""
