@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from treeline.llm import decontaminate, jaccard, mixing, tokenfile, toxicity
+from treeline.llm import (decontaminate, fingerprint, jaccard, linededup, mixing, tokenfile,
+                          toxicity)
 from treeline.llm.common import scratch, table, tokenizer_json
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprint.digests(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All benchmark items contained in all documents."""
     return decontaminate.matches(table(spark, sf_dir, "documents"),
@@ -22,6 +29,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                             "mix_order AS doc_order")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and removed lines of every document, md5 of the text that is left."""
+    kept = linededup.dedupe(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", F.col("dedup_lines").alias("n_lines"),
+                       F.size("dedup_removed").cast("long").alias("n_removed"),
+                       F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grade, expected severity and toxicity of every document."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -43,8 +58,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_decontaminate": op2_decontaminate,
     "op3_mixing": op3_mixing,
+    "op4_line_dedup": op4_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_token_files": op7_token_files,
     "op10_ngram_jaccard": op10_ngram_jaccard,

@@ -77,3 +77,80 @@ SELECT doc_id, source, n_tokens, d.epoch, d.block, block_rank,
        md5(concat_ws('|', 'mix', d.epoch, k)) AS doc_order
 FROM drawn d JOIN ranks r ON d.src = r.src AND d.block = r.block AND d.epoch = r.epoch
 """
+
+_FINGERPRINT = """
+  SELECT doc_id, n_chars, next_id, txt, which,
+         string_split(txt, chr(10)) AS lines,
+         list_transform(list_filter(string_split(regexp_replace(txt, '([.!?]) +', '\\1' || chr(10), 'g'),
+                                                 chr(10)), lambda s: s <> ''),
+                        lambda s: ('0x' || substr(md5(s), 1, 15))::BIGINT) AS hashes
+"""
+
+ORACLE["op1_fingerprints"] = f"""
+WITH base AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+ordered AS (
+  SELECT *, length(text) AS n_chars,
+         coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text,
+         coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id
+  FROM base WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+edits AS (
+  SELECT *, substr(text, 1, n_chars - n_chars // 3) || substr(next_text, 1, n_chars // 3) AS edited
+  FROM ordered),
+texts AS (
+  SELECT doc_id, n_chars, next_id, text AS txt, 'own' AS which FROM edits
+  UNION ALL SELECT doc_id, n_chars, next_id, edited, 'edited' FROM edits),
+hashed AS ({_FINGERPRINT} FROM texts),
+prints AS (
+  SELECT doc_id, n_chars, next_id, txt, which, len(lines) AS paragraphs, len(hashes) AS sentences,
+         array_to_string(list_transform(range(8), lambda k: format('{{:08x}}',
+           list_sum(list_transform(lines, lambda p: ('0x' || substr(sha256(p), 8 * k + 1, 8))::BIGINT))::BIGINT
+           & 4294967295)), '') AS sums,
+         list_transform(range(60), lambda i: coalesce(list_sum(
+           list_transform(hashes, lambda h: (h >> i) & 1)), 0)::BIGINT) AS counts
+  FROM hashed),
+lanes AS (
+  SELECT *, list_transform(counts, lambda c: 2 * c - sentences) AS lane,
+         concat_ws('-', sums, paragraphs, sentences, array_to_string(counts, '.')) AS fp
+  FROM prints),
+pairs AS (
+  SELECT o.doc_id, o.n_chars, sha256(e.txt) AS edited_sha256, o.fp AS fingerprint,
+         e.fp AS edited_fingerprint, n.fp AS next_fp, o.lane AS a, e.lane AS b, n.lane AS c
+  FROM lanes o JOIN lanes e ON o.doc_id = e.doc_id AND e.which = 'edited'
+  JOIN lanes n ON n.doc_id = o.next_id AND n.which = 'own'
+  WHERE o.which = 'own'),
+squares AS (
+  SELECT *, list_sum(list_transform(range(1, 61), lambda i: (a[i] - b[i]) * (a[i] - b[i])))::DOUBLE AS ab,
+         list_sum(list_transform(range(1, 61), lambda i: (a[i] - c[i]) * (a[i] - c[i])))::DOUBLE AS ac,
+         list_sum(list_transform(a, lambda x: x * x))::DOUBLE AS aa,
+         list_sum(list_transform(b, lambda x: x * x))::DOUBLE AS bb,
+         list_sum(list_transform(c, lambda x: x * x))::DOUBLE AS cc
+  FROM pairs)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+       CASE WHEN fingerprint = edited_fingerprint THEN 1.0 WHEN aa + bb = 0 THEN 0.0
+            ELSE greatest(0.0, 1.0 - ab / (aa + bb)) END AS near_edited,
+       CASE WHEN fingerprint = next_fp THEN 1.0 WHEN aa + cc = 0 THEN 0.0
+            ELSE greatest(0.0, 1.0 - ac / (aa + cc)) END AS near_next
+FROM squares
+"""
+
+ORACLE["op4_line_dedup"] = """
+WITH lines AS (
+  SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls
+  FROM documents),
+starts AS (SELECT doc_id, ls, unnest(range(greatest(len(ls) - 3, 0) + 1)) AS pos FROM lines),
+windows AS (
+  SELECT doc_id, pos, array_to_string(ls[pos + 1:pos + 3], chr(10)) AS w FROM starts),
+numbered AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS nth
+  FROM windows WHERE trim(translate(w, chr(10) || chr(9) || chr(13), '   ')) <> ''),
+gone AS (
+  SELECT DISTINCT n.doc_id, n.pos + k AS i FROM numbered n, range(3) AS r(k) WHERE nth > 1),
+each AS (
+  SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM lines),
+marked AS (
+  SELECT e.*, g.i IS NOT NULL AS removed
+  FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed,
+       md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT removed), '')) AS kept_md5
+FROM marked GROUP BY doc_id
+"""
