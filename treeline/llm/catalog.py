@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.llm import (decontaminate, fingerprint, jaccard, linededup, mixing, tokenfile,
-                          toxicity)
+                          toxicity, urlfilter)
 from treeline.llm.common import scratch, table, tokenizer_json
 
 
@@ -52,6 +52,14 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.digests(spark, path)
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page; the list: the corpus's hosts with a listed word."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    host, _ = urlfilter.parts(F.col("url"))
+    hosts = pages.select(host.alias("host")).filter(urlfilter.listed_by_word(F.col("host")))
+    return urlfilter.judge(pages, hosts)
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of similar documents of every document."""
     return jaccard.join(table(spark, sf_dir, "documents"))
@@ -64,5 +72,6 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_token_files": op7_token_files,
+    "op9_url_filters": op9_url_filters,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }

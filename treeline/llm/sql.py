@@ -154,3 +154,26 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed,
        md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT removed), '')) AS kept_md5
 FROM marked GROUP BY doc_id
 """
+
+ORACLE["op9_url_filters"] = """
+WITH rest AS (
+  SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0
+                       THEN substr(url, position('://' IN url) + 3) ELSE '' END AS r
+  FROM pages),
+cut AS (
+  SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rest),
+rules(h, p, v) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+         ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fitting AS (
+  SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
+  FROM cut JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  GROUP BY page_id)
+SELECT c.page_id, host, path, rule,
+       coalesce(v, CASE WHEN regexp_matches(host, '(^|[.-])(spam|pills|casino|adult)([.-]|$)')
+                        THEN 'block' ELSE 'allow' END) AS verdict
+FROM cut c LEFT JOIN fitting f ON c.page_id = f.page_id
+"""
