@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import (decontaminate, fingerprint, jaccard, linededup, mixing, tokenfile,
-                          toxicity, urlfilter)
+from treeline.llm import (decontaminate, fingerprint, jaccard, licenses, linededup, mixing,
+                          tokenfile, toxicity, urlfilter)
 from treeline.llm.common import scratch, table, tokenizer_json
 
 
@@ -37,6 +37,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grade, expected severity and toxicity of every document."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -70,6 +75,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_mixing": op3_mixing,
     "op4_line_dedup": op4_line_dedup,
+    "op5_license_scan": op5_license_scan,
     "op6_toxicity": op6_toxicity,
     "op7_token_files": op7_token_files,
     "op9_url_filters": op9_url_filters,

@@ -1,7 +1,12 @@
 """DuckDB equivalents of the registered queries that SQL can express."""
 
+from treeline.llm.licenses import TEMPLATES
+
 ORACLE: dict[str, str] = {}
 
+_WORDS = """regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
 ORACLE["op3_mixing"] = """
 WITH RECURSIVE counted AS (
   SELECT doc_id, source, coalesce('=' || source, '-') AS src,
@@ -177,3 +182,37 @@ SELECT c.page_id, host, path, rule,
                         THEN 'block' ELSE 'allow' END) AS verdict
 FROM cut c LEFT JOIN fitting f ON c.page_id = f.page_id
 """
+
+_TEMPLATES = ",\n  ".join(f"('{label}', '{text}')" for label, text in TEMPLATES)
+
+ORACLE["op5_license_scan"] = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format('text')} AS ws FROM documents),
+phrases(label, ph) AS (VALUES ('mit', ['under', 'the', 'mit', 'license']),
+  ('apache-2', ['apache', 'license', 'version', '2']), ('cc-by-nc', ['cc', 'by', 'nc'])),
+places AS (
+  SELECT doc_id, label, unnest(list_filter(range(len(ws) - len(ph) + 1),
+         lambda i: ws[i + 1] = ph[1] AND ws[i + 1:i + len(ph)] = ph)) AS pos
+  FROM docs, phrases WHERE list_contains(ws, ph[1])),
+base AS (
+  SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM places GROUP BY doc_id),
+templates(label, body) AS (VALUES
+  {_TEMPLATES}),
+wanted AS (SELECT label, list_distinct({_WORDS.format('body')}) AS tw FROM templates),
+blocks AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs),
+block_words AS (SELECT doc_id, list_distinct({_WORDS.format('line')}) AS bw FROM blocks),
+hits AS (
+  SELECT doc_id, label, len(list_intersect(bw, tw)) / len(tw)::DOUBLE AS share
+  FROM block_words, wanted
+  WHERE len(list_intersect(bw, tw)) >= ceil(0.8 * len(tw) - 1e-9)),
+every AS (SELECT doc_id, label FROM hits UNION SELECT doc_id, label FROM places),
+all_labels AS (
+  SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM every GROUP BY doc_id),
+best AS (SELECT doc_id, max(share) AS share FROM hits GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END AS score
+FROM docs d LEFT JOIN base b ON d.doc_id = b.doc_id LEFT JOIN all_labels a ON d.doc_id = a.doc_id
+LEFT JOIN best s ON d.doc_id = s.doc_id
+"""

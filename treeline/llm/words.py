@@ -108,12 +108,14 @@ def _pieces(buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def words(buf: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = ()):
+def words(buf: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = (),
+          places: bool = False):
     """Hashes of all words of the rows, and how many words each row has.
 
     Returns ``(hashes, counts)``; with ``prefixes`` also a list of arrays with
     the hash of the first k bytes of every word (0 where the word is shorter
-    than k bytes; a hash over bytes, so a character may be cut).
+    than k bytes; a hash over bytes, so a character may be cut); with ``places``
+    also the byte where each word starts.
     """
     hashes: list[np.ndarray] = []
     cut: list[list[np.ndarray]] = [[] for _ in prefixes]
@@ -149,12 +151,14 @@ def words(buf: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = ()):
             at.append(starts + a)
     if not hashes:
         none = np.zeros(0, _U)
-        return (none, np.zeros(len(offsets) - 1, np.int64)) + \
-            (([none for _ in prefixes],) if prefixes else ())
+        return (none, np.zeros(len(offsets) - 1, np.int64),
+                *([[none for _ in prefixes]] if prefixes else []),
+                *([np.zeros(0, np.int64)] if places else []))
     where = np.concatenate(at)
     counts = np.diff(np.searchsorted(where, offsets))
-    out = (np.concatenate(hashes), counts)
-    return out + ([np.concatenate(c) for c in cut],) if prefixes else out
+    return (np.concatenate(hashes), counts,
+            *([[np.concatenate(c) for c in cut]] if prefixes else []),
+            *([where] if places else []))
 
 
 def shingles(hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
