@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import (decontaminate, fingerprint, jaccard, licenses, linededup, mixing,
+from treeline.llm import (decontaminate, fingerprint, jaccard, licenses, linededup, lm, mixing,
                           tokenfile, toxicity, urlfilter)
 from treeline.llm.common import scratch, table, tokenizer_json
 
@@ -57,6 +57,13 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.digests(spark, path)
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of every document under the counts of all documents."""
+    scored = lm.score(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("score", 4).alias("score"),
+                         F.round("mean", 6).alias("mean"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page; the list: the corpus's hosts with a listed word."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -78,6 +85,7 @@ QUERIES = {
     "op5_license_scan": op5_license_scan,
     "op6_toxicity": op6_toxicity,
     "op7_token_files": op7_token_files,
+    "op8_lm_scores": op8_lm_scores,
     "op9_url_filters": op9_url_filters,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }

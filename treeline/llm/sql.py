@@ -216,3 +216,31 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, firs
 FROM docs d LEFT JOIN base b ON d.doc_id = b.doc_id LEFT JOIN all_labels a ON d.doc_id = a.doc_id
 LEFT JOIN best s ON d.doc_id = s.doc_id
 """
+
+ORACLE["op8_lm_scores"] = f"""
+WITH docs AS (SELECT doc_id, {_WORDS.format('text')} AS ws FROM documents),
+spots AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM docs),
+grams AS (
+  SELECT doc_id, i, ws[i] AS w1, CASE WHEN i >= 2 THEN ws[i - 1] || ' ' || ws[i] END AS w2,
+         CASE WHEN i >= 3 THEN ws[i - 2] || ' ' || ws[i - 1] || ' ' || ws[i] END AS w3
+  FROM spots),
+c1 AS (SELECT w1 AS g, count(*) AS c FROM grams GROUP BY w1),
+c2 AS (SELECT w2 AS g, count(*) AS c FROM grams WHERE i >= 2 GROUP BY w2),
+c3 AS (SELECT w3 AS g, count(*) AS c FROM grams WHERE i >= 3 GROUP BY w3),
+size AS (SELECT count(*)::DOUBLE AS n FROM grams),
+counted AS (
+  SELECT s.doc_id, s.i, c1.c AS u, c2.c AS b, c3.c AS t
+  FROM grams s JOIN c1 ON w1 = c1.g LEFT JOIN c2 ON w2 = c2.g LEFT JOIN c3 ON w3 = c3.g),
+beside AS (
+  SELECT *, lag(u) OVER w AS u_before, lag(b) OVER w AS b_before
+  FROM counted WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+scored AS (
+  SELECT doc_id, CASE WHEN t >= 2 THEN ln(t / b_before)
+                      WHEN b >= 2 THEN ln(b / u_before) + ln(0.4) * (least(i, 3) - 2)
+                      ELSE ln(u / n) + ln(0.4) * (least(i, 3) - 1) END AS s
+  FROM beside, size),
+sums AS (SELECT doc_id, sum(s) AS score FROM scored GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, round(coalesce(score, 0), 4) AS score,
+       round(CASE WHEN len(ws) > 0 THEN score / len(ws) END, 6) AS mean
+FROM docs d LEFT JOIN sums s ON d.doc_id = s.doc_id
+"""
