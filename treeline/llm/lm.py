@@ -59,7 +59,7 @@ _CHUNK = "chunk long, n_words long, doc_ids array<long>, sizes binary, vocabular
 
 def pack(values: np.ndarray) -> bytes:
     """Integers as byte planes: all first bytes, all second bytes, ..."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
 
 
 def unpack(data, dtype) -> np.ndarray:
