@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -36,11 +38,36 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+#: What a Python worker keeps from one task to the next, as functions that drop it.
+KEPT: list[Callable[[], None]] = []
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on, and so would their peaks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def each_batch(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]],
-               schema) -> DataFrame:
-    """``mapInArrow`` with this package importable on the executors."""
+               schema, keep: bool = False) -> DataFrame:
+    """``mapInArrow`` with this package importable on the executors.
+
+    A task first drops what earlier tasks of other operators kept in its worker
+    (``keep``: this one uses it), and gives freed memory back when it ends.
+    """
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def task(batches):
+        if not keep:
+            for drop in KEPT:
+                drop()
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(task, schema)
 
 
 def groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

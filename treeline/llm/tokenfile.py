@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeline.llm import rans
-from treeline.llm.common import each_batch, text_key
+from treeline.llm.common import KEPT, each_batch, text_key
 
 END_ID = 0
 CHUNK = 32 * rans.BLOCK
@@ -179,6 +179,9 @@ def _encoder(definition: str) -> Encoder:
     return Encoder(definition)
 
 
+KEPT.append(_encoder.cache_clear)
+
+
 def _chunks(definition: str):
     """Sorted documents of a part -> its chunks of ids."""
     def tokenise(batches):
@@ -282,7 +285,7 @@ def write(docs: DataFrame, path: str, definition: str) -> None:
                .repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), key)
                .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), key))
     each_batch(ordered, _chunks(definition),
-               f"part int, chunk int, n long, docs array<{_DOC}>, ids binary") \
+               f"part int, chunk int, n long, docs array<{_DOC}>, ids binary", keep=True) \
         .write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/tokens")
     tokens = spark.read.parquet(f"{path}/tokens")
     counted = (each_batch(tokens.select("ids"), _count(width, dtype), "id int, n long")
