@@ -49,14 +49,14 @@ def occurrences(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def covered(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(__id, __text, starts): where later occurrences start, per document."""
+    """(__id, __text, __starts): where later occurrences start, per document."""
     every = occurrences(docs, window)
     place = F.struct("__id", "__text", "at")
     first = (every.groupBy("hash")
              .agg(F.min(place).alias("first"), F.max(place).alias("last"))
              .filter("first < last").select("hash", "first"))
     later = every.join(first, "hash").filter(F.struct("__id", "__text", "at") != F.col("first"))
-    return later.groupBy("__id", "__text").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    return later.groupBy("__id", "__text").agg(F.sort_array(F.collect_set("at")).alias("__starts"))
 
 
 def _removed(n: Column, starts: Column, window: int) -> Column:
@@ -75,8 +75,8 @@ def dedupe(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = (_place(docs.select(*[F.col(f"`{c}`") for c in names]))
             .join(cover, ["__id", "__text"], "left")
             .withColumn("dedup_lines", n.cast("long"))
-            .withColumn("dedup_removed", F.when(F.col("starts").isNull(), none)
-                        .otherwise(_removed(n, F.col("starts"), window))))
+            .withColumn("dedup_removed", F.when(F.col("__starts").isNull(), none)
+                        .otherwise(_removed(n, F.col("__starts"), window))))
     at = F.sequence(F.lit(0), n - 1)
     kept = F.filter(F.arrays_zip(at.alias("i"), F.col("__lines").alias("line")),
                     lambda x: ~F.array_contains(F.col("dedup_removed"), x["i"]))

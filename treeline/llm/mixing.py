@@ -69,13 +69,13 @@ def _counted(docs: DataFrame) -> DataFrame:
     key = _hash(SEED, source, F.coalesce(F.col("doc_id").cast("string"), F.lit("-")),
                 F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     return (docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in PLAN])
-            .withColumns({"__source": source, "mix_tokens": token_count(F.col("text")),
-                          "__key": key}))
+            .withColumns({"__mix_source": source, "mix_tokens": token_count(F.col("text")),
+                          "__mix_key": key}))
 
 
 def sources(docs: DataFrame) -> DataFrame:
-    """(__source, total): the tokens of every source that has any."""
-    return (_counted(docs).groupBy("__source").agg(F.sum("mix_tokens").alias("total"))
+    """(__mix_source, total): the tokens of every source that has any."""
+    return (_counted(docs).groupBy("__mix_source").agg(F.sum("mix_tokens").alias("total"))
             .filter("total > 0"))
 
 
@@ -125,11 +125,11 @@ def exponent(table: DataFrame, budget: float, entropy_share: float = ENTROPY_SHA
 
 def budgets(table: DataFrame, budget: int | None = None, entropy_share: float = ENTROPY_SHARE,
             max_repeats: float = MAX_REPEATS) -> DataFrame:
-    """(__source, total, weight, allowed, epochs, rest) of a table of sources."""
+    """(__mix_source, total, weight, allowed, epochs, rest) of a table of sources."""
     all_tokens = table.agg(F.sum("total")).first()[0] or 0
     budget = all_tokens if budget is None else budget
     if not all_tokens:
-        return table.selectExpr("__source", "total", "0D AS weight", "0L AS allowed",
+        return table.selectExpr("__mix_source", "total", "0D AS weight", "0L AS allowed",
                                 "0L AS epochs", "0L AS rest")
     a = exponent(table, budget, entropy_share, max_repeats)
     ((z, _, _),) = _sums(table, all_tokens, [a])
@@ -154,42 +154,47 @@ def mix(docs: DataFrame, budget: int | None = None, entropy_share: float = ENTRO
     totals = write_table(sources(docs), "mix-sources")
     plan = write_table(budgets(totals, budget, entropy_share, max_repeats)
                        .withColumn("blocks", F.ceil(F.col("total") / block_tokens)), "mix-plan")
-    block = F.pmod(_number(F.col("__key")), F.col("blocks")).alias("mix_block")
-    dealt = counted.join(_small(plan.select("__source", "blocks")), "__source") \
+    block = F.pmod(_number(F.col("__mix_key")), F.col("__mix_blocks")).alias("mix_block")
+    dealt = counted.join(_small(plan.select("__mix_source", F.col("blocks").alias("__mix_blocks"))), "__mix_source") \
                    .select(*counted.columns, block)
     order = F.col("block_order")
-    earlier = (Window.partitionBy("__source").orderBy(order, "mix_block")
+    earlier = (Window.partitionBy("__mix_source").orderBy(order, "mix_block")
                .rowsBetween(Window.unboundedPreceding, -1))
     sums = write_table(
-        dealt.groupBy("__source", "mix_block").agg(F.sum("mix_tokens").alias("block_tokens"))
-        .join(plan, "__source")
-        .withColumn("block_order", _hash(SEED, F.col("__source"), F.col("epochs"), F.col("mix_block")))
+        dealt.groupBy("__mix_source", "mix_block").agg(F.sum("mix_tokens").alias("block_tokens"))
+        .join(plan, "__mix_source")
+        .withColumn("block_order", _hash(SEED, F.col("__mix_source"), F.col("epochs"), F.col("mix_block")))
         .withColumn("before", F.coalesce(F.sum("block_tokens").over(earlier), F.lit(0)))
-        .select("__source", "mix_block", "block_tokens", "epochs", "rest", "before"), "mix-blocks")
-    rows = dealt.join(_small(sums), ["__source", "mix_block"])
-    end = F.col("before") + F.col("block_tokens")
-    times = F.col("epochs") + F.when(end <= F.col("rest"), 1).otherwise(0)
+        .select("__mix_source", "mix_block", "block_tokens", "epochs", "rest", "before"), "mix-blocks")
+    # Columns of the documents may have any names: the plan's get a prefix of their own.
+    state = sums.select("__mix_source", "mix_block", *[F.col(c).alias(f"__mix_{c}") for c in
+                                                       ("block_tokens", "epochs", "rest", "before")])
+    rows = dealt.join(_small(state), ["__mix_source", "mix_block"])
+    before, rest = F.col("__mix_before"), F.col("__mix_rest")
+    epochs = F.col("__mix_epochs")
+    end = before + F.col("__mix_block_tokens")
+    times = epochs + F.when(end <= rest, 1).otherwise(0)
     epoch = F.explode(F.sequence(F.lit(0).cast("long"), times - 1)).alias("mix_epoch")
     keep = [*counted.columns, "mix_block"]
     whole = rows.filter(times > 0).select(*keep, epoch)
-    run = (Window.partitionBy("__source", "mix_block").orderBy("mix_order", "doc_id")
+    run = (Window.partitionBy("__mix_source", "mix_block").orderBy("mix_order", "doc_id")
            .rowsBetween(Window.unboundedPreceding, 0))
-    split = (rows.filter((F.col("before") < F.col("rest")) & (end > F.col("rest")))
-             .withColumn("mix_order", _hash(SEED, F.col("epochs"), F.col("__key")))
-             .withColumn("sum", F.sum("mix_tokens").over(run))
-             .filter(F.col("before") + F.col("sum") <= F.col("rest"))
-             .select(*keep, F.col("epochs").alias("mix_epoch")))
+    split = (rows.filter((before < rest) & (end > rest))
+             .withColumn("mix_order", _hash(SEED, epochs, F.col("__mix_key")))
+             .withColumn("__mix_sum", F.sum("mix_tokens").over(run))
+             .filter(before + F.col("__mix_sum") <= rest)
+             .select(*keep, epochs.alias("mix_epoch")))
     drawn = whole.unionByName(split)
     rank = _ranks(sums)
-    return (drawn.join(_small(rank), ["__source", "mix_block", "mix_epoch"])
-            .withColumn("mix_order", _hash(SEED, F.col("mix_epoch"), F.col("__key")))
-            .drop("__source", "__key"))
+    return (drawn.join(_small(rank), ["__mix_source", "mix_block", "mix_epoch"])
+            .withColumn("mix_order", _hash(SEED, F.col("mix_epoch"), F.col("__mix_key")))
+            .select(*[F.col(f"`{c}`") for c in docs.columns if c not in PLAN], *PLAN))
 
 
 def _ranks(sums: DataFrame) -> DataFrame:
-    """(__source, mix_block, mix_epoch, mix_block_rank) for every epoch of every block."""
+    """(__mix_source, mix_block, mix_epoch, mix_block_rank) for every epoch of every block."""
     times = F.sequence(F.lit(0).cast("long"), F.col("epochs"))
-    each = sums.select("__source", "mix_block", F.explode(times).alias("mix_epoch"))
-    place = Window.partitionBy("__source", "mix_epoch").orderBy(
-        _hash(SEED, F.col("__source"), F.col("mix_epoch"), F.col("mix_block")), "mix_block")
+    each = sums.select("__mix_source", "mix_block", F.explode(times).alias("mix_epoch"))
+    place = Window.partitionBy("__mix_source", "mix_epoch").orderBy(
+        _hash(SEED, F.col("__mix_source"), F.col("mix_epoch"), F.col("mix_block")), "mix_block")
     return each.withColumn("mix_block_rank", F.row_number().over(place).cast("long"))
