@@ -703,36 +703,40 @@ SELECT repo_id, side, CAST(pos AS BIGINT) AS pos, path, affected_total FROM (
         UNION ALL SELECT repo_id, 'after', path, source FROM after)) x
 JOIN (SELECT repo_id, count(*) AS affected_total FROM affected GROUP BY repo_id) t USING (repo_id)
 WHERE pos <= 50""")
-# tree nodes: prefixes of the cut paths; a node is a file iff it is one of the paths
-L["tnodes0"] = (["cut"], """
+L["paths_all"] = (["affected", "after"], """
+SELECT repo_id, 'before' AS side, path FROM affected UNION SELECT repo_id, 'after', path FROM after""")
+# tree nodes: prefixes of the paths; a node is a file iff it is one of the paths.
+# T1, T2 and W4 draw all affected paths, T3 the cut ones.
+for _all, _paths in (("", "cut"), ("_all", "paths_all")):
+    L[f"tnodes0{_all}"] = ([_paths], f"""
 SELECT DISTINCT repo_id, side, array_to_string(string_split(path, '/')[1:k], '/') AS node, k AS depth,
        string_split(path, '/')[k] AS name,
        array_to_string(string_split(path, '/')[1:k - 1], '/') AS parent
-FROM (SELECT *, unnest(range(1, len(string_split(path, '/')) + 1)) AS k FROM cut)""")
-L["tnodes"] = (["tnodes0", "cut"], """
-SELECT n.*, EXISTS (SELECT 1 FROM cut c WHERE c.repo_id = n.repo_id AND c.side = n.side AND c.path = n.node) AS is_file
-FROM tnodes0 n
-WHERE NOT EXISTS (SELECT 1 FROM cut c WHERE c.repo_id = n.repo_id AND c.side = n.side
+FROM (SELECT *, unnest(range(1, len(string_split(path, '/')) + 1)) AS k FROM {_paths})""")
+    L[f"tnodes{_all}"] = ([f"tnodes0{_all}", _paths], f"""
+SELECT n.*, EXISTS (SELECT 1 FROM {_paths} c WHERE c.repo_id = n.repo_id AND c.side = n.side AND c.path = n.node) AS is_file
+FROM tnodes0{_all} n
+WHERE NOT EXISTS (SELECT 1 FROM {_paths} c WHERE c.repo_id = n.repo_id AND c.side = n.side
                   AND starts_with(n.node, c.path || '/'))""")
-L["tlines0"] = (["tnodes"], """
+    L[f"tlines0{_all}"] = ([f"tnodes{_all}"], f"""
 SELECT *, row_number() OVER (PARTITION BY repo_id, side, parent ORDER BY is_file DESC, name DESC) = 1 AS is_last
-FROM tnodes""")
-L["tlines"] = (["tlines0"], """
+FROM tnodes{_all}""")
+    L[f"tlines{_all}"] = ([f"tlines0{_all}"], f"""
 SELECT t.*,
   coalesce((SELECT string_agg(CASE WHEN a.is_last THEN '    ' ELSE '│   ' END, '' ORDER BY a.depth)
-            FROM tlines0 a WHERE a.repo_id = t.repo_id AND a.side = t.side AND a.depth < t.depth
+            FROM tlines0{_all} a WHERE a.repo_id = t.repo_id AND a.side = t.side AND a.depth < t.depth
               AND starts_with(t.node, a.node || '/')), '')
   || CASE WHEN is_last THEN '└── ' ELSE '├── ' END || name || CASE WHEN is_file THEN '' ELSE '/' END AS text,
   row_number() OVER (PARTITION BY repo_id, side ORDER BY
-     list_transform(string_split(node, '/'), lambda x, i: {'f': i = depth AND is_file, 'n': x})) AS line_no
-FROM tlines0 t""")
+     list_transform(string_split(node, '/'), lambda x, i: {{'f': i = depth AND is_file, 'n': x}})) AS line_no
+FROM tlines0{_all} t""")
 
 _o("U2_affected_files", ["affected"], "SELECT repo_id, path FROM affected")
 _o("J9_after_state", ["after"], "SELECT repo_id, source, path FROM after")
 _o("L2_limit_affected", ["cut"], "SELECT * FROM cut")
-_o("T1_tree_nodes", ["tnodes"], "SELECT repo_id, side, node, parent, CAST(depth AS BIGINT) AS depth, is_file FROM tnodes")
-_o("T2_tree_lines", ["tlines"], "SELECT repo_id, side, CAST(line_no AS BIGINT) AS line_no, node, is_last, text FROM tlines")
-_o("W4_last_sibling", ["tlines0"], "SELECT repo_id, side, node, is_last FROM tlines0")
+_o("T1_tree_nodes", ["tnodes_all"], "SELECT repo_id, side, node, parent, CAST(depth AS BIGINT) AS depth, is_file FROM tnodes_all")
+_o("T2_tree_lines", ["tlines_all"], "SELECT repo_id, side, CAST(line_no AS BIGINT) AS line_no, node, is_last, text FROM tlines_all")
+_o("W4_last_sibling", ["tlines0_all"], "SELECT repo_id, side, node, is_last FROM tlines0_all")
 ORACLE["T3_tree_diff"] = layers("tlines", "moves") + f"""
 , heads AS (SELECT DISTINCT repo_id, side, affected_total FROM cut WHERE repo_id IN (SELECT repo_id FROM moves))
 SELECT repo_id, side, CAST(0 AS BIGINT) AS line_no, '.' AS text FROM heads

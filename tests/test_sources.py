@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from treeline.sources import inventory as INV
@@ -16,22 +17,43 @@ def _tree(root, files):
             fh.write(text)
 
 
-def test_scan_trees_reference_folder(spark, tmp_path):
-    _tree(str(tmp_path / "repoA"), {
-        "README.md": "", "src/app.py": 'import os\n\nprint("hello")', "tests/test_app.py":
-        "def test_foo():\n    pass", "venv/script.py": "", "src/__init__.py": "", ".env": "X=1",
-        "node_modules/x/index.js": "", "pkg.egg-info/PKG-INFO": "", "docs/.DS_Store": ""})
-    _tree(str(tmp_path / "repoB"), {"main.py": "print(1)"})
+def test_scan_trees_keeps_and_prunes(spark, tmp_path):
+    _tree(str(tmp_path / "alpha"), {
+        "notes.md": "", "core/engine.py": "import json\n\nvalue = 1", "checks/test_engine.py":
+        "def test_value():\n    assert True", "venv/x.py": "", "core/__init__.py": "", ".env": "A=2",
+        "node_modules/y/z.js": "", "alpha.egg-info/top.txt": "", "manual/.DS_Store": ""})
+    _tree(str(tmp_path / "beta"), {"run.py": "print(2)"})
     rows = TR.scan_trees(spark, str(tmp_path)).collect()
     got = {(r["repo_id"], r["relative_path"]) for r in rows}
-    assert got == {("repoA", "README.md"), ("repoA", "src/app.py"), ("repoA", "tests/test_app.py"),
-                   ("repoA", "src/__init__.py"), ("repoA", "docs/.DS_Store"), ("repoB", "main.py")}
+    assert got == {("alpha", "notes.md"), ("alpha", "core/engine.py"), ("alpha", "checks/test_engine.py"),
+                   ("alpha", "core/__init__.py"), ("alpha", "manual/.DS_Store"), ("beta", "run.py")}
     by = {r["relative_path"]: r for r in rows}
-    assert by["src/app.py"]["content"].startswith("import os")
-    assert by["README.md"]["content"] is None          # only .py text is read
+    assert by["core/engine.py"]["content"].startswith("import json")
+    assert by["notes.md"]["content"] is None           # only .py text is read
     # walk order: root files first, then top-level directories in order
-    a = sorted((r["file_seq"], r["relative_path"]) for r in rows if r["repo_id"] == "repoA")
-    assert [p for _, p in a][0] == "README.md"
+    a = sorted((r["file_seq"], r["relative_path"]) for r in rows if r["repo_id"] == "alpha")
+    assert [p for _, p in a][0] == "notes.md"
+
+
+def test_scan_trees_links_line_ends_and_unreadable_files(spark, tmp_path):
+    _tree(str(tmp_path / "t"), {"src/a.py": "x = 1"})
+    (tmp_path / "t/src/w.py").write_bytes(b"a = 1\r\nb = 2\rc = 3\n")
+    os.symlink(str(tmp_path / "nowhere.py"), str(tmp_path / "t/src/gone.py"))
+    os.symlink(str(tmp_path / "nowhere.py"), str(tmp_path / "t/gone.py"))
+    os.symlink(str(tmp_path / "t/src"), str(tmp_path / "t/linked"))
+    rows = {r.relative_path: r for r in TR.scan_trees(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"gone.py", "src/a.py", "src/w.py", "src/gone.py"}   # no link is walked
+    assert rows["src/gone.py"].content is None and rows["src/gone.py"].size == 0
+    assert rows["src/w.py"].content == "a = 1\nb = 2\nc = 3\n"
+    with pytest.raises(ValueError):
+        TR.scan_trees(spark, "hdfs://host/trees")
+
+
+def test_inventory_text_of_binary_content(spark):
+    df = spark.createDataFrame([("r", 1, "a.py", 3, "x='\ufffd'\r\n".encode()), ("r", 2, "b.py", 3, b"y=\xff1")],
+                               "repo_id string, file_seq bigint, relative_path string, size bigint, content binary")
+    got = {r.relative_path: (r.content, r.text_ok) for r in INV.validate_inventory(df).collect()}
+    assert got == {"a.py": ("x='\ufffd'\n", True), "b.py": ("y=1", False)}
 
 
 def test_inventory_schema_and_history_round_trip(spark, tmp_path):
@@ -115,12 +137,12 @@ def test_bad_utf8_keeps_imports_but_no_statements(spark, tmp_path):
     assert f["imports"] == ["os"] and f["stmts"] == []
 
 
-def test_scan_trees_at_scale_equals_scan_trees(spark, tmp_path):
+def test_scan_trees_does_not_depend_on_partitions(spark, tmp_path):
     _tree(str(tmp_path / "repoA"), {"README.md": "", "src/app.py": "import os\n", "src/pkg/m.py": "x = 1\n",
                                     "venv/s.py": "", "docs/a.md": "", "build/x.py": ""})
     _tree(str(tmp_path / "repoB"), {"main.py": "print(1)", "lib/u.py": "import sys\n"})
     cols = ["repo_id", "file_seq", "relative_path", "size", "content", "text_ok"]
-    a = sorted(tuple(r) for r in TR.scan_trees(spark, str(tmp_path), listing="driver").select(*cols).collect())
-    b = sorted(tuple(r) for r in TR.scan_trees_at_scale(spark, str(tmp_path), num_partitions=3)
+    a = sorted(tuple(r) for r in TR.scan_trees(spark, str(tmp_path), num_partitions=1).select(*cols).collect())
+    b = sorted(tuple(r) for r in TR.scan_trees(spark, str(tmp_path), num_partitions=3)
                .select(*cols).collect())
     assert a == b and len(a) == 6

@@ -253,7 +253,7 @@ def simple_groups(mv: DataFrame) -> DataFrame:
 
     A move is simple when no other move writes what it reads and it writes
     nothing another move reads: its source is no move's target and no
-    target's ancestor; its target is no move's source and no target's
+    target's ancestor, and no other move's source; its target is no move's source and no target's
     ancestor; no ancestor of its target is any move's source or target. A
     group is simple when all of its moves are.
     """
@@ -268,7 +268,9 @@ def simple_groups(mv: DataFrame) -> DataFrame:
                      ["repo_id", "target"], "left_semi").select("repo_id", "node")
     bad_anc = (m.select("repo_id", "node", F.explode(ancestors(F.col("target"))).alias("path"))
                .join(ends, ["repo_id", "path"], "left_semi").select("repo_id", "node"))
-    bad = bad_src.unionByName(bad_tgt).unionByName(bad_anc).distinct().withColumn("bad", F.lit(True))
+    again = m.groupBy("repo_id", "source").count().filter("count > 1").select("repo_id", "source")
+    bad_again = m.join(again, ["repo_id", "source"], "left_semi").select("repo_id", "node")
+    bad = bad_src.unionByName(bad_tgt).unionByName(bad_anc).unionByName(bad_again).distinct().withColumn("bad", F.lit(True))
     flagged = m.join(bad, ["repo_id", "node"], "left")
     return (flagged.groupBy("repo_id", "target")
             .agg(F.bool_and(F.col("bad").isNull()).alias("simple"))

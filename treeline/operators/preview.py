@@ -1,7 +1,8 @@
 """E2 preview: impact summary, new directories and the before / after tree.
 
-The tree is drawn from a bounded path set (the first 50 affected files per
-repository and side), so every window here sees at most a few hundred rows.
+Trees are drawn from all paths they are given, however many a repository has:
+last siblings are grouped maxima and lines are numbered over range slices. Only
+the before / after view draws the first 50 affected files per side.
 Drawing rules: directories sort before files, then by name; a node is a file
 iff its own path is in the list (a path always sorts before the paths below
 it, so it is the first to create its node); nothing below a file is drawn.
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from treeline.functions import constants as K
 from treeline.functions.text import fmt
-from treeline.operators.ordering import first_k
+from treeline.operators.ordering import first_k, number_within
+from treeline.session import write_table
 
 MAX_FILES = 50
 PIPE, SPACE, TEE, ELBOW = K.TREE_PIPE, K.TREE_SPACE, K.TREE_TEE, K.TREE_ELBOW
@@ -36,6 +38,13 @@ def after_state(proposals: DataFrame) -> DataFrame:
                     F.coalesce("target", "path").alias("path")))
 
 
+def affected_paths(proposals: DataFrame) -> DataFrame:
+    """All affected paths per repository and side ('before' / 'after'), each once."""
+    before = affected_files(proposals).select("repo_id", F.lit("before").alias("side"), "path")
+    after = after_state(proposals).select("repo_id", F.lit("after").alias("side"), "path")
+    return before.unionByName(after.distinct())
+
+
 def limit_affected(proposals: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
     """L2: first ``max_files`` paths per repository and side, in path order.
 
@@ -83,31 +92,50 @@ def tree_nodes(paths: DataFrame, keys: list[str]) -> DataFrame:
     return n.join(below, [*keys, "nparts"], "left_anti")
 
 
-def tree_lines(nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """T2 (+ W4): one drawn line per node and its position in the drawing."""
-    w_sib = Window.partitionBy(*keys, "parent").orderBy(F.col("is_file").desc(), F.col("name").desc())
-    n = nodes.withColumn("is_last", F.row_number().over(w_sib) == 1)
+def last_siblings(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """``nodes`` with ``is_last``: the greatest (is_file, name) below its parent.
+
+    A grouped maximum, so a directory with very many entries is summed up
+    before the shuffle and never sorted in one task.
+    """
+    last = nodes.groupBy(*keys, "parent").agg(
+        F.max(F.struct("is_file", "name")).alias("_last"))
+    return (nodes.join(last, [*keys, "parent"])
+            .withColumn("is_last", F.struct("is_file", "name") == F.col("_last")).drop("_last"))
+
+
+def tree_lines(nodes: DataFrame, keys: list[str], few: bool = False) -> DataFrame:
+    """T2 (+ W4): one drawn line per node and its position in the drawing.
+
+    Lines are numbered over range slices of the whole drawing order; ``few``
+    says that a group is bounded (T3's cut) and a plain window will do.
+    """
+    n = last_siblings(nodes, keys)
     # sort key: (is_file, name) of every ancestor-or-self; ancestors are directories
     n = n.withColumn("skey", F.concat(
         F.transform(F.slice("nparts", 1, F.col("depth") - 1),
                     lambda x: F.struct(F.lit(False).alias("f"), x.alias("n"))),
         F.array(F.struct(F.col("is_file").alias("f"), F.col("name").alias("n")))))
-    # indentation from the is_last flag of each proper ancestor
-    anc = n.select(*keys, "node", "depth", "nparts",
-                   F.explode(F.sequence(F.lit(1), F.greatest(F.col("depth") - 1, F.lit(1))))
-                   .alias("adepth")).filter(F.col("adepth") < F.col("depth"))
-    anc = anc.withColumn("anode", F.array_join(F.slice("nparts", 1, F.col("adepth")), "/"))
-    flags = n.select(*keys, F.col("node").alias("anode"), F.col("is_last").alias("a_last"))
-    pieces = anc.join(flags, [*keys, "anode"]).groupBy(*keys, "node").agg(
+    # what stands before a directory's entries: one piece for it and each of its ancestors
+    dirs = n.filter(~F.col("is_file")).select(*keys, "node", "nparts", "depth", "is_last")
+    chain = dirs.select(*keys, "node", "nparts",
+                        F.explode(F.sequence(F.lit(1), "depth")).alias("adepth")) \
+                .withColumn("anode", F.array_join(F.slice("nparts", 1, F.col("adepth")), "/"))
+    flags = dirs.select(*keys, F.col("node").alias("anode"), F.col("is_last").alias("a_last"))
+    pieces = chain.join(flags, [*keys, "anode"]).groupBy(*keys, F.col("node").alias("parent")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("adepth", "a_last"))),
                                  lambda s: F.when(s["a_last"], F.lit(SPACE)).otherwise(F.lit(PIPE))),
                      "").alias("prefix"))
-    n = n.join(pieces, [*keys, "node"], "left").withColumn("prefix", F.coalesce("prefix", F.lit("")))
+    n = n.join(pieces, [*keys, "parent"], "left").withColumn("prefix", F.coalesce("prefix", F.lit("")))
     text = F.concat(F.col("prefix"), F.when(F.col("is_last"), F.lit(ELBOW)).otherwise(F.lit(TEE)),
                     F.col("name"), F.when(F.col("is_file"), F.lit("")).otherwise(F.lit("/")))
-    w_line = Window.partitionBy(*keys).orderBy("skey")
-    return n.select(*keys, "node", "is_file", "is_last", text.alias("text"),
-                    F.row_number().over(w_line).cast("bigint").alias("line_no"))
+    n = n.select(*keys, "node", "is_file", "is_last", text.alias("text"), "skey")
+    if few:
+        w_line = Window.partitionBy(*keys).orderBy("skey")
+        n = n.withColumn("line_no", F.row_number().over(w_line).cast("bigint"))
+    else:
+        n = number_within(n, keys, ["skey"], "line_no")
+    return n.select(*keys, "node", "is_file", "is_last", "text", "line_no")
 
 
 def tree_diff(proposals: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
@@ -117,9 +145,11 @@ def tree_diff(proposals: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
     the '... showing 50 of n affected files' note when the list was cut.
     """
     with_moves = proposals.filter(F.col("action") == "move").select("repo_id").distinct()
-    cut = limit_affected(proposals.join(with_moves, "repo_id", "left_semi"), max_files)
+    # the cut feeds the nodes, the lines and the heads: written once
+    cut = write_table(limit_affected(proposals.join(with_moves, "repo_id", "left_semi"), max_files),
+                      "tree-cut")
     keys = ["repo_id", "side"]
-    lines = tree_lines(tree_nodes(cut.select(*keys, "path"), keys), keys) \
+    lines = tree_lines(tree_nodes(cut.select(*keys, "path"), keys), keys, few=True) \
         .select(*keys, "line_no", "text")
     heads = cut.select(*keys, "affected_total").distinct()
     top = heads.select(*keys, F.lit(0).cast("bigint").alias("line_no"), F.lit(".").alias("text"))

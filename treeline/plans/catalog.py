@@ -517,26 +517,23 @@ def l2(t: Tables) -> DataFrame:
 
 @query("T1_tree_nodes")
 def t1(t: Tables) -> DataFrame:
-    cut = PV.limit_affected(t.proposals)
-    n = PV.tree_nodes(cut.select("repo_id", "side", "path"), ["repo_id", "side"])
+    n = PV.tree_nodes(PV.affected_paths(t.proposals), ["repo_id", "side"])
     return n.select("repo_id", "side", "node", "parent", F.col("depth").cast("bigint").alias("depth"),
                     "is_file")
 
 
 @query("T2_tree_lines")
 def t2(t: Tables) -> DataFrame:
-    cut = PV.limit_affected(t.proposals)
     keys = ["repo_id", "side"]
-    return PV.tree_lines(PV.tree_nodes(cut.select(*keys, "path"), keys), keys).select(
+    return PV.tree_lines(PV.tree_nodes(PV.affected_paths(t.proposals), keys), keys).select(
         "repo_id", "side", "line_no", "node", "is_last", "text")
 
 
 @query("W4_last_sibling")
 def w4(t: Tables) -> DataFrame:
-    cut = PV.limit_affected(t.proposals)
     keys = ["repo_id", "side"]
-    return PV.tree_lines(PV.tree_nodes(cut.select(*keys, "path"), keys), keys).select(
-        "repo_id", "side", "node", "is_last")
+    nodes = PV.tree_nodes(PV.affected_paths(t.proposals), keys)
+    return PV.last_siblings(nodes, keys).select("repo_id", "side", "node", "is_last")
 
 
 @query("T3_tree_diff")

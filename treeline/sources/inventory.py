@@ -52,8 +52,11 @@ def validate_inventory(df: DataFrame) -> DataFrame:
         df = df.withColumns({
             "text_ok": F.coalesce(F.col("text_ok"), F.is_valid_utf8(raw_text))
             if "text_ok" in fields else F.is_valid_utf8(raw_text),
-            "content": F.regexp_replace(F.make_valid_utf8(raw_text), "\uFFFD", ""),
+            "content": F.when(F.is_valid_utf8(raw_text), raw_text).otherwise(
+                F.regexp_replace(F.make_valid_utf8(raw_text), "\uFFFD", "")),
         })
+    # text mode: every line end is a line feed
+    df = df.withColumn("content", F.regexp_replace("content", "\r\n?", "\n"))
     if "text_ok" not in df.columns:
         df = df.withColumn("text_ok", F.lit(None).cast("boolean"))
     return df.select(*RAW_FILES_COLUMNS, "content", "text_ok")

@@ -1,8 +1,7 @@
 """S1 ``scan_trees``: list many source trees into ``raw_files``.
 
-A Python Data Source (``spark.read.format("trees")``). The folder given to
-``load`` holds one tree per sub-folder; the tree's folder name is its
-``repo_id``. The unit of work is one top-level entry of one tree (the tree's
+The folder given to ``scan_trees`` holds one tree per sub-folder; the tree's
+folder name is its ``repo_id``. A Python Data Source lists the units. The unit of work is one top-level entry of one tree (the tree's
 root files form their own unit), so a large monorepo is read by many tasks;
 units are dealt into a bounded number of input partitions so small trees
 share tasks. Ignored directories are pruned while walking (the listing never
@@ -66,59 +65,53 @@ class TreeUnit:
     position: int
 
 
-@dataclass
-class TreePart(InputPartition):
-    units: list          # TreeUnit, each walked on its own, in order
+def _directories(tree: str) -> list[str]:
+    """Names of the real top-level directories (links are not followed); [] if unreadable."""
+    try:
+        with os.scandir(tree) as entries:
+            return sorted(e.name for e in entries if e.is_dir(follow_symlinks=False))
+    except OSError:
+        return []
 
 
-class TreeReader(DataSourceReader):
-    def __init__(self, root: str, read_content: str, num_partitions: int):
-        self.root = root
-        self.read_content = read_content
-        self.num_partitions = max(1, num_partitions)
+def _root_files(tree: str) -> list[str]:
+    """Names at the root that are no directory, dangling links included."""
+    try:
+        with os.scandir(tree) as entries:
+            return sorted(e.name for e in entries if not e.is_dir())
+    except OSError:
+        return []
 
-    def partitions(self):
-        """Units are (tree, top-level entry); they are dealt round-robin into a
-        bounded number of partitions, so many small trees share a task while a
-        large tree still spreads over its top-level entries."""
-        units = []
-        for repo_id in sorted(os.listdir(self.root)):
-            tree = os.path.join(self.root, repo_id)
-            if not os.path.isdir(tree):
-                continue
-            entries = [e for e in os.listdir(tree) if os.path.isdir(os.path.join(tree, e))]
-            units.append(TreeUnit(repo_id, tree, None, 0))
-            for i, e in enumerate(sorted(entries), start=1):
-                if not ignored([e]):
-                    units.append(TreeUnit(repo_id, tree, e, i))
-        n = min(self.num_partitions, max(1, len(units)))
-        return [TreePart(units[k::n]) for k in range(n)]
+
+class TreeWalker:
+    """Rows of one unit. A file that cannot be read keeps its row, without content."""
+
+    def __init__(self, read_content: str):
+        self.read_content = read_content
 
     def _row(self, p: TreeUnit, rel: str, full: str, seq: int):
-        size = os.path.getsize(full) if os.path.exists(full) else 0
-        content, text_ok = None, None
-        if self.read_content == "all" or (self.read_content == "py" and rel.endswith(".py")):
-            with open(full, "rb") as fh:
-                data = fh.read()
-            content = data.decode("utf-8", errors="ignore")
-            try:
-                data.decode("utf-8")
-                text_ok = True
-            except UnicodeDecodeError:
-                text_ok = False
+        content, text_ok, size = None, None, 0
+        try:
+            size = os.path.getsize(full)
+            if self.read_content == "all" or (self.read_content == "py" and rel.endswith(".py")):
+                with open(full, "rb") as fh:
+                    data = fh.read()
+                try:
+                    content, text_ok = data.decode("utf-8"), True
+                except UnicodeDecodeError:
+                    content, text_ok = data.decode("utf-8", errors="ignore"), False
+                # text mode: every line end is a line feed
+                content = content.replace("\r\n", "\n").replace("\r", "\n")
+        except OSError:
+            pass
         return (p.repo_id, (p.position << _LOCAL_BITS) + seq, rel, size, content, text_ok)
 
-    def read(self, partition: TreePart):
-        for unit in partition.units:
-            yield from self._walk(unit)
-
-    def _walk(self, p: TreeUnit):
+    def walk(self, p: TreeUnit):
         seq = 0
         if p.entry is None:
-            for name in sorted(os.listdir(p.tree_root)):
-                full = os.path.join(p.tree_root, name)
-                if os.path.isfile(full) and not ignored([name]):
-                    yield self._row(p, name, full, seq)
+            for name in _root_files(p.tree_root):
+                if not ignored([name]):
+                    yield self._row(p, name, os.path.join(p.tree_root, name), seq)
                     seq += 1
             return
         for root, dirs, files in os.walk(os.path.join(p.tree_root, p.entry)):
@@ -132,49 +125,13 @@ class TreeReader(DataSourceReader):
                 seq += 1
 
 
-class TreeSource(DataSource):
-    """``spark.read.format("trees").option("content", "py").load(folder)``."""
-
-    @classmethod
-    def name(cls):
-        return "trees"
-
-    def schema(self):
-        return SCHEMA
-
-    def reader(self, schema):
-        root = self.options.get("path")
-        if not root:
-            raise ValueError("trees source needs a folder: load(path)")
-        return TreeReader(root, self.options.get("content", "py"),
-                          int(self.options.get("numPartitions", "64")))
-
-
-def scan_trees(spark, root: str, content: str = "py", num_partitions: int | None = None,
-               listing: str = "tasks"):
-    """One row per file of every tree under ``root`` (ignored paths pruned).
-
-    ``listing="tasks"`` (default): trees are listed by tasks and units walked
-    after a hash spread (``scan_trees_at_scale``); ``listing="driver"``: one
-    ``format("trees")`` source whose units are listed on the driver.
-    ``num_partitions`` defaults to twice the cluster's default parallelism.
-    """
-    if listing == "tasks":
-        return scan_trees_at_scale(spark, root, content, num_partitions)
-    from treeline.session import ship_package
-    ship_package(spark)
-    spark.dataSource.register(TreeSource)
-    n = num_partitions or 2 * spark.sparkContext.defaultParallelism
-    return (spark.read.format("trees").option("content", content)
-            .option("numPartitions", str(n)).load(root))
-
-
 # ---------------------------------------------------------------------------
 # Listing at scale: the driver lists only the root folder's names.
 # ---------------------------------------------------------------------------
 
 UNIT_SCHEMA = "repo_id string, tree_root string, entry string, position int"
 _CHUNK = 10_000
+_CHUNK_CHARS = 16_000_000
 
 
 @dataclass
@@ -198,8 +155,7 @@ class TreeUnitReader(DataSourceReader):
             if not os.path.isdir(tree):
                 continue
             yield (repo_id, tree, None, 0)
-            entries = sorted(e for e in os.listdir(tree) if os.path.isdir(os.path.join(tree, e)))
-            for i, e in enumerate(entries, start=1):
+            for i, e in enumerate(_directories(tree), start=1):
                 if not ignored([e]):
                     yield (repo_id, tree, e, i)
 
@@ -224,28 +180,34 @@ def _walk_units(read_content: str):
     cols = ["repo_id", "file_seq", "relative_path", "size", "content", "text_ok"]
 
     def run(batches):
-        walker = TreeReader("", read_content, 1)
+        walker = TreeWalker(read_content)
         for pdf in batches:
-            rows = []
+            rows, held = [], 0
             for u in pdf.itertuples(index=False):
                 unit = TreeUnit(u.repo_id, u.tree_root, u.entry if isinstance(u.entry, str) else None,
                                 int(u.position))
-                for row in walker._walk(unit):
+                for row in walker.walk(unit):
                     rows.append(row)
-                    if len(rows) >= _CHUNK:
+                    held += len(row[4] or "")
+                    if len(rows) >= _CHUNK or held >= _CHUNK_CHARS:
                         yield pd.DataFrame(rows, columns=cols)
-                        rows = []
+                        rows, held = [], 0
             if rows:
                 yield pd.DataFrame(rows, columns=cols)
     return run
 
 
-def scan_trees_at_scale(spark, root: str, content: str = "py", num_partitions: int | None = None):
-    """S1 for very many trees: units are listed by tasks, then hash-spread and walked.
+def scan_trees(spark, root: str, content: str = "py", num_partitions: int | None = None):
+    """One row per file of every tree under ``root`` (ignored paths pruned).
 
-    Same rows as ``scan_trees``; the driver touches only the root folder's names.
+    Trees are listed by tasks and their units walked after a hash spread; the
+    driver lists only the root folder's names. ``root`` is a path that all
+    executors have mounted; a URI with a scheme is refused.
+    ``num_partitions`` defaults to twice the cluster's default parallelism.
     """
     from treeline.session import ship_package
+    if re.match(r"^[A-Za-z][A-Za-z0-9+.-]+:/", root):
+        raise ValueError(f"scan_trees reads mounted folders, not {root!r}")
     ship_package(spark)
     spark.dataSource.register(TreeUnitSource)
     n = num_partitions or 2 * spark.sparkContext.defaultParallelism
