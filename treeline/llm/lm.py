@@ -16,7 +16,7 @@ partitioned by their hash, the counts joined back, and the logs summed per
 document. To keep the shuffles small the rows are packed: a chunk is a few
 million words of whole documents, and one row carries a chunk's distinct n-grams
 of one order and one hash range as a sorted array with their counts (delta-coded
-byte planes, which the shuffle's compression shrinks further). The count table's
+byte planes, compressed). The count table's
 partition adds up the chunks' arrays and answers each with the totals in the
 same order, so neither keys nor positions travel back. Each n-gram is sent once
 by each chunk, so a word that makes up a third of the corpus is one entry per
@@ -50,7 +50,7 @@ from treeline.session import write_table
 ORDER = 3
 BACKOFF = 0.4
 CUTOFF = 2
-CHUNK_WORDS = 4_000_000
+CHUNK_WORDS = 2_000_000
 RANGE_WORDS = 2_000_000
 
 SCORES = "doc_id long, n_words long, score double, mean double"
@@ -58,14 +58,16 @@ _CHUNK = "chunk long, n_words long, doc_ids array<long>, sizes binary, vocabular
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Integers as byte planes: all first bytes, all second bytes, ..."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    """Integers as byte planes (all first bytes, all second bytes, ...), compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return planes.nbytes.to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def unpack(data, dtype) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
+    data = memoryview(data)
+    size = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], size, "zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).reshape(-1)
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -119,6 +121,13 @@ def chunks(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     return write_table(each_batch(source, cut, _CHUNK), "lm-chunks")
 
 
+def _rows(batches):
+    """Rows as dictionaries, one at a time: a chunk is large."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            yield batch.slice(r, 1).to_pylist()[0]
+
+
 def _words_of(row) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes, words per document) of a chunk row."""
     vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
@@ -166,19 +175,18 @@ def _cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
 
 def _send(order: int, ranges: int):
     def send(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                h, sizes = _words_of(row)
-                for n, keys, count in _distinct(h, sizes, order):
-                    cuts = _cuts(keys, ranges)
-                    count = count.astype(np.uint32)
-                    some = [r for r in range(ranges) if cuts[r + 1] > cuts[r]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([n * ranges + r for r in some], pa.int64()),
-                         pa.array([row["chunk"]] * len(some), pa.int64()),
-                         pa.array([pack_sorted(keys[cuts[r]:cuts[r + 1]]) for r in some], pa.binary()),
-                         pa.array([pack(count[cuts[r]:cuts[r + 1]]) for r in some], pa.binary())],
-                        names=["part", "chunk", "keys", "counts"])
+        for row in _rows(batches):
+            h, sizes = _words_of(row)
+            for n, keys, count in _distinct(h, sizes, order):
+                cuts = _cuts(keys, ranges)
+                count = count.astype(np.uint32)
+                some = [r for r in range(ranges) if cuts[r + 1] > cuts[r]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([n * ranges + r for r in some], pa.int64()),
+                     pa.array([row["chunk"]] * len(some), pa.int64()),
+                     pa.array([pack_sorted(keys[cuts[r]:cuts[r + 1]]) for r in some], pa.binary()),
+                     pa.array([pack(count[cuts[r]:cuts[r + 1]]) for r in some], pa.binary())],
+                    names=["part", "chunk", "keys", "counts"])
     return send
 
 
@@ -220,23 +228,22 @@ def _score(order: int, ranges: int, backoff: float, cutoff: int, corpus_words: i
         return score
 
     def score(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                h, sizes = _words_of(row)
-                totals: dict[int, np.ndarray] = {}
-                replies = sorted((r["part"], r["totals"]) for r in row["replies"] or [])
-                for n in range(1, order + 1):
-                    own = [unpack(t, np.uint64) for p, t in replies if p // ranges == n]
-                    totals[n] = np.concatenate(own) if own else np.zeros(0, np.uint64)
-                ends = np.cumsum(sizes)
-                summed, some = np.zeros(len(sizes)), np.flatnonzero(sizes)
-                if len(some):  # each document on its own, for the sum's precision
-                    summed[some] = np.add.reduceat(per_word(h, sizes, totals), (ends - sizes)[some])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(sizes), pa.array(summed),
-                     pa.array(np.where(sizes > 0, summed / np.maximum(sizes, 1), 0.0),
-                              mask=sizes == 0)],
-                    names=["doc_id", "n_words", "score", "mean"])
+        for row in _rows(batches):
+            h, sizes = _words_of(row)
+            totals: dict[int, np.ndarray] = {}
+            replies = sorted((r["part"], r["totals"]) for r in row["replies"] or [])
+            for n in range(1, order + 1):
+                own = [unpack(t, np.uint64) for p, t in replies if p // ranges == n]
+                totals[n] = np.concatenate(own) if own else np.zeros(0, np.uint64)
+            ends = np.cumsum(sizes)
+            summed, some = np.zeros(len(sizes)), np.flatnonzero(sizes)
+            if len(some):  # each document on its own, for the sum's precision
+                summed[some] = np.add.reduceat(per_word(h, sizes, totals), (ends - sizes)[some])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row["doc_ids"], pa.int64()), pa.array(sizes), pa.array(summed),
+                 pa.array(np.where(sizes > 0, summed / np.maximum(sizes, 1), 0.0),
+                          mask=sizes == 0)],
+                names=["doc_id", "n_words", "score", "mean"])
     return score
 
 
