@@ -56,3 +56,13 @@ def test_rules_stay_in_codegen_without_python(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "codegen id" in text
+
+
+def test_first_k_beyond_the_partial_limit(spark):
+    """A large k numbers the rows instead of sorting a group in one task; same rows."""
+    from treeline.operators.ordering import first_k
+    df = spark.range(4000).selectExpr("id % 2 AS g", "id")
+    got = {(r.g, r.rn, r.id) for r in first_k(df, ["g"], ["id"], 1500).collect()}
+    assert got == {(i % 2, i // 2 + 1, i) for i in range(3000)}
+    plan = first_k(df, ["g"], ["id"], 1500)._jdf.queryExecution().toString()
+    assert "windowspecdefinition(g#" not in plan

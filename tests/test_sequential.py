@@ -16,7 +16,8 @@ def _anc(p):
     return ["/".join(parts[:k]) for k in range(1, len(parts))]
 
 
-def brute_apply(disk, moves):
+def brute_apply(disk, moves, left=None):
+    """Outcome of each move; ``left`` (a list) gets the files at the end."""
     files, dirs = set(disk), {a for f in disk for a in _anc(f)}
     out = {}
     for node, s, t in sorted(moves):
@@ -37,10 +38,12 @@ def brute_apply(disk, moves):
             files.add(t)
             dirs.update(_anc(t))
             out[node] = (True, f"Moved {s} -> {t}")
+    if left is not None:
+        left += sorted(files)
     return out
 
 
-def brute_rollback(disk, entries, n):
+def brute_rollback(disk, entries, n, left=None):
     files, dirs = set(disk), {a for f in disk for a in _anc(f)}
     chosen = sorted(entries, reverse=True)[:n]
     out = {}
@@ -63,6 +66,8 @@ def brute_rollback(disk, entries, n):
             dirs.add(s)
         dirs.update(_anc(s))
         out[seq] = (True, f"Rolled back {t} -> {s}")
+    if left is not None:
+        left += sorted(files)
     return out
 
 
@@ -97,6 +102,29 @@ def test_apply_moves_matches_sequential_replay(spark):
         assert got == brute_apply(disk, moves)
 
 
+def test_repeated_sources_and_chains_leave_the_right_tree(spark):
+    """Moves that share a source, or move a file on, against the sequential replay."""
+    rng = random.Random(21)
+    for _ in range(2):
+        disk = {_path(rng, 3) for _ in range(12)}
+        disk = {p for p in disk if not any(q.startswith(p + "/") for q in disk)}
+        places = sorted(disk) + [_path(rng, 2) for _ in range(4)]
+        moves = [(i, rng.choice(places), rng.choice(places + [_path(rng, 3)])) for i in range(25)]
+        moves = [m for m in moves if m[1] != m[2]] + [(90, "z0.py", "z1.py"), (91, "z1.py", "z2.py"),
+                                                      (92, "z0.py", "z3.py")]
+        disk |= {"z0.py"}
+        df = spark.createDataFrame(
+            [("r", 1, i, "move", s, t, "low", True) for i, s, t in moves],
+            "repo_id string, phase int, ord bigint, action string, source string, target string, "
+            "risk string, approved boolean")
+        res = MV.apply_moves(df, _disk(spark, disk)).checkpoint(eager=True)
+        left = []
+        want = brute_apply(disk, moves, left)
+        assert {r["ord"]: (r["success"], r["message"]) for r in res.collect()} == want
+        new = MV.new_inventory(_disk(spark, disk), res)
+        assert sorted(r.relative_path for r in new.collect()) == left and "z2.py" in left
+
+
 def test_rollback_matches_sequential_replay(spark):
     rng = random.Random(5)
     for n in (3, 40):
@@ -108,9 +136,12 @@ def test_rollback_matches_sequential_replay(spark):
             [("r", seq, "MOVE", s, t, True, False) for seq, s, t in entries],
             "repo_id string, seq bigint, action string, source string, target string, success boolean, "
             "skipped boolean")
-        got = {r["undone_seq"]: (r["success"], r["message"])
-               for r in HI.rollback(hist, _disk(spark, disk), n).collect()}
-        assert got == brute_rollback(disk, entries, n)
+        res = HI.rollback(hist, _disk(spark, disk), n).checkpoint(eager=True)
+        left = []
+        got = {r["undone_seq"]: (r["success"], r["message"]) for r in res.collect()}
+        assert got == brute_rollback(disk, entries, n, left)
+        new = HI.rolled_back_inventory(_disk(spark, disk), res)
+        assert sorted(r.relative_path for r in new.collect()) == left
 
 
 def test_dry_run_checks_the_tree_as_is(spark):
@@ -177,6 +208,9 @@ def test_rollback_isolated_entries_match_sequential_replay(spark):
             [("r", seq, "move", s, t, True, None) for seq, s, t in entries],
             "repo_id string, seq bigint, action string, source string, target string, success boolean, "
             "skipped boolean")
-        got = {r["undone_seq"]: (r["success"], r["message"])
-               for r in HI.rollback(hist, _disk(spark, disk), n).collect()}
-        assert got == brute_rollback(disk, entries, n)
+        res = HI.rollback(hist, _disk(spark, disk), n).checkpoint(eager=True)
+        left = []
+        got = {r["undone_seq"]: (r["success"], r["message"]) for r in res.collect()}
+        assert got == brute_rollback(disk, entries, n, left)
+        new = HI.rolled_back_inventory(_disk(spark, disk), res)
+        assert sorted(r.relative_path for r in new.collect()) == left

@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 from treeline.functions import constants as K
 from treeline.functions.text import fmt, render
 from treeline.operators.components import ancestors, components, move_edges
-from treeline.operators.moves import _ancestors_of, _file_ancestor, attach_states, replay_buckets
+from treeline.operators.moves import (_ancestors_of, _file_ancestor, attach_states, new_inventory,
+                                       replay_buckets)
 from treeline.session import checkpoint_dir
 from treeline.operators.ordering import first_k
 
@@ -55,6 +56,12 @@ def _rollback_record(df: DataFrame) -> DataFrame:
         fmt(K.ROLLBACK_REASON, source=F.col("source"), target=F.col("target")).alias("reason"))
 
 
+def rolled_back_inventory(disk: DataFrame, results: DataFrame) -> DataFrame:
+    """The inventory after a real rollback: moves are undone newest first."""
+    return new_inventory(disk, results.withColumn("_undo_order", -F.col("undone_seq")),
+                         order="_undo_order")
+
+
 def fail_fast(results: DataFrame) -> DataFrame:
     """Keep results up to and including the first failure (newest first).
 

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from treeline.functions import constants as K
 from treeline.functions.text import fmt, render
 from treeline.operators.components import ancestors, components, move_edges
-from treeline.session import checkpoint_dir, ship_package
+from treeline.session import checkpoint_dir, ship_package, write_table
 
 
 def _parent(path: F.Column) -> F.Column:
@@ -324,9 +324,32 @@ def apply_moves(approved: DataFrame, disk: DataFrame) -> DataFrame:
             .withColumn("skipped", F.lit(False)))
 
 
-def new_inventory(raw: DataFrame, results: DataFrame) -> DataFrame:
-    """Next version of the inventory: successful moves replace relative_path."""
-    done = results.filter(F.col("success") & (F.col("action") == "move")).select(
-        "repo_id", F.col("source").alias("relative_path"), F.col("target").alias("_to"))
-    return (raw.join(done, ["repo_id", "relative_path"], "left")
+def new_inventory(raw: DataFrame, results: DataFrame, order: str = "ord") -> DataFrame:
+    """Next version of the inventory: each file where the successful moves left it.
+
+    A file may be moved on by a later move of the same run (``order`` gives the
+    sequence), so the touched files follow their moves until none is left: one
+    round for each link of the longest chain, over touched files only.
+    """
+    done = write_table(
+        results.filter(F.col("success") & (F.lower("action") == "move")).select(
+            "repo_id", F.col("source").alias("_path"), F.col("target").alias("_to"),
+            F.col(order).cast("bigint").alias("_at")), "done-moves")
+    place = (raw.select("repo_id", "relative_path", F.col("relative_path").alias("_path"))
+             .join(done.select("repo_id", "_path").distinct(), ["repo_id", "_path"], "left_semi")
+             .distinct().withColumn("_since", F.lit(None).cast("bigint")))
+    while True:
+        later = F.col("_since").isNull() | (F.col("_at") > F.col("_since"))
+        step = (place.join(done, ["repo_id", "_path"]).filter(later)
+                .groupBy("repo_id", "relative_path").agg(F.min(F.struct("_at", "_to")).alias("_next")))
+        place = write_table(
+            place.join(step, ["repo_id", "relative_path"], "left").select(
+                "repo_id", "relative_path", F.coalesce("_next._to", "_path").alias("_path"),
+                F.coalesce("_next._at", "_since").alias("_since"),
+                F.col("_next").isNotNull().alias("_moved")), "moved-files")
+        if place.filter("_moved").limit(1).count() == 0:
+            break
+        place = place.drop("_moved")
+    new = place.select("repo_id", "relative_path", F.col("_path").alias("_to"))
+    return (raw.join(new, ["repo_id", "relative_path"], "left")
             .withColumn("relative_path", F.coalesce("_to", "relative_path")).drop("_to"))

@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from treeline.session import checkpoint_dir
 
+# spark.sql.optimizer.windowGroupLimitThreshold by default
+_PARTIAL_LIMIT = 1000
+
 
 def number_within(df: DataFrame, keys: list[str], order: list[Column | str],
                   name: str = "n", slices: int | None = None) -> DataFrame:
@@ -47,11 +50,12 @@ def number_within(df: DataFrame, keys: list[str], order: list[Column | str],
 
 def first_k(df: DataFrame, keys: list[str], order: list[Column | str], k: int,
             name: str = "rn") -> DataFrame:
-    """Rows 1..k per group in ``order`` (partial top-k before the shuffle)."""
+    """Rows 1..k per group in ``order`` (partial top-k before the shuffle).
+
+    Spark plans the partial limit up to ``_PARTIAL_LIMIT`` rows; beyond it the
+    rows are numbered over range slices, so a large k sorts no group in one task.
+    """
+    if k > _PARTIAL_LIMIT:
+        return number_within(df, keys, order, name).filter(F.col(name) <= k)
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
-
-
-def path_order(path: Column) -> Column:
-    """Sort key of a path the way sorted(Path) orders it: by segment."""
-    return F.split(path, "/")

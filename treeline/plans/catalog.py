@@ -662,6 +662,13 @@ def g2(t: Tables) -> DataFrame:
     return _rb_cols(HI.rollback(t.history, t.history_files, ROLLBACK_N))
 
 
+@query("G2_new_inventory")
+def g2n(t: Tables) -> DataFrame:
+    """The tree that the real rollback leaves (brute-force test in tests/)."""
+    res = HI.rollback(t.history, t.history_files, ROLLBACK_N)
+    return HI.rolled_back_inventory(t.history_files, res).select("repo_id", "relative_path")
+
+
 @query("W5_recent_history")
 def w5(t: Tables) -> DataFrame:
     return HI.recent_history(t.history).select("repo_id", "seq", "position", "action", "source",

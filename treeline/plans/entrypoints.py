@@ -156,11 +156,15 @@ def apply(p: Proposals, decisions: DataFrame | None, disk: DataFrame | None = No
 class RolledBack:
     results: DataFrame
     summary: DataFrame
+    new_inventory: DataFrame | None = None
 
 
 def rollback(spark: SparkSession, history_path: str, disk: DataFrame, n: int,
              execute: bool = False) -> RolledBack:
-    """``rollback --undo-last n``: newest undoable moves first, stop at the first failure."""
+    """``rollback --undo-last n``: newest undoable moves first, stop at the first failure.
+
+    A real run returns the next inventory version, as ``apply`` does.
+    """
     if n <= 0:
         raise ValueError("--undo-last must be a positive number")
     hist = INV.read_history(spark, history_path)
@@ -169,7 +173,7 @@ def rollback(spark: SparkSession, history_path: str, disk: DataFrame, n: int,
         return RolledBack(res, HI.rollback_summary(res))
     res = _keep(HI.rollback(hist, disk, n))
     INV.append_history(HI.rollback_history_records(res, hist), history_path)
-    return RolledBack(res, HI.rollback_summary(res))
+    return RolledBack(res, HI.rollback_summary(res), HI.rolled_back_inventory(disk, res))
 
 
 def history_view(spark: SparkSession, history_path: str, k: int = 20) -> DataFrame:

@@ -69,6 +69,8 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         r = EP.rollback(spark, args.history, read(args.disk), args.undo_last, execute=args.execute)
         _write(r.results, args.out, "rollback_results")
         _write(r.summary, args.out, "rollback_summary")
+        if r.new_inventory is not None:
+            _write(r.new_inventory, args.out, "inventory")
         return
 
     raw = _inventory(spark, args)
