@@ -133,6 +133,38 @@ def test_licenses(spark, docs):
         licenses.Join([("x", " ")], 0.8)
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights"""
+BSD = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+
+
+def labelled(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.labels for r in licenses.scan_licenses(rows).orderBy("doc_id").collect()]
+
+
+def test_licenses_wrapped_notices(spark):
+    lead = "Some Program\n\nCopyright (c) 2020 The Authors\n\n"
+    texts = [lead + MIT, lead + BSD, lead + GPL, MIT.replace("\n", "\r\n") + "\n\n" + GPL,
+             "\n".join(GPL.split()), "Released\nunder the\nMIT License"]
+    wanted = ["mit", "bsd-3", "gpl-3", "gpl-3,mit", "gpl-3", "mit"]
+    assert all(set(w.split(",")) <= set(g.split(",")) for w, g in zip(wanted, labelled(spark, texts)))
+    rows = spark.createDataFrame([(1, lead + MIT + "\n" + lead + MIT + "\n" + BSD)],
+                                 "doc_id long, text string")
+    assert sorted((r.line, r.label) for r in licenses.matching_blocks(rows).collect()) == \
+        [(4, "mit"), (11, "mit"), (14, "bsd-3")]
+    # Words of one text do not complete a notice begun in another.
+    half = MIT.split("obtaining")
+    assert labelled(spark, [half[0], half[1]]) == ["", ""]
+
+
 def test_toxicity(spark, docs):
     labels = spark.createDataFrame([(1, 0), (2, 1), (None, 1), (3, None), (99, 1), (2, 0)],
                                    "doc_id long, toxic int").withColumn("text", F.lit("x"))

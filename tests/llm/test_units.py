@@ -116,6 +116,34 @@ def test_license_join_equals_counting():
             assert got.get(t) == (shared if shared >= math.ceil(0.8 * len(wanted) - 1e-9) else None)
 
 
+def test_license_notices_equal_counting_in_every_run_of_words():
+    rng = random.Random(5)
+    pool = [w for _, t in licenses.TEMPLATES for w in WORD.findall(t.lower())] + ["noise", "x"] * 20
+    join = licenses.Join(licenses.TEMPLATES, 0.8, {})
+    for _ in range(60):
+        texts = []
+        for _ in range(3):
+            text = rng.choices(pool, k=rng.randint(0, 40))
+            for _ in range(rng.randint(0, 3)):
+                text += WORD.findall(rng.choice(licenses.TEMPLATES)[1].lower())
+                text += rng.choices(pool, k=rng.randint(0, 9))
+            texts.append([w for w in text if rng.random() < 0.93])
+        got = {}
+        ends = np.cumsum([len(t) for t in texts])
+        for a, t, n in join.notices(licenses._word_hashes(" ".join(sum(texts, []))), ends):
+            k = int(np.searchsorted(ends, a, side="right")), t
+            got[k] = max(got.get(k, 0), n)
+        want = {}
+        for r, text in enumerate(texts):
+            for t, (_, body) in enumerate(licenses.TEMPLATES):
+                body = WORD.findall(body.lower())
+                size, need = math.ceil(1.5 * len(body)), math.ceil(0.8 * len(set(body)) - 1e-9)
+                n = max((len(set(body) & set(text[i:i + size])) for i in range(len(text))), default=0)
+                if n >= need:
+                    want[r, t] = n
+        assert got == want
+
+
 def test_bloom_levels_decide_in_order():
     rng = np.random.default_rng(3)
     keys = rng.integers(-(1 << 62), 1 << 62, (2, 5000))

@@ -2,19 +2,23 @@
 
 Base: places where the words of a phrase stand one after the other.
 
-Method: a template contains its distinct words; a text block (a line) matches
-when it has at least the share ``threshold`` of them. The join finds every such
-block without looking at most of them:
+Method: a template contains its distinct words; a text block matches when it
+has at least the share ``threshold`` of them. A block is any run of consecutive
+words of one text, ``SLACK`` times as long as the template, whatever line feeds
+lie within it: notices are found however they are wrapped, and words scattered
+over a longer stretch are no notice. The join finds every such block without
+looking at most of them:
 
 * Words are ordered by their frequency over all documents, rarest first (one
   counting scan; only template words are counted, a fixed number).
 * Prefix filter: a block with ``need = ceil(threshold * |T|)`` words of template
-  T must have one of T's ``|T| - need + 1`` rarest, so only lines with such a
-  word are looked at.
-* Length filter: a block with fewer than ``need`` distinct words cannot match.
-* Positional filter: at a common word the rest of the template and the rest of
-  the block (both in the global order) bound what can still be shared.
-* Candidates are verified by counting the shared words.
+  T must have one of T's ``|T| - need + 1`` rarest, so only words less than a
+  block away from such a word are looked at.
+* Candidates are verified by counting the shared words of the block that starts
+  at each template word: an occurrence counts for the starts after the previous
+  occurrence of its word, so one sorted pass counts all blocks at once.
+* Blocks that overlap are one notice, given once: the one with the most shared
+  words, of these the one that ends first, of these the shortest.
 
 Both scans read the documents where they lie; only the word counts are
 shuffled. Templates are a parameter of fixed size and travel with the tasks.
@@ -22,7 +26,8 @@ shuffled. Templates are a parameter of fixed size and travel with the tasks.
 Defined results: null and empty texts have no words and no labels (empty
 strings, score 0). Labels are distinct, sorted and joined by commas. The score
 is 1 with a base label, else the largest containment of a matching block, else
-0. Blank lines match nothing; an empty template is refused. Every row is judged
+0. The line of a notice is that of its first template word. Texts without words
+match nothing; an empty template is refused. Every row is judged
 for itself, repeated rows and null ids included. Other columns are not read.
 """
 
@@ -68,6 +73,8 @@ TEMPLATES = (
                  "International License"),
 )
 THRESHOLD = 0.8
+# Words of a block for each word of its template.
+SLACK = 1.5
 
 DIGEST = ("doc_id long, n_words long, n_base long, first_word long, last_word long, "
           "base_labels string, labels string, score double")
@@ -101,9 +108,50 @@ class Join:
             for i, r in enumerate(ranks[:len(ranks) - self.need[t] + 1].tolist()):
                 self.index[r].append((t, i))
         self.rare = np.sort(self.tokens[np.isin(rank, list(self.index))])
+        self.sizes = [math.ceil(SLACK * len(_word_hashes(text))) for _, text in templates]
+
+    def notices(self, h: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int]]:
+        """(first word, template, shared words) of the notices in the words ``h`` of texts
+        that end before the words ``ends``."""
+        near = _around(_found(h, self.rare), max(self.sizes), len(h))
+        if not len(near):
+            return []
+        at = near[_found(h[near], self.tokens)]
+        rank = self.rank[np.searchsorted(self.tokens, h[at])]
+        found = []
+        for t, ranks in enumerate(self.ordered):
+            need, size = self.need[t], self.sizes[t]
+            own = np.isin(rank, ranks)
+            p, r = at[own], rank[own]
+            rare = p[np.isin(r, ranks[:len(ranks) - need + 1])]
+            keep = np.isin(p, _around(rare, size, len(h)))
+            p, r = p[keep], r[keep]
+            if len(p) < need:
+                continue
+            # The previous occurrence of each word, and the first start a word counts for.
+            order = np.lexsort((p, r))
+            before = np.full(len(p), -1)
+            again = r[order][1:] == r[order][:-1]
+            before[order[1:][again]] = p[order[:-1][again]]
+            row = np.searchsorted(ends, p, side="right")
+            first = np.where(row > 0, ends[row - 1], 0)
+            lower = np.sort(np.maximum(np.maximum(before + 1, p - size + 1), first))
+            shared = np.searchsorted(lower, p, side="right") - np.arange(len(p))
+            good = np.flatnonzero(shared >= need)
+            stop = np.minimum(p[good] + size, ends[row[good]])
+            # The last word a block needs: the last that does not repeat within it.
+            last = np.searchsorted(p, stop) - 1
+            while True:
+                repeats = before[last] >= p[good]
+                if not repeats.any():
+                    break
+                last[repeats] -= 1
+            found += [(a, t, n) for a, n in
+                      _apart(p[good].tolist(), p[last].tolist(), shared[good].tolist())]
+        return sorted(found)
 
     def matches(self, block: np.ndarray) -> list[tuple[int, int]]:
-        """(template, shared words) of the templates that a block of word hashes meets."""
+        """(template, shared words) of the templates whose words a given block contains."""
         distinct = np.unique(block)
         at = np.searchsorted(self.tokens, distinct)
         at[at == len(self.tokens)] = 0
@@ -136,6 +184,31 @@ def _found(h: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return maybe[wanted[at] == h[maybe]]
 
 
+def _around(at: np.ndarray, size: int, total: int) -> np.ndarray:
+    """Sorted positions less than ``size`` away from one of the sorted positions ``at``."""
+    if not len(at):
+        return at
+    new = np.flatnonzero(np.diff(at) >= 2 * size - 1) + 1
+    a = np.maximum(at[np.concatenate([[0], new])] - size + 1, 0)
+    z = np.minimum(at[np.concatenate([new - 1, [len(at) - 1]])] + size, total)
+    spans = z - a
+    return np.arange(spans.sum()) + np.repeat(a - (np.cumsum(spans) - spans), spans)
+
+
+def _apart(starts: list[int], lasts: list[int], shared: list[int]) -> list[tuple[int, int]]:
+    """(start, shared) of the best of each group of overlapping blocks, sorted by start."""
+    out, i = [], 0
+    while i < len(starts):
+        best, j = i, i
+        while j < len(starts) and starts[j] <= lasts[best]:
+            if (shared[j], -lasts[j], starts[j]) > (shared[best], -lasts[best], starts[best]):
+                best = j
+            j += 1
+        out.append((starts[best], shared[best]))
+        i = j
+    return out
+
+
 def word_counts(docs: DataFrame, templates=TEMPLATES) -> dict[int, int]:
     """How often each template word stands in all documents (at most the templates' words)."""
     tokens = Join(templates, 1.0).tokens
@@ -175,18 +248,13 @@ def _scan(column, join: Join, phrases):
             same = np.searchsorted(ends, at + k - 1, side="right") == row
             base += [(int(r), int(a - ends[r] + c[r]), label) for r, a in zip(row[same], at[same])]
         blocks = []
-        hits = _found(h, join.rare)
-        if len(hits):
+        notices = join.notices(h, ends)
+        if notices:
             feeds = np.flatnonzero(part == 10)
-            starts = np.union1d(feeds + 1, own[:-1])
-            for b in np.unique(np.searchsorted(starts, where[hits], side="right") - 1).tolist():
-                a = np.searchsorted(where, starts[b])
-                z = np.searchsorted(where, starts[b + 1]) if b + 1 < len(starts) else len(h)
-                matches = join.matches(h[a:z])
-                if matches:
-                    r = int(np.searchsorted(ends, a, side="right"))
-                    first, last = np.searchsorted(feeds, [own[r], starts[b]])
-                    blocks += [(r, int(last - first), t, shared) for t, shared in matches]
+            for a, t, shared in notices:
+                r = int(np.searchsorted(ends, a, side="right"))
+                first, last = np.searchsorted(feeds, [own[r], where[a]])
+                blocks.append((r, int(last - first), t, shared))
         yield i, c, base, blocks
 
 
@@ -196,7 +264,7 @@ def _source(docs: DataFrame) -> DataFrame:
 
 
 def matching_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, line, template, label, shared, containment) of every matching text block."""
+    """(doc_id, line, template, label, shared, containment) of every notice."""
     join = Join(templates, threshold, word_counts(docs, templates))
 
     def scan(batches):
