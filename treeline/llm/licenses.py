@@ -20,6 +20,12 @@ looking at most of them:
 * Blocks that overlap are one notice, given once: the one with the most shared
   words, of these the one that ends first, of these the shortest.
 
+Shared words alone do not tell the templates of a family apart (GPL and LGPL,
+the Creative Commons licenses, "Released under the ... License"). A block gets a
+label only if it also has the phrases of ``REQUIRED`` for it, word after word.
+The grant of MIT opens the NCSA license too, and the sentence of ``bsd-3`` opens
+every BSD license; there the label says no more than the sentence does.
+
 Both scans read the documents where they lie; only the word counts are
 shuffled. Templates are a parameter of fixed size and travel with the tasks.
 
@@ -76,6 +82,22 @@ THRESHOLD = 0.8
 # Words of a block for each word of its template.
 SLACK = 1.5
 
+_THIRD = ("version 3", "license 3", "license v3", "license gpl v3", "license lgpl v3")
+# For each label: of every group of phrases, a block must have one.
+REQUIRED = {
+    "mit": (("mit license", "mit licence", "under the mit", "under mit",
+             "associated documentation files"),),
+    "apache-2": (("apache license version 2", "apache license 2", "apache license v2",
+                  "apache 2"),),
+    "gpl-3": (("gnu general public license",), _THIRD),
+    "lgpl-3": (("lesser general public license",), _THIRD),
+    "mpl-2": (("mozilla public license",),),
+    "cc-by-nc": (tuple(f"{name} {v}" for v in (4, 3, 2, 1) for name in
+                       ("by nc", "attribution noncommercial", "attribution non commercial")),),
+    "cc-by-sa": (tuple(f"{name} {v}" for v in (4, 3, 2, 1) for name in
+                       ("by sa", "attribution sharealike", "attribution share alike")),),
+}
+
 DIGEST = ("doc_id long, n_words long, n_base long, first_word long, last_word long, "
           "base_labels string, labels string, score double")
 BLOCKS = ("doc_id long, line long, template int, label string, shared int, "
@@ -90,7 +112,8 @@ def _word_hashes(text: str) -> np.ndarray:
 class Join:
     """Templates with their words in the global order, and an index of their prefixes."""
 
-    def __init__(self, templates, threshold: float, counts: dict[int, int] | None = None):
+    def __init__(self, templates, threshold: float, counts: dict[int, int] | None = None,
+                 required: dict | None = None):
         self.threshold = threshold
         self.labels = [label for label, _ in templates]
         sets = [np.unique(_word_hashes(text)) for _, text in templates]
@@ -109,6 +132,8 @@ class Join:
                 self.index[r].append((t, i))
         self.rare = np.sort(self.tokens[np.isin(rank, list(self.index))])
         self.sizes = [math.ceil(SLACK * len(_word_hashes(text))) for _, text in templates]
+        self.required = {label: [[_word_hashes(p) for p in group] for group in groups]
+                         for label, groups in (required or {}).items()}
 
     def notices(self, h: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int]]:
         """(first word, template, shared words) of the notices in the words ``h`` of texts
@@ -118,6 +143,7 @@ class Join:
             return []
         at = near[_found(h[near], self.tokens)]
         rank = self.rank[np.searchsorted(self.tokens, h[at])]
+        phrases: dict[int, list] = {}
         found = []
         for t, ranks in enumerate(self.ordered):
             need, size = self.need[t], self.sizes[t]
@@ -139,6 +165,17 @@ class Join:
             shared = np.searchsorted(lower, p, side="right") - np.arange(len(p))
             good = np.flatnonzero(shared >= need)
             stop = np.minimum(p[good] + size, ends[row[good]])
+            for group in self.required.get(self.labels[t], ()):
+                has = np.zeros(len(good), bool)
+                for phrase in group:
+                    places = phrases.get(id(phrase))
+                    if places is None:
+                        places = phrases[id(phrase)] = _places(h, near, phrase)
+                    if len(places):
+                        k = np.searchsorted(places, p[good])
+                        has |= (k < len(places)) & \
+                            (places[np.minimum(k, len(places) - 1)] + len(phrase) <= stop)
+                good, stop = good[has], stop[has]
             # The last word a block needs: the last that does not repeat within it.
             last = np.searchsorted(p, stop) - 1
             while True:
@@ -195,6 +232,15 @@ def _around(at: np.ndarray, size: int, total: int) -> np.ndarray:
     return np.arange(spans.sum()) + np.repeat(a - (np.cumsum(spans) - spans), spans)
 
 
+def _places(h: np.ndarray, near: np.ndarray, phrase: np.ndarray) -> np.ndarray:
+    """Positions of ``near`` at which the words of the phrase start."""
+    at = near[h[near] == phrase[0]]
+    at = at[at + len(phrase) <= len(h)]
+    for w in range(1, len(phrase)):
+        at = at[h[at + w] == phrase[w]]
+    return at
+
+
 def _apart(starts: list[int], lasts: list[int], shared: list[int]) -> list[tuple[int, int]]:
     """(start, shared) of the best of each group of overlapping blocks, sorted by start."""
     out, i = [], 0
@@ -263,9 +309,10 @@ def _source(docs: DataFrame) -> DataFrame:
                        F.col("text").cast("string").alias("text"))
 
 
-def matching_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def matching_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD,
+                    required=REQUIRED) -> DataFrame:
     """(doc_id, line, template, label, shared, containment) of every notice."""
-    join = Join(templates, threshold, word_counts(docs, templates))
+    join = Join(templates, threshold, word_counts(docs, templates), required)
 
     def scan(batches):
         for batch in batches:
@@ -284,9 +331,9 @@ def matching_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THR
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES,
-                  threshold: float = THRESHOLD) -> DataFrame:
+                  threshold: float = THRESHOLD, required=REQUIRED) -> DataFrame:
     """One row per row of ``docs``: word count, base places and labels, all labels, score."""
-    join = Join(templates, threshold, word_counts(docs, templates))
+    join = Join(templates, threshold, word_counts(docs, templates), required)
 
     def scan(batches):
         for batch in batches:
