@@ -52,6 +52,25 @@ def test_fingerprint_algebra(spark):
     assert prints["b"].fp != prints["a"].fp
 
 
+def test_fingerprint_shingles_without_sentences(spark):
+    import random
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    texts = [" ".join(word() for _ in range(n)) for n in (60, 300, 3000)]        # one sentence
+    texts += ["\u3002".join(word() for _ in range(n)) for n in (200, 2000)]      # no spaces
+    texts += ["\n".join(" ".join(word() for _ in range(90)) for _ in range(3))]  # three of them
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in fingerprint.digests(df, fingerprint.SHINGLES).collect():
+        assert 0.45 < r.near_edited < 0.9 and r.near_next < 0.4, r
+    texts = [("a", "x one two three four\ny"), ("b", "z four\n\ny"),
+             ("ab", "y\nz four\nx one two three four\n\ny"), ("", " \n\t")]
+    prints = {r.n: r.fp for r in fingerprint.with_fingerprint(
+        spark.createDataFrame(texts, "n string, text string"), "text", "fp",
+        fingerprint.SHINGLES).collect()}
+    assert [prints[n].sentences for n in ("a", "b", "ab", "")] == [4, 2, 6, 0]
+    assert prints["ab"].signs == [x + y for x, y in zip(prints["a"].signs, prints["b"].signs)]
+
+
 def test_decontaminate(spark, docs):
     items = [(1, "It was happy! A second line here and a third"), (2, None), (3, ""), (4, "one"),
              (4, "one"), (None, "SAME id, another text"), (5, "word5 and more5 word6 and more6")]

@@ -11,6 +11,14 @@ to a wide vector and a document's fingerprint is the sum of the vectors:
   as numbers modulo 2^30.
 * ``paragraphs`` and ``sentences``: how many were added.
 
+With ``units=SHINGLES`` the counters are fed with every three consecutive pieces
+of a paragraph instead of its sentences (``sentences`` is then their number). A
+piece is a run without spaces, cut every 16 characters, so texts of one
+sentence, without punctuation or without spaces keep their likeness when a part
+of them is replaced. The registered query reads sentences, as its SQL does;
+there a text of one long sentence loses all likeness with any edit of it.
+Fingerprints of different units must not be added or compared.
+
 Adding paragraphs or whole fingerprints is lane-wise addition (``plus``),
 taking them away is subtraction (``minus``); texts are never needed again.
 
@@ -20,6 +28,7 @@ lengths the numbers of sentences; likeness is 1 - difference / (sum of squared
 lengths), cut off at 0. It is 1 for equal fingerprints, about the shared part
 for edited texts, and near 0 (error about 0.1) for unrelated ones.
 
+A paragraph of fewer than three pieces is one shingle, a blank one none.
 A sentence ends at a line's end or at ``.``, ``!`` or ``?`` before spaces.
 Empty sentences do not count; empty paragraphs do.
 
@@ -45,6 +54,9 @@ from treeline.session import write_table
 
 SUM_LANES = 8
 PACKED = 30
+SENTENCES, SHINGLES = "sentences", "shingles"
+SHINGLE = 3
+PIECE = 16
 _MOD = (1 << 32) - 1
 _FIELD = (1 << 30) - 1
 _PAIR = 1 | 1 << 30
@@ -54,20 +66,35 @@ def _total(values: Column, part) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + part(v))
 
 
-def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
+def _sentences(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the hashes of the sentences."""
+    sentences = F.filter(F.split(F.regexp_replace(F.col(text), "([.!?]) +", "$1\n"), "\n"),
+                         lambda x: x != "")
+    return df.withColumn(name, F.transform(
+        sentences, lambda x: F.conv(F.substring(F.md5(x), 1, 15), 16, 10).cast("long")))
+
+
+def _shingles(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the hashes of the shingles of every paragraph."""
+    pieces = F.filter(F.transform(F.split(F.col(text), "\n"), lambda p: F.regexp_extract_all(
+        p, F.lit(f"[^ \\t\\r]{{1,{PIECE}}}"), F.lit(0))), lambda w: F.size(w) > 0)
+    w = f"{name}_pieces"
+    runs = F.transform(F.col(w), lambda x: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(x) - (SHINGLE - 1), F.lit(1))),
+        lambda i: F.xxhash64(F.slice(x, i, SHINGLE))))
+    return df.withColumn(w, pieces).withColumn(name, F.flatten(runs)).drop(w)
+
+
+def with_fingerprint(df: DataFrame, text: str, name: str, units: str = SENTENCES) -> DataFrame:
     """Add the fingerprint struct ``name`` of string column ``text``.
 
-    The hashes of paragraphs and sentences are columns of their own in between,
+    The hashes of paragraphs and units are columns of their own in between,
     so that each is made once and not once for every lane.
     """
     h, s = f"__{name}_digests", f"__{name}_sentences"
     lines = F.split(F.col(text), "\n")
-    sentences = F.filter(F.split(F.regexp_replace(F.col(text), "([.!?]) +", "$1\n"), "\n"),
-                         lambda x: x != "")
-    hashed = df.withColumns({
-        h: F.transform(lines, lambda p: F.sha2(p, 256)),
-        s: F.transform(sentences, lambda x: F.conv(F.substring(F.md5(x), 1, 15), 16, 10)
-                       .cast("long"))})
+    hashed = {SENTENCES: _sentences, SHINGLES: _shingles}[units](
+        df.withColumn(h, F.transform(lines, lambda p: F.sha2(p, 256))), text, s)
 
     def lane(k):
         return _total(F.col(h), lambda d: F.conv(F.substring(d, 8 * k + 1, 8), 16, 10).cast("long")) \
@@ -129,7 +156,7 @@ def likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
     return lanes.withColumn(name, value).drop(x, y)
 
 
-def with_edits(docs: DataFrame) -> DataFrame:
+def with_edits(docs: DataFrame, units: str = SENTENCES) -> DataFrame:
     """(doc_id, n_chars, edited, fp, edited_fp, next_fp) of every row: the fingerprints of
     the text, of the text whose last third is replaced by the beginning of the next
     document, and of that next document."""
@@ -145,7 +172,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
                                F.col("doc_id").alias("to_id"), F.col("n_chars").alias("to_chars"))
     link = numbered.select("n", "key").join(receiver, "n").drop("n")
     # Both uses below read the same columns by the same key: one shuffle of the texts.
-    printed = with_fingerprint(base.select("key", "text"), "text", "fp")
+    printed = with_fingerprint(base.select("key", "text"), "text", "fp", units)
     cut = F.floor(F.col("to_chars") / 3).cast("int")
     sent = (printed.join(link, "key")
             .select(F.col("to").alias("key"), F.col("to_id").alias("doc_id"),
@@ -157,12 +184,12 @@ def with_edits(docs: DataFrame) -> DataFrame:
                       F.col("head"))
     both = printed.join(sent, "key").withColumn("edited", edited)
     return with_fingerprint(both.select("doc_id", "n_chars", "edited", "fp", "next_fp"),
-                            "edited", "edited_fp")
+                            "edited", "edited_fp", units)
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, units: str = SENTENCES) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
-    rows = with_edits(docs).withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+    rows = with_edits(docs, units).withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
     rows = likeness(rows, "fp", "edited_fp", "near_edited")
     rows = likeness(rows, "fp", "next_fp", "near_next")
     return rows.select("doc_id", "n_chars", "edited_sha256", text_of(F.col("fp")).alias("fingerprint"),
