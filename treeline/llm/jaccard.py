@@ -1,17 +1,18 @@
-"""N-gram Jaccard join: MinHash LSH forest with exact verification.
+"""N-gram Jaccard join: MinHash banding with exact verification.
 
 Every distinct text is a node with the set of its distinct five-word shingles.
 Two texts are linked when the exact Jaccard similarity of their sets is at
 least ``threshold``.
 
-The forest has ``TREES`` tries. In a trie, a text is filed under a label of up
-to ``DEPTH`` MinHash values; texts that share a prefix of the label lie next to
-each other. At prefix length p a pair of similarity s meets in some trie with
-probability ``1 - (1 - s^p)^TREES``. ``prefix_length`` starts with the whole
-label and shortens it until this reaches the target recall for the least
-similar pair that counts, s = threshold; more similar pairs are found with
-higher probability still. (24 tries and 0.99999 give p = 4: a pair at exactly
-0.8 is missed with probability 0.000003.)
+Fixed bands stand in for the tries of an LSH forest: there are ``TREES`` of
+them, called trees below, each of p MinHash values mixed into one label (its
+prefix), and texts meet where labels are equal. Nothing is sorted or shortened
+by what the data show. A pair of similarity s meets in some tree with
+probability ``1 - (1 - s^p)^TREES``. ``prefix_length`` takes the largest p, at
+most ``DEPTH``, at which this reaches the target recall for the least similar
+pair that counts, s = threshold; more similar pairs are found with higher
+probability still. (24 trees and 0.99999 give p = 4: a pair at exactly 0.8 is
+missed with probability 0.000003.)
 
 Steps, each with bounded groups:
 
