@@ -234,6 +234,24 @@ def test_toxicity_learns_ordered_grades(spark):
     assert mean[0] < 0.2 < 0.8 < mean[1] < 1.2 < 1.8 < mean[2]
 
 
+def test_toxicity_sample_is_bounded_by_texts(spark):
+    import numpy as np
+    rows = [(1, "rude vile again"), *[(i, f"plain text w{i}" if i % 2 else f"rude vile w{i}")
+                                      for i in range(2, 60)]]
+    rows += [(1, "rude vile again")] * 500 + [(3, f"plain text number {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    grades = spark.createDataFrame([(i, int(i % 2 == 0 or i == 1)) for i in range(1, 60)],
+                                   "doc_id long, grade int")
+    names = np.zeros(0, np.uint64)
+    few = toxicity._rows(toxicity._sample(docs, grades, 100), names)
+    assert len(few) == 100                        # not the hundreds of rows of ids 1 and 3
+    whole = toxicity._rows(toxicity._sample(docs, grades, 1000), names)
+    assert len(whole) == 59 + 300 and sum(r.weight for r in whole) == len(rows)
+    assert [r.weight for r in whole if r.doc_id == 1] == [501]
+    assert toxicity._median([(1.0, 1), (2.0, 5), (9.0, 2)]) == 2.0
+    assert toxicity._median([(1.0, 2), (4.0, 2)]) == 2.5 and toxicity._median([]) == 0.0
+
+
 def test_token_files(spark, docs):
     from tokenizers import Tokenizer
     from treeline.llm import rans

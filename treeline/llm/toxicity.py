@@ -11,10 +11,12 @@ bytes of words (other languages inflect), restricted to the features whose
 document frequency differs most between clean and toxic training rows. Texts
 are read whole; a feature counts however late it stands.
 
-Training uses at most ``SAMPLE_ROWS`` labelled rows, those with the smallest
-hash of their doc_id. Feature statistics are Spark aggregations over them; the
-driver receives ``FEATURES`` features and the sample's sparse rows in those
-features, both bounded by these parameters. Scoring is one scan of all
+Training uses at most ``SAMPLE_ROWS`` labelled ids, those with the smallest
+hash, and of their documents at most ``SAMPLE_ROWS`` different (doc_id, text).
+Rows equal in both are one training row with their number as weight. Feature
+statistics are Spark aggregations over the sample; the driver receives
+``FEATURES`` features and the sparse training rows in those features, both
+bounded by these parameters however often an id is repeated. Scoring is one scan of all
 documents without a shuffle.
 
 ``labels`` holds only toxic 0/1. ``severity_grades`` refines it: toxic rows
@@ -26,7 +28,7 @@ Defined results: null and empty texts have no features; they get the base rate
 of the thresholds, which is grade 0 unless most training rows are toxic. Label
 rows with null id or grade are ignored; of several labels for one id the
 highest grade counts; label ids without document are ignored, repeated
-documents train once each. Without training rows, or with a single grade
+documents train once each (as weight). Without training rows, or with a single grade
 among them, everything is grade 0 with severity 0. ``score`` returns a row for
 each input row, repeated rows and null ids included; ``accepted`` passes rows
 through with all their columns, whatever their names.
@@ -43,6 +45,7 @@ from pyspark.sql import functions as F
 
 from treeline.llm.common import each_batch
 from treeline.llm.words import slices, text_bytes, words
+from treeline.session import write_table
 
 SAMPLE_ROWS = 20_000
 FEATURES = 4096
@@ -100,15 +103,22 @@ def _selected(row: np.ndarray, feature: np.ndarray, features: np.ndarray):
 
 
 def _sample(docs: DataFrame, grades: DataFrame, rows: int) -> DataFrame:
-    """(doc_id, grade, text) of at most ``rows`` graded ids."""
+    """(doc_id, key, grade, weight, text) of the rows of at most ``rows`` different
+    (doc_id, text) of at most ``rows`` graded ids; ``weight`` rows are equal to each."""
     graded = (grades.select(F.col("doc_id").cast("long").alias("doc_id"),
                             F.col("grade").cast("int").alias("grade"))
               .dropna().groupBy("doc_id").agg(F.max("grade").alias("grade"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    text = F.col("text").cast("string")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                         F.col("text").cast("string").alias("text"))
-    # At most `rows` ids: a fixed bound, whatever the size of the documents.
-    return source.join(F.broadcast(graded), "doc_id")
+                         F.md5(F.coalesce(text, F.lit(""))).alias("key"), text.alias("text"))
+    # At most `rows` ids and texts: a fixed bound, whatever the size of the documents.
+    kept = (source.drop("text").join(F.broadcast(graded), "doc_id")
+            .groupBy("doc_id", "key", "grade").agg(F.count("*").alias("weight"))
+            .orderBy(F.xxhash64("doc_id", "key"), "doc_id", "key").limit(rows))
+    kept = write_table(kept, "toxicity-sample")
+    return source.join(F.broadcast(kept), ["doc_id", "key"]) \
+                 .select("doc_id", "key", "grade", "weight", "text")
 
 
 def _select_features(sample: DataFrame, features: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +156,7 @@ def _select_features(sample: DataFrame, features: int) -> tuple[np.ndarray, np.n
 
 
 def _rows(sample: DataFrame, features: np.ndarray):
-    """The sample's sparse rows: (doc_id, grade, positions, counts), in a fixed order."""
+    """The sample's different sparse rows: (doc_id, grade, weight, at, n), in a fixed order."""
     def sparse(batches):
         for batch in batches:
             n = batch.num_rows
@@ -157,15 +167,27 @@ def _rows(sample: DataFrame, features: np.ndarray):
                     at[i + r].append(f)
                     count[i + r].append(c)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("grade"),
+                [*(batch.column(c) for c in ("doc_id", "key", "grade", "weight")),
                  pa.array(at, pa.list_(pa.int32())), pa.array(count, pa.list_(pa.int32()))],
-                names=["doc_id", "grade", "at", "n"])
+                names=["doc_id", "key", "grade", "weight", "at", "n"])
 
-    rows = each_batch(sample, sparse,
-                      "doc_id long, grade int, at array<int>, n array<int>").collect()
+    rows = (each_batch(sample, sparse, "doc_id long, key string, grade int, weight long, "
+                                       "at array<int>, n array<int>")
+            .groupBy("doc_id", "key", "grade", "weight")
+            .agg(F.first("at").alias("at"), F.first("n").alias("n")).collect())
     return sorted(rows, key=lambda r: (r.doc_id, list(r.at), list(r.n)))
 
 
+def _median(weighted: list[tuple[float, int]]) -> float:
+    """Median of values that stand ``weight`` times each; 0 without values."""
+    if not weighted:
+        return 0.0
+    value, weight = (np.array(x) for x in zip(*sorted(weighted)))
+    ends = np.cumsum(weight)
+    middle = [(ends[-1] - 1) // 2, ends[-1] // 2]
+    return float(value[np.searchsorted(ends, middle, side="right")].mean())
+
+
 def severity_grades(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
                     features: int = FEATURES) -> DataFrame:
     """(doc_id, grade) of at most ``sample_rows`` labelled documents, see above."""
@@ -177,8 +199,7 @@ def severity_grades(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
     marks = np.maximum(z, 0)
     load = [float((marks[list(r.at)] * np.log1p(list(r.n))).sum()) if len(r.at) else 0.0
             for r in rows]
-    toxic = [x for x, r in zip(load, rows) if r.grade > 0]
-    middle = float(np.median(toxic)) if toxic else 0.0
+    middle = _median([(x, r.weight) for x, r in zip(load, rows) if r.grade > 0])
     out = [(r.doc_id, 0 if r.grade <= 0 else 1 + (x >= middle)) for x, r in zip(load, rows)]
     return spark.createDataFrame([(d, int(g)) for d, g in out], "doc_id long, grade int")
 
@@ -195,14 +216,15 @@ def fit(docs: DataFrame, grades: DataFrame, sample_rows: int = SAMPLE_ROWS,
     row = np.repeat(np.arange(len(rows)), [len(r.at) for r in rows])
     col = np.array([f for r in rows for f in r.at], np.int64)
     x = np.log1p(np.array([c for r in rows for c in r.n], np.float64))
-    w, theta = _fit_cumulative(y, row, col, x, len(names), top)
+    weight = np.array([r.weight for r in rows], float)
+    w, theta = _fit_cumulative(y, weight, row, col, x, len(names), top)
     return Model(names, w, theta)
 
 
-def _fit_cumulative(y, row, col, x, n_features, top, l2=1e-3, steps=400, rate=0.05):
+def _fit_cumulative(y, weight, row, col, x, n_features, top, l2=1e-3, steps=400, rate=0.05):
     """Penalised likelihood by full-batch Adam; gaps between thresholds are exponentials."""
-    n = len(y)
-    seen = np.array([(y <= k).sum() for k in range(top)]) + 0.5
+    n = weight.sum()
+    seen = np.array([weight[y <= k].sum() for k in range(top)]) + 0.5
     base = np.log(seen / (n + 1 - seen))
     gaps = np.log(np.maximum(np.diff(base), 0.05))
     p = np.concatenate([np.zeros(n_features), base[:1], gaps])
@@ -211,11 +233,11 @@ def _fit_cumulative(y, row, col, x, n_features, top, l2=1e-3, steps=400, rate=0.
         w = p[:n_features]
         theta = np.cumsum(np.concatenate([p[n_features:n_features + 1],
                                           np.exp(p[n_features + 1:])]))
-        load = np.bincount(row, weights=w[col] * x, minlength=n)
+        load = np.bincount(row, weights=w[col] * x, minlength=len(y))
         edges = np.concatenate([[-np.inf], theta, [np.inf]])
         lo, hi = _sigmoid(edges[y] - load), _sigmoid(edges[y + 1] - load)
         like = np.maximum(hi - lo, 1e-12)
-        d_hi, d_lo = hi * (1 - hi) / like, lo * (1 - lo) / like
+        d_hi, d_lo = weight * hi * (1 - hi) / like, weight * lo * (1 - lo) / like
         g_load = (d_hi - d_lo) / n          # of the negative log-likelihood
         g_theta = np.zeros(top)
         np.add.at(g_theta, y[y < top], -d_hi[y < top] / n)
