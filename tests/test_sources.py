@@ -99,6 +99,31 @@ def test_write_proposals_formats(spark, tmp_path):
         assert sorted(ns) == list(range(1, len(ns) + 1)), repo
 
 
+def test_text_sink_spreads_one_repository(spark, tmp_path):
+    from conftest import SF_SMALL
+    from treeline.plans.catalog import tables_for
+    p = tables_for(spark, SF_SMALL).proposals
+    repo = p.groupBy("repo_id").count().orderBy("count", ascending=False).first()["repo_id"]
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        INV.write_proposals(p.filter(p.repo_id == repo), str(tmp_path / "t"), "text")
+    finally:
+        spark.conf.set(key, before)
+    files = [f.read_text().splitlines() for f in (tmp_path / "t").glob("part-*")]
+    assert sum(bool(lines) for lines in files) > 1
+
+
+def test_proposals_query_goes_through_the_sink(spark, monkeypatch):
+    from conftest import SF_SMALL
+    from treeline.plans.catalog import QUERIES
+    written = []
+    sink = INV.write_proposals
+    monkeypatch.setattr(INV, "write_proposals", lambda *a, **k: (written.append(a[1]), sink(*a, **k)))
+    assert QUERIES["S3_write_proposals"](spark, SF_SMALL).count() > 0 and len(written) == 1
+
+
 def test_read_reference_history(spark, tmp_path):
     import json
     entries = [

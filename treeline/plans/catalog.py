@@ -374,7 +374,10 @@ def a10(t: Tables) -> DataFrame:
 
 @query("S3_write_proposals")
 def s3(t: Tables) -> DataFrame:
-    return RE.proposal_records(t.proposals).withColumn("ord", F.col("ord").cast("bigint"))
+    """Proposals written through the sink; the records of the files read back."""
+    path = f"{checkpoint_dir(t.spark).rstrip('/')}/proposals-{uuid.uuid4().hex}"
+    INV.write_proposals(t.proposals, path, "parquet")
+    return RE.proposal_records(t.spark.read.parquet(path)).withColumn("ord", F.col("ord").cast("bigint"))
 
 
 @query("P19_proposal_text")

@@ -73,23 +73,23 @@ class Proposals(Analysis):
         return RE.proposal_text(self.proposals)
 
 
-def analyze(raw: DataFrame) -> Analysis:
+def analyze(raw: DataFrame, file_backed: bool = False) -> Analysis:
     """``analyze``: scan filter, file facts, per-repository summary and extensions.
 
-    An inventory that is not backed by files (the tree listing) is written to
+    An inventory that is not ``file_backed`` (the tree listing) is written to
     Parquet once, so that the parse, the existence checks and the reports do
     not list the trees again.
     """
     raw = INV.validate_inventory(raw)
-    if not raw.inputFiles():
+    if not file_backed:
         raw = _keep(raw)
     files = _keep(FL.build_files(raw))
     return Analysis(raw, files, RP.repo_summary(files), RP.top_extensions(files))
 
 
-def propose(raw: DataFrame) -> Proposals:
+def propose(raw: DataFrame, file_backed: bool = False) -> Proposals:
     """``propose``: repository type, classification and all proposals."""
-    a = analyze(raw)
+    a = analyze(raw, file_backed)
     types = _keep(RP.repo_types(a.files, a.raw))
     props = _keep(PR.all_proposals(a.files, types))
     return Proposals(a.raw, a.files, a.summary, a.extensions, types, props)

@@ -75,11 +75,11 @@ def run(spark: SparkSession, argv: list[str]) -> None:
 
     raw = _inventory(spark, args)
     if args.command == "analyze":
-        a = EP.analyze(raw)
+        a = EP.analyze(raw, file_backed=not args.trees)
         _write(a.summary, args.out, "summary")
         _write(a.extensions, args.out, "extensions")
         return
-    p = EP.propose(raw)
+    p = EP.propose(raw, file_backed=not args.trees)
     if args.command == "propose":
         _write(p.types, args.out, "repo_types")
         _write(p.proposals, args.out, "proposals")

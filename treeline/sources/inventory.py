@@ -74,7 +74,8 @@ def write_proposals(proposals: DataFrame, path: str, fmt: str = "json",
     ``json``: one JSON line per proposal (null fields kept, like the
     reference); ``text``: ``repo_id<TAB>[n] ...`` per proposal in display
     order, newlines escaped; ``parquet``: the table itself. Rows are ordered
-    by repository and proposal order within each file.
+    by repository and proposal order within each file; the text files are cut by
+    (repository, number), so a large repository spreads over several.
     """
     record = F.struct(
         F.col("action"), F.col("source"), F.col("target"), F.col("reason"),
@@ -93,7 +94,7 @@ def write_proposals(proposals: DataFrame, path: str, fmt: str = "json",
         txt = proposal_text(proposals)
         block = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), F.col("text"))
         (txt.join(num, ["repo_id", "phase", "ord"])
-         .repartition("repo_id").sortWithinPartitions("repo_id", "number")
+         .repartitionByRange("repo_id", "number").sortWithinPartitions("repo_id", "number")
          .select(F.concat(F.col("repo_id"), F.lit("\t"), F.regexp_replace(block, "\n", "\\\\n"))
                  .alias("value"))
          .write.mode(mode).text(path))

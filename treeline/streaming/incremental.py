@@ -34,7 +34,7 @@ def propose_stream(spark: SparkSession, inventory_dir: str, output_dir: str,
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        p = EP.propose(batch)
+        p = EP.propose(batch, file_backed=True)
         stamp = F.lit(batch_id).cast("bigint").alias("snapshot")
         p.proposals.select(stamp, "*").write.mode("append").partitionBy("snapshot") \
             .parquet(f"{output_dir}/proposals")
