@@ -101,3 +101,50 @@ def tokens(tokenizer, texts):
         out.append((at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     return out
+
+
+def aligned(texts, tokenizer, pieces):
+    """(n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every text."""
+    import hashlib
+
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+    tokenizer.encode_special_tokens = True
+    found = []
+    for text in texts:
+        spaced = " " + (text or "")
+        a = tokenizer.encode(spaced, add_special_tokens=False)
+        b = pieces.encode(text or "")
+        in_a = [bytes(byte[c] for c in t) for t in a.tokens]
+        in_b = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p)
+                else p.replace("\u2581", " ").encode() for p in map(pieces.id_to_piece, b)]
+        if not text or not b"".join(in_a) == b"".join(in_b) == spaced.encode():
+            found.append(None)
+            continue
+        ends_a, ends_b = (np.cumsum([len(t) for t in x]).tolist() for x in (in_a, in_b))
+        place_a, place_b = ({e: k + 1 for k, e in enumerate(x)} for x in (ends_a, ends_b))
+        ids, i, j = a.ids, 0, 0
+        own = []
+        for cut in sorted(set(ends_a) & set(ends_b)):
+            own.append((ids[i:place_a[cut]], b[j:place_b[cut]]))
+            i, j = place_a[cut], place_b[cut]
+        found.append((len(ids), len(b), own))
+    count = {}
+    for f in found:
+        for pair in {(x, y) for g, h in (f[2] if f else []) for x in g for y in h}:
+            count[pair] = count.get(pair, 0) + 1
+    top = {}
+    for (x, _), n in count.items():
+        top[x] = max(n, top.get(x, 0))
+    out = []
+    for f in found:
+        if not f:
+            out.append((0, 0, 0, 0, 0, 0, ""))
+            continue
+        linked = [(x, y) for g, h in f[2] for x in g for y in h]
+        written = ";".join(",".join(map(str, g)) + "|" + ",".join(map(str, h)) for g, h in f[2])
+        out.append((f[0], f[1], len(f[2]), len(linked),
+                    sum(count[p] == top[p[0]] for p in linked), sum(count[p] for p in linked),
+                    hashlib.sha256(written.encode()).hexdigest()))
+    return out

@@ -3,11 +3,11 @@
 import re
 
 import pytest
-from brute import (LONG, NASTY, SCHEMA, clashing, classes, contained, links, nasty, nothing,
+from brute import (LONG, NASTY, SCHEMA, aligned, clashing, classes, contained, links, nasty, nothing,
                    shingles, tokens, words)
 from pyspark.sql import functions as F
 
-from treeline.llm import (decontaminate, fingerprint, jaccard, licenses, linededup, lm, mixing,
+from treeline.llm import (align, decontaminate, fingerprint, jaccard, licenses, linededup, lm, mixing,
                           tokenfile, toxicity, urlfilter)
 from treeline.llm.common import scratch, tokenizer_json
 
@@ -360,3 +360,42 @@ def test_jaccard_large_group_in_blocks(spark, monkeypatch):
     assert got == {k: len(n) for k, n in enumerate(near)}
     assert 0 < sum(map(len, near)) < 90 * 89
     assert all(shingles(t) for t in texts)
+
+
+ODD = ["a", " ", "  ", "\n\n  x  y\t z ", "<s> <|endoftext|> \u2581 q", "\u65e5\u672c\u8a9e\u3001\u6f22\u5b57\u3002" * 300,
+       "\U0001f600 \U0001f44d\U0001f3fd\u00bd \ufb01" * 20, "a" * 5000, "\u3000 a  b \xa0 c", "x \u00e9 y \u2003 z",
+       "=-" * 3000 + " tail", "\0 z\0", "don't  \n \n we'll   go", " lead", "trail "]
+
+
+def test_alignment(spark, docs):
+    import public_tokenizers
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+    tools = (Tokenizer.from_str(tokenizer_json()),
+             SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")))
+    want = sorted([(d, *x) for (d, *_), x in zip(NASTY, aligned([t for _, t, *_ in NASTY], *tools))], key=repr)
+    for rows in (align.CHUNK, 5):       # one chunk a task, one a document
+        assert rows_of(align.align(docs, chunk_rows=rows),
+                       *(c.split()[0] for c in align.SCHEMA.split(", "))) == want
+    assert align.align(nothing(spark)).count() == 0
+    odd = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").repartition(2)
+    got = sorted(tuple(r) for r in align.align(odd).collect())
+    assert got == [(k, *x) for k, x in enumerate(aligned(ODD, *tools))]
+
+
+def test_alignment_lanes():
+    """Any length of an entry gives the same groups, long groups included."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        ends = np.cumsum(rng.integers(1, 400, rng.integers(1, 6)))
+        some = lambda p: np.unique(np.concatenate([np.flatnonzero(rng.random(ends[-1]) < p) + 1, ends]))
+        a, b = some(0.2), some(rng.choice([0.01, 0.3]))
+        first = [np.append(0, np.searchsorted(x, ends) + 1) for x in (a, b)]
+        cuts = np.intersect1d(a, b)
+        want = list(zip(np.append(0, np.searchsorted(a, cuts)[:-1] + 1), np.searchsorted(a, cuts) + 1,
+                        np.append(0, np.searchsorted(b, cuts)[:-1] + 1), np.searchsorted(b, cuts) + 1))
+        for lane in (1, 7, 50, 10_000):
+            got = []
+            align.lockstep(a, first[0], b, first[1], lambda *x: got.extend(zip(*x)), lane)
+            assert sorted(got) == want

@@ -4,7 +4,7 @@ import os
 
 import duckdb
 import pytest
-from brute import SF_SMALL, classes, contained, links, tokens
+from brute import SF_SMALL, aligned, classes, contained, links, tokens
 
 from treeline.llm.catalog import QUERIES
 from treeline.llm.common import table, tokenizer_json
@@ -38,7 +38,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.fixture(scope="module")
@@ -71,6 +71,17 @@ def test_token_files_equal_the_library(spark, docs):
     assert [(r.start, r.n_tokens, r.ids_crc32) for r in got] == want
 
 
+def test_alignment_equals_brute_force(spark, docs):
+    import public_tokenizers
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+    want = aligned([r.text for r in docs], Tokenizer.from_str(tokenizer_json()),
+                   SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")))
+    got = QUERIES["op11_token_alignment"](spark, SF_SMALL).orderBy("doc_id").collect()
+    assert [r.doc_id for r in got] == [r.doc_id for r in docs]
+    assert [tuple(r)[1:] for r in got] == want
+
+
 def test_toxicity_on_held_out_labels(spark):
     from treeline.llm import toxicity
     sf = SF_SMALL.replace("0.001", "0.1")

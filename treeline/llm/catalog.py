@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import (decontaminate, fingerprint, jaccard, licenses, linededup, lm, mixing,
+from treeline.llm import (align, decontaminate, fingerprint, jaccard, licenses, linededup, lm, mixing,
                           tokenfile, toxicity, urlfilter)
 from treeline.llm.common import scratch, table, tokenizer_json
 
@@ -77,6 +77,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups, links and link counts of two tokenizers over every document."""
+    return align.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_decontaminate": op2_decontaminate,
@@ -88,4 +93,5 @@ QUERIES = {
     "op8_lm_scores": op8_lm_scores,
     "op9_url_filters": op9_url_filters,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_token_alignment": op11_token_alignment,
 }
