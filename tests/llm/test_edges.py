@@ -8,7 +8,7 @@ from brute import (LONG, NASTY, SCHEMA, aligned, clashing, classes, contained, l
 from pyspark.sql import functions as F
 
 from treeline.llm import (align, decontaminate, fingerprint, jaccard, licenses, linededup, lm, mixing,
-                          tokenfile, toxicity, urlfilter)
+                          quality, tokenfile, toxicity, urlfilter)
 from treeline.llm.common import scratch, tokenizer_json
 
 
@@ -399,3 +399,47 @@ def test_alignment_lanes():
             got = []
             align.lockstep(a, first[0], b, first[1], lambda *x: got.extend(zip(*x)), lane)
             assert sorted(got) == want
+
+
+def test_quality(spark, docs):
+    import numpy as np
+    labels = spark.createDataFrame([(1, 1), (2, 1), (2, 0), (4, 0), (6, 0), (9, 1), (11, 1), (8, None), (None, 1),
+                                    (99, 1), (7, 0), (10, 0)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    held = {r.doc_id for r in labels.filter(quality.held_out(F.col("doc_id"))).collect()}
+    rows = quality.score(docs, model).collect()
+    assert sorted((r.doc_id for r in rows), key=repr) == sorted((d for d, *_ in NASTY), key=repr)
+    texts = {1: NASTY[0][1], 4: "", 6: "one", 7: "ONE!", 9: LONG, 10: LONG + " tail", 11: NASTY[-1][1]}
+    blank = {r.score for r in rows if r.doc_id in (3, 4)}
+    assert len(blank) == 1 and abs(blank.pop() - model.prior) < 1e-9
+    # votes by every cosine in plain Python
+    import pyarrow as pa
+    for d in (1, 6, 11):
+        (_, counts), = quality.blocks(pa.array([texts[d]]))
+        z = model.place(counts)[0].astype(float)
+        cos = [max(0.0, float(z @ v)) for v in model.vectors.astype(float)]
+        least = sorted(cos, reverse=True)[:quality.NEIGHBOURS][-1]
+        w = [c ** quality.POWER * k if c >= least else 0 for c, k in zip(cos, model.weights)]
+        want = sum(a * y for a, y in zip(w, model.labels)) / sum(w)
+        assert all(abs(r.score - want) < 1e-4 for r in rows if r.doc_id == d and r.held_out == (d in held))
+    assert sum(model.weights) == sum(d in {1, 2, 4, 6, 7, 9, 10, 11} - held for d, *_ in NASTY)
+    assert quality.score(nothing(spark), model).count() == 0
+    none = quality.fit(docs, labels.limit(0))
+    assert {r.score for r in quality.score(docs, none).collect()} == {0.5}
+    assert quality.fit(nothing(spark), labels).prior == 0.5
+
+
+def test_quality_terms_of_long_texts():
+    """Counts do not depend on the pieces that a long text is worked through in."""
+    import numpy as np
+    import pyarrow as pa
+    text = (LONG * 2)[:2_200_000] + " Zz\u00e9!"
+    (_, whole), = quality.blocks(pa.array([text]))
+    raw = text.encode()
+    kinds = quality._KIND[np.frombuffer(raw, np.uint8)]
+    slot = quality._SLOT[(kinds[:-2] * 32 + kinds[1:-1]) * 32 + kinds[2:]]
+    assert whole.sum() == len(raw) - 2 + 2 * len(words(text))
+    assert (whole[0] >= np.bincount(slot, minlength=quality.TERMS)).all()
+    both = [c for _, c in quality.blocks(pa.array(["a a b", None, text, "a a b"]))]
+    both = np.concatenate(both)
+    assert (both[0] == both[3]).all() and both[1].sum() == 0 and (both[2] == whole[0]).all()

@@ -95,3 +95,19 @@ def test_toxicity_on_held_out_labels(spark):
     assert hit >= 0.95 * sum(r.toxic for r in rows) and false <= 0.01 * len(rows)
     assert all(0 <= r.severity <= 2 for r in rows)
     assert {r.doc_id for r in rows if r.grade >= 1} >= {r.doc_id for r in rows if r.grade == 2}
+
+
+def test_quality_on_held_out_labels(spark):
+    sf = SF_SMALL.replace("0.001", "0.1")
+    label = {r.doc_id: r.quality for r in table(spark, sf, "labels").collect()}
+    rows = QUERIES["op13_quality_votes"](spark, sf).collect()
+    assert len(rows) == table(spark, sf, "documents").count()
+    import zlib
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    held = [r for r in rows if r.held_out and r.doc_id in label]
+    low, high = ([r.score for r in held if label[r.doc_id] == q] for q in (0, 1))
+    beaten = sum((h > x) + 0.5 * (h == x) for x in low for h in high)
+    assert beaten >= 0.97 * len(low) * len(high)
+    assert sum(x < 0.5 for x in low) >= 0.9 * len(low)
+    assert sum(h >= 0.5 for h in high) >= 0.99 * len(high)

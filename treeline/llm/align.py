@@ -51,12 +51,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm.common import KEPT, each_batch, groups, tokenizer_json
-from treeline.llm.words import slices, text_bytes
+from treeline.llm.words import PIECE, slices, text_bytes
 from treeline.session import write_table
 
-LANE = 2048
-CHUNK = 1 << 20
-CACHED = 300_000
+LANE = 512
+CHUNK = 1 << 19
+CACHED = 100_000
+SLICE = 2 * PIECE       # bytes of text merged at a time
 LONG_GROUP = 1 << 12   # id pairs; longer groups are linked by distinct ids
 PAIR_BITS = 32         # a pair is a * 2**32 + b
 
@@ -492,7 +493,7 @@ def _link(definition: str, model, chunk_rows: int):
         for batch in batches:
             ids, column = batch.column("doc_id"), batch.column("text")
             _, offsets = text_bytes(column)
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE):
                 for a in range(i, j, 4096):
                     b = min(j, a + 4096)
                     held.add(ids.slice(a, b - a).to_pylist(),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.llm import (align, decontaminate, fingerprint, jaccard, licenses, linededup, lm, mixing,
-                          tokenfile, toxicity, urlfilter)
+                          quality, tokenfile, toxicity, urlfilter)
 from treeline.llm.common import scratch, table, tokenizer_json
 
 
@@ -82,6 +82,12 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents"))
 
 
+def op13_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by the votes of its nearest labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_decontaminate": op2_decontaminate,
@@ -94,4 +100,5 @@ QUERIES = {
     "op9_url_filters": op9_url_filters,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_token_alignment": op11_token_alignment,
+    "op13_quality_votes": op13_quality_votes,
 }
