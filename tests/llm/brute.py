@@ -148,3 +148,38 @@ def aligned(texts, tokenizer, pieces):
                     sum(count[p] == top[p[0]] for p in linked), sum(count[p] for p in linked),
                     hashlib.sha256(written.encode()).hexdigest()))
     return out
+
+
+def rebuilt(rows):
+    """conv_id -> rebuilt turns (role, text) of (conv_id, turn, role, text) rows."""
+    import zlib
+
+    own = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            own.setdefault(c, []).append(((turn is not None, turn or 0), role or "", text or ""))
+    own = {c: [(r, t) for _, r, t in sorted(v)] for c, v in own.items()}
+    h = {c: zlib.crc32(str(c).encode()) % 4 for c in own}
+    return {c: own.get(c - c % 20, [])[:h[c]] + v[h[c]:] for c, v in own.items()}
+
+
+def trie(whole):
+    """Rows of op12 of conv_id -> turns, node by node."""
+    import hashlib
+
+    members = {}
+    for c, turns in whole.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    out = []
+    for node, held in members.items():
+        below = [n for n in members if n[:len(node)] == node]
+        children = [n for n in below if len(n) == len(node) + 1]
+        ends = ",".join(map(str, sorted(c for c in held if len(whole[c]) == len(node))))
+        out.append((min(held), len(node), min(members[node[:-1]]) if node else None, len(held),
+                    len(children),
+                    sum(not any(m[:len(n)] == n and len(m) > len(n) for m in below) for n in below),
+                    sum((len(members[n]) - 1) * len(re.findall("[^\\x20\\x09-\\x0D]+", n[-1][1]))
+                        for n in below if n),
+                    hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out)

@@ -8,7 +8,7 @@ from brute import (LONG, NASTY, SCHEMA, aligned, clashing, classes, contained, l
 from pyspark.sql import functions as F
 
 from treeline.llm import (align, decontaminate, fingerprint, jaccard, licenses, linededup, lm, mixing,
-                          quality, tokenfile, toxicity, urlfilter)
+                          quality, tokenfile, toxicity, trie, urlfilter)
 from treeline.llm.common import scratch, tokenizer_json
 
 
@@ -443,3 +443,29 @@ def test_quality_terms_of_long_texts():
     both = [c for _, c in quality.blocks(pa.array(["a a b", None, text, "a a b"]))]
     both = np.concatenate(both)
     assert (both[0] == both[3]).all() and both[1].sum() == 0 and (both[2] == whole[0]).all()
+
+
+TALK = "conv_id long, turn long, role string, text string"
+
+
+def test_conversation_trie(spark):
+    import random
+
+    import brute
+    rng = random.Random(12)
+    rows = [(None, 1, "user", "nobody's"), (40, 2, None, None), (40, None, "user", "null turn first"),
+            (40, 2, "a", ""), (40, 2, "a", ""), (41, 1, "user", "x \t\x0b y\xa0z"), (7, 0, "", " ")]
+    for c in range(100, 160):      # few texts: many shared prefixes, copies, short and long ones
+        n = rng.choice([1, 1, 2, 3, 5, 8, 9, 12, 17])
+        rows += [(c, t, rng.choice("ua"), "w " * (1 + (t % 3 if rng.random() < 0.9 else 7))) for t in range(n)]
+    rows += [(c, t, "u", "copy " * (t + 1)) for c in range(163, 175) for t in range(11)]
+    rows += [(180, t, "u", f"long {t}") for t in range(200)]
+    talk = spark.createDataFrame(rows, TALK)
+    for extra in ({}, {c: F.lit("x") for c in ("place", "h1", "block", "turns", "owner", "slice_no", "depth")}):
+        ids, turns = trie.rebuilt(talk.withColumns(extra).repartition(3))
+        got = trie.trie(ids, turns).collect()
+        assert sorted(map(tuple, got)) == brute.trie(brute.rebuilt(rows))
+    # any block length gives the same trie
+    got = trie.trie(*trie.rebuilt(talk), size=3).collect()
+    assert sorted(map(tuple, got)) == brute.trie(brute.rebuilt(rows))
+    assert trie.trie(*trie.rebuilt(talk.limit(0))).count() == 0

@@ -10,7 +10,7 @@ from treeline.llm.catalog import QUERIES
 from treeline.llm.common import table, tokenizer_json
 from treeline.llm.sql import ORACLE
 
-TABLES = ("documents", "benchmark", "labels", "pages")
+TABLES = ("documents", "benchmark", "labels", "pages", "conversations")
 
 
 def duck(sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.llm import (align, decontaminate, fingerprint, jaccard, licenses, linededup, lm, mixing,
-                          quality, tokenfile, toxicity, urlfilter)
+                          quality, tokenfile, toxicity, trie, urlfilter)
 from treeline.llm.common import scratch, table, tokenizer_json
 
 
@@ -82,6 +82,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return trie.trie(*trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def op13_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by the votes of its nearest labelled ones."""
     docs = table(spark, sf_dir, "documents")
@@ -100,5 +105,6 @@ QUERIES = {
     "op9_url_filters": op9_url_filters,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_token_alignment": op11_token_alignment,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_quality_votes": op13_quality_votes,
 }

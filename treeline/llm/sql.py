@@ -244,3 +244,56 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, round(coalesce(score, 0), 4) AS sco
        round(CASE WHEN len(ws) > 0 THEN score / len(ws) END, 6) AS mean
 FROM docs d LEFT JOIN sums s ON d.doc_id = s.doc_id
 """
+
+# crc32 bit by bit; a node's name is the row of its turns' digests.
+ORACLE["op12_conversation_trie"] = """
+WITH RECURSIVE turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                            coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+counts AS (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id),
+bits(conv_id, s, t, v) AS (
+  SELECT conv_id, conv_id::VARCHAR, 0, 4294967295::BIGINT FROM counts
+  UNION ALL
+  SELECT conv_id, s, t + 1, CASE WHEN w & 1 = 1 THEN xor(w >> 1, 3988292384) ELSE w >> 1 END
+  FROM (SELECT conv_id, s, t, CASE WHEN t % 8 = 0 THEN xor(v, ascii(substr(s, t // 8 + 1, 1))::BIGINT)
+                                   ELSE v END AS w
+        FROM bits WHERE t < 8 * length(s))),
+ids AS (
+  SELECT b.conv_id, xor(v, 4294967295) % 4 AS h, b.conv_id - b.conv_id % 20 AS base,
+         least(xor(v, 4294967295) % 4, coalesce(c.n, 0)) AS taken
+  FROM bits b LEFT JOIN counts c ON c.conv_id = b.conv_id - b.conv_id % 20
+  WHERE t = 8 * length(s)),
+rebuilt AS (
+  SELECT i.conv_id, place, role, text FROM ids i JOIN turns t ON t.conv_id = i.base AND place <= taken
+  UNION ALL
+  SELECT i.conv_id, place - h + taken, role, text
+  FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND place > h),
+prefixes AS (
+  SELECT conv_id, place, string_agg(sha256(length(role) || ':' || role || text), '')
+           OVER (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS name,
+         len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS words
+  FROM rebuilt),
+nodes AS (
+  SELECT name, place AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words
+  FROM prefixes GROUP BY name, place
+  UNION ALL
+  SELECT '', 0, min(conv_id), count(*), 0 FROM ids HAVING count(*) > 0),
+ends AS (
+  SELECT name, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS sha
+  FROM (SELECT i.conv_id, coalesce(arg_max(name, place), '') AS name
+        FROM ids i LEFT JOIN prefixes p USING (conv_id) GROUP BY i.conv_id) GROUP BY name),
+children AS (
+  SELECT left(name, length(name) - 64) AS name, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+subtrees AS (
+  SELECT a.name, sum((b.n_convs - 1) * b.words) AS saved, count(*) FILTER (c.name IS NULL) AS leaves
+  FROM nodes a JOIN nodes b ON starts_with(b.name, a.name) LEFT JOIN children c ON c.name = b.name
+  GROUP BY a.name)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs,
+       coalesce(c.n, 0)::BIGINT AS n_children, s.leaves::BIGINT AS n_leaves,
+       s.saved::BIGINT AS saved_tokens, coalesce(e.sha, sha256('')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.name = left(n.name, length(n.name) - 64)
+JOIN subtrees s ON s.name = n.name LEFT JOIN children c ON c.name = n.name
+LEFT JOIN ends e ON e.name = n.name
+"""
