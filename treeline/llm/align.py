@@ -56,8 +56,9 @@ from treeline.session import write_table
 
 LANE = 512
 CHUNK = 1 << 19
-CACHED = 100_000
+CACHED = 150_000
 SLICE = 2 * PIECE       # bytes of text merged at a time
+JOINED = 8000           # stretches in one call of a library
 LONG_GROUP = 1 << 12   # id pairs; longer groups are linked by distinct ids
 PAIR_BITS = 32         # a pair is a * 2**32 + b
 
@@ -141,14 +142,13 @@ class _Memory:
         self.ids = np.zeros(1 << 16, np.int32)
         self.ends = np.zeros(1, np.int64)
 
-    def add(self, coded: list[list[int]]) -> None:
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        used, more = int(self.ends[-1]), int(sizes.sum())
+    def add(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        used, more = int(self.ends[-1]), len(ids)
         if used + more > len(self.ids):
             grown = np.zeros(max(2 * len(self.ids), used + more), np.int32)
             grown[:used] = self.ids[:used]
             self.ids = grown
-        self.ids[used:used + more] = np.fromiter((i for c in coded for i in c), np.int32, more)
+        self.ids[used:used + more] = ids
         self.ends = np.concatenate([self.ends, used + np.cumsum(sizes)])
 
     def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,16 +197,47 @@ class Coder:
         self.exact = np.zeros(0, bool)
 
     def _learn(self, stretches: list[str]) -> None:
-        for at in range(0, len(stretches), 20_000):
-            some = stretches[at:at + 20_000]
+        """Encode new stretches: many in a row as one text where they stay apart, else alone."""
+        alone = []
+        plain = []
+        for s in stretches:
+            joins = self.splits and "!" <= s[-1] <= "~" and "!" <= s[1:2] <= "~"
+            (plain if joins else alone).append(s)
+        for at in range(0, len(plain), JOINED):
+            some = plain[at:at + JOINED]
+            if not self._learn_joined(some):
+                alone += some
+        for at in range(0, len(alone), JOINED):
+            some = alone[at:at + JOINED]
             coded = self.a(some), self.b(some)
-            self.exact = np.append(self.exact, [
-                (raw := s.encode()) == self.a.vocabulary.joined(x)
-                and raw == self.b.vocabulary.joined(y) for s, x, y in zip(some, *coded)])
-            first = len(self.known)
-            self.known.update(zip(some, range(first, first + len(some))))
-            for memory, ids in zip(self.memory, coded):
-                memory.add(ids)
+            exact = [(raw := s.encode()) == self.a.vocabulary.joined(x)
+                     and raw == self.b.vocabulary.joined(y) for s, x, y in zip(some, *coded)]
+            self._keep(some, exact, *((np.fromiter(map(len, c), np.int64, len(c)),
+                                       np.fromiter((i for ids in c for i in ids), np.int32))
+                                      for c in coded))
+
+    def _learn_joined(self, some: list[str]) -> bool:
+        raw = [s.encode() for s in some]
+        text, whole = "".join(some), b"".join(raw)
+        bounds = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        found = []
+        for tokenizer in (self.a, self.b):
+            ids = np.array(tokenizer([text])[0], np.int32)
+            ends = np.cumsum(tokenizer.vocabulary.size[ids])
+            last = np.searchsorted(ends, bounds)
+            if (ends[-1] != bounds[-1] or (ends[last] != bounds).any()
+                    or tokenizer.vocabulary.joined(ids.tolist()) != whole):
+                return False
+            found.append((np.diff(last, prepend=-1), ids))
+        self._keep(some, [True] * len(some), *found)
+        return True
+
+    def _keep(self, names: list[str], exact: list[bool], *coded: tuple[np.ndarray, np.ndarray]) -> None:
+        first = len(self.known)
+        self.known.update(zip(names, range(first, first + len(names))))
+        self.exact = np.append(self.exact, exact).astype(bool)
+        for memory, (sizes, ids) in zip(self.memory, coded):
+            memory.add(sizes, ids)
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids of A, number per row, ids of B, number per row) of a text column; rows
@@ -506,24 +537,35 @@ def _link(definition: str, model, chunk_rows: int):
     return run
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A chunk's head and its pairs' answers, in order -> its documents."""
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A chunk's answers, in the order of its pairs -> one row."""
     for table in groups(batches, "chunk"):
-        head = table.column("head").combine_chunks()[0].as_py()
-        count = table.column("count").to_numpy()[1:]
-        best = table.column("best").to_numpy()[1:]
-        at = np.frombuffer(head["at"], np.int32)
-        number = np.frombuffer(head["n"], np.int64)
-        row = np.repeat(np.arange(len(head["doc_id"])), head["size"])
-        n = len(head["doc_id"])
-        total, hits = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        np.add.at(total, row, count[at] * number)
-        np.add.at(hits, row, best[at] * number)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(head["doc_id"], pa.int64()), *(pa.array(head[c], pa.int64())
-             for c in ("n_a", "n_b", "n_groups", "n_links")), pa.array(hits), pa.array(total),
-             pa.array(head["sha"], pa.string())],
-            names=[c.split()[0] for c in SCHEMA.split(", ")])
+            [table.column("chunk")[:1].combine_chunks(),
+             pa.array([table.column("count").to_numpy().astype(np.int64).tobytes()], pa.binary()),
+             pa.array([table.column("best").to_numpy().astype(np.int8).tobytes()], pa.binary())],
+            names=["chunk", "count", "best"])
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A chunk's head and its answers -> its documents."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            head = batch.column("head")[r].as_py()
+            count = np.frombuffer(batch.column("count")[r].as_py() or b"", np.int64)
+            best = np.frombuffer(batch.column("best")[r].as_py() or b"", np.int8)
+            at = np.frombuffer(head["at"], np.int32)
+            number = np.frombuffer(head["n"], np.int64)
+            n = len(head["doc_id"])
+            row = np.repeat(np.arange(n), head["size"])
+            total, hits = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            np.add.at(total, row, count[at] * number)
+            np.add.at(hits, row, best[at] * number)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(head["doc_id"], pa.int64()), *(pa.array(head[c], pa.int64())
+                 for c in ("n_a", "n_b", "n_groups", "n_links")), pa.array(hits), pa.array(total),
+                 pa.array(head["sha"], pa.string())],
+                names=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
 def align(docs: DataFrame, definition: str | None = None, model: bytes | None = None,
@@ -542,10 +584,8 @@ def align(docs: DataFrame, definition: str | None = None, model: bytes | None =
     known = counts.join(top, a_id == F.col("a")).select(
         "pair", "count", (F.col("count") == F.col("top")).cast("long").alias("best"))
     answers = (pairs.select("chunk", "pair").join(known, "pair")
-               .select("chunk", "pair", "count", "best", F.lit(None).cast(links.schema["head"].dataType)
-                       .alias("head")))
-    heads = links.filter("pair < 0").select("chunk", "pair", F.lit(0).cast("long").alias("count"),
-                                            F.lit(0).cast("long").alias("best"), "head")
-    both = (heads.unionByName(answers).repartition("chunk")
-            .sortWithinPartitions("chunk", "pair"))
-    return each_batch(both, _answer, SCHEMA)
+               .repartition("chunk").sortWithinPartitions("chunk", "pair"))
+    packed = each_batch(answers, _pack, "chunk long, count binary, best binary")
+    heads = links.filter("pair < 0").select("chunk", "head")
+    # one row per chunk on both sides
+    return each_batch(heads.join(packed, "chunk", "left"), _answer, SCHEMA)
