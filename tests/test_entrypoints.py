@@ -32,11 +32,16 @@ def test_apply_then_rollback_restores_inventory(spark, tmp_path):
     after = a.new_inventory.checkpoint(eager=True)
     assert after.count() == raw.count()
     assert after.select("repo_id", "relative_path").distinct().count() == raw.count()
-    r = EP.rollback(spark, hist, disk=after, n=10_000, execute=True)
+    r = EP.rollback(spark, hist, disk=after, n=10_000, execute=True, run="undo")
     assert r.results.filter("success").count() == done
-    restored = MV.new_inventory(after, r.results)
+    restored = r.new_inventory
     diff = restored.select("repo_id", "relative_path").exceptAll(raw.select("repo_id", "relative_path"))
     assert diff.count() == 0
+    # tried again: the same outcome, recorded once
+    entries = EP.history_view(spark, hist, 10_000).count()
+    again = EP.rollback(spark, hist, disk=after, n=10_000, execute=True, run="undo")
+    assert again.results.filter("success").count() == done
+    assert EP.history_view(spark, hist, 10_000).count() == entries
     # the history keeps the run and the rollback
     view = EP.history_view(spark, hist, 20)
     assert view.filter(F.col("action") == "ROLLBACK").count() > 0

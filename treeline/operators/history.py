@@ -204,26 +204,26 @@ def _undo_static(sel: DataFrame) -> DataFrame:
                       msg.alias("message"))
 
 
-def rollback_history_records(results: DataFrame, history: DataFrame) -> DataFrame:
-    """S4 records of a real rollback: action ROLLBACK, risk high, new seq after the history."""
-    base = history.groupBy("repo_id").agg(F.max("seq").alias("_base"))
+def rollback_history_records(results: DataFrame, heads: DataFrame) -> DataFrame:
+    """S4 records of a real rollback: action ROLLBACK, risk high, numbered after ``heads``
+    (repo_id, last: the last seq of each repository, see ``sources.commits``)."""
     top = results.groupBy("repo_id").agg(F.max("undone_seq").alias("_top"))
-    r = results.join(base, "repo_id", "left").join(top, "repo_id")
+    r = results.join(heads, "repo_id", "left").join(top, "repo_id")
     return r.select(
         "repo_id",
-        (F.coalesce("_base", F.lit(0)) + 1 + F.col("_top") - F.col("undone_seq")).alias("seq"),
+        (F.coalesce("last", F.lit(0)) + 1 + F.col("_top") - F.col("undone_seq")).alias("seq"),
         F.localtimestamp().alias("executed_at"), F.lit("ROLLBACK").alias("action"),
         "source", "target", "success", "skipped", "message", "risk")
 
 
-def apply_history_records(results: DataFrame, history: DataFrame) -> DataFrame:
-    """S4 records of a real apply, written only for repositories with a success."""
+def apply_history_records(results: DataFrame, heads: DataFrame) -> DataFrame:
+    """S4 records of a real apply, written only for repositories with a success and numbered
+    after ``heads``."""
     ok = results.filter("success").select("repo_id").distinct()
-    base = history.groupBy("repo_id").agg(F.max("seq").alias("_base"))
     low = results.groupBy("repo_id").agg(F.min("ord").alias("_low"))
-    r = results.join(ok, "repo_id", "left_semi").join(base, "repo_id", "left").join(low, "repo_id")
+    r = results.join(ok, "repo_id", "left_semi").join(heads, "repo_id", "left").join(low, "repo_id")
     return r.select(
-        "repo_id", (F.coalesce("_base", F.lit(0)) + 1 + F.col("ord") - F.col("_low")).alias("seq"),
+        "repo_id", (F.coalesce("last", F.lit(0)) + 1 + F.col("ord") - F.col("_low")).alias("seq"),
         F.localtimestamp().alias("executed_at"), "action", "source", "target", "success",
         "skipped", "message", "risk")
 

@@ -131,11 +131,12 @@ class Applied:
 
 def apply(p: Proposals, decisions: DataFrame | None, disk: DataFrame | None = None,
           history_path: str | None = None, execute: bool = False,
-          approve_all: bool = False) -> Applied:
+          approve_all: bool = False, run: str | None = None) -> Applied:
     """``apply``: decisions, then a dry run (default) or a real, sequential run.
 
     A real run returns the next inventory version and appends the results to
-    the history table when a repository had at least one success.
+    the history table when a repository had at least one success; with a ``run`` id
+    only once, however often the run is tried.
     """
     spark = p.files.sparkSession
     disk = disk if disk is not None else p.raw
@@ -147,8 +148,7 @@ def apply(p: Proposals, decisions: DataFrame | None, disk: DataFrame | None = No
         return Applied(res, MV.execution_summary(res), None)
     res = _keep(MV.apply_moves(approved, disk))
     if history_path:
-        hist = INV.read_history(spark, history_path)
-        INV.append_history(HI.apply_history_records(res, hist), history_path)
+        INV.append_history(lambda heads: HI.apply_history_records(res, heads), history_path, run, spark)
     return Applied(res, MV.execution_summary(res), MV.new_inventory(disk, res))
 
 
@@ -160,19 +160,20 @@ class RolledBack:
 
 
 def rollback(spark: SparkSession, history_path: str, disk: DataFrame, n: int,
-             execute: bool = False) -> RolledBack:
+             execute: bool = False, run: str | None = None) -> RolledBack:
     """``rollback --undo-last n``: newest undoable moves first, stop at the first failure.
 
-    A real run returns the next inventory version, as ``apply`` does.
+    A real run returns the next inventory version, as ``apply`` does. A ``run`` that is tried
+    again sees the history as it was before its first try, and is recorded once.
     """
     if n <= 0:
         raise ValueError("--undo-last must be a positive number")
-    hist = INV.read_history(spark, history_path)
+    hist = INV.read_history(spark, history_path, before_run=run)
     if not execute:
         res = HI.rollback_dry_run(hist, disk, n)
         return RolledBack(res, HI.rollback_summary(res))
     res = _keep(HI.rollback(hist, disk, n))
-    INV.append_history(HI.rollback_history_records(res, hist), history_path)
+    INV.append_history(lambda heads: HI.rollback_history_records(res, heads), history_path, run, spark)
     return RolledBack(res, HI.rollback_summary(res), HI.rolled_back_inventory(disk, res))
 
 

@@ -53,6 +53,7 @@ def run(spark: SparkSession, argv: list[str]) -> None:
     ap.add_argument("--decisions")
     ap.add_argument("--history")
     ap.add_argument("--disk")
+    ap.add_argument("--run", help="id of this run: the history records it once, however often it is tried")
     ap.add_argument("--undo-last", type=int)
     ap.add_argument("--execute", action="store_true")
     ap.add_argument("--yes", action="store_true")
@@ -66,7 +67,8 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         if args.undo_last is None:
             _write(EP.history_view(spark, args.history), args.out, "history_view")
             return
-        r = EP.rollback(spark, args.history, read(args.disk), args.undo_last, execute=args.execute)
+        r = EP.rollback(spark, args.history, read(args.disk), args.undo_last, execute=args.execute,
+                        run=args.run)
         _write(r.results, args.out, "rollback_results")
         _write(r.summary, args.out, "rollback_summary")
         if r.new_inventory is not None:
@@ -98,7 +100,7 @@ def run(spark: SparkSession, argv: list[str]) -> None:
     if args.command == "apply":
         decisions = read(args.decisions) if args.decisions else None
         a = EP.apply(p, decisions, history_path=args.history, execute=args.execute,
-                     approve_all=args.yes)
+                     approve_all=args.yes, run=args.run)
         _write(a.results, args.out, "apply_results")
         _write(a.summary, args.out, "apply_summary")
         if a.new_inventory is not None:

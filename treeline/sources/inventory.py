@@ -1,15 +1,20 @@
 """Inventory and history sources and sinks.
 
 The reference keeps one JSON history file per tree and rewrites it on every
-run; here the history is an append-only table (one new set of files per run).
+run; here the history is an append-only table of committed runs (``commits``).
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from treeline.sources.commits import CommittedTable
+
 RAW_FILES_COLUMNS = {
     "repo_id": T.StringType(),
     "file_seq": T.LongType(),
@@ -102,20 +107,31 @@ def write_proposals(proposals: DataFrame, path: str, fmt: str = "json",
         raise ValueError(f"unknown format {fmt!r}")
 
 
-def append_history(records: DataFrame, path: str) -> None:
-    """Append the run's records; earlier entries are never rewritten."""
-    cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in HISTORY_SCHEMA.fields]
-    records.select(*cols).write.mode("append").parquet(path)
+def history_table(spark: SparkSession, path: str) -> CommittedTable:
+    """The history: runs that append to one table, each exactly once."""
+    return CommittedTable(spark, path, HISTORY_SCHEMA, key="repo_id", number="seq")
+
+
+def append_history(records: DataFrame | Callable[[DataFrame], DataFrame], path: str,
+                   run: str | None = None, spark: SparkSession | None = None) -> bool:
+    """Append a run's records; earlier entries are never rewritten.
+
+    ``records`` may be a function of the table's heads (repo_id, last seq), which numbers the
+    records after what is committed. A run id that is already committed changes nothing and
+    returns False, so a job that is tried again doubles no rows.
+    """
+    make = records if callable(records) else lambda heads: records
+    spark = spark or records.sparkSession
+    return history_table(spark, path).commit(run or uuid.uuid4().hex, make)
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """The history table; an absent table reads as empty."""
-    try:
-        return spark.read.schema(HISTORY_SCHEMA).parquet(path)
-    except Exception as e:  # noqa: BLE001 - absent path
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
-            return spark.createDataFrame([], HISTORY_SCHEMA)
-        raise
+def read_history(spark: SparkSession, path: str, before_run: str | None = None) -> DataFrame:
+    """The committed history; an absent table reads as empty.
+
+    ``before_run``: as that run found it, so that a run tried again decides as it did before.
+    """
+    table = history_table(spark, path)
+    return table.read(table.snapshot(before_run))
 
 
 REFERENCE_ENTRY = ("array<struct<timestamp:string, action:string, source:string, target:string, "

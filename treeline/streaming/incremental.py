@@ -4,16 +4,15 @@ The original tool is batch-only; this is the same E1 plan run per micro-batch
 with Structured Streaming. Each arriving Parquet file holds whole repositories
 (every file of a repository in one snapshot), so a micro-batch is a complete
 inventory for the repositories it contains. ``foreachBatch`` runs ``propose``
-on it and appends the proposals (and the repository types) to tables keyed by
+on it and writes the proposals (and the repository types) to tables keyed by
 ``repo_id`` and ``snapshot`` (the batch id). The stream's progress lives in
 ``checkpoint_location``, so a restarted or failed query resumes where it
-stopped; the batch id makes the appends idempotent per batch.
+stopped; a batch that is run again overwrites its own snapshot's folder.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from treeline.plans import entrypoints as EP
 from treeline.sources.inventory import RAW_FILES_COLUMNS
@@ -35,11 +34,8 @@ def propose_stream(spark: SparkSession, inventory_dir: str, output_dir: str,
         if batch.isEmpty():
             return
         p = EP.propose(batch, file_backed=True)
-        stamp = F.lit(batch_id).cast("bigint").alias("snapshot")
-        p.proposals.select(stamp, "*").write.mode("append").partitionBy("snapshot") \
-            .parquet(f"{output_dir}/proposals")
-        p.types.select(stamp, "*").write.mode("append").partitionBy("snapshot") \
-            .parquet(f"{output_dir}/repo_types")
+        for name, table in (("proposals", p.proposals), ("repo_types", p.types)):
+            table.write.mode("overwrite").parquet(f"{output_dir}/{name}/snapshot={batch_id}")
 
     writer = snapshots.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
