@@ -62,6 +62,7 @@ def main() -> None:
     stage("fixture_inventory", lambda: t.raw)
     stage("scan_describe", lambda: t.files)
     stage("propose", lambda: t.proposals)
+    stage("path_index", lambda: t.paths)
     stage("reports", lambda: RE.proposal_rollup(t.proposals).unionByName(
         RE.proposals_document(t.proposals).selectExpr("repo_id", "'doc' AS dimension",
                                                       "document AS value", "total_proposals AS n")))
@@ -69,7 +70,7 @@ def main() -> None:
     warnings = {}
 
     def _warn():
-        warnings["w"] = IM.import_warnings(t.moves, t.files, t.raw).checkpoint(eager=True)
+        warnings["w"] = IM.import_warnings(t.moves, t.files, t.paths).checkpoint(eager=True)
         return warnings["w"]
     stage("import_warnings", _warn)
     stage("git_warnings", lambda: GI.git_warnings(t.moves, t.git_status, t.git_tracked, t.repos))
@@ -79,7 +80,7 @@ def main() -> None:
     stage("tree_preview", lambda: PV.tree_diff(t.proposals))
     stage("impact_summary", lambda: PV.impact_summary(t.proposals, RP.repo_ids(t.raw)))
     approved = MV.with_decisions(t.moves, t.decisions)
-    stage("apply_dry_run", lambda: MV.validate_moves(approved, t.raw))
+    stage("apply_dry_run", lambda: MV.validate_moves(approved, t.paths))
     stage("apply_real", lambda: MV.apply_moves(approved, t.raw))
     stage("rollback_dry_run", lambda: HI.rollback_dry_run(t.history, t.history_files, 10))
     stage("rollback_real", lambda: HI.rollback(t.history, t.history_files, 10))

@@ -68,3 +68,62 @@ def test_first_k_beyond_the_partial_limit(spark):
     plan = first_k(df, ["g"], ["id"], 1500)._jdf.queryExecution().optimizedPlan().toString()
     numbered = [x for x in plan.splitlines() if "row_number()" in x and "windowspecdefinition(" in x]
     assert numbered and all("windowspecdefinition(_slice#" in x for x in numbered)
+
+
+def _shuffled_scans(df, table: str) -> list[bool]:
+    """For every scan of ``table`` in the plan: whether it is shuffled before it is joined."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [next((i for i, c in enumerate(x) if c.isalpha() or c == "*"), 0) for x in lines]
+    out = []
+    for k, line in enumerate(lines):
+        if table in line and "FileScan" in line:
+            assert "Bucketed: true" in line
+            at, shuffled = depth[k], False
+            for up in range(k - 1, -1, -1):
+                if depth[up] < at:
+                    at = depth[up]
+                    if "Join" in lines[up]:
+                        break
+                    shuffled |= "Exchange" in lines[up]
+            out.append(shuffled)
+    return out
+
+
+def test_existence_lookups_leave_the_inventory_in_place(spark):
+    from treeline.operators import imports as IM
+    from treeline.operators import moves as MV
+    t = Tables(spark, SF_SMALL)
+    name = t.paths._jdf.queryExecution().analyzed().toString().split("treeline_paths_")[1][:32]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        warnings = IM.import_warnings(t.moves, t.files, t.paths)
+        checked = MV.validate_moves(MV.with_decisions(t.moves, t.decisions), t.paths)
+        for df in (warnings, checked):
+            scans = _shuffled_scans(df, name)
+            assert scans == [False], scans       # one lookup, no exchange below its join
+        # the statements were exploded once, into a table; the parsed files are not read again
+        text = warnings._jdf.queryExecution().executedPlan().toString()
+        assert "Generate posexplode" not in text and "moved-statements" in text
+        on_raw = IM.import_warnings(t.moves, t.files, t.raw)
+        for a, b in ((warnings, on_raw), (checked, MV.validate_moves(
+                MV.with_decisions(t.moves, t.decisions), t.raw))):
+            assert a.count() == b.count() > 0
+            assert a.exceptAll(b.select(*a.columns)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_path_index_spreads_a_large_repository(spark):
+    """A repository with a third of all rows fills every bucket alike; directories stand once."""
+    from treeline.sources.inventory import path_index
+    raw = spark.range(6000).selectExpr(
+        "IF(id % 3 = 0, 'big', concat('r', id)) AS repo_id", "id AS file_seq",
+        "concat('src/d', id % 7, '/f', id, '.py') AS relative_path", "id AS size")
+    index = path_index(raw)
+    per = {r.b: r["count"] for r in index.filter("repo_id = 'big'").groupBy(
+        F.input_file_name().alias("b")).count().collect()}
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(per) == n and max(per.values()) < 2 * 2008 / n
+    big = index.filter("repo_id = 'big'")
+    assert big.count() == 2000 + 7 + 1 and big.filter("is_dir").count() == 8
+    assert big.filter("is_dir AND is_file").count() == 0

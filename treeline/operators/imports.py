@@ -1,8 +1,8 @@
 """E2 import warnings: which imports a set of moves may break.
 
 Only the statements of moved files are exploded (moves are joined to the
-parsed files first), and existence is looked up in the tree on disk
-(``raw_files``), restricted to ``.py`` paths since every candidate ends so.
+parsed files first), and existence is looked up in the tree on disk: a path index
+(``sources.inventory.path_index``), which needs no shuffle, or a plain inventory.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from treeline.functions import constants as K
 from treeline.functions import rules as R
 from treeline.functions.text import fmt
+from treeline.operators.moves import path_state
+from treeline.session import write_table
 
 
 def _parent(path: F.Column) -> F.Column:
@@ -41,59 +43,65 @@ def moved_statements(moves: DataFrame, files: DataFrame) -> DataFrame:
         _parent(F.col("source")).alias("source_dir"), _parent(F.col("target")).alias("target_dir"))
 
 
-def _disk_py(raw: DataFrame) -> DataFrame:
-    return raw.filter(F.col("relative_path").endswith(".py")).select(
-        "repo_id", F.col("relative_path").alias("candidate"), F.lit(True).alias("on_disk"))
+_RISK_COLUMNS = ["repo_id", "move_ord", "source", "stmt_no", "module", "is_relative", "level",
+                 "line_number", "names", "kind", "reason", "affected"]
 
 
-def relative_import_risk(st: DataFrame, moves: DataFrame, raw: DataFrame) -> DataFrame:
-    """J5 + J12: relative statement of a file that changes directory."""
-    r = st.filter(F.col("is_relative") & (F.col("source_dir") != F.col("target_dir")))
+def _risks(st: DataFrame, moves: DataFrame, disk: DataFrame) -> DataFrame:
+    """J5, J6 and J12 in one pass over statements of files that change directory.
+
+    Both ask for the same file, the first part of the module next to the moved file: each
+    distinct one is looked up once in ``disk`` (a path index or an inventory), and once among the moves.
+    """
     first = F.split(F.col("module"), r"\.")[0]
-    r = r.withColumn("first_file", F.when(F.col("module") != "", F.concat(first, F.lit(".py")))) \
-         .withColumn("candidate", _join_dir(F.col("source_dir"), F.col("first_file")))
-    src = moves.select("repo_id", F.col("source").alias("candidate"),
-                       F.lit(True).alias("is_moving")).distinct()
-    r = (r.join(_disk_py(raw), ["repo_id", "candidate"], "left")
-          .join(src, ["repo_id", "candidate"], "left"))
-    hit = F.coalesce(F.col("on_disk"), F.lit(False)) | F.coalesce(F.col("is_moving"), F.lit(False))
-    affected = F.when(F.col("first_file").isNotNull() & hit, F.array(F.col("first_file"))) \
-                .otherwise(F.array().cast("array<string>"))
-    reason = fmt(K.IMPORT_RELATIVE, source_dir=F.col("source_dir"), target_dir=F.col("target_dir"))
-    return r.select("repo_id", "move_ord", "source", "stmt_no", "module", "is_relative", "level",
-                    "line_number", "names", F.lit("relative").alias("kind"),
-                    reason.alias("reason"), affected.alias("affected"))
-
-
-def sibling_import_risk(st: DataFrame, moves: DataFrame, raw: DataFrame) -> DataFrame:
-    """Absolute import of a ``.py`` that sits next to the moved file."""
-    a = st.filter(~F.col("is_relative") & (F.col("source_dir") != F.col("target_dir")))
-    mod = F.split(F.col("module"), r"\.")[0]
-    a = a.withColumn("mod", mod) \
-         .withColumn("candidate", _join_dir(F.col("source_dir"), F.concat(mod, F.lit(".py"))))
-    other = moves.select("repo_id", F.col("source").alias("candidate"),
-                         F.col("target").alias("other_target"))
-    a = (a.join(_disk_py(raw), ["repo_id", "candidate"], "inner")
-          .join(other, ["repo_id", "candidate"], "left")
-          .withColumn("other_dir", _parent(F.col("other_target"))))
-    moving_elsewhere = F.col("other_target").isNotNull() & (F.col("other_dir") != F.col("target_dir"))
+    st = (st.filter(F.col("source_dir") != F.col("target_dir"))
+          .withColumn("mod", F.when(~F.col("is_relative") | (F.col("module") != ""), first))
+          .withColumn("candidate", _join_dir(F.col("source_dir"), F.concat("mod", F.lit(".py")))))
+    found = path_state(st.select("repo_id", F.col("candidate").alias("path")), disk) \
+        .filter("is_file").select("repo_id", F.col("path").alias("candidate"), F.lit(True).alias("on_disk"))
+    # a file has one MOVE at most, so the list of its targets is short
+    moving = moves.groupBy("repo_id", F.col("source").alias("candidate")).agg(
+        F.collect_list(F.coalesce("target", F.lit(""))).alias("targets"))
+    j = (st.join(found, ["repo_id", "candidate"], "left")
+         .join(moving, ["repo_id", "candidate"], "left")
+         .withColumn("on_disk", F.coalesce("on_disk", F.lit(False))))
+    none = F.array(F.lit(None).cast("string"))
+    j = j.filter(F.col("is_relative") | F.col("on_disk")).withColumn(
+        "other_target", F.explode(F.when(F.col("is_relative"), none).otherwise(F.coalesce("targets", none))))
+    other_dir = _parent(F.col("other_target"))
     stays = F.col("other_target").isNull()
-    a = a.filter(stays | moving_elsewhere)
-    reason = F.when(stays, fmt(K.IMPORT_SIBLING_STAYS, module=F.col("mod"),
-                               source_dir=F.col("source_dir"))) \
-              .otherwise(fmt(K.IMPORT_SIBLING_MOVES, module=F.col("mod"),
-                             file=F.concat(F.col("mod"), F.lit(".py")), other_dir=F.col("other_dir")))
-    return a.select("repo_id", "move_ord", "source", "stmt_no", "module", "is_relative", "level",
-                    "line_number", "names", F.lit("sibling").alias("kind"), reason.alias("reason"),
-                    F.array(F.col("candidate")).alias("affected"))
-
-
-def import_warnings(moves: DataFrame, files: DataFrame, raw: DataFrame) -> DataFrame:
-    """J5 union J6 over the MOVE proposals, in move then statement order."""
+    j = j.filter(F.col("is_relative") | stays | (other_dir != F.col("target_dir")))
+    file = F.concat(F.col("mod"), F.lit(".py"))
+    reason = (F.when(F.col("is_relative"), fmt(K.IMPORT_RELATIVE, source_dir=F.col("source_dir"),
+                                               target_dir=F.col("target_dir")))
+              .when(stays, fmt(K.IMPORT_SIBLING_STAYS, module=F.col("mod"), source_dir=F.col("source_dir")))
+              .otherwise(fmt(K.IMPORT_SIBLING_MOVES, module=F.col("mod"), file=file, other_dir=other_dir)))
+    hit = F.col("mod").isNotNull() & (F.col("on_disk") | F.col("targets").isNotNull())
+    affected = (F.when(~F.col("is_relative"), F.array("candidate")).when(hit, F.array(file))
+                .otherwise(F.array().cast("array<string>")))
+    kind = F.when(F.col("is_relative"), F.lit("relative")).otherwise(F.lit("sibling"))
+    return j.withColumns({"kind": kind, "reason": reason, "affected": affected}).select(*_RISK_COLUMNS)
+
+
+def relative_import_risk(st: DataFrame, moves: DataFrame, disk: DataFrame) -> DataFrame:
+    """J5 + J12: relative statement of a file that changes directory."""
+    return _risks(st.filter("is_relative"), moves, disk)
+
+
+def sibling_import_risk(st: DataFrame, moves: DataFrame, disk: DataFrame) -> DataFrame:
+    """Absolute import of a ``.py`` that sits next to the moved file."""
+    return _risks(st.filter("NOT is_relative"), moves, disk)
+
+
+def import_warnings(moves: DataFrame, files: DataFrame, disk: DataFrame) -> DataFrame:
+    """J5 and J6 over the MOVE proposals, in move then statement order.
+
+    The files are read and their statements exploded once: the statements at risk are written,
+    as they are read for the distinct files they ask about and again for the answers.
+    """
     mv = moves.filter(F.col("action") == "move") if "action" in moves.columns else moves
-    st = moved_statements(mv, files)
-    w = relative_import_risk(st, mv, raw).unionByName(sibling_import_risk(st, mv, raw))
-    return w.withColumn("import_text", R.import_text(
+    st = moved_statements(mv, files).filter(F.col("source_dir") != F.col("target_dir"))
+    return _risks(write_table(st, "moved-statements"), mv, disk).withColumn("import_text", R.import_text(
         F.col("module"), F.col("is_relative"), F.col("level"), F.col("names")))
 
 

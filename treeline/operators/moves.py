@@ -63,12 +63,18 @@ def with_decisions(moves: DataFrame, decisions: DataFrame, approve_all: bool = F
 # --------------------------------------------------------------------------
 
 def path_state(paths: DataFrame, disk: DataFrame) -> DataFrame:
-    """(repo_id, path) -> is_file, is_dir on the tree ``disk`` (repo_id, relative_path).
+    """(repo_id, path) -> is_file, is_dir on the tree ``disk``.
 
-    A directory exists when some file lies below it. Only the ancestors that
-    are asked about are kept (semi join before the distinct).
+    ``disk`` is a path index (``sources.inventory.path_index``), which is read where it
+    lies, or an inventory (repo_id, relative_path). A directory exists when some file lies
+    below it. Of an inventory only the ancestors that are asked about are kept (semi join
+    before the distinct).
     """
     asked = paths.select("repo_id", "path").filter(F.col("path").isNotNull()).distinct()
+    if "is_dir" in disk.columns:
+        return asked.join(disk, ["repo_id", "path"], "left").select(
+            "repo_id", "path", F.coalesce("is_file", F.lit(False)).alias("is_file"),
+            F.coalesce("is_dir", F.lit(False)).alias("is_dir"))
     # (repo_id, relative_path) is unique in an inventory: a semi join, no distinct
     files = (disk.select("repo_id", F.col("relative_path").alias("path"))
              .join(asked, ["repo_id", "path"], "left_semi")

@@ -404,17 +404,17 @@ def _moved_st(t: Tables) -> DataFrame:
 
 @query("J5_relative_import_risk")
 def j5(t: Tables) -> DataFrame:
-    return _warn_cols(IM.relative_import_risk(_moved_st(t), t.moves, t.raw))
+    return _warn_cols(IM.relative_import_risk(_moved_st(t), t.moves, t.paths))
 
 
 @query("J6_sibling_import_risk")
 def j6(t: Tables) -> DataFrame:
-    return _warn_cols(IM.sibling_import_risk(_moved_st(t), t.moves, t.raw))
+    return _warn_cols(IM.sibling_import_risk(_moved_st(t), t.moves, t.paths))
 
 
 @query("J7_import_warnings")
 def j7(t: Tables) -> DataFrame:
-    return _warn_cols(IM.import_warnings(t.moves, t.files, t.raw))
+    return _warn_cols(IM.import_warnings(t.moves, t.files, t.paths))
 
 
 @query("J12_affected_existing")
@@ -425,8 +425,8 @@ def j12(t: Tables) -> DataFrame:
     cand = IM._join_dir(F.col("source_dir"),
                         F.concat(F.split(F.col("module"), r"\.")[0], F.lit(".py")))
     st = st.withColumn("candidate", cand)
-    disk = t.raw.select("repo_id", F.col("relative_path").alias("candidate"),
-                        F.lit(True).alias("on_disk"))
+    disk = MV.path_state(st.select("repo_id", F.col("candidate").alias("path")), t.paths).select(
+        "repo_id", F.col("path").alias("candidate"), F.col("is_file").alias("on_disk"))
     mv = t.moves.select("repo_id", F.col("source").alias("candidate"), F.lit(True).alias("is_moving"))
     j = st.join(disk, ["repo_id", "candidate"], "left").join(mv, ["repo_id", "candidate"], "left")
     return j.select("repo_id", F.col("move_ord").cast("bigint").alias("move_ord"),
@@ -445,14 +445,14 @@ def p17(t: Tables) -> DataFrame:
 
 @query("P18_import_warning_text")
 def p18(t: Tables) -> DataFrame:
-    w = IM.warning_text(IM.import_warnings(t.moves, t.files, t.raw))
+    w = IM.warning_text(IM.import_warnings(t.moves, t.files, t.paths))
     return w.select("repo_id", F.col("move_ord").cast("bigint").alias("move_ord"),
                     F.col("stmt_no").cast("bigint").alias("stmt_no"), "source", "text")
 
 
 @query("A18_warning_counts")
 def a18(t: Tables) -> DataFrame:
-    return IM.warning_counts(IM.import_warnings(t.moves, t.files, t.raw), RP.repo_ids(t.raw))
+    return IM.warning_counts(IM.import_warnings(t.moves, t.files, t.paths), RP.repo_ids(t.raw))
 
 
 # ------------------------------------------------------------ git, confidence
@@ -478,7 +478,7 @@ def a15(t: Tables) -> DataFrame:
 
 
 def _confidence(t: Tables) -> DataFrame:
-    warn = IM.warning_counts(IM.import_warnings(t.moves, t.files, t.raw), RP.repo_ids(t.raw))
+    warn = IM.warning_counts(IM.import_warnings(t.moves, t.files, t.paths), RP.repo_ids(t.raw))
     return CF.confidence(t.types, RP.repo_summary(t.files), t.proposals, warn, is_dry_run=True)
 
 
@@ -586,18 +586,18 @@ def j11(t: Tables) -> DataFrame:
 
 @query("J10_validate_moves")
 def j10(t: Tables) -> DataFrame:
-    return _result_cols(MV.validate_moves(_approved(t), t.raw))
+    return _result_cols(MV.validate_moves(_approved(t), t.paths))
 
 
 @query("P22_result_message")
 def p22(t: Tables) -> DataFrame:
-    dry = MV.validate_moves(_approved(t), t.raw)
+    dry = MV.validate_moves(_approved(t), t.paths)
     return _result_cols(dry.unionByName(MV.unsupported_results(t.proposals)))
 
 
 @query("A16_execution_summary")
 def a16(t: Tables) -> DataFrame:
-    return MV.execution_summary(MV.validate_moves(_approved(t), t.raw))
+    return MV.execution_summary(MV.validate_moves(_approved(t), t.paths))
 
 
 @query("G1_apply_moves")

@@ -20,6 +20,7 @@ from treeline.operators import proposals as PR
 from treeline.operators import repo as RP
 from treeline.session import ship_package, write_table
 from treeline.sources import fixtures as fx
+from treeline.sources.inventory import path_index
 
 
 class Tables:
@@ -39,6 +40,11 @@ class Tables:
         # derived from orders by a grouped query: written once, read by many
         return self._keep(fx.raw_files(self.spark, self.sf_dir), "raw_files")
 
+    @cached_property
+    def paths(self) -> DataFrame:
+        """Path index of the inventory, bucketed by (repo_id, path)."""
+        return path_index(self.raw)
+
     @cached_property
     def files(self) -> DataFrame:
         return self._keep(FL.build_files(self.raw), "files")

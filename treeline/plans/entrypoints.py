@@ -18,6 +18,7 @@ Typical use::
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,11 @@ class Proposals(Analysis):
     def moves(self) -> DataFrame:
         return self.proposals.filter(F.col("action") == "move")
 
+    @cached_property
+    def paths(self) -> DataFrame:
+        """Path index of the inventory, written when it is first asked for."""
+        return INV.path_index(self.raw)
+
     def rollup(self) -> DataFrame:
         return RE.proposal_rollup(self.proposals)
 
@@ -110,7 +116,7 @@ def preview(p: Proposals, git_status: DataFrame | None = None, git_tracked: Data
     """``preview``: impact, tree before / after, import and git warnings, confidence."""
     spark = p.files.sparkSession
     repo_list = RP.repo_ids(p.raw)
-    warnings = _keep(IM.import_warnings(p.moves, p.files, p.raw))
+    warnings = _keep(IM.import_warnings(p.moves, p.files, p.paths))
     if git_status is None or git_tracked is None or repos is None:
         git = spark.createDataFrame([], "repo_id string, warning_type string, message string, "
                                         "details array<string>, total bigint")
@@ -139,12 +145,13 @@ def apply(p: Proposals, decisions: DataFrame | None, disk: DataFrame | None = No
     only once, however often the run is tried.
     """
     spark = p.files.sparkSession
-    disk = disk if disk is not None else p.raw
+    on_raw = disk is None
+    disk = p.raw if on_raw else disk
     if decisions is None:
         decisions = spark.createDataFrame([], "repo_id string, source string, decision string")
     approved = MV.with_decisions(p.moves, decisions, approve_all=approve_all)
     if not execute:
-        res = MV.validate_moves(approved, disk)
+        res = MV.validate_moves(approved, p.paths if on_raw else disk)
         return Applied(res, MV.execution_summary(res), None)
     res = _keep(MV.apply_moves(approved, disk))
     if history_path:

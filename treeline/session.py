@@ -75,6 +75,26 @@ def write_table(df, name: str = "table"):
     return spark.read.parquet(path)
 
 
+def write_bucketed(df, keys: list[str], name: str, buckets: int | None = None):
+    """Write ``df`` once as a table bucketed by ``keys`` in the shared checkpoint folder.
+
+    A join on ``keys`` then reads the table where it lies: only the other side is shuffled, into
+    as many partitions as there are buckets (at least ``spark.sql.shuffle.partitions``, so
+    that Spark keeps them). ``df`` should come from an aggregation by ``keys``: its partitions
+    are the buckets, one file each.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    n = max(buckets or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table = f"treeline_{name}_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{table}"
+    if n != int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.repartition(n, *keys)
+    df.write.format("parquet").bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 _SHIPPED: set[str] = set()
 
 

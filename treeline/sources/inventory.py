@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from treeline.session import write_bucketed
 from treeline.sources.commits import CommittedTable
 
 RAW_FILES_COLUMNS = {
@@ -72,6 +73,25 @@ def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     return validate_inventory(spark.read.parquet(path))
 
 
+def path_index(raw: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Every path of an inventory, its directories included, once: (repo_id, path, is_file, is_dir).
+
+    Written as a table bucketed by (repo_id, path), so that the existence lookups of imports
+    and moves shuffle only what they ask about. The key holds the path, so a repository
+    with most of the files spreads over all buckets; directories are summed up before
+    the shuffle.
+    """
+    parts = F.split(F.col("relative_path"), "/")
+    files = raw.select("repo_id", F.col("relative_path").alias("path"), F.lit(True).alias("is_file"))
+    dirs = (raw.select("repo_id", parts.alias("p")).filter(F.size("p") > 1)
+            .select("repo_id", "p", F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("k"))
+            .select("repo_id", F.array_join(F.slice("p", 1, F.col("k")), "/").alias("path"),
+                    F.lit(False).alias("is_file")))
+    paths = files.unionByName(dirs).groupBy("repo_id", "path").agg(
+        F.bool_or("is_file").alias("is_file"), F.bool_or(~F.col("is_file")).alias("is_dir"))
+    return write_bucketed(paths, ["repo_id", "path"], "paths", buckets)
+
+
 def write_proposals(proposals: DataFrame, path: str, fmt: str = "json",
                     mode: str = "overwrite") -> None:
     """S3: one record per proposal.
