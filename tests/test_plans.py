@@ -127,3 +127,19 @@ def test_path_index_spreads_a_large_repository(spark):
     big = index.filter("repo_id = 'big'")
     assert big.count() == 2000 + 7 + 1 and big.filter("is_dir").count() == 8
     assert big.filter("is_dir AND is_file").count() == 0
+
+
+def test_proposals_read_the_files_once_for_rows(spark):
+    """One scan emits moves, trash and root flags; the duplicate groups read names and paths only."""
+    t = Tables(spark, SF_SMALL)
+    wide = [x for x in plan(PR.all_proposals(t.files, t.types)).splitlines() if x.startswith("ReadSchema")]
+    on_files = [x for x in wide if "file_seq" in x or "name:string" in x]
+    assert len([x for x in on_files if "category" in x]) == 1
+    assert len(on_files) == 3
+    # the rules one by one give the same rows
+    typed = PR.with_repo_type(t.files, t.types)
+    moves = PR.per_file_proposals(typed).drop("_keep_move")
+    whole = moves.unionByName(PR.root_python_flags(typed)).unionByName(PR.duplicate_groups(t.files, t.types))
+    whole = PR.suppress_redundant_flags(PR.gate_moves(whole, t.types)).select(*PR.PROPOSAL_COLUMNS)
+    got = PR.all_proposals(t.files, t.types)
+    assert got.count() == whole.count() > 0 and got.exceptAll(whole).count() == 0

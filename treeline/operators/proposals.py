@@ -186,20 +186,48 @@ def moves_here(typed: DataFrame) -> Column:
             & (tgt != F.col("relative_path")))
 
 
+def row_proposals(typed: DataFrame) -> DataFrame:
+    """Phases 1 and 3 in one pass: every file emits the proposals it causes.
+
+    A MOVE, a trash flag and a root flag come from one row of ``files``, so the F7 gate and
+    the J4 suppression are conditions on that row: a list of up to three proposals, exploded once.
+    """
+    python = F.col("repo_type") == "python_dominant"
+    rows = typed.filter(python | (F.col("category") == "trash")).withColumns(
+        {"target": R.target_path(), "_astray": ~R.correctly_placed()})
+    candidate = python | ((F.col("repo_type") == "mixed") & (F.col("extension") == ".py"))
+    moves = (python & F.col("_astray") & F.col("target").isNotNull()
+             & (F.col("target") != F.col("relative_path")))
+    trash = candidate & F.col("_astray") & (F.col("category") == "trash")
+    root = (python & (F.col("depth") == 1) & (F.col("extension") == ".py")
+            & ~F.col("name").isin(*K.ROOT_FLAG_EXEMPT) & ~moves)
+
+    def proposal(phase, action, target, reason, risk, details):
+        return F.struct(F.lit(phase).alias("phase"), F.lit(action).alias("action"), target.alias("target"),
+                        reason.alias("reason"), risk.alias("risk"), details.alias("details"))
+
+    none = F.lit(None).cast("string")
+    emitted = F.array_compact(F.array(
+        F.when(moves, proposal(1, "move", F.col("target"), R.move_reason(), R.move_risk(), _details(
+            category=F.col("category"), current_location=R.current_location(K.ROOT_DETAIL_LOCATION)))),
+        F.when(trash, proposal(1, "flag", none, F.lit(K.TRASH_REASON), F.lit("low"),
+                               _details(category="trash"))),
+        F.when(root, proposal(3, "flag", none, F.lit(K.ROOT_FLAG_REASON), F.lit("low"),
+                              _details(suggestion=K.ROOT_FLAG_SUGGESTION)))))
+    return rows.select("repo_id", F.col("file_seq").alias("ord"), F.col("relative_path").alias("source"),
+                       F.explode(emitted).alias("p")).select(
+        "repo_id", "p.phase", "ord", "p.action", "source", "p.target", "p.reason", "p.risk", "p.details")
+
+
 def all_proposals(files: DataFrame, types: DataFrame) -> DataFrame:
     """U1 of the three phases, with F7 and J4 applied.
 
-    A MOVE and a root flag always come from the same ``files`` row, so the F7
-    gate and the J4 suppression are evaluated on that row (no extra shuffle);
-    ``gate_moves`` / ``suppress_redundant_flags`` are the join forms of the
-    same rules for arbitrary proposal tables.
+    One scan of ``files`` emits phases 1 and 3 (``row_proposals``); the duplicate groups
+    read names and paths only, for their counts and for their first members.
+    ``per_file_proposals``, ``root_python_flags``, ``gate_moves`` and ``suppress_redundant_flags``
+    are the same rules one by one, for arbitrary proposal tables.
     """
-    typed = with_repo_type(files, types)
-    phase1 = per_file_proposals(typed.filter(
-        (F.col("repo_type") == "python_dominant") | (F.col("category") == "trash")))
-    phase1 = phase1.filter((F.col("action") != "move") | F.col("_keep_move")).drop("_keep_move")
-    roots = root_python_flags(typed.filter(~moves_here(typed)))
-    props = phase1.unionByName(duplicate_groups(files, types)).unionByName(roots)
+    props = row_proposals(with_repo_type(files, types)).unionByName(duplicate_groups(files, types))
     return props.select(*PROPOSAL_COLUMNS)
 
 
