@@ -279,16 +279,16 @@ _o("F2_glob_match", ["raw"], "\nUNION ALL\n".join(
 FROM (SELECT repo_id, relative_path, unnest(parts) AS seg FROM raw)
 WHERE {('seg = ' + _q(p)) if '*' not in p else 'regexp_matches(seg, ' + _q(_glob_re([p])) + ')'}"""
     for p in K.IGNORE_FILE_PATTERNS + K.IGNORE_DIR_GLOBS))
-_o("A1_repo_summary", ["classified"], """
-SELECT repo_id, count(*) AS total_files, count(*) FILTER (WHERE extension = '.py') AS python_files,
+_o("A1_repo_summary", ["classified", "repo_list"], """
+SELECT repo_id, count(relative_path) AS total_files, count(*) FILTER (WHERE extension = '.py') AS python_files,
        count(*) FILTER (WHERE is_executable) AS executables, count(*) FILTER (WHERE has_tests) AS test_files
-FROM classified GROUP BY repo_id""")
+FROM repo_list LEFT JOIN classified USING (repo_id) GROUP BY repo_id""")
 _o("A2_extension_histogram", ["classified"], """
 SELECT repo_id, CASE WHEN extension = '' THEN 'no_extension' ELSE extension END AS extension,
        count(*) AS file_count FROM classified GROUP BY ALL""")
-ORACLE["A3_category_counts"] = layers("classified") + "SELECT repo_id, " + ", ".join(
+ORACLE["A3_category_counts"] = layers("classified", "repo_list") + "SELECT repo_id, " + ", ".join(
     f"count(*) FILTER (WHERE category = {_q(c)}) AS {c}" for c in K.CATEGORIES) \
-    + " FROM classified GROUP BY repo_id"
+    + " FROM repo_list LEFT JOIN classified USING (repo_id) GROUP BY repo_id"
 _o("A4_python_score", ["repo_types"], "SELECT repo_id, py_files, python_score FROM repo_types")
 _o("A5_non_python_score", ["repo_types"], "SELECT repo_id, non_python_score FROM repo_types")
 _o("A6_repo_type", ["repo_types"], "SELECT * FROM repo_types")
@@ -461,6 +461,12 @@ _o("A8_duplicate_groups", ["phase2"], f"SELECT {_PCOLS} FROM phase2")
 _o("A8_duplicate_members", ["dup_all", "dup_members"], """
 SELECT m.repo_id, m.group_name, m.file_seq, m.relative_path FROM dup_members m
 WHERE EXISTS (SELECT 1 FROM dup_all g WHERE g.repo_id = m.repo_id AND g.group_name = m.group_name)""")
+L["all_dups"] = (["phase2", "dup_members"], """
+SELECT p.repo_id, p.ord, m.file_seq, m.relative_path,
+       row_number() OVER (PARTITION BY p.repo_id, p.ord ORDER BY m.file_seq) AS position
+FROM phase2 p JOIN dup_members f ON f.repo_id = p.repo_id AND f.file_seq = p.ord
+JOIN dup_members m ON m.repo_id = f.repo_id AND m.group_name = f.group_name""")
+_o("A8_all_duplicates", ["all_dups"], "SELECT * FROM all_dups")
 _o("P15_duplicate_risk", ["dup_all"], f"""
 SELECT repo_id, group_name, first_name,
        CASE WHEN lower(first_name) IN {_in(K.DUPLICATE_HIGH_RISK)} THEN 'high'
@@ -533,6 +539,42 @@ JOIN (SELECT repo_id, map_from_entries(list({'k': action, 'v': n} ORDER BY actio
       FROM (SELECT repo_id, action, count(*) AS n FROM props GROUP BY ALL) GROUP BY repo_id) a USING (repo_id)
 JOIN (SELECT repo_id, map_from_entries(list({'k': risk, 'v': n} ORDER BY risk)) AS m
       FROM (SELECT repo_id, risk, count(*) AS n FROM props GROUP BY ALL) GROUP BY repo_id) r USING (repo_id)""")
+_KEEP = "CASE WHEN {0} IS NOT NULL THEN '\"{0}\":' || to_json({0}) END"
+_o("A10_document_chunks", ["props", "all_dups", "repo_list"], f"""
+, counted AS (
+  SELECT r.repo_id, count(p.repo_id) AS total,
+         (SELECT coalesce(string_agg(to_json(action) || ':' || n, ',' ORDER BY action), '')
+          FROM (SELECT action, count(*) AS n FROM props x WHERE x.repo_id = r.repo_id GROUP BY action)) AS by_action,
+         (SELECT coalesce(string_agg(to_json(risk) || ':' || n, ',' ORDER BY risk), '')
+          FROM (SELECT risk, count(*) AS n FROM props x WHERE x.repo_id = r.repo_id GROUP BY risk)) AS by_risk
+  FROM repo_list r LEFT JOIN props p USING (repo_id) GROUP BY r.repo_id),
+pieces AS (
+  SELECT repo_id, 0 AS phase, 0 AS ord, 0 AS part, 0 AS position,
+         '{{"total_proposals":' || total || ',"proposals":[' AS piece FROM counted
+  UNION ALL
+  SELECT repo_id, phase, ord, 0, 0,
+         CASE WHEN row_number() OVER (PARTITION BY repo_id ORDER BY phase, ord) > 1 THEN ',' ELSE '' END
+         || '{{"action":' || to_json(action) || ',"source":' || to_json(source) || ',"target":'
+         || coalesce(to_json(target)::VARCHAR, 'null') || ',"reason":' || to_json(reason) || ',"risk":' || to_json(risk)
+         || ',"details":{{' || concat_ws(',', {", ".join(_KEEP.format(c) for c in (
+             "category", "current_location", "suggestion", "total_count"))},
+              CASE WHEN examples IS NOT NULL THEN '"examples":' || to_json(string_split(examples, '|')) END)
+         || CASE WHEN phase = 2 THEN ',"all_duplicates":[' ELSE '}}}}' END FROM props
+  UNION ALL
+  SELECT repo_id, 2, ord, 1, position, CASE WHEN position > 1 THEN ',' ELSE '' END || to_json(relative_path)
+  FROM all_dups
+  UNION ALL
+  SELECT repo_id, phase, ord, 2, 0, ']' || CASE WHEN remaining IS NOT NULL
+         THEN ',"remaining":' || to_json(remaining) ELSE '' END || '}}}}' FROM props WHERE phase = 2
+  UNION ALL
+  SELECT repo_id, 9, 0, 0, 0, '],"summary":{{"by_action":{{' || by_action || '}},"by_risk":{{' || by_risk || '}}}}}}'
+  FROM counted),
+placed AS (
+  SELECT *, coalesce(sum(strlen(piece)) OVER (PARTITION BY repo_id ORDER BY phase, ord, part, position
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1048576 AS chunk_no FROM pieces)
+SELECT repo_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(sum(strlen(piece)) AS BIGINT) AS n_bytes,
+       string_agg(piece, '' ORDER BY phase, ord, part, position) AS text
+FROM placed GROUP BY ALL""")
 _o("S3_write_proposals", ["props"], """
 SELECT repo_id, phase, CAST(ord AS BIGINT) AS ord,
   CAST(to_json({'action': action, 'source': source, 'target': target, 'reason': reason, 'risk': risk,
@@ -801,10 +843,10 @@ _o("P22_result_message", ["dry", "props"], f"""
 SELECT {_RCOLS} FROM dry
 UNION ALL SELECT repo_id, CAST(ord AS BIGINT), action, source, target, false, true,
   {_t(K.MSG_UNSUPPORTED, action='action')} FROM props WHERE action <> 'move'""")
-_o("A16_execution_summary", ["dry"], """
-SELECT repo_id, count(*) AS total, count(*) FILTER (WHERE success) AS successful,
+_o("A16_execution_summary", ["dry", "repo_list"], """
+SELECT repo_id, count(action) AS total, count(*) FILTER (WHERE success) AS successful,
        count(*) FILTER (WHERE NOT success AND NOT skipped) AS failed, count(*) FILTER (WHERE skipped) AS skipped
-FROM dry GROUP BY repo_id""")
+FROM repo_list LEFT JOIN dry USING (repo_id) GROUP BY repo_id""")
 
 # ---------------------------------------------------------------- history
 L["undo"] = (["history"], """

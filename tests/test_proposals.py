@@ -103,3 +103,20 @@ def test_move_reason_texts(spark):
     assert p["a/b.yaml"]["reason"] == ("Configuration file: YAML configuration. "
                                        "Should be organized in configs/ directory.")
     assert p["a/b.yaml"]["risk"] == "medium"
+
+
+def test_repositories_without_files_or_results_count_zero(spark):
+    from treeline.operators import moves as MV
+    from treeline.operators import repo as RP
+    from treeline.plans import entrypoints as EP
+    raw = spark.createDataFrame(
+        [("a", 1, "src/x.py", 1, "import os"), ("empty", 1, "node_modules/y.js", 1, None)],
+        "repo_id string, file_seq long, relative_path string, size long, content string")
+    p = EP.propose(raw)
+    assert {tuple(r) for r in p.summary.collect()} == {("a", 1, 1, 0, 0), ("empty", 0, 0, 0, 0)}
+    counts = {r.repo_id: sum(list(r)[1:]) for r in RP.category_counts(p.files, RP.repo_ids(raw)).collect()}
+    assert counts == {"a": 1, "empty": 0}
+    done = EP.apply(p, None, approve_all=True)
+    assert {r.repo_id for r in done.summary.collect()} == {"a", "empty"}
+    assert [tuple(r)[1:] for r in done.summary.filter("repo_id = 'empty'").collect()] == [(0, 0, 0, 0)]
+    assert MV.execution_summary(done.results).filter("repo_id = 'empty'").count() == 0

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from treeline.functions import constants as K
 from treeline.functions.text import fmt, render
 from treeline.operators.components import ancestors, components, move_edges
+from treeline.operators.repo import with_all_repos
 from treeline.session import checkpoint_dir, ship_package, write_table
 
 
@@ -150,13 +151,14 @@ def unsupported_results(proposals: DataFrame) -> DataFrame:
         fmt(K.MSG_UNSUPPORTED, action=F.col("action")).alias("message"))
 
 
-def execution_summary(results: DataFrame) -> DataFrame:
-    """Total, successful, failed (neither success nor skipped), skipped."""
-    return results.groupBy("repo_id").agg(
+def execution_summary(results: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """Total, successful, failed (neither success nor skipped), skipped; with ``repos`` (repo_id)
+    zeros for repositories without a result."""
+    return with_all_repos(results.groupBy("repo_id").agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("success")).alias("successful"),
         F.count_if(~F.col("success") & ~F.col("skipped")).alias("failed"),
-        F.count_if(F.col("skipped")).alias("skipped"))
+        F.count_if(F.col("skipped")).alias("skipped")), repos)
 
 
 # --------------------------------------------------------------------------

@@ -48,6 +48,29 @@ def number_within(df: DataFrame, keys: list[str], order: list[Column | str],
             .drop("_slice", "_local", "_off"))
 
 
+def sum_before(df: DataFrame, keys: list[str], order: list[Column | str], value: str,
+               name: str) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over the rows before, in ``order`` within ``keys``.
+
+    Range slices as in ``number_within``, so that a large group spreads over tasks.
+    """
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    checkpoint_dir(df.sparkSession)
+    ranged = (df.repartitionByRange(slices, *[F.col(k) for k in keys], *order_cols)
+              .withColumn("_slice", F.spark_partition_id()).checkpoint(eager=True))
+    rows_before = (Window.partitionBy("_slice", *keys).orderBy(*order_cols)
+                   .rowsBetween(Window.unboundedPreceding, -1))
+    slices_before = (Window.partitionBy(*keys).orderBy("_slice")
+                     .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = (ranged.groupBy(*keys, "_slice").agg(F.sum(value).alias("_sum"))
+               .withColumn("_off", F.coalesce(F.sum("_sum").over(slices_before), F.lit(0))).drop("_sum"))
+    return (ranged.withColumn("_before", F.coalesce(F.sum(value).over(rows_before), F.lit(0)))
+            .join(offsets, [*keys, "_slice"])
+            .withColumn(name, (F.col("_off") + F.col("_before")).cast("bigint"))
+            .drop("_slice", "_before", "_off"))
+
+
 def first_k(df: DataFrame, keys: list[str], order: list[Column | str], k: int,
             name: str = "rn") -> DataFrame:
     """Rows 1..k per group in ``order`` (partial top-k before the shuffle).

@@ -6,8 +6,8 @@ duplicate groups by their first file, phase 3 = root-file flags.
 
 Table ``proposals``: repo_id, phase, ord, action, source, target, reason,
 risk, details struct<category, current_location, suggestion, total_count,
-examples array<string>, remaining>. The full member list of a duplicate group
-is the long table ``duplicate_members`` (never gathered into one row).
+examples array<string>, remaining>. The full member list of a duplicate flag
+is the long table ``all_duplicates`` (never gathered into one row).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from treeline.functions import constants as K
 from treeline.functions import rules as R
 from treeline.functions.text import fmt
-from treeline.operators.ordering import first_k
+from treeline.operators.ordering import first_k, number_within
 
 DETAILS_TYPE = T.StructType([
     T.StructField("category", T.StringType()),
@@ -146,6 +146,20 @@ def duplicate_groups(files: DataFrame, types: DataFrame) -> DataFrame:
     )
 
 
+def all_duplicates(files: DataFrame, proposals: DataFrame) -> DataFrame:
+    """Every member of every duplicate flag, in file order.
+
+    (repo_id, ord) is the key of the flag among the proposals of phase 2, ``position`` counts from
+    1. A long table, numbered over range slices: a group with most of a repository's files
+    is cut into many tasks and never gathered.
+    """
+    flags = proposals.filter(F.col("phase") == 2).select(
+        "repo_id", "ord", F.lower(F.element_at(F.split("source", "/"), -1)).alias("group_name"))
+    m = duplicate_members(files).join(flags, ["repo_id", "group_name"])
+    return number_within(m, ["repo_id", "ord"], ["file_seq"], "position").select(
+        "repo_id", "ord", "position", "file_seq", "relative_path")
+
+
 def root_python_flags(files_typed: DataFrame) -> DataFrame:
     """``.py`` at the root of python repos, except setup.py / manage.py."""
     return files_typed.filter(

@@ -21,14 +21,21 @@ def repo_ids(raw: DataFrame) -> DataFrame:
     return raw.select("repo_id").distinct()
 
 
-def repo_summary(files: DataFrame) -> DataFrame:
-    """A1."""
-    return files.groupBy("repo_id").agg(
+def with_all_repos(per_repo: DataFrame, repos: DataFrame | None) -> DataFrame:
+    """Counts per repository, with zeros for those of ``repos`` (repo_id) that have no row."""
+    if repos is None:
+        return per_repo
+    return repos.select("repo_id").join(per_repo, "repo_id", "left").na.fill(0)
+
+
+def repo_summary(files: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """A1; with ``repos`` also for repositories whose files are all ignored."""
+    return with_all_repos(files.groupBy("repo_id").agg(
         F.count(F.lit(1)).alias("total_files"),
         F.count_if(F.col("extension") == ".py").alias("python_files"),
         F.count_if(F.col("is_executable")).alias("executables"),
         F.count_if(F.col("has_tests")).alias("test_files"),
-    )
+    ), repos)
 
 
 def extension_histogram(files: DataFrame) -> DataFrame:
@@ -121,10 +128,10 @@ def detection_summary(files: DataFrame) -> DataFrame:
     return ext.unionByName(roots)
 
 
-def category_counts(files: DataFrame) -> DataFrame:
-    """A3: all ten categories per repository, zero included."""
-    return (files.groupBy("repo_id").pivot("category", K.CATEGORIES).count()
-            .na.fill(0, K.CATEGORIES))
+def category_counts(files: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """A3: all ten categories per repository, zero included; ``repos`` as in A1."""
+    return with_all_repos(files.groupBy("repo_id").pivot("category", K.CATEGORIES).count()
+                          .na.fill(0, K.CATEGORIES), repos)
 
 
 def root_indicators(files: DataFrame) -> DataFrame:

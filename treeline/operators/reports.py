@@ -1,9 +1,9 @@
 """E1 output: display groups, numbering, rollups, JSON documents, text.
 
 The reference renders one document per repository holding every proposal.
-Here a repository's document is a header record (counts by action and by
-risk, bounded maps) plus one JSON record per proposal, so no repository's
-proposals are ever gathered into a single row.
+Here that document comes in ordered chunks of bounded size (``document_chunks``), so no
+repository's proposals are ever gathered into a single row; the header alone
+(counts by action and by risk) and one JSON record per proposal are tables of their own.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from treeline.functions import constants as K
 from treeline.functions import rules as R
 from treeline.functions.text import fmt
-from treeline.operators.ordering import number_within
+from treeline.operators.ordering import number_within, sum_before
 
 
 def with_display_group(proposals: DataFrame) -> DataFrame:
@@ -70,6 +70,81 @@ def proposals_document(proposals: DataFrame) -> DataFrame:
     return doc.select("repo_id", "total_proposals", header.alias("document"))
 
 
+CHUNK_BYTES = 1 << 20
+
+
+def _json(value: F.Column) -> F.Column:
+    """A string as a JSON literal."""
+    text = F.to_json(F.array(value))
+    return F.substring(text, F.lit(2), F.length(text) - 2)
+
+
+def _open(json: F.Column) -> F.Column:
+    """A JSON object without its closing brace."""
+    return F.substring(json, F.lit(1), F.length(json) - 1)
+
+
+def document_pieces(proposals: DataFrame, members: DataFrame, repo_list: DataFrame) -> DataFrame:
+    """A10 cut into texts: (repo_id, phase, ord, part, position, piece), whose concatenation in
+    that order is the repository's document.
+
+    A header, one piece per proposal in proposal order, a footer with the summary. A
+    duplicate flag is a piece before its members, one for each member (``all_duplicates``)
+    and one after them.
+    """
+    first = proposals.groupBy("repo_id").agg(F.min(F.struct("phase", "ord")).alias("first"))
+    counts = proposals.groupBy("repo_id").agg(F.count(F.lit(1)).alias("total"))
+    for key in ("action", "risk"):
+        counts = counts.join(_count_map(proposals, key), "repo_id")
+    per_repo = repo_list.select("repo_id").join(counts, "repo_id", "left")
+    at = lambda phase, ord_, part, position: (
+        F.lit(phase).cast("int").alias("phase") if isinstance(phase, int) else phase.cast("int").alias("phase"),
+        ord_.cast("bigint").alias("ord"), F.lit(part).alias("part"), position.cast("bigint").alias("position"))
+    zero = F.lit(0)
+    header = per_repo.select("repo_id", *at(0, zero, 0, zero), F.concat(
+        F.lit('{"total_proposals":'), F.coalesce("total", F.lit(0)).cast("string"),
+        F.lit(',"proposals":[')).alias("piece"))
+    summary = [F.coalesce(F.to_json(f"by_{k}"), F.lit("{}")) for k in ("action", "risk")]
+    footer = per_repo.select("repo_id", *at(9, zero, 0, zero), F.concat(
+        F.lit('],"summary":{"by_action":'), summary[0], F.lit(',"by_risk":'), summary[1],
+        F.lit("}}")).alias("piece"))
+    d = F.col("details")
+    p = proposals.join(first, "repo_id").withColumn("_dup", F.col("phase") == 2)
+    comma = F.when(F.struct("phase", "ord") == F.col("first"), F.lit("")).otherwise(F.lit(","))
+    head = F.concat(comma, _open(F.to_json(F.struct("action", "source", "target", "reason", "risk"),
+                                           {"ignoreNullFields": "false"})), F.lit(',"details":'))
+    body = F.when(F.col("_dup"), F.concat(
+        _open(F.to_json(F.struct(d["total_count"].alias("total_count"), d["examples"].alias("examples")))),
+        F.lit(',"all_duplicates":['))).otherwise(F.concat(F.to_json(d), F.lit("}")))
+    starts = p.select("repo_id", *at(F.col("phase"), F.col("ord"), 0, zero), F.concat(head, body).alias("piece"))
+    listed = members.select("repo_id", *at(2, F.col("ord"), 1, F.col("position")), F.concat(
+        F.when(F.col("position") == 1, F.lit("")).otherwise(F.lit(",")),
+        _json(F.col("relative_path"))).alias("piece"))
+    rest = F.when(d["remaining"].isNotNull(), F.concat(F.lit(',"remaining":'), _json(d["remaining"])))
+    ends = p.filter("_dup").select("repo_id", *at(F.col("phase"), F.col("ord"), 2, zero), F.concat(
+        F.lit("]"), F.coalesce(rest, F.lit("")), F.lit("}}")).alias("piece"))
+    return header.unionByName(starts).unionByName(listed).unionByName(ends).unionByName(footer)
+
+
+def document_chunks(proposals: DataFrame, members: DataFrame, repo_list: DataFrame,
+                    chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """A10: every repository's document with its proposals, in chunks of about ``chunk_bytes``:
+    (repo_id, chunk_no, n_bytes, text). The texts in order of chunk_no are one JSON document.
+
+    A piece belongs to the chunk in which it begins, by its running byte offset over range
+    slices; only the pieces of one chunk are ever brought together. A number is left out
+    where no piece begins.
+    """
+    order = ["phase", "ord", "part", "position"]
+    pieces = document_pieces(proposals, members, repo_list).withColumn("_bytes", F.octet_length("piece"))
+    placed = sum_before(pieces, ["repo_id"], order, "_bytes", "_at").withColumn(
+        "chunk_no", F.floor(F.col("_at") / chunk_bytes).cast("bigint"))
+    texts = F.array_sort(F.collect_list(F.struct(*order, "piece")))
+    return placed.groupBy("repo_id", "chunk_no").agg(
+        F.sum("_bytes").cast("bigint").alias("n_bytes"),
+        F.array_join(F.transform(texts, lambda x: x["piece"]), "").alias("text"))
+
+
 def proposal_records(proposals: DataFrame) -> DataFrame:
     """S3 / A10 body: one JSON record per proposal, nulls kept."""
     rec = F.struct("action", "source", "target", "reason", "risk", "details")

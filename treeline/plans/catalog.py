@@ -52,8 +52,11 @@ def _bar(c) -> F.Column:
 # --------------------------------------------------------------------- sources
 @query("S2_read_inventory")
 def s2(t: Tables) -> DataFrame:
-    """Inventory validated against the raw_files contract."""
-    return INV.validate_inventory(t.raw).select("repo_id", "file_seq", "relative_path", "size")
+    """An inventory written as Parquet, with a column too many and one of another type, read
+    against the raw_files contract."""
+    path = f"{checkpoint_dir(t.spark).rstrip('/')}/inventory-{uuid.uuid4().hex}"
+    t.raw.withColumns({"size": F.col("size").cast("int"), "owner": F.lit("x")}).write.parquet(path)
+    return INV.read_inventory(t.spark, path).select("repo_id", "file_seq", "relative_path", "size")
 
 
 @query("S6_file_records")
@@ -158,7 +161,7 @@ def f2(t: Tables) -> DataFrame:
 # ------------------------------------------------------------------ aggregates
 @query("A1_repo_summary")
 def a1(t: Tables) -> DataFrame:
-    return RP.repo_summary(t.files)
+    return RP.repo_summary(t.files, RP.repo_ids(t.raw))
 
 
 @query("A2_extension_histogram")
@@ -168,7 +171,7 @@ def a2(t: Tables) -> DataFrame:
 
 @query("A3_category_counts")
 def a3(t: Tables) -> DataFrame:
-    c = RP.category_counts(t.files)
+    c = RP.category_counts(t.files, RP.repo_ids(t.raw))
     return c.select("repo_id", *[F.col(k).cast("bigint").alias(k) for k in K.CATEGORIES])
 
 
@@ -283,6 +286,11 @@ def a8m(t: Tables) -> DataFrame:
         "repo_id", "group_name", "file_seq", "relative_path")
 
 
+@query("A8_all_duplicates")
+def a8a(t: Tables) -> DataFrame:
+    return PR.all_duplicates(t.files, t.proposals)
+
+
 @query("P15_duplicate_risk")
 def p15(t: Tables) -> DataFrame:
     first = PR.duplicate_members(t.files).groupBy("repo_id", "group_name").agg(
@@ -372,6 +380,12 @@ def a10(t: Tables) -> DataFrame:
     return RE.proposals_document(t.proposals)
 
 
+@query("A10_document_chunks")
+def a10c(t: Tables) -> DataFrame:
+    """Whole documents, proposals and all duplicates included, in chunks of a megabyte."""
+    return RE.document_chunks(t.proposals, PR.all_duplicates(t.files, t.proposals), RP.repo_ids(t.raw))
+
+
 @query("S3_write_proposals")
 def s3(t: Tables) -> DataFrame:
     """Proposals written through the sink; the records of the files read back."""
@@ -597,7 +611,7 @@ def p22(t: Tables) -> DataFrame:
 
 @query("A16_execution_summary")
 def a16(t: Tables) -> DataFrame:
-    return MV.execution_summary(MV.validate_moves(_approved(t), t.paths))
+    return MV.execution_summary(MV.validate_moves(_approved(t), t.paths), RP.repo_ids(t.raw))
 
 
 @query("G1_apply_moves")

@@ -69,6 +69,13 @@ class Proposals(Analysis):
     def documents(self) -> DataFrame:
         return RE.proposals_document(self.proposals)
 
+    def all_duplicates(self) -> DataFrame:
+        return PR.all_duplicates(self.files, self.proposals)
+
+    def document_chunks(self) -> DataFrame:
+        """The repositories' whole JSON documents, in ordered chunks."""
+        return RE.document_chunks(self.proposals, self.all_duplicates(), RP.repo_ids(self.raw))
+
     def records(self) -> DataFrame:
         return RE.proposal_records(self.proposals)
 
@@ -90,7 +97,7 @@ def analyze(raw: DataFrame, file_backed: bool = False) -> Analysis:
     if not file_backed:
         raw = _keep(raw)
     files = _keep(FL.build_files(raw))
-    return Analysis(raw, files, RP.repo_summary(files), RP.top_extensions(files))
+    return Analysis(raw, files, RP.repo_summary(files, RP.repo_ids(raw)), RP.top_extensions(files))
 
 
 def propose(raw: DataFrame, file_backed: bool = False) -> Proposals:
@@ -152,11 +159,11 @@ def apply(p: Proposals, decisions: DataFrame | None, disk: DataFrame | None = No
     approved = MV.with_decisions(p.moves, decisions, approve_all=approve_all)
     if not execute:
         res = MV.validate_moves(approved, p.paths if on_raw else disk)
-        return Applied(res, MV.execution_summary(res), None)
+        return Applied(res, MV.execution_summary(res, p.types), None)
     res = _keep(MV.apply_moves(approved, disk))
     if history_path:
         INV.append_history(lambda heads: HI.apply_history_records(res, heads), history_path, run, spark)
-    return Applied(res, MV.execution_summary(res), MV.new_inventory(disk, res))
+    return Applied(res, MV.execution_summary(res, p.types), MV.new_inventory(disk, res))
 
 
 @dataclass

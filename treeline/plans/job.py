@@ -87,6 +87,7 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         _write(p.proposals, args.out, "proposals")
         _write(p.rollup(), args.out, "proposal_rollup")
         _write(p.documents(), args.out, "proposal_documents")
+        _write(p.document_chunks(), args.out, "document_chunks")
         INV.write_proposals(p.proposals, f"{args.out.rstrip('/')}/proposals_json", "json")
         return
     if args.command == "preview":
