@@ -85,3 +85,58 @@ def test_confidence_scorecard(spark):
         "No import breakage warnings", "Dry-run mode (simulation only)"]
     assert m["risk_factors"] == ["No tests detected (harder to validate)"]
     assert m["interpretation"] == "Interpretation: Changes appear safe to apply."
+
+
+def test_tree_of_deep_paths_and_paths_below_files(spark):
+    """Running state over many slices: a depth of 40, files with paths below them, one large group."""
+    from treeline.operators import preview as PV
+    deep = "/".join(f"d{k}" for k in range(39))
+    paths = [("a", p) for p in (f"{deep}/x.py", f"{deep}/y.py", "d0/d1/z.py", "d0/other/z.py", "top.py",
+                                "f", "f/below", "f/below/more.py", "f-g/h", "fa", "f!/h")]
+    paths += [("b", f"p{k % 9}/q{k % 5}/r{k}") for k in range(900)]
+    nodes = PV.tree_nodes(spark.createDataFrame(paths, "repo_id string, path string").repartition(3), ["repo_id"])
+    rows = nodes.collect()
+    assert len({(r.repo_id, r.node) for r in rows}) == len(rows)
+
+    def draw(listed):
+        """The tree by plain recursion."""
+        tops = {p for p in listed if not any(p.startswith(q + "/") for q in listed)}
+        tree = {}
+        for p in sorted(tops):
+            at = tree
+            *dirs, name = p.split("/")
+            for d in dirs:
+                at = at.setdefault(d, {})
+            at[name] = None
+        lines = []
+
+        def walk(at, prefix):
+            entries = sorted(at.items(), key=lambda e: (e[1] is None, e[0]))
+            for i, (name, below) in enumerate(entries):
+                last = i == len(entries) - 1
+                lines.append(prefix + (PV.ELBOW if last else PV.TEE) + name + ("" if below is None else "/"))
+                if below is not None:
+                    walk(below, prefix + (PV.SPACE if last else PV.PIPE))
+        walk(tree, "")
+        return lines
+
+    for few in (False, True):
+        got = {}
+        for r in PV.tree_lines(nodes, ["repo_id"], few).orderBy("line_no").collect():
+            got.setdefault(r.repo_id, []).append((r.line_no, r.text))
+        for repo in ("a", "b"):
+            want = draw([p for r, p in paths if r == repo])
+            assert got[repo] == list(enumerate(want, 1))
+
+
+def test_tree_plans_explode_no_ancestors(spark):
+    from conftest import SF_SMALL
+    from treeline.plans.context import Tables
+    from treeline.operators import preview as PV
+    t = Tables(spark, SF_SMALL)
+    keys = ["repo_id", "side"]
+    nodes = PV.tree_nodes(PV.affected_paths(t.proposals), keys)
+    text = PV.tree_lines(nodes, keys)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in text             # nodes come out of one explosion, written once
+    diff = PV.tree_diff(t.proposals)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in diff and len(diff.splitlines()) < 150

@@ -48,27 +48,50 @@ def number_within(df: DataFrame, keys: list[str], order: list[Column | str],
             .drop("_slice", "_local", "_off"))
 
 
-def sum_before(df: DataFrame, keys: list[str], order: list[Column | str], value: str,
-               name: str) -> DataFrame:
-    """Add ``name``: the sum of ``value`` over the rows before, in ``order`` within ``keys``.
+_BEFORE = {  # what a running value starts from, and how two slices' values make one
+    "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
+    "max": lambda a, b: F.greatest(a, b),
+    "last": lambda a, b: F.coalesce(b, a),
+}
 
-    Range slices as in ``number_within``, so that a large group spreads over tasks.
+
+def _running(kind: str, value: Column | str) -> Column:
+    return F.last(value, ignorenulls=True) if kind == "last" else getattr(F, kind)(value)
+
+
+def before(df: DataFrame, keys: list[str], order: list[Column | str],
+           values: dict[str, tuple[str, str]], few: bool = False) -> DataFrame:
+    """Add running values over the rows before, in ``order`` within ``keys``.
+
+    ``values`` maps a new column to (kind, column): the ``sum``, the ``max`` or the ``last`` value that is
+    not null. Range slices as in ``number_within``, so that a large group spreads over tasks;
+    ``few`` says that groups are bounded and a plain window will do.
     """
-    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    ahead = Window.unboundedPreceding, -1
+    if few:
+        w = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(*ahead)
+        rows = df.select("*", *[_running(kind, c).over(w).alias(n) for n, (kind, c) in values.items()])
+        return rows.withColumns({n: F.coalesce(n, F.lit(0)).cast("bigint")
+                                 for n, (kind, _) in values.items() if kind == "sum"})
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     checkpoint_dir(df.sparkSession)
     ranged = (df.repartitionByRange(slices, *[F.col(k) for k in keys], *order_cols)
               .withColumn("_slice", F.spark_partition_id()).checkpoint(eager=True))
-    rows_before = (Window.partitionBy("_slice", *keys).orderBy(*order_cols)
-                   .rowsBetween(Window.unboundedPreceding, -1))
-    slices_before = (Window.partitionBy(*keys).orderBy("_slice")
-                     .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = (ranged.groupBy(*keys, "_slice").agg(F.sum(value).alias("_sum"))
-               .withColumn("_off", F.coalesce(F.sum("_sum").over(slices_before), F.lit(0))).drop("_sum"))
-    return (ranged.withColumn("_before", F.coalesce(F.sum(value).over(rows_before), F.lit(0)))
-            .join(offsets, [*keys, "_slice"])
-            .withColumn(name, (F.col("_off") + F.col("_before")).cast("bigint"))
-            .drop("_slice", "_before", "_off"))
+    rows_before = Window.partitionBy("_slice", *keys).orderBy(*order_cols).rowsBetween(*ahead)
+    slices_before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(*ahead)
+    place = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order_cols)])
+    totals = {n: F.max_by(c, F.when(F.col(c).isNotNull(), place)) if kind == "last" else getattr(F, kind)(c)
+              for n, (kind, c) in values.items()}
+    offsets = ranged.groupBy(*keys, "_slice").agg(*[t.alias(f"_t_{n}") for n, t in totals.items()])
+    offsets = offsets.select(*keys, "_slice", *[_running(kind, f"_t_{n}").over(slices_before).alias(f"_s_{n}")
+                                                for n, (kind, _) in values.items()])
+    local = ranged.select("*", *[_running(kind, c).over(rows_before).alias(f"_l_{n}")
+                                 for n, (kind, c) in values.items()])
+    joined = local.join(offsets, [*keys, "_slice"])
+    added = {n: _BEFORE[kind](F.col(f"_s_{n}"), F.col(f"_l_{n}")) for n, (kind, _) in values.items()}
+    return joined.select(*df.columns, *[
+        (c.cast("bigint") if values[n][0] == "sum" else c).alias(n) for n, c in added.items()])
 
 
 def first_k(df: DataFrame, keys: list[str], order: list[Column | str], k: int,

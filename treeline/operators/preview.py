@@ -1,7 +1,8 @@
 """E2 preview: impact summary, new directories and the before / after tree.
 
 Trees are drawn from all paths they are given, however many a repository has:
-last siblings are grouped maxima and lines are numbered over range slices. Only
+last siblings are grouped maxima, nodes, lines and what stands before them are running
+values over range slices of one sort. Only
 the before / after view draws the first 50 affected files per side.
 Drawing rules: directories sort before files, then by name; a node is a file
 iff its own path is in the list (a path always sorts before the paths below
@@ -10,15 +11,16 @@ it, so it is the first to create its node); nothing below a file is drawn.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.functions import constants as K
 from treeline.functions.text import fmt
-from treeline.operators.ordering import first_k, number_within
+from treeline.operators.ordering import before, first_k
 from treeline.session import write_table
 
 MAX_FILES = 50
+_GREATEST = "\U0010FFFF"    # sorts after every other part of a path
 PIPE, SPACE, TEE, ELBOW = K.TREE_PIPE, K.TREE_SPACE, K.TREE_TEE, K.TREE_ELBOW
 
 
@@ -65,31 +67,30 @@ def limit_affected(proposals: DataFrame, max_files: int = MAX_FILES) -> DataFram
         "repo_id", "side", F.col("pos").cast("bigint").alias("pos"), "path", "affected_total")
 
 
-def tree_nodes(paths: DataFrame, keys: list[str]) -> DataFrame:
+def tree_nodes(paths: DataFrame, keys: list[str], few: bool = False) -> DataFrame:
     """Every path prefix once per ``keys`` group, with ``is_file``.
 
-    Input columns: ``keys`` + ``path``. Output: keys, node (path prefix),
+    Input columns: ``keys`` + ``path``. Output: keys, node (path prefix), nparts,
     name, parent ('' at the top), depth, is_file; nodes below a file dropped.
+
+    One sort of the paths, part by part: what lies below a path stands right behind it, in the
+    interval from the path to the path with a greatest part added. A path is below a file iff
+    it stands before the end of an earlier path's interval (a running maximum), and the nodes
+    that it brings are its prefixes longer than what it shares with the path before.
+    ``few``: the groups are bounded (T3's cut).
     """
-    p = paths.select(*keys, F.split("path", "/").alias("parts")).distinct()
-    pref = p.select(*keys, "parts",
-                    F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("depth"))
-    nodes = pref.select(
-        *keys, F.slice("parts", 1, F.col("depth")).alias("nparts"), "depth",
-        (F.col("depth") == F.size("parts")).alias("ends_here"))
-    n = nodes.groupBy(*keys, "nparts", "depth").agg(F.bool_or("ends_here").alias("is_file"))
-    n = n.withColumns({
-        "node": F.array_join("nparts", "/"),
-        "name": F.element_at("nparts", -1),
-        "parent": F.array_join(F.slice("nparts", 1, F.col("depth") - 1), "/"),
-    })
-    # drop nodes that sit below a file node: look up each proper ancestor path
-    files = n.filter("is_file").select(*keys, F.col("node").alias("anode"))
-    anc = (n.filter(F.col("depth") > 1)
-           .select(*keys, "nparts", F.explode(F.sequence(F.lit(1), F.col("depth") - 1)).alias("k"))
-           .withColumn("anode", F.array_join(F.slice("nparts", 1, F.col("k")), "/")))
-    below = anc.join(files, [*keys, "anode"], "left_semi").select(*keys, "nparts").distinct()
-    return n.join(below, [*keys, "nparts"], "left_anti")
+    p = paths.select(*keys, F.split("path", "/").alias("parts")).distinct() \
+        .withColumn("_end", F.concat("parts", F.array(F.lit(_GREATEST))))
+    p = before(p, keys, ["parts"], {"_open": ("max", "_end"), "_prev": ("last", "parts")}, few)
+    p = p.filter(F.col("_open").isNull() | (F.col("_open") <= F.col("parts")))
+    differs = F.zip_with("_prev", "parts", lambda a, b: ~a.eqNullSafe(b))
+    shared = F.coalesce(F.array_position(differs, True) - 1, F.lit(0))
+    return p.select(*keys, "parts", F.explode(F.sequence(shared + 1, F.size("parts").cast("long"))).alias("_d")) \
+        .select(*keys, F.slice("parts", 1, F.col("_d").cast("int")).alias("nparts"),
+                F.col("_d").cast("int").alias("depth"), (F.col("_d") == F.size("parts")).alias("is_file")) \
+        .withColumns({
+            "node": F.array_join("nparts", "/"), "name": F.element_at("nparts", -1),
+            "parent": F.array_join(F.slice("nparts", 1, F.col("depth") - 1), "/")})
 
 
 def last_siblings(nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -107,8 +108,11 @@ def last_siblings(nodes: DataFrame, keys: list[str]) -> DataFrame:
 def tree_lines(nodes: DataFrame, keys: list[str], few: bool = False) -> DataFrame:
     """T2 (+ W4): one drawn line per node and its position in the drawing.
 
-    Lines are numbered over range slices of the whole drawing order; ``few``
-    says that a group is bounded (T3's cut) and a plain window will do.
+    In drawing order the directories above a node are the last ones before it at each lesser
+    depth, so what stands before its name is a running state: whether the last directory of
+    depth 1, 2, ... was the last of its siblings. The plan has one such column for every level of
+    the deepest directory. Lines are numbered in the same pass, over range slices; ``few`` says
+    that a group is bounded (T3's cut).
     """
     n = last_siblings(nodes, keys)
     # sort key: (is_file, name) of every ancestor-or-self; ancestors are directories
@@ -116,26 +120,19 @@ def tree_lines(nodes: DataFrame, keys: list[str], few: bool = False) -> DataFram
         F.transform(F.slice("nparts", 1, F.col("depth") - 1),
                     lambda x: F.struct(F.lit(False).alias("f"), x.alias("n"))),
         F.array(F.struct(F.col("is_file").alias("f"), F.col("name").alias("n")))))
-    # what stands before a directory's entries: one piece for it and each of its ancestors
-    dirs = n.filter(~F.col("is_file")).select(*keys, "node", "nparts", "depth", "is_last")
-    chain = dirs.select(*keys, "node", "nparts",
-                        F.explode(F.sequence(F.lit(1), "depth")).alias("adepth")) \
-                .withColumn("anode", F.array_join(F.slice("nparts", 1, F.col("adepth")), "/"))
-    flags = dirs.select(*keys, F.col("node").alias("anode"), F.col("is_last").alias("a_last"))
-    pieces = chain.join(flags, [*keys, "anode"]).groupBy(*keys, F.col("node").alias("parent")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("adepth", "a_last"))),
-                                 lambda s: F.when(s["a_last"], F.lit(SPACE)).otherwise(F.lit(PIPE))),
-                     "").alias("prefix"))
-    n = n.join(pieces, [*keys, "parent"], "left").withColumn("prefix", F.coalesce("prefix", F.lit("")))
-    text = F.concat(F.col("prefix"), F.when(F.col("is_last"), F.lit(ELBOW)).otherwise(F.lit(TEE)),
+    n = write_table(n.select(*keys, "node", "name", "depth", "is_file", "is_last", "skey"), "tree-nodes")
+    deepest = n.filter(~F.col("is_file")).agg(F.max("depth")).first()[0] or 0
+    levels = range(1, deepest + 1)
+    n = n.withColumns({"_one": F.lit(1)} | {
+        f"_at{k}": F.when((F.col("depth") == k) & ~F.col("is_file"), F.col("is_last")) for k in levels})
+    n = before(n, keys, ["skey"], {"_lines": ("sum", "_one")} | {
+        f"_last{k}": ("last", f"_at{k}") for k in levels}, few)
+    pieces = [F.when(F.col("depth") > k, F.when(F.col(f"_last{k}"), F.lit(SPACE)).otherwise(F.lit(PIPE)))
+              .otherwise(F.lit("")) for k in levels]
+    text = F.concat(*pieces, F.when(F.col("is_last"), F.lit(ELBOW)).otherwise(F.lit(TEE)),
                     F.col("name"), F.when(F.col("is_file"), F.lit("")).otherwise(F.lit("/")))
-    n = n.select(*keys, "node", "is_file", "is_last", text.alias("text"), "skey")
-    if few:
-        w_line = Window.partitionBy(*keys).orderBy("skey")
-        n = n.withColumn("line_no", F.row_number().over(w_line).cast("bigint"))
-    else:
-        n = number_within(n, keys, ["skey"], "line_no")
-    return n.select(*keys, "node", "is_file", "is_last", "text", "line_no")
+    return n.select(*keys, "node", "is_file", "is_last", text.alias("text"),
+                    (F.col("_lines") + 1).alias("line_no"))
 
 
 def tree_diff(proposals: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
@@ -149,7 +146,7 @@ def tree_diff(proposals: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
     cut = write_table(limit_affected(proposals.join(with_moves, "repo_id", "left_semi"), max_files),
                       "tree-cut")
     keys = ["repo_id", "side"]
-    lines = tree_lines(tree_nodes(cut.select(*keys, "path"), keys), keys, few=True) \
+    lines = tree_lines(tree_nodes(cut.select(*keys, "path"), keys, few=True), keys, few=True) \
         .select(*keys, "line_no", "text")
     heads = cut.select(*keys, "affected_total").distinct()
     top = heads.select(*keys, F.lit(0).cast("bigint").alias("line_no"), F.lit(".").alias("text"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from treeline.functions import constants as K
 from treeline.functions import rules as R
 from treeline.functions.text import fmt
-from treeline.operators.ordering import number_within, sum_before
+from treeline.operators.ordering import before, number_within
 
 
 def with_display_group(proposals: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def document_chunks(proposals: DataFrame, members: DataFrame, repo_list: DataFra
     """
     order = ["phase", "ord", "part", "position"]
     pieces = document_pieces(proposals, members, repo_list).withColumn("_bytes", F.octet_length("piece"))
-    placed = sum_before(pieces, ["repo_id"], order, "_bytes", "_at").withColumn(
+    placed = before(pieces, ["repo_id"], order, {"_at": ("sum", "_bytes")}).withColumn(
         "chunk_no", F.floor(F.col("_at") / chunk_bytes).cast("bigint"))
     texts = F.array_sort(F.collect_list(F.struct(*order, "piece")))
     return placed.groupBy("repo_id", "chunk_no").agg(
