@@ -143,3 +143,23 @@ def test_proposals_read_the_files_once_for_rows(spark):
     whole = PR.suppress_redundant_flags(PR.gate_moves(whole, t.types)).select(*PR.PROPOSAL_COLUMNS)
     got = PR.all_proposals(t.files, t.types)
     assert got.count() == whole.count() > 0 and got.exceptAll(whole).count() == 0
+
+
+def test_patterns_are_tested_on_distinct_names(spark):
+    """One scan and one explosion of the inventory, whatever the number of patterns."""
+    from treeline.functions import constants as K
+    from treeline.functions import rules as R
+    from treeline.operators import files as FL
+    t = Tables(spark, SF_SMALL)
+    patterns = [*K.IGNORE_FILE_PATTERNS, *K.IGNORE_DIR_GLOBS]
+    hits = FL.glob_hits(t.raw, t.paths, patterns)
+    text = plan(hits)
+    assert text.count("explode(array_distinct(split(relative_path") == 1
+    segments = t.raw.select("repo_id", "relative_path", F.explode(
+        F.array_distinct(F.split("relative_path", "/"))).alias("segment")).cache()
+    want = None
+    for p in patterns:
+        one = segments.filter(R.glob_match(F.col("segment"), p)).withColumn("pattern", F.lit(p))
+        want = one if want is None else want.unionByName(one)
+    assert hits.count() == want.count() > 0 and hits.exceptAll(want).count() == 0
+    segments.unpersist()

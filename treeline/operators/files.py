@@ -27,6 +27,21 @@ def not_ignored(raw: DataFrame) -> DataFrame:
     return raw.filter(~R.is_ignored(F.split(F.col("relative_path"), "/")))
 
 
+def glob_hits(raw: DataFrame, paths: DataFrame, patterns: list[str]) -> DataFrame:
+    """(repo_id, relative_path, segment, pattern) of every path segment that a pattern fits.
+
+    The patterns are tested on a dictionary, the distinct names of the path index (each file and
+    directory stands there once), all in one row; only the names that fit meet the segments
+    of the paths, which are exploded once.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    fits = F.array_compact(F.array(*[F.when(R.glob_match(F.col("segment"), p), F.lit(p)) for p in patterns]))
+    known = paths.select(name.alias("segment")).distinct().select("segment", F.explode(fits).alias("pattern"))
+    segments = raw.select("repo_id", "relative_path", F.explode(
+        F.array_distinct(F.split("relative_path", "/"))).alias("segment"))
+    return segments.join(known, "segment").select("repo_id", "relative_path", "segment", "pattern")
+
+
 def describe(raw: DataFrame) -> DataFrame:
     """F1 + P1 + P3 + P2 over an inventory. ``content`` is dropped here.
 

@@ -148,14 +148,7 @@ def f1(t: Tables) -> DataFrame:
 
 @query("F2_glob_match")
 def f2(t: Tables) -> DataFrame:
-    pats = K.IGNORE_FILE_PATTERNS + K.IGNORE_DIR_GLOBS
-    segs = t.raw.select("repo_id", "relative_path",
-                        F.explode(F.array_distinct(F.split("relative_path", "/"))).alias("segment"))
-    hits = None
-    for p in pats:
-        h = segs.filter(R.glob_match(F.col("segment"), p)).withColumn("pattern", F.lit(p))
-        hits = h if hits is None else hits.unionByName(h)
-    return hits
+    return FL.glob_hits(t.raw, t.paths, [*K.IGNORE_FILE_PATTERNS, *K.IGNORE_DIR_GLOBS])
 
 
 # ------------------------------------------------------------------ aggregates
