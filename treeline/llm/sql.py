@@ -1,6 +1,6 @@
 """DuckDB equivalents of the registered queries that SQL can express."""
 
-from treeline.llm.licenses import TEMPLATES
+from treeline.llm.licenses import REQUIRED, SLACK, TEMPLATES, THRESHOLD
 
 ORACLE: dict[str, str] = {}
 
@@ -185,6 +185,12 @@ FROM cut c LEFT JOIN fitting f ON c.page_id = f.page_id
 
 _TEMPLATES = ",\n  ".join(f"('{label}', '{text}')" for label, text in TEMPLATES)
 
+# A notice: a run of words, SLACK times as long as its template, from one of its words on, that holds
+# THRESHOLD of them and a phrase of every group that its label requires.
+_REQUIRED = " ".join(
+    f"WHEN '{label}' THEN " + " AND ".join(
+        "(" + " OR ".join(f"contains(run, ' {phrase} ')" for phrase in group) + ")" for group in groups)
+    for label, groups in REQUIRED.items())
 ORACLE["op5_license_scan"] = f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format('text')} AS ws FROM documents),
 phrases(label, ph) AS (VALUES ('mit', ['under', 'the', 'mit', 'license']),
@@ -199,13 +205,20 @@ base AS (
   FROM places GROUP BY doc_id),
 templates(label, body) AS (VALUES
   {_TEMPLATES}),
-wanted AS (SELECT label, list_distinct({_WORDS.format('body')}) AS tw FROM templates),
-blocks AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs),
-block_words AS (SELECT doc_id, list_distinct({_WORDS.format('line')}) AS bw FROM blocks),
+wanted AS (
+  SELECT label, list_distinct(tw) AS tw, ceil({SLACK} * len(tw))::BIGINT AS size,
+         ceil({THRESHOLD} * len(list_distinct(tw)) - 1e-9) AS need
+  FROM (SELECT label, {_WORDS.format('body')} AS tw FROM templates)),
+starts AS (
+  SELECT doc_id, label, tw, need, size, ws, unnest(list_filter(range(1, len(ws) + 1),
+         lambda i: list_contains(tw, ws[i]))) AS i
+  FROM docs, wanted WHERE len(list_intersect(ws, tw)) >= need),
+runs AS (
+  SELECT doc_id, label, len(list_intersect(list_distinct(ws[i:i + size - 1]), tw)) AS shared, need, len(tw) AS n,
+         ' ' || array_to_string(ws[i:i + size - 1], ' ') || ' ' AS run FROM starts),
 hits AS (
-  SELECT doc_id, label, len(list_intersect(bw, tw)) / len(tw)::DOUBLE AS share
-  FROM block_words, wanted
-  WHERE len(list_intersect(bw, tw)) >= ceil(0.8 * len(tw) - 1e-9)),
+  SELECT doc_id, label, max(shared / n::DOUBLE) AS share FROM runs
+  WHERE shared >= need AND CASE label {_REQUIRED} ELSE true END GROUP BY doc_id, label),
 every AS (SELECT doc_id, label FROM hits UNION SELECT doc_id, label FROM places),
 all_labels AS (
   SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM every GROUP BY doc_id),
