@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from treeline.llm.common import each_batch, groups
 from treeline.llm.words import mix64, slices, stream, text_bytes, words
-from treeline.session import write_table
+from treeline.session import write_bucketed
 
 ORDER = 3
 BACKOFF = 0.4
@@ -118,7 +118,8 @@ def chunks(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                          F.col("text").cast("string").alias("text"))
-    return write_table(each_batch(source, cut, _CHUNK), "lm-chunks")
+    # bucketed by chunk: the replies come to the chunks, which stay where they are
+    return write_bucketed(each_batch(source, cut, _CHUNK), ["chunk"], "lm_chunks")
 
 
 def _rows(batches):
