@@ -28,6 +28,7 @@ import json
 import re
 import zlib
 from functools import lru_cache
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,7 @@ CACHED = 800_000
 # White space other than the space and the line feed.
 _RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+_FIRST = "\ud800"  # a lone surrogate, which no text has
 
 
 def _stretches(text: str) -> list[str]:
@@ -55,14 +57,66 @@ def _stretches(text: str) -> list[str]:
     return text.split(" ")
 
 
+class _Memory:
+    """Known strings and their ids, kept one after the other."""
+
+    def __init__(self, dtype):
+        self.place: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, dtype)
+        self.ends = np.zeros(1, np.int64)
+        self.met = np.zeros(0, bool)
+
+    def find(self, keys: list[str]) -> np.ndarray:
+        """Places of the strings; -1 where not known."""
+        return np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
+
+    def prune(self) -> None:
+        """Drop what was not met again since the last time; all of it where that drops little."""
+        again = np.flatnonzero(self.met)
+        if 2 * len(again) > len(self.met):
+            again = again[:0]
+        ids, size = self.take(again)
+        keys = list(compress(self.place, self.met.tolist())) if len(again) else []
+        self.__init__(self.ids.dtype)
+        self.keep(keys, size, ids)
+
+    def keep(self, keys: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        used, more = int(self.ends[-1]), len(ids)
+        if used + more > len(self.ids):
+            grown = np.zeros(max(2 * len(self.ids), used + more), self.ids.dtype)
+            grown[:used] = self.ids[:used]
+            self.ids = grown
+        self.ids[used:used + more] = ids
+        first = len(self.place)
+        self.place.update(zip(keys, range(first, first + len(keys))))
+        self.met = np.concatenate([self.met, np.zeros(len(keys), bool)])
+        self.ends = np.concatenate([self.ends, used + np.cumsum(sizes)])
+
+    def take(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the places one after the other, and how many each has."""
+        a = self.ends[index]
+        size = self.ends[index + 1] - a
+        shift = np.repeat(a - (np.cumsum(size) - size), size)
+        shift += np.arange(len(shift))
+        return self.ids[shift], size
+
+
+def _per_group(sizes: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Sums of ``sizes`` over consecutive groups of ``number`` members each."""
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    ends = np.cumsum(number)
+    return total[ends] - total[ends - number]
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, with a memory for repeated stretches.
 
     Byte-level pre-tokenisation always starts a new piece at a single space
     between two other characters, so a text's ids are those of its stretches
     between such spaces, one after the other. Each new stretch is encoded by the
-    library and remembered. Tokenizers with another pre-tokeniser or a
-    normaliser, and texts that contain an added token, are encoded whole.
+    library and remembered; beyond ``CACHED`` stretches, those not met twice are
+    dropped. Tokenizers with another pre-tokeniser or a normaliser, and texts that
+    contain an added token, are encoded whole.
     """
 
     def __init__(self, definition: str):
@@ -80,12 +134,7 @@ class Encoder:
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.spaced[i] = "\u0120" in token
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, self.dtype)
-        self.ends = np.zeros(1, np.int64)
+        self.stretches = _Memory(self.dtype)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -94,8 +143,8 @@ class Encoder:
         if not keys:
             return
         coded = self._whole(stretches)
-        self._keep(keys, np.fromiter(map(len, coded), np.int64, len(coded)),
-                   np.fromiter((i for c in coded for i in c), self.dtype))
+        self.stretches.keep(keys, np.fromiter(map(len, coded), np.int64, len(coded)),
+                            np.fromiter((i for c in coded for i in c), self.dtype))
 
     def _learn_spaced(self, parts: list[str]) -> None:
         """Stretches that follow a space, encoded as one text: only a stretch's first id
@@ -105,20 +154,18 @@ class Encoder:
             ids = np.array(self._whole([" " + " ".join(some)])[0], self.dtype)
             first = np.flatnonzero(self.spaced[ids])
             if len(first) == len(some) and first[0] == 0:
-                self._keep(some, np.diff(np.append(first, len(ids))), ids)
+                self.stretches.keep(some, np.diff(np.append(first, len(ids))), ids)
             else:
                 self._learn(some, [" " + p for p in some])
 
-    def _keep(self, keys: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
-        used, more = int(self.ends[-1]), len(ids)
-        if used + more > len(self.ids):
-            grown = np.zeros(max(2 * len(self.ids), used + more), self.dtype)
-            grown[:used] = self.ids[:used]
-            self.ids = grown
-        self.ids[used:used + more] = ids
-        first = len(self.known)
-        self.known.update(zip(keys, range(first, first + len(keys))))
-        self.ends = np.concatenate([self.ends, used + np.cumsum(sizes)])
+    def _learn_all(self, new: set[str]) -> None:
+        """Stretches; a text's first one after a lone surrogate, the others follow a space."""
+        first = [p for p in new if p[:1] == _FIRST]
+        self._learn(first, [p[1:] for p in first])
+        rest = new.difference(first)
+        odd = [p for p in rest if not p or " " in p or p[-1].isspace()]
+        self._learn(odd, [" " + p for p in odd])
+        self._learn_spaced(list(rest.difference(odd)))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and how many each has."""
@@ -127,38 +174,26 @@ class Encoder:
         apart = set(whole)
         flat: list[str] = []
         number = np.zeros(len(texts), np.int64)
-        heads = []
         for k, text in enumerate(texts):
             if k in apart or not text:
                 continue
             parts = _stretches(text)
             number[k] = len(parts)
-            heads.append((len(flat), parts[0]))
+            # A first stretch has no space before it: kept apart from the others by a lone
+            # surrogate, which no text has.
+            parts[0] = _FIRST + parts[0]
             flat += parts
-        # A first stretch has no space before it: kept apart from the others by a lone
-        # surrogate, which no text has.
-        first_keys = []
-        for at, head in heads:
-            flat[at] = key = "\ud800" + head
-            first_keys.append(key)
-        if len(self.known) > CACHED:
-            self.forget()
-        firsts = set(first_keys)
-        new_first = [p for p in firsts if p not in self.known]
-        new = [p for p in set(flat) if p not in self.known and p not in firsts]
-        self._learn(new_first, [p[1:] for p in new_first])
-        odd = [p for p in new if not p or " " in p or p[-1].isspace()]
-        self._learn(odd, [" " + p for p in odd])
-        self._learn_spaced(list(set(new).difference(odd)))
-        index = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        a, b = self.ends[index], self.ends[index + 1]
-        size = b - a
-        total = int(size.sum())
-        shift = np.repeat(a - (np.cumsum(size) - size), size)
-        ids = self.ids[shift + np.arange(total)]
-        per_text = np.zeros(len(texts), np.int64)
-        row = np.repeat(np.arange(len(texts)), number)
-        np.add.at(per_text, row, size)
+        if len(self.stretches.place) > CACHED:
+            self.stretches.prune()
+        index = self.stretches.find(flat)
+        missing = np.flatnonzero(index < 0)
+        self.stretches.met[index[index >= 0]] = True
+        if len(missing):
+            unknown = [flat[k] for k in missing.tolist()]
+            self._learn_all(set(unknown))
+            index[missing] = self.stretches.find(unknown)
+        ids, size = self.stretches.take(index)
+        per_text = _per_group(size, number)
         if not whole:
             return ids, per_text
         coded = self._whole([texts[k] for k in whole])
