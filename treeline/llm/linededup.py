@@ -28,13 +28,12 @@ WINDOW = 3
 _LEAST = -(1 << 63)
 
 
-def _place(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__id`` and ``__text``: what identifies a document."""
+def _place(docs: DataFrame, *more: Column) -> DataFrame:
+    """``__id`` and ``__text``, which identify a document, ``__lines``, and the columns ``more``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumns({
-        "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)),
-        "__text": F.xxhash64(F.col("doc_id").isNull(), text),
-        "__lines": F.split(text, "\n")})
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("__id"),
+                       F.xxhash64(F.col("doc_id").isNull(), text).alias("__text"),
+                       F.split(text, "\n").alias("__lines"), *more)
 
 
 def occurrences(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -69,18 +68,18 @@ def dedupe(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows with ``text`` reduced to the lines kept, and ``dedup_lines`` (how many there
     were), ``dedup_removed`` (line numbers, from 0); these replace columns of that name."""
     names = [c for c in docs.columns if c not in ("dedup_lines", "dedup_removed")]
-    cover = covered(docs.select("doc_id", "text"), window)
+    cover = covered(docs, window)
     n = F.size("__lines")
     none = F.array().cast("array<int>")
-    rows = (_place(docs.select(*[F.col(f"`{c}`") for c in names]))
+    # The caller's columns travel as one: their names meet none of the names used here.
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row")
+    rows = (_place(docs, row)
             .join(cover, ["__id", "__text"], "left")
             .withColumn("dedup_lines", n.cast("long"))
             .withColumn("dedup_removed", F.when(F.col("__starts").isNull(), none)
                         .otherwise(_removed(n, F.col("__starts"), window))))
-    at = F.sequence(F.lit(0), n - 1)
-    kept = F.filter(F.arrays_zip(at.alias("i"), F.col("__lines").alias("line")),
-                    lambda x: ~F.array_contains(F.col("dedup_removed"), x["i"]))
-    text = F.when(F.size("dedup_removed") == 0, F.col("text").cast("string")) \
-            .otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
-    return rows.withColumn("text", text).select(
-        *[F.col(f"`{c}`") for c in names], "dedup_lines", "dedup_removed")
+    kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col("dedup_removed"))
+    text = F.when(F.size("dedup_removed") == 0, F.col("__row.text").cast("string")) \
+            .otherwise(F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n"))
+    return rows.select(*[(text if c == "text" else F.col(f"__row.`{c}`")).alias(c) for c in names],
+                       "dedup_lines", "dedup_removed")
