@@ -28,7 +28,9 @@ NASTY = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 EXTRA = ["item_id", "class_id", "key", "rows", "score", "grade", "part", "n", "start", "blocks",
-         "mix_epoch", "dedup_lines", "unit", "component", "epochs", "rest", "sum", "before", "starts", "at", "fp", "total", "label"]
+         "mix_epoch", "dedup_lines", "unit", "component", "epochs", "rest", "sum", "before", "starts", "at", "fp", "total", "label",
+         "row", "id", "keep_id", "__text", "__id", "__starts", "__lines", "__row", "__text_key",
+         "__keep_id", "__mix_key", "__mix_blocks", "__mix_row", "__mix_source", "a.b"]
 
 
 def nasty(spark):

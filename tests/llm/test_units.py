@@ -164,3 +164,53 @@ def test_packed_integers():
     assert np.array_equal(lm.unpack_sorted(lm.pack_sorted(v)), v)
     assert np.array_equal(lm.unpack(lm.pack(v.astype(np.uint32)), np.uint32), v.astype(np.uint32))
     assert len(lm.unpack(lm.pack(v[:0]), np.uint64)) == 0
+
+
+def test_estimated_recall_is_the_share_that_meets():
+    rng = np.random.default_rng(8)
+    sims = np.sort(0.8 + 0.2 * rng.random(200_000))
+    chance = {p: 1 - (1 - sims ** p) ** 24 for p in (4, 8)}
+    met = rng.random(len(sims)) < chance[8]
+    found = np.bincount(((sims[met] - 0.8) / 0.2 * jaccard.BINS).astype(int), minlength=jaccard.BINS)
+    for p in (4, 8):
+        assert abs(jaccard.estimated_recall(found, 0.8, 8, p) - chance[p].mean()) < 1e-3
+    # few or no links never show that enough is found
+    for few in (np.zeros(jaccard.BINS), np.eye(jaccard.BINS)[-1] * 100):
+        assert jaccard.estimated_recall(few, 0.8, 8, 8) < jaccard.TARGET_RECALL
+    # many links that are all close do, at the first depth
+    assert jaccard.estimated_recall(np.eye(jaccard.BINS)[-1] * 1e7, 0.8, 8, 8) > jaccard.TARGET_RECALL
+
+
+@pytest.mark.parametrize("cut", [1, 7, 1000])
+def test_matched_prefixes_are_the_longest_shared(cut):
+    rng = np.random.default_rng(9)
+    values = rng.integers(0, 2, (300, 8)).astype("<u2")
+    tree = np.sort(rng.integers(0, 3, 300)).astype(np.int32)
+    order = sorted(range(300), key=lambda i: (tree[i], values[i].tobytes()))
+    table = pa.table({"tree": pa.array(tree[order]), "path": pa.array([values[i].tobytes() for i in order], pa.binary()),
+                      "key": pa.array([str(i).encode() for i in order], pa.binary()),
+                      "chars": pa.array([1] * 300)})
+    out = pa.Table.from_batches(jaccard._matched(8, 3)(iter(table.to_batches(max_chunksize=cut))))
+    got = {int(k): m for k, m in zip(out.column("key").to_pylist(), out.column("matched").to_pylist())}
+    for at, i in enumerate(order):
+        same = [np.logical_and.accumulate(values[i] == values[j]).sum() for j in range(300)
+                if j != i and tree[i] == tree[j]]
+        want = 8 if at in (0, 299) else max(same, default=0)
+        assert got.get(i, 0) == (want if want >= 3 else 0)
+
+
+def test_a_pair_that_met_deeper_is_not_met_again():
+    rng = np.random.default_rng(10)
+    values = rng.integers(0, 2, (40, 5, 8)).astype("<u2")
+    deep, flat = jaccard._labels(values, 3), jaccard._labels(values, 2)
+    met = np.zeros((40, 40), int)
+    for labels, before in ((deep, None), (flat, deep)):
+        for t in range(5):
+            for value in np.unique(labels[:, t]):
+                some = np.flatnonzero(labels[:, t] == value)
+                met[np.ix_(some, some)] += jaccard._own_pairs(
+                    labels[some], t, np.zeros(len(some)), True, None if before is None else before[some])
+    share = (flat[:, None, :] == flat[None, :, :]).any(axis=2)
+    assert (met == np.triu(share, 1)).all()
+    same = (values[:, None, :, :2] == values[None, :, :, :2]).all(axis=3).any(axis=2)
+    assert (share == same).all()

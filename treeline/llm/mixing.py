@@ -68,9 +68,10 @@ def _counted(docs: DataFrame) -> DataFrame:
     source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
     key = _hash(SEED, source, F.coalesce(F.col("doc_id").cast("string"), F.lit("-")),
                 F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return (docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in PLAN])
-            .withColumns({"__mix_source": source, "mix_tokens": token_count(F.col("text")),
-                          "__mix_key": key}))
+    # The caller's columns travel as one: their names meet none of the names used here.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in PLAN])
+    return docs.select(row.alias("__mix_row"), source.alias("__mix_source"),
+                       token_count(F.col("text")).alias("mix_tokens"), key.alias("__mix_key"))
 
 
 def sources(docs: DataFrame) -> DataFrame:
@@ -166,7 +167,6 @@ def mix(docs: DataFrame, budget: int | None = None, entropy_share: float = ENTRO
         .withColumn("block_order", _hash(SEED, F.col("__mix_source"), F.col("epochs"), F.col("mix_block")))
         .withColumn("before", F.coalesce(F.sum("block_tokens").over(earlier), F.lit(0)))
         .select("__mix_source", "mix_block", "block_tokens", "epochs", "rest", "before"), "mix-blocks")
-    # Columns of the documents may have any names: the plan's get a prefix of their own.
     state = sums.select("__mix_source", "mix_block", *[F.col(c).alias(f"__mix_{c}") for c in
                                                        ("block_tokens", "epochs", "rest", "before")])
     rows = dealt.join(_small(state), ["__mix_source", "mix_block"])
@@ -177,7 +177,7 @@ def mix(docs: DataFrame, budget: int | None = None, entropy_share: float = ENTRO
     epoch = F.explode(F.sequence(F.lit(0).cast("long"), times - 1)).alias("mix_epoch")
     keep = [*counted.columns, "mix_block"]
     whole = rows.filter(times > 0).select(*keep, epoch)
-    run = (Window.partitionBy("__mix_source", "mix_block").orderBy("mix_order", "doc_id")
+    run = (Window.partitionBy("__mix_source", "mix_block").orderBy("mix_order", "__mix_row.doc_id")
            .rowsBetween(Window.unboundedPreceding, 0))
     split = (rows.filter((before < rest) & (end > rest))
              .withColumn("mix_order", _hash(SEED, epochs, F.col("__mix_key")))
@@ -188,7 +188,7 @@ def mix(docs: DataFrame, budget: int | None = None, entropy_share: float = ENTRO
     rank = _ranks(sums)
     return (drawn.join(_small(rank), ["__mix_source", "mix_block", "mix_epoch"])
             .withColumn("mix_order", _hash(SEED, F.col("mix_epoch"), F.col("__mix_key")))
-            .select(*[F.col(f"`{c}`") for c in docs.columns if c not in PLAN], *PLAN))
+            .select("__mix_row.*", *PLAN))
 
 
 def _ranks(sums: DataFrame) -> DataFrame:
