@@ -207,8 +207,14 @@ FIXTURE_DEPS = {"inv": [], "history": [], "history_files": ["history"], "git_sta
                 "git_tracked": ["inv"], "repos": ["inv"], "decisions": ["inv"]}
 
 
-def layers(*names: str) -> str:
-    """``WITH`` clause holding the fixture CTEs and the named layers (+ deps)."""
+_WALK = "len(string_split(relative_path, '/')), string_split(relative_path, '/')"
+
+
+def layers(*names: str, by_path: bool = False) -> str:
+    """``WITH`` clause holding the fixture CTEs and the named layers (+ deps).
+
+    ``by_path``: files are numbered by depth and segments of their paths instead.
+    """
     fixture = dict(ORACLE_FIXTURE_CTES)
     order: list[str] = []
 
@@ -225,6 +231,10 @@ def layers(*names: str) -> str:
     parts = []
     for n in order:
         text = fixture[n] if n in fixture else L[n][1]
+        if n == "inv" and by_path:
+            parts.append(f"listed AS (\n{text}\n)")
+            text = (f"SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY {_WALK}) AS file_seq, "
+                    "relative_path, size, content FROM listed")
         parts.append(f"{n} AS (\n{text}\n)")
     return "WITH " + ",\n".join(parts) + "\n"
 
@@ -240,6 +250,8 @@ def _o(name: str, deps: list[str], select: str) -> None:
 
 
 _o("S2_read_inventory", ["inv"], "SELECT repo_id, file_seq, relative_path, size FROM inv")
+ORACLE["S2_without_file_seq"] = (
+    layers("inv", by_path=True) + "SELECT repo_id, file_seq AS position, relative_path, size FROM inv")
 _o("S6_file_records", ["classified"], """
 SELECT repo_id, relative_path, name, extension, size, array_to_string(imports, '|') AS imports,
        is_executable, has_main, has_tests FROM classified""")
@@ -526,6 +538,9 @@ _o("W1_proposal_numbers", ["props_grouped"], f"""
 SELECT repo_id, phase, CAST(ord AS BIGINT) AS ord, display_group,
        CAST(row_number() OVER (PARTITION BY repo_id ORDER BY {_rank}, phase, ord) AS BIGINT) AS number
 FROM props_grouped""")
+ORACLE["U1_without_file_seq"] = layers("props_grouped", by_path=True) + f"""
+SELECT {_PCOLS} FROM (SELECT * REPLACE (row_number() OVER (
+  PARTITION BY repo_id ORDER BY {_rank}, phase, ord) AS ord) FROM props_grouped)"""
 _o("A9_proposal_rollup", ["props_grouped"], """
 SELECT repo_id, 'total' AS dimension, NULL::VARCHAR AS value, count(*) AS n FROM props_grouped GROUP BY repo_id
 UNION ALL SELECT repo_id, 'action', action, count(*) FROM props_grouped GROUP BY ALL

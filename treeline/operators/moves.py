@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treeline.functions import constants as K
+from treeline.functions import rules as R
 from treeline.functions.text import fmt, render
 from treeline.operators.components import ancestors, components, move_edges
 from treeline.operators.repo import with_all_repos
@@ -337,7 +338,8 @@ def new_inventory(raw: DataFrame, results: DataFrame, order: str = "ord") -> Dat
 
     A file may be moved on by a later move of the same run (``order`` gives the
     sequence), so the touched files follow their moves until none is left: one
-    round for each link of the longest chain, over touched files only.
+    round for each link of the longest chain, over touched files only. Where ``file_seq`` is
+    the walk key of the path, it follows the path.
     """
     done = write_table(
         results.filter(F.col("success") & (F.lower("action") == "move")).select(
@@ -359,5 +361,8 @@ def new_inventory(raw: DataFrame, results: DataFrame, order: str = "ord") -> Dat
             break
         place = place.drop("_moved")
     new = place.select("repo_id", "relative_path", F.col("_path").alias("_to"))
-    return (raw.join(new, ["repo_id", "relative_path"], "left")
-            .withColumn("relative_path", F.coalesce("_to", "relative_path")).drop("_to"))
+    moved = (raw.join(new, ["repo_id", "relative_path"], "left")
+             .withColumn("relative_path", F.coalesce("_to", "relative_path")).drop("_to"))
+    if dict(raw.dtypes).get("file_seq") == "binary":
+        moved = moved.withColumn("file_seq", R.walk_key(F.col("relative_path")))
+    return moved

@@ -245,6 +245,18 @@ def all_proposals(files: DataFrame, types: DataFrame) -> DataFrame:
     return props.select(*PROPOSAL_COLUMNS)
 
 
+def sequenced(proposals: DataFrame) -> DataFrame:
+    """Proposals whose ``ord`` is a number, as the sequential steps need it.
+
+    Those of an inventory without ``file_seq`` carry the walk key of their file there; they are
+    numbered in that order within each repository and phase, over range slices.
+    """
+    if not isinstance(proposals.schema["ord"].dataType, T.BinaryType):
+        return proposals
+    return number_within(proposals, ["repo_id", "phase"], ["ord"], "_n").withColumn(
+        "ord", F.col("_n")).select(*proposals.columns)
+
+
 def flat(proposals: DataFrame) -> DataFrame:
     """Scalar view of proposals (arrays joined with '|')."""
     d = F.col("details")

@@ -97,15 +97,16 @@ def document_pieces(proposals: DataFrame, members: DataFrame, repo_list: DataFra
     for key in ("action", "risk"):
         counts = counts.join(_count_map(proposals, key), "repo_id")
     per_repo = repo_list.select("repo_id").join(counts, "repo_id", "left")
+    ord_type = proposals.schema["ord"].dataType  # a number, or a walk key
     at = lambda phase, ord_, part, position: (
         F.lit(phase).cast("int").alias("phase") if isinstance(phase, int) else phase.cast("int").alias("phase"),
-        ord_.cast("bigint").alias("ord"), F.lit(part).alias("part"), position.cast("bigint").alias("position"))
-    zero = F.lit(0)
-    header = per_repo.select("repo_id", *at(0, zero, 0, zero), F.concat(
+        ord_.cast(ord_type).alias("ord"), F.lit(part).alias("part"), position.cast("bigint").alias("position"))
+    zero, none = F.lit(0), F.lit(None)
+    header = per_repo.select("repo_id", *at(0, none, 0, zero), F.concat(
         F.lit('{"total_proposals":'), F.coalesce("total", F.lit(0)).cast("string"),
         F.lit(',"proposals":[')).alias("piece"))
     summary = [F.coalesce(F.to_json(f"by_{k}"), F.lit("{}")) for k in ("action", "risk")]
-    footer = per_repo.select("repo_id", *at(9, zero, 0, zero), F.concat(
+    footer = per_repo.select("repo_id", *at(9, none, 0, zero), F.concat(
         F.lit('],"summary":{"by_action":'), summary[0], F.lit(',"by_risk":'), summary[1],
         F.lit("}}")).alias("piece"))
     d = F.col("details")

@@ -18,6 +18,7 @@ from treeline.operators import facts as FA
 from treeline.operators import files as FL
 from treeline.operators import proposals as PR
 from treeline.operators import repo as RP
+from treeline.operators.ordering import number_within
 from treeline.plans.context import Tables
 from treeline.sources import inventory as INV
 
@@ -59,6 +60,18 @@ def s2(t: Tables) -> DataFrame:
     return INV.read_inventory(t.spark, path).select("repo_id", "file_seq", "relative_path", "size")
 
 
+@query("S2_without_file_seq")
+def s2w(t: Tables) -> DataFrame:
+    """Two snapshots appended without ``file_seq``: files in the order of depth and segments."""
+    path = f"{checkpoint_dir(t.spark).rstrip('/')}/inventory-{uuid.uuid4().hex}"
+    bare = t.raw.drop("file_seq")
+    for part in (bare.filter("size % 2 = 1"), bare.filter("size % 2 = 0")):
+        part.write.mode("append").parquet(path)
+    files = INV.read_inventory(t.spark, path)
+    return number_within(files, ["repo_id"], ["file_seq"], "position").select(
+        "repo_id", "position", "relative_path", "size")
+
+
 @query("S6_file_records")
 def s6(t: Tables) -> DataFrame:
     r = FL.file_records(t.files)
@@ -392,6 +405,14 @@ def p19(t: Tables) -> DataFrame:
     return RE.proposal_text(t.proposals).withColumn("ord", F.col("ord").cast("bigint"))
 
 
+@query("U1_without_file_seq")
+def u1w(t: Tables) -> DataFrame:
+    """All proposals of the inventory without ``file_seq``; ord: their number in display order."""
+    files = write_table(FL.build_files(INV.validate_inventory(t.raw.drop("file_seq"))), "files")
+    numbered = RE.proposal_numbers(PR.all_proposals(files, t.types))
+    return PR.flat(numbered.withColumn("ord", F.col("number")))
+
+
 # -------------------------------------------------------------------- imports
 from treeline.operators import imports as IM  # noqa: E402
 
@@ -571,7 +592,7 @@ import uuid  # noqa: E402
 
 from treeline.operators import history as HI  # noqa: E402
 from treeline.operators import moves as MV  # noqa: E402
-from treeline.session import checkpoint_dir  # noqa: E402
+from treeline.session import checkpoint_dir, write_table  # noqa: E402
 
 ROLLBACK_N = 10
 

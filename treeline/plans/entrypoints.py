@@ -91,7 +91,8 @@ def analyze(raw: DataFrame, file_backed: bool = False) -> Analysis:
 
     An inventory that is not ``file_backed`` (the tree listing) is written to
     Parquet once, so that the parse, the existence checks and the reports do
-    not list the trees again.
+    not list the trees again. An inventory without ``file_seq`` is taken in the order
+    of its paths (``validate_inventory``).
     """
     raw = INV.validate_inventory(raw)
     if not file_backed:
@@ -156,7 +157,7 @@ def apply(p: Proposals, decisions: DataFrame | None, disk: DataFrame | None = No
     disk = p.raw if on_raw else disk
     if decisions is None:
         decisions = spark.createDataFrame([], "repo_id string, source string, decision string")
-    approved = MV.with_decisions(p.moves, decisions, approve_all=approve_all)
+    approved = MV.with_decisions(PR.sequenced(p.moves), decisions, approve_all=approve_all)
     if not execute:
         res = MV.validate_moves(approved, p.paths if on_raw else disk)
         return Applied(res, MV.execution_summary(res, p.types), None)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from treeline.functions import rules as R
 from treeline.session import write_bucketed
 from treeline.sources.commits import CommittedTable
 
@@ -42,11 +43,20 @@ def validate_inventory(df: DataFrame) -> DataFrame:
 
     Binary content is decoded as UTF-8 JVM-side (``decode``), so the parse
     job always sees text.
+
+    Without ``file_seq`` files stand in the order of (depth, parts): the column then holds the
+    binary ``walk_key`` of the path. It needs no numbering, so snapshots can be appended, and
+    everything that orders by ``file_seq`` (or ``ord``, which proposals take from it) works alike.
     """
+    for name in RAW_FILES_COLUMNS:
+        if name not in df.columns and name != "file_seq":
+            raise ValueError(f"inventory lacks column {name!r}")
+    if "file_seq" not in df.columns:
+        df = df.withColumn("file_seq", R.walk_key(F.col("relative_path").cast("string")))
     fields = {f.name: f.dataType for f in df.schema.fields}
     for name, typ in RAW_FILES_COLUMNS.items():
-        if name not in fields:
-            raise ValueError(f"inventory lacks column {name!r}")
+        if name == "file_seq" and isinstance(fields[name], T.BinaryType):
+            continue
         if type(fields[name]) is not type(typ):
             df = df.withColumn(name, F.col(name).cast(typ))
     if "content" not in fields:

@@ -23,9 +23,14 @@ INVENTORY_DDL = ", ".join(
 
 def propose_stream(spark: SparkSession, inventory_dir: str, output_dir: str,
                    checkpoint_location: str, available_now: bool = True,
-                   max_files_per_trigger: int | None = None):
-    """Start the stream; returns the ``StreamingQuery``."""
-    reader = spark.readStream.schema(INVENTORY_DDL)
+                   max_files_per_trigger: int | None = None, with_file_seq: bool = True):
+    """Start the stream; returns the ``StreamingQuery``.
+
+    ``with_file_seq=False``: the snapshots have no such column, files stand in the order of
+    their paths.
+    """
+    ddl = INVENTORY_DDL if with_file_seq else INVENTORY_DDL.replace("file_seq bigint, ", "")
+    reader = spark.readStream.schema(ddl)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     snapshots = reader.parquet(inventory_dir)
