@@ -89,6 +89,25 @@ def test_decontaminate(spark, docs):
     assert decontaminate.clean(docs, table.limit(0)).count() == len(NASTY)
 
 
+def test_decontaminate_repeated_items_are_one_text(spark, monkeypatch):
+    """Copies of an item fill no block of the driver; every one of their ids is reported."""
+    held = []
+    blocks = decontaminate.in_driver_blocks
+    monkeypatch.setattr(decontaminate, "in_driver_blocks", lambda *a: (
+        held.append(len(b)) or b for b in blocks(*a)))
+    items = spark.range(2000).selectExpr(
+        "id AS item_id", "IF(id % 4 = 3, concat('item ', id, ' is one of its own kind here'), "
+        "'this passage is in very many items of the set') AS text")
+    docs = spark.createDataFrame(
+        [(1, "before this passage is in very many items of the set after"), (1, "nothing of that"),
+         (2, "so item 7 is one of its own kind here")], "doc_id long, text string")
+    got = decontaminate.matches(docs, items, block_chars=5000)
+    assert sorted(rows_of(got, "doc_id", "item_id")) == sorted(
+        [(1, k) for k in range(2000) if k % 4 < 3] + [(2, 7)])
+    assert sum(held) == 501 and len(held) > 1
+    assert rows_of(decontaminate.clean(docs, items), "text") == [("nothing of that",)]
+
+
 def test_mixing(spark, docs):
     mixed = mixing.mix(docs, block_tokens=50)
     assert mixed.columns[:5] == docs.columns[:5] and set(docs.columns) <= set(mixed.columns)
@@ -330,6 +349,18 @@ def test_url_cascade_is_exact_over_shards(spark, monkeypatch):
     assert got.count() == 3000
 
 
+def test_url_cascade_is_bounded_by_the_list(spark):
+    """Few listed keys in a large universe: level 2 holds no more than they are."""
+    keys = spark.range(200_000).selectExpr("xxhash64(1, id) AS a", "xxhash64(2, id) AS b", "id < 20 AS listed")
+    levels = urlfilter.cascade(keys)
+    assert sum(x.bits for x in levels) < 20 * 64
+    rows = keys.toPandas()
+    got = urlfilter.listed(levels, rows.a.to_numpy(), rows.b.to_numpy())
+    assert (got == rows.listed.to_numpy()).all()
+    assert urlfilter.cascade(keys.filter("NOT listed")) == []
+    assert len(urlfilter.cascade(keys.filter("listed"))) == 1
+
+
 def test_jaccard(spark, docs):
     texts = [t for _, t, *_ in NASTY]
     near = links(texts)

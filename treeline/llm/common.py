@@ -57,11 +57,17 @@ def each_batch(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[
     (``keep``: this one uses it), and gives freed memory back when it ends.
     """
     ship_package(df.sparkSession)
+    names = df.columns
+    odd = any("." in c or "`" in c for c in names)  # Spark would read these as paths
+    if odd:
+        df = df.toDF(*[f"c{k}" for k in range(len(names))])
 
     def task(batches):
         if not keep:
             for drop in KEPT:
                 drop()
+        if odd:
+            batches = (b.rename_columns(names) for b in batches)
         try:
             yield from fn(batches)
         finally:

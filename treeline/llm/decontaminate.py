@@ -16,9 +16,11 @@ minima. The search therefore misses nothing. Candidates are verified by the
 exact containment of their shingle sets.
 
 The documents are scanned where they lie: no shuffle of texts, and nothing per
-document leaves its task but the matches. Items travel to the tasks in blocks
-of ``block_chars`` characters; each block is one scan, so a large benchmark
-costs time but never more memory.
+document leaves its task but the matches. The distinct texts of the items travel
+to the tasks in blocks of ``block_chars`` characters; each block is one scan, so a
+large benchmark costs time but never more memory. An item's copies are one text
+there, and their ids are joined to the matches afterwards, so an item repeated
+without bound fills no block.
 
 Defined results: null and empty documents or items match nothing (no words, no
 shingles). An item of one to four words is a single shingle of all its words
@@ -38,14 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.common import each_batch, in_driver_blocks
+from treeline.llm.common import each_batch, in_driver_blocks, text_key
 from treeline.llm.words import row_shingles, shingles, slices, text_bytes, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BLOCK_CHARS = 8_000_000
 
-SCHEMA = "doc_id long, item_id long, item_shingles long, matched long, containment double"
+SCHEMA = "doc_id long, key binary, item_shingles long, matched long, containment double"
 
 
 def size_partition(count: int) -> int:
@@ -112,11 +114,13 @@ def _scan(column, sketches: Sketches, n: int):
 
 
 def _blocks(items: DataFrame, n: int, threshold: float, limit: int):
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"),
-                        F.col("text").cast("string").alias("text"))
+    """(keys, sketches) of the distinct texts of the items, block by block."""
+    text = F.col("text").cast("string")
+    rows = (items.select(text_key(text).alias("key"), text.alias("text")).groupBy("key")
+            .agg(F.first("text", ignorenulls=True).alias("text")))
     size = F.coalesce(F.length("text"), F.lit(0)) + 1
-    for block in in_driver_blocks(rows, "text", size, limit):
-        yield [r.item_id for r in block], Sketches([r.text for r in block], n, threshold)
+    for block in in_driver_blocks(rows, "key", size, limit):
+        yield [bytes(r.key) for r in block], Sketches([r.text for r in block], n, threshold)
 
 
 def matches(docs: DataFrame, items: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD,
@@ -126,26 +130,30 @@ def matches(docs: DataFrame, items: DataFrame, n: int = SHINGLE, threshold: floa
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                          F.col("text").cast("string").alias("text"))
     found = None
-    for ids, sketches in _blocks(items, n, threshold, block_chars):
-        shared = spark.sparkContext.broadcast((ids, sketches))
+    for keys, sketches in _blocks(items, n, threshold, block_chars):
+        shared = spark.sparkContext.broadcast((keys, sketches))
 
         def scan(batches, shared=shared):
-            item_ids, sk = shared.value
+            item_keys, sk = shared.value
             for batch in batches:
                 hits = list(_scan(batch.column("text"), sk, n))
                 doc = batch.column("doc_id").to_pylist()
                 yield pa.RecordBatch.from_arrays([
                     pa.array([doc[r] for r, _, _ in hits], pa.int64()),
-                    pa.array([item_ids[i] for _, i, _ in hits], pa.int64()),
+                    pa.array([item_keys[i] for _, i, _ in hits], pa.binary()),
                     pa.array([int(sk.sizes[i]) for _, i, _ in hits], pa.int64()),
                     pa.array([c for _, _, c in hits], pa.int64()),
                     pa.array([c / sk.sizes[i] for _, i, c in hits], pa.float64()),
-                ], names=["doc_id", "item_id", "item_shingles", "matched", "containment"])
+                ], names=["doc_id", "key", "item_shingles", "matched", "containment"])
 
         part = each_batch(source, scan, SCHEMA)
         found = part if found is None else found.unionByName(part)
+    # One row for each document id and text, then one for each item id of the text.
     best = F.max(F.struct("containment", "matched", "item_shingles")).alias("best")
-    return (found.groupBy("doc_id", "item_id").agg(best)
+    ids = items.select(text_key(F.col("text").cast("string")).alias("key"),
+                       F.col("item_id").cast("long").alias("item_id")).distinct()
+    return (found.groupBy("doc_id", "key").agg(best).join(ids, "key")
+            .groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
             .select("doc_id", "item_id", "best.item_shingles", "best.matched",
                     "best.containment"))
 

@@ -12,9 +12,13 @@ up level by level, and the first level that does not know it decides.
 Keys enter as two 64-bit hashes. A level's bits are made where its keys lie (a
 bitmap per task, combined as 64-bit words by bit_or) and only the finished
 bitmap comes to the driver. The universe is dealt into shards of about
-``SHARD_KEYS`` listed keys, each with its own cascade of about two megabytes;
-pages are judged with ``SHARDS_TOGETHER`` shards at a time, so neither the
-driver nor a task ever holds more than that, however long the list is.
+``SHARD_KEYS`` listed keys, each with its own cascade. Level 1 of a shard with r
+listed and s other keys errs at most at the rate r / s, so level 2 holds about r
+keys at most, however large the universe is: a cascade has about 1.44 * log2(s / r)
+bits for each listed key in level 1 and 10 in level 2, at 1,000 others for each
+listed key three megabytes. Pages are judged with ``SHARDS_TOGETHER`` shards at a
+time, so neither the driver nor a task holds more than that, however long the list
+is.
 
 Defined results: a null url, or one without ``://``, has an empty host and path;
 the empty host fits no rule and is listed only if the list names it. Null hosts
@@ -157,8 +161,10 @@ def cascade(universe: DataFrame, error: float = ERROR_RATE) -> list[Level]:
     outside = universe.filter("NOT listed").select("a", "b")
     levels: list[Level] = []
     n = inside.count()
+    rate = min(error, n / max(1, outside.count())) if n else error
     while n:
-        level = _fill(Level(n, error, len(levels) + 1), inside)
+        level = _fill(Level(n, rate, len(levels) + 1), inside)
+        rate = error
         levels.append(level)
         mistaken = write_table(_known(level, outside), "url-level")
         n = mistaken.count()
