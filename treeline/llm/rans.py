@@ -64,6 +64,13 @@ class Table:
         return freq
 
 
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first`` on, ``size`` of them, one range after the other."""
+    out = np.repeat(first - (np.cumsum(size) - size), size)
+    out += np.arange(len(out))
+    return out
+
+
 def encode(blocks: list[np.ndarray], table: Table) -> list[bytes]:
     """One byte string per block of ids."""
     out: list[bytes | None] = [None] * len(blocks)
@@ -80,24 +87,27 @@ def encode(blocks: list[np.ndarray], table: Table) -> list[bytes]:
 
 def _encode_equal(blocks: list[np.ndarray], size: int, table: Table) -> list[bytes]:
     steps = -(-size // LANES)
-    ids = np.full((len(blocks), steps * LANES), table.pad, np.int64)
+    ids = np.full((steps, len(blocks), LANES), table.pad, np.uint32)
     for k, block in enumerate(blocks):
-        ids[k, :size] = block
-    ids = np.ascontiguousarray(ids.reshape(len(blocks), steps, LANES).transpose(1, 0, 2))
+        ids[:size // LANES, k] = block[:size // LANES * LANES].reshape(-1, LANES)
+        ids[size // LANES:, k, :size % LANES] = block[size // LANES * LANES:]
     x = np.full((len(blocks), LANES), _LOW, np.uint64)
     words = np.zeros((steps, len(blocks), LANES), np.uint32)
     full = np.zeros((steps, len(blocks), LANES), bool)
     per = CHECKPOINT // LANES
     states = []
-    bits, top, half = np.uint64(BITS), np.uint64(63 - BITS), np.uint64(32)
+    top, half, whole = np.uint64(63 - BITS), np.uint64(32), np.uint64(1 << BITS)
     for t in range(steps - 1, -1, -1):
-        f = table.freq[ids[t]]
-        over = x >= (f << top)
-        words[t] = x.astype(np.uint32)
-        full[t] = over
-        x = np.where(over, x >> half, x)
+        own = ids[t].astype(np.int64)
+        f = table.freq[own]
+        over = np.greater_equal(x, f << top, out=full[t])
+        words[t] = x
+        np.right_shift(x, half, out=x, where=over)
+        # (x // f << BITS) + x % f + start
         q = x // f
-        x = (q << bits) + (x - q * f) + table.start[ids[t]]
+        q *= whole - f
+        x += q
+        x += table.start[own]
         if t % per == 0:
             states.append(x.copy())
     states.reverse()
@@ -150,11 +160,16 @@ def _decode_some(data: list[bytes], table: Table) -> list[np.ndarray]:
             slot = x & mask
             s = table.symbol[slot.astype(np.int64)]
             ids[t] = s
-            x = table.freq[s] * (x >> bits) + slot - table.start[s]
+            s = s.astype(np.int64)
+            x >>= bits
+            x *= table.freq[s]
+            x += slot
+            x -= table.start[s]
+            # Lanes below the least state take the next words, in their order.
             need = x < _LOW
-            place = np.cumsum(need, axis=1)
-            x[need] = (x[need] << half) | stream[(at[:, None] + place - 1)[need]]
-            at += place[:, -1]
+            lanes = need.sum(axis=1)
+            x[need] = (x[need] << half) | stream[ranges(at, lanes)]
+            at += lanes
         for j, (_, k, first, _, _) in enumerate(some):
             heads[k][2][first:first + steps * LANES] = ids[:, j, :].reshape(-1)
     out = []

@@ -24,11 +24,8 @@ empty. Only doc_id and text are read, whatever other columns there are.
 
 from __future__ import annotations
 
-import json
-import re
 import zlib
 from functools import lru_cache
-from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,176 +34,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeline.llm import rans
+from treeline.llm.bpe import Encoder
 from treeline.llm.common import KEPT, each_batch, text_key
+from treeline.llm.rans import ranges
 
 END_ID = 0
 CHUNK = 32 * rans.BLOCK
-CACHED = 800_000
-
-# White space other than the space and the line feed.
-_RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-_FIRST = "\ud800"  # a lone surrogate, which no text has
-
-
-def _stretches(text: str) -> list[str]:
-    """The text cut at single spaces between two other characters."""
-    if (_RARE.search(text) or "  " in text or " \n" in text or "\n " in text
-            or text[0] == " " or text[-1] == " "):
-        return _BETWEEN.split(text)
-    return text.split(" ")
-
-
-class _Memory:
-    """Known strings and their ids, kept one after the other."""
-
-    def __init__(self, dtype):
-        self.place: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, dtype)
-        self.ends = np.zeros(1, np.int64)
-        self.met = np.zeros(0, bool)
-
-    def find(self, keys: list[str]) -> np.ndarray:
-        """Places of the strings; -1 where not known."""
-        return np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
-
-    def prune(self) -> None:
-        """Drop what was not met again since the last time; all of it where that drops little."""
-        again = np.flatnonzero(self.met)
-        if 2 * len(again) > len(self.met):
-            again = again[:0]
-        ids, size = self.take(again)
-        keys = list(compress(self.place, self.met.tolist())) if len(again) else []
-        self.__init__(self.ids.dtype)
-        self.keep(keys, size, ids)
-
-    def keep(self, keys: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
-        used, more = int(self.ends[-1]), len(ids)
-        if used + more > len(self.ids):
-            grown = np.zeros(max(2 * len(self.ids), used + more), self.ids.dtype)
-            grown[:used] = self.ids[:used]
-            self.ids = grown
-        self.ids[used:used + more] = ids
-        first = len(self.place)
-        self.place.update(zip(keys, range(first, first + len(keys))))
-        self.met = np.concatenate([self.met, np.zeros(len(keys), bool)])
-        self.ends = np.concatenate([self.ends, used + np.cumsum(sizes)])
-
-    def take(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the places one after the other, and how many each has."""
-        a = self.ends[index]
-        size = self.ends[index + 1] - a
-        shift = np.repeat(a - (np.cumsum(size) - size), size)
-        shift += np.arange(len(shift))
-        return self.ids[shift], size
-
-
-def _per_group(sizes: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Sums of ``sizes`` over consecutive groups of ``number`` members each."""
-    total = np.concatenate([[0], np.cumsum(sizes)])
-    ends = np.cumsum(number)
-    return total[ends] - total[ends - number]
-
-
-class Encoder:
-    """Ids of texts by the tokenizers library, with a memory for repeated stretches.
-
-    Byte-level pre-tokenisation always starts a new piece at a single space
-    between two other characters, so a text's ids are those of its stretches
-    between such spaces, one after the other. Each new stretch is encoded by the
-    library and remembered; beyond ``CACHED`` stretches, those not met twice are
-    dropped. Tokenizers with another pre-tokeniser or a normaliser, and texts that
-    contain an added token, are encoded whole.
-    """
-
-    def __init__(self, definition: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(definition)
-        spec = json.loads(definition)
-        pre = spec.get("pre_tokenizer") or {}
-        self.splits = (spec.get("normalizer") is None and pre.get("type") == "ByteLevel"
-                       and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-                       and spec["model"].get("type") == "BPE")
-        self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() < 1 << 16 else np.uint32
-        # In a byte-level vocabulary a space is written as U+0120.
-        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.spaced[i] = "\u0120" in token
-        self.stretches = _Memory(self.dtype)
-
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, keys: list[str], stretches: list[str]) -> None:
-        if not keys:
-            return
-        coded = self._whole(stretches)
-        self.stretches.keep(keys, np.fromiter(map(len, coded), np.int64, len(coded)),
-                            np.fromiter((i for c in coded for i in c), self.dtype))
-
-    def _learn_spaced(self, parts: list[str]) -> None:
-        """Stretches that follow a space, encoded as one text: only a stretch's first id
-        begins with a space, which tells them apart again."""
-        for a in range(0, len(parts), 20_000):
-            some = parts[a:a + 20_000]
-            ids = np.array(self._whole([" " + " ".join(some)])[0], self.dtype)
-            first = np.flatnonzero(self.spaced[ids])
-            if len(first) == len(some) and first[0] == 0:
-                self.stretches.keep(some, np.diff(np.append(first, len(ids))), ids)
-            else:
-                self._learn(some, [" " + p for p in some])
-
-    def _learn_all(self, new: set[str]) -> None:
-        """Stretches; a text's first one after a lone surrogate, the others follow a space."""
-        first = [p for p in new if p[:1] == _FIRST]
-        self._learn(first, [p[1:] for p in first])
-        rest = new.difference(first)
-        odd = [p for p in rest if not p or " " in p or p[-1].isspace()]
-        self._learn(odd, [" " + p for p in odd])
-        self._learn_spaced(list(rest.difference(odd)))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts one after the other, and how many each has."""
-        whole = [k for k, t in enumerate(texts)
-                 if not self.splits or any(a in t for a in self.added)]
-        apart = set(whole)
-        flat: list[str] = []
-        number = np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            if k in apart or not text:
-                continue
-            parts = _stretches(text)
-            number[k] = len(parts)
-            # A first stretch has no space before it: kept apart from the others by a lone
-            # surrogate, which no text has.
-            parts[0] = _FIRST + parts[0]
-            flat += parts
-        if len(self.stretches.place) > CACHED:
-            self.stretches.prune()
-        index = self.stretches.find(flat)
-        missing = np.flatnonzero(index < 0)
-        self.stretches.met[index[index >= 0]] = True
-        if len(missing):
-            unknown = [flat[k] for k in missing.tolist()]
-            self._learn_all(set(unknown))
-            index[missing] = self.stretches.find(unknown)
-        ids, size = self.stretches.take(index)
-        per_text = _per_group(size, number)
-        if not whole:
-            return ids, per_text
-        coded = self._whole([texts[k] for k in whole])
-        pieces, at = [], 0
-        rest = dict(zip(whole, coded))
-        for k in range(len(texts)):
-            if k in rest:
-                pieces.append(np.array(rest[k], self.dtype))
-                per_text[k] = len(rest[k])
-            else:
-                pieces.append(ids[at:at + per_text[k]])
-                at += per_text[k]
-        return np.concatenate(pieces), per_text
+TOGETHER = rans.TOGETHER * rans.BLOCK // CHUNK   # chunks coded side by side
 
 
 @lru_cache(maxsize=1)
@@ -217,49 +51,67 @@ def _encoder(definition: str) -> Encoder:
 KEPT.append(_encoder.cache_clear)
 
 
+def _cut(at: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """The ranges of ``n`` numbers from ``at`` on, cut at multiples of ``width``: of each piece
+    which range it is of, which multiple it follows, its first number and its length."""
+    first = at // width
+    pieces = (at + n - 1) // width - first + 1
+    owner = np.repeat(np.arange(len(at)), pieces)
+    nth = ranges(first, pieces)
+    begin = np.maximum(at[owner], nth * width)
+    return owner, nth, begin, np.minimum((at + n)[owner], (nth + 1) * width) - begin
+
+
+def _docs(*columns) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=list(_DOCS.value_type))
+
+
 def _chunks(definition: str):
-    """Sorted documents of a part -> its chunks of ids."""
+    """Sorted documents of a part -> its chunks of ids; the last says how often each id occurs
+    in the part."""
     def tokenise(batches):
         encoder = _encoder(definition)
-        part, chunk, start = TaskContext.get().partitionId(), 0, 0
+        part, chunk, start, nth = TaskContext.get().partitionId(), 0, 0, 0
         ids: list[np.ndarray] = []
-        docs: list[dict] = []
-        held, nth = 0, 0
+        docs: list[pa.Array] = []
+        times = np.zeros(encoder.tokenizer.get_vocab_size(), np.int64)
 
-        def row():
-            data = np.concatenate(ids) if ids else np.zeros(0, encoder.dtype)
+        def row(used):
+            data = np.concatenate(ids)
+            inside = pa.concat_arrays(docs)
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([chunk], pa.int32()),
-                 pa.array([len(data)], pa.int64()), pa.array([docs], _DOCS),
-                 pa.array([data.tobytes()], pa.binary())],
-                names=["part", "chunk", "n", "docs", "ids"])
+                 pa.array([len(data)], pa.int64()),
+                 pa.ListArray.from_arrays([0, len(inside)], inside).cast(_DOCS),
+                 pa.array([data.tobytes()], pa.binary()),
+                 pa.array([used], pa.list_(pa.int32())), pa.array([times[used]], pa.list_(pa.int64()))],
+                names=["part", "chunk", "n", "docs", "ids", "used", "times"])
 
         for batch in batches:
-            doc_ids = batch.column("doc_id").to_pylist()
             column = batch.column("text")
-            # A few megabytes of text at a time.
-            width = max(1, min(1000, int(4e6 * batch.num_rows / max(1, column.nbytes))))
+            # About two megabytes of text at a time.
+            width = max(1, int(2e6 * batch.num_rows / max(1, column.nbytes)))
             for a in range(0, batch.num_rows, width):
-                texts = [t or "" for t in column.slice(a, width).to_pylist()]
-                coded, sizes = encoder.encode(texts)
-                ends = np.cumsum(sizes)
-                for k in range(len(texts)):
-                    own = np.append(coded[ends[k] - sizes[k]:ends[k]],
-                                    np.array([END_ID], encoder.dtype))
-                    at = 0
-                    while at < len(own):
-                        take = min(len(own) - at, CHUNK - held)
-                        docs.append({"doc_id": doc_ids[a + k], "nth": nth, "start": start,
-                                     "at": held, "n": take})
-                        ids.append(own[at:at + take])
-                        held, at = held + take, at + take
-                        if held == CHUNK:
-                            yield row()
-                            ids, docs, held, chunk = [], [], 0, chunk + 1
-                    start += len(own)
-                    nth += 1
-        if held:
-            yield row()
+                doc_ids = batch.column("doc_id").slice(a, width)
+                coded, sizes = encoder.encode(column.slice(a, width))
+                own = sizes + 1
+                first = np.cumsum(own) - own
+                data = np.full(own.sum(), END_ID, encoder.dtype)
+                data[ranges(first, sizes)] = coded
+                times += np.bincount(data, minlength=len(times))
+                owner, inside, at, n = _cut(start + first, own, CHUNK)
+                ends = np.flatnonzero(np.diff(inside, append=-1)) + 1
+                for b, e in zip([0, *ends.tolist()], ends.tolist()):
+                    if inside[b] > chunk:
+                        yield row(np.zeros(0, np.int32))
+                        ids, docs, chunk = [], [], int(inside[b])
+                    which = owner[b:e]
+                    docs.append(_docs(doc_ids.take(pa.array(which)), nth + which,
+                                      start + first[which], at[b:e] - chunk * CHUNK, n[b:e]))
+                    ids.append(data[at[b] - start:at[e - 1] + n[e - 1] - start])
+                start, nth = start + len(data), nth + len(sizes)
+        if ids:
+            yield row(np.flatnonzero(times).astype(np.int32))
     return tokenise
 
 
@@ -268,39 +120,32 @@ _DOCS = pa.list_(pa.struct([("doc_id", pa.int64()), ("nth", pa.int64()), ("start
                             ("at", pa.int64()), ("n", pa.int64())]))
 
 
-def _count(width: int, dtype):
-    def count(batches):
-        total = np.zeros(width, np.int64)
-        for batch in batches:
-            for data in batch.column("ids"):
-                total += np.bincount(np.frombuffer(data.as_buffer(), dtype), minlength=width)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])],
-                                         names=["id", "n"])
-    return count
-
-
 def _encode_chunks(frequencies, dtype):
     def encode(batches):
         table = rans.Table(frequencies.value)
-        for batch in batches:
-            for r in range(batch.num_rows):
-                ids = np.frombuffer(batch.column("ids")[r].as_buffer(), dtype)
-                docs = batch.column("docs")[r].as_py()
-                cut = [ids[a:a + rans.BLOCK] for a in range(0, len(ids), rans.BLOCK)]
-                inside: list[list[dict]] = [[] for _ in cut]
-                for d in docs:  # the stretches of each document, block by block
-                    at, end = d["at"], d["at"] + d["n"]
-                    while at < end:
-                        b = at // rans.BLOCK
-                        take = min(end, (b + 1) * rans.BLOCK) - at
-                        inside[b].append(d | {"at": at - b * rans.BLOCK, "n": take})
-                        at += take
-                n = len(cut)
+        for whole in batches:
+            for r in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(r, TOGETHER)
+                cut, docs, inside, chunk, block = [], [], [], [], []
+                for k in range(batch.num_rows):
+                    ids = np.frombuffer(batch.column("ids")[k].as_buffer(), dtype)
+                    own = batch.column("docs")[k].values
+                    at, n = (own.field(f).to_numpy() for f in ("at", "n"))
+                    owner, nth, begin, size = _cut(at, n, rans.BLOCK)
+                    docs.append(_docs(*(own.field(f).take(pa.array(owner)) for f in ("doc_id", "nth", "start")),
+                                      begin - nth * rans.BLOCK, size))
+                    cut += [ids[a:a + rans.BLOCK] for a in range(0, len(ids), rans.BLOCK)]
+                    numbers = np.bincount(nth)
+                    inside.append(numbers)
+                    chunk.append(np.full(len(numbers), k))
+                    block.append(np.arange(len(numbers), dtype=np.int32))
+                ends = np.concatenate([[0], np.cumsum(np.concatenate(inside))])
+                chunk = pa.array(np.concatenate(chunk))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column("part")[r].as_py()] * n, pa.int32()),
-                     pa.array([batch.column("chunk")[r].as_py()] * n, pa.int32()),
-                     pa.array(range(n), pa.int32()), pa.array(inside, _DOCS),
+                    [batch.column("part").take(chunk), batch.column("chunk").take(chunk),
+                     pa.array(np.concatenate(block)),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
+                                              pa.concat_arrays(docs)).cast(_DOCS),
                      pa.array(rans.encode(cut, table), pa.binary())],
                     names=["part", "chunk", "block", "docs", "data"])
     return encode
@@ -320,11 +165,13 @@ def write(docs: DataFrame, path: str, definition: str) -> None:
                .repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), key)
                .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), key))
     each_batch(ordered, _chunks(definition),
-               f"part int, chunk int, n long, docs array<{_DOC}>, ids binary", keep=True) \
+               f"part int, chunk int, n long, docs array<{_DOC}>, ids binary, used array<int>, "
+               "times array<long>", keep=True) \
         .write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/tokens")
     tokens = spark.read.parquet(f"{path}/tokens")
-    counted = (each_batch(tokens.select("ids"), _count(width, dtype), "id int, n long")
-               .groupBy("id").agg(F.sum("n").alias("n")).collect())  # at most the vocabulary
+    counted = (tokens.select(F.explode(F.arrays_zip("used", "times")).alias("u"))
+               .groupBy(F.col("u.used").alias("id")).agg(F.sum("u.times").alias("n"))
+               .collect())  # at most the vocabulary
     counts = np.zeros(width, np.int64)
     for r in counted:
         counts[r.id] = r.n
